@@ -18,6 +18,9 @@ shards; columns other than key and text are ignored.
 from __future__ import annotations
 
 import json
+import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -32,7 +35,7 @@ MAGIC = b"TBLMTOK1"
 #: Cells a key at each level of the cascade.
 GAMMA = 2
 #: Words whose ids are remembered by a worker; then it begins anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 MANIFEST = "shard int, ids_path string, idx_path string, n_docs long, n_tokens long"
 
 
@@ -86,42 +89,93 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_hash(keys, 0xF1) >> np.uint64(32)).astype(np.uint32)
 
 
+#: A word of Latin letters and the ASCII punctuation after it; an apostrophe may begin a contraction, so it isn't in here.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> list[str]:
+    """How byte-level models write each byte: printable Latin-1 characters stand for themselves, the others follow from U+0100."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b if b in kept else next(others)) for b in range(256)]
+
+
 class WordTokenizer:
     """Ids of whole texts from ids of words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids, one after the
-    other. Texts are cut at ASCII blanks only, which every step of the tokenizer treats as white space; what lies
-    between goes through the tokenizer as it is, once for each distinct word.
+    A tokenizer that drops white space and never joins across it gives a text its words' ids, one after the other.
+    Texts are cut at ASCII blanks, which every step treats as white space; what lies between goes through the
+    tokenizer once for each distinct word. Of these, plain words (letters, then punctuation) go to the model as their
+    two pieces, without the general normaliser and splitter. Both shortcuts are tried on probes first; if a tokenizer
+    doesn't work that way, its whole ``encode`` is used.
     """
 
-    def __init__(self, path: str, dtype: str):
-        import os
+    PROBES = ("Abc, dEf  ghi.\nÉtÀ!! x", "The end***  of\tit&&& ñÑ")
 
+    def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.cache = Tokenizer.from_file(path), dtype, {"": b""}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.letters, self.words, self.pieces = _byte_letters(), _Words(self._word), {"": b""}
+        self.by_word = self.plain = True
+        self.plain = all(self.encode(p) == self._whole(p) for p in self.PROBES)
+        self.words, self.pieces = _Words(self._word), {"": b""}
+        self.by_word = all(self.encode(p) == self._whole(p) for p in self.PROBES)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        if (out := self.pieces.get(piece)) is None:
+            written = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+            out = self._bytes([t.id for t in self.tokenizer.model.tokenize(written)])
+            if len(piece) <= 100:
+                self.pieces[piece] = out
+        return out
+
+    def _word(self, word: str) -> bytes:
+        if self.plain and (m := _PLAIN.fullmatch(word)):
+            return self._piece(m[1].lower()) + self._piece(m[2])
+        return self._whole(word)
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        get = self.cache.__getitem__
-        try:
-            return b"".join(map(get, words))
-        except KeyError:
-            pass
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-            self.cache[""] = b""
-        new = [w for w in dict.fromkeys(words) if w not in self.cache]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.cache[w] = np.array(e.ids, self.dtype).tobytes()
-        out = b"".join(map(get, words))
-        for w in new:
-            if len(w) > 100:
-                del self.cache[w]
+        if not self.by_word:
+            return self._whole(text)
+        if len(self.words) > CACHE_WORDS:
+            self.words = _Words(self._word)
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {"": b""}
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+
+
+class _Words(dict):
+    """Ids by word, found when first asked for."""
+
+    def __init__(self, find):
+        super().__init__({"": b""})
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.find(word)
+        if len(word) <= 100:
+            self[word] = out
         return out
 
 
+_TOKENIZERS: dict[tuple[str, str], WordTokenizer] = {}
+
+
+def tokenizer(path: str, dtype: str) -> WordTokenizer:
+    """One for each worker process, with the words that it has seen."""
+    if (path, dtype) not in _TOKENIZERS:
+        _TOKENIZERS[path, dtype] = WordTokenizer(path, dtype)
+    return _TOKENIZERS[path, dtype]
+
+
 def id_type(vocabulary: int, end_id: int) -> str:
     return "<u2" if max(vocabulary - 1, end_id) < 1 << 16 else "<u4"
 
@@ -148,12 +202,12 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, root
     end = np.array([end_id], dtype).tobytes()
 
     def write(batches):
-        tokenizer, keys, lengths = WordTokenizer(tokenizer_path, dtype), [], []
+        words, keys, lengths = tokenizer(tokenizer_path, dtype), [], []
 
         def payload():
             for doc_ids, texts in slices(batches):
                 for k, t in zip(doc_ids, texts):
-                    ids = tokenizer.encode(t or "") + end
+                    ids = words.encode(t or "") + end
                     keys.append(k)
                     lengths.append(len(ids) // len(end))
                     yield ids
