@@ -238,7 +238,10 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", chars
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), chars: int = BLOCK_CHARS) -> DataFrame:
-    """Every row's doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans (word positions to remove)."""
+    """Every row's doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans (word positions to remove).
+
+    ``keep`` names columns to carry along, as ``kept_<name>``.
+    """
     shared = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, chars=chars)]
     kept = [f for f in docs.schema.fields if f.name in keep]
 
@@ -257,10 +260,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             columns = [pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)]
             extra = [batch.column(batch.schema.get_field_index(f"kept_{f.name}")) for f in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *extra], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *(f.name for f in kept)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *extra], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *(f"kept_{f.name}" for f in kept)])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(f.name).alias(f"kept_{f.name}") for f in kept])
-    kinds = [f"doc_id {docs.schema[key].dataType.simpleString()}", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)]
+    kinds = [f"doc_id {docs.schema[key].dataType.simpleString()}", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>", *(f"`kept_{f.name}` {f.dataType.simpleString()}" for f in kept)]
     return rows.mapInArrow(run, ", ".join(kinds))
 
 

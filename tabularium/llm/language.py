@@ -112,7 +112,7 @@ def train(spark: SparkSession, docs: DataFrame, *, per_language: int = PER_LANGU
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; ``keep`` names further columns to carry along."""
+    """(doc_id, lang_pred, score) of every row; ``keep`` names columns to carry along, as ``kept_<name>``."""
     shared = spark.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name in keep]
 
@@ -124,10 +124,10 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, *, key: str = "d
                 names += n
                 sure.append(s)
             extra = [batch.column(batch.schema.get_field_index(f"kept_{f.name}")) for f in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0)), *extra], names=["doc_id", "lang_pred", "score", *(f.name for f in kept)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0)), *extra], names=["doc_id", "lang_pred", "score", *(f"kept_{f.name}" for f in kept)])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(f.name).alias(f"kept_{f.name}") for f in kept])
-    kinds = [f"doc_id {docs.schema[key].dataType.simpleString()}", "lang_pred string", "score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)]
+    kinds = [f"doc_id {docs.schema[key].dataType.simpleString()}", "lang_pred string", "score double", *(f"`kept_{f.name}` {f.dataType.simpleString()}" for f in kept)]
     return rows.mapInArrow(run, ", ".join(kinds))
 
 

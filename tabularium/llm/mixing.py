@@ -22,9 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Rows a chunk that its rank is counted in, about.
 CHUNK = 2000
+#: Most rows (a source's size classes) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,17 +62,20 @@ def offset(source: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's doc_id, size, source_size, target, copies and taken (words); ``keep`` names further columns to carry."""
+    """Every row's doc_id, size, source_size, target, copies and taken (words); ``keep`` names columns to carry along, as ``kept_<name>``."""
     size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     bits = F.length(F.bin("size"))
     step = F.expr("cast(size / power(2, greatest(length(bin(size)) - 4, 0)) as bigint)")
     rows = rows.withColumn("class", (bits * 16 + step).cast("int")).withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    groups = rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    groups = checkpointed(rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     by_source = sources(groups, weights, share, most)
     depth = F.least(F.lit(8), F.ceil(F.log(16.0, F.greatest(F.col("n") / F.lit(float(CHUNK)), F.lit(1.0)))).cast("int"))
-    facts = groups.select("source", "class", depth.alias("depth")).alias("g").join(by_source.alias("s"), F.expr("g.source <=> s.source")).select(F.col("g.source").alias("fact_source"), F.col("class").alias("fact_class"), "depth", "source_size", "target")
-    rows = rows.join(F.broadcast(facts), F.expr("source <=> fact_source and class = fact_class")).drop("fact_source", "fact_class")
+    facts = groups.select("source", "class", depth.alias("depth")).alias("g").join(by_source.alias("s"), F.expr("g.source <=> s.source"))
+    facts = checkpointed(facts.select(F.col("g.source").alias("fact_source"), F.col("class").alias("fact_class"), "depth", "source_size", "target"))
+    if groups.count() <= BROADCAST_ROWS:
+        facts = F.broadcast(facts)
+    rows = rows.join(facts, F.expr("source <=> fact_source and class = fact_class")).drop("fact_source", "fact_class")
     rows = rows.withColumn("chunk", F.expr("substring(hash, 1, depth)"))
     chunks = rows.groupBy("source", "class", "chunk").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("class", "chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -79,7 +86,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
     rank, u = F.col("before") + F.col("nth"), offset(F.col("source"), seed)
     copies = F.floor(rank * rate + u) - F.floor((rank - 1) * rate + u)
     rows = rows.withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"kept_{c}").alias(c) for c in keep])
+    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"kept_{c}" for c in keep])
 
 
 ORACLE_SQL = f"""with sized as (select doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),

@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and applied in numpy.
 
-A word comes in twice: as an embedding of its hash, and as the mean embedding of its character trigrams. A window of
+A word comes in twice: as an embedding of its hash, and as the mean embedding of its character n-grams (four bytes). A window of
 ``WINDOW`` words is read in both directions by gated recurrent units, its states are pooled by attention, and a linear
 layer scores it. All windows of a text, each overlapping half of the next, are scored; the text's score is that of its
 worst window, brought to a probability by a logistic curve fitted at the labels' own proportions.
@@ -26,10 +26,12 @@ from .quality import labelled_sample, logistic, score_documents
 
 WINDOW, STRIDE = 24, 12
 #: Buckets and sizes of the two embeddings, and the size of a direction's state.
-WORDS, CHARS, WIDTH, STATE = 1 << 16, 1 << 13, 6, 8
+WORDS, CHARS, WIDTH, STATE = 1 << 16, 1 << 15, 6, 8
 #: Most labelled documents of each label that are fitted on.
-PER_LABEL = 1200
-EPOCHS, BATCH, RATE, SEED = 8, 128, 0.01, 42
+PER_LABEL = 2400
+EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 42
+#: Windows that are read in step.
+LANES = 2048
 LETTER = np.array([not (b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F) for b in range(256)])
 
 
@@ -38,8 +40,8 @@ class Windows:
     """Texts as windows of distinct words."""
 
     word: np.ndarray  # bucket of each distinct word
-    gram: np.ndarray  # buckets of the trigrams of all distinct words, one word after the other
-    gram_at: np.ndarray  # where each distinct word's trigrams begin (and the end)
+    gram: np.ndarray  # buckets of the character n-grams of all distinct words, one word after the other
+    gram_at: np.ndarray  # where each distinct word's character n-grams begin (and the end)
     at: np.ndarray  # windows x WINDOW: distinct word + 1, or 0 beyond the end
     doc: np.ndarray  # of each window
 
@@ -61,11 +63,11 @@ def windows(texts: list[str | None]) -> Windows:
     padded = np.append(number + 1, 0)
     at = np.where(inside, padded[np.minimum(at, len(number))], 0)
     a, b = begin[first], end[first]
-    size = b - a  # a trigram begins one before each byte: blank, byte, next
+    size = b - a  # an n-gram for each byte: the one before, itself and the two after, blank beyond the word
     gram_at = np.concatenate(([0], np.cumsum(size)))
     place = np.arange(gram_at[-1]) - np.repeat(gram_at[:-1] - a, size)
-    around = np.concatenate(([32], np.where(LETTER[data], data, 32), [32])).astype(np.int64)
-    gram = (around[place] * 961 + around[place + 1] * 31 + around[place + 2]) * 2654435761 >> 9 & CHARS - 1
+    around = np.concatenate(([32], np.where(LETTER[data], data, 32), [32, 32])).astype(np.int64)
+    gram = (around[place] << 24 | around[place + 1] << 16 | around[place + 2] << 8 | around[place + 3]) * 2654435761 >> 13 & CHARS - 1
     return Windows((distinct % np.uint64(WORDS)).astype(np.int64), gram, gram_at, at, of)
 
 
@@ -91,12 +93,24 @@ class Network:
         total = np.add.reduceat(self.p["char"][w.gram], w.gram_at[:-1], axis=0) if len(w.word) else np.zeros((0, WIDTH), np.float32)
         return np.hstack([self.p["word"][w.word], total / np.maximum(1, np.diff(w.gram_at))[:, None]]).astype(np.float32)
 
-    def forward(self, w: Windows, at: np.ndarray, keep: bool = False):
+    def project(self, w: Windows) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The inputs of all distinct words, and what they bring to the gates of either direction (row 0: no word)."""
+        x = self.inputs(w)
+        return x, {d: np.vstack([np.zeros((1, 3 * STATE), np.float32), x @ self.p[f"in_{d}"] + self.p[f"b_{d}"]]) for d in "fb"}
+
+    def scores(self, w: Windows) -> np.ndarray:
+        """The scores of all windows."""
+        made = self.project(w)
+        return np.concatenate([self.forward(made, w.at[a : a + LANES]) for a in range(0, len(w.at), LANES)])
+
+    def forward(self, made: tuple[np.ndarray, dict[str, np.ndarray]], at: np.ndarray, keep: bool = False):
         """The score of each window before the curve, and what ``backward`` needs."""
-        x, mask = self.inputs(w), at > 0
+        x, projections = made
+        mask = at > 0
+        full = mask.all(axis=0)
         states, tape = np.zeros((WINDOW, len(at), 2 * STATE), np.float32), []
         for k, d in enumerate("fb"):
-            proj = np.vstack([np.zeros((1, 3 * STATE), np.float32), x @ self.p[f"in_{d}"] + self.p[f"b_{d}"]])
+            proj = projections[d]
             h, u = np.zeros((len(at), STATE), np.float32), self.p[f"rec_{d}"]
             for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
                 g, r = proj[at[:, t]], h @ u
@@ -105,7 +119,8 @@ class Network:
                 new = np.tanh(g[:, 2 * STATE :] + reset * r[:, 2 * STATE :])
                 nxt = new + z * (h - new)
                 m = mask[:, t, None]
-                nxt = np.where(m, nxt, h)
+                if not full[t]:
+                    nxt = np.where(m, nxt, h)
                 if keep:
                     tape.append((d, t, h, z, reset, new, r[:, 2 * STATE :], m))
                 h = nxt
@@ -162,7 +177,7 @@ class Model:
     def raw(self, texts: list[str | None]) -> np.ndarray:
         """The highest window score of each text."""
         w = windows(texts)
-        s = np.concatenate([self.network.forward(w, w.at[a : a + 4096]) for a in range(0, len(w.at), 4096)])
+        s = self.network.scores(w)
         return np.maximum.reduceat(s, np.flatnonzero(np.concatenate(([True], np.diff(w.doc) > 0))))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -202,14 +217,17 @@ def fit(rows: list[tuple[str | None, int]], counts: dict[int, int], *, epochs: i
     for epoch in range(epochs):
         best = np.array([a + int(score[a:b].argmax()) for a, b in zip(begin, end)])
         some = np.array([rng.integers(a, b) for a, b in zip(begin, end)])
-        pick = np.concatenate([best, some[y == 0]])
-        target = np.concatenate([y, np.zeros((y == 0).sum())]).astype(np.float32)
+        rest = score.copy()
+        rest[best] = -np.inf
+        second = np.array([a + int(rest[a:b].argmax()) for a, b in zip(begin, end)])
+        pick = np.concatenate([best, second[y == 0], some[y == 0]])
+        target = np.concatenate([y, np.zeros(2 * (y == 0).sum())]).astype(np.float32)
         order = rng.permutation(len(pick))
         for a in range(0, len(order), BATCH):
             i = order[a : a + BATCH]
             at = w.at[pick[i]]
             sub, at = _only(w, at)
-            s, kept = net.forward(sub, at, keep=True)
+            s, kept = net.forward(net.project(sub), at, keep=True)
             g = net.backward(sub, at, kept, ((_sigmoid(s) - target[i]) / len(i)).astype(np.float32))
             step += 1
             for k, v in g.items():
@@ -217,7 +235,7 @@ def fit(rows: list[tuple[str | None, int]], counts: dict[int, int], *, epochs: i
                 m[0] += 0.1 * (v - m[0])
                 m[1] += 0.01 * (v * v - m[1])
                 net.p[k] -= (RATE * (1 - epoch / epochs * 0.8) * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        score = np.concatenate([net.forward(w, w.at[a : a + 4096]) for a in range(0, len(w.at), 4096)])
+        score = net.scores(w)
     model = Model(net, np.zeros(2))
     s = model.raw(texts)
     weight = np.array([counts[k] for k in y.tolist()]) / np.array([(y == k).sum() for k in y.tolist()])
