@@ -1,0 +1 @@
+"""Analysis and feature engineering of tables, declared in DataFrame operations."""
