@@ -216,7 +216,7 @@ def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, lab
     if not picked:
         return [], counts
     ids = spark.createDataFrame(picked, "picked long, y int")  # at most 2 x per_label rows
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).select("picked", F.col("text").cast("string").alias("t"), "y").collect()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("t")).join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).select("picked", "t", "y").collect()
     return [(r.t, r.y) for r in sorted(rows, key=lambda r: (r.picked, r.y, r.t or ""))], counts
 
 

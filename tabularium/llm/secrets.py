@@ -49,6 +49,8 @@ FURTHER = (
 RULES = BASE + FURTHER
 #: Strings that an expression's part may spell out, and clauses of a query, before they are loosened to fewer trigrams.
 MOST_STRINGS, MOST_CLAUSES = 64, 64
+#: Trigrams of a clause that are asked for (a bit each); fewer only add candidates.
+MOST_GRAMS = 60
 
 
 # --- from regular expressions to trigram queries -------------------------------------------------------------------
@@ -161,14 +163,14 @@ def _row_spans(text: Column, number: int, rule: Rule) -> Column:
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, rules): for each key with any, the numbers of the rules whose trigram query its postings satisfy, as bits of a long."""
     spark = docs.sparkSession
-    clauses = [(i, c, g) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY for c, clause in enumerate(sorted(map(sorted, q))) for g in clause]
-    grams = sorted({g for _, _, g in clauses})
-    need = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(c).alias("clause"), F.lit(g).alias("gram"), F.lit(sum(x[:2] == (i, c) for x in clauses)).alias("need")) for i, c, g in clauses])))
+    clauses = [(i, c, clause[:MOST_GRAMS]) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY for c, clause in enumerate(sorted(map(sorted, q)))]
+    grams = sorted({g for _, _, clause in clauses for g in clause})
+    need = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(c).alias("clause"), F.lit(g).alias("gram"), F.lit(1 << k).cast("long").alias("bit"), F.lit(len(clause)).alias("need")) for i, c, clause in clauses for k, g in enumerate(clause)])))
     lower = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
     present = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(g)), F.lit(g)) for g in grams]))
     postings = docs.select(F.col(key).alias("doc_id"), F.explode(present).alias("gram"))
     met = postings.join(F.broadcast(need), "gram")  # a few dozen fixed rows
-    held = met.groupBy("doc_id", "rule", "clause", "need").agg(F.expr("bit_or(shiftleft(1L, {}))".format("CASE gram " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(grams)) + " END")).alias("grams"))
+    held = met.groupBy("doc_id", "rule", "clause", "need").agg(F.bit_or("bit").alias("grams"))
     met = held.where(F.bit_count("grams") == F.col("need"))
     return met.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1L, rule))").alias("rules"))
 
