@@ -107,8 +107,8 @@ def train(spark: SparkSession, docs: DataFrame, *, per_language: int = PER_LANGU
     if not picked:
         return fit([])
     ids = spark.createDataFrame([(k,) for k in picked], f"picked {docs.schema[key].dataType.simpleString()}")
-    rows = docs.join(F.broadcast(ids), F.col(key) == F.col("picked")).where(F.col(text).isNotNull() & F.col(lang).isNotNull())  # bounded by per_language
-    return fit(sorted((r.t, r.l) for r in rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).collect()))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
+    return fit(sorted((r.t, r.l) for r in rows.join(F.broadcast(ids), F.col("k") == F.col("picked")).collect()))  # bounded by per_language
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
