@@ -30,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies (one row of it, if its rows are repeated)."""
     groups = simhash.near_duplicates(docs)
-    first = checkpointed(groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct())
-    return docs.join(first, F.expr("doc_id <=> first")).drop("first").dropDuplicates(["doc_id"])
+    first = checkpointed(groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_first_of_group")).distinct())
+    return docs.join(first, F.expr("doc_id <=> _first_of_group")).drop("_first_of_group").dropDuplicates(["doc_id"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
