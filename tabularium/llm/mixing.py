@@ -26,7 +26,7 @@ from .common import checkpointed
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Rows a chunk that its rank is counted in, about.
-CHUNK = 2000
+CHUNK = 250
 #: Most rows (a source's size classes) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +68,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
     bits = F.length(F.bin("size"))
     step = F.expr("cast(size / power(2, greatest(length(bin(size)) - 4, 0)) as bigint)")
     rows = rows.withColumn("class", (bits * 16 + step).cast("int")).withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    if not keep:
+        rows = checkpointed(rows)  # narrow rows: texts are read once
     groups = checkpointed(rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     by_source = sources(groups, weights, share, most)
     depth = F.least(F.lit(8), F.ceil(F.log(16.0, F.greatest(F.col("n") / F.lit(float(CHUNK)), F.lit(1.0)))).cast("int"))
