@@ -86,6 +86,8 @@ def slices(batches, columns: tuple[str, ...] = ("doc_id", "text"), chars: int =
 
 # --- words of UTF-8 bytes, found and hashed without a Python loop -------------------------------------------------
 
+#: Bytes that are hashed at once.
+HASH_BLOCK = 1 << 19
 _R = 0x9E3779B97F4A7C15  # an odd multiplier: invertible modulo 2**64
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -115,7 +117,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span data[start:end] that depends on its bytes alone."""
+    """A 64-bit hash of each span data[start:end] that depends on its bytes alone. Spans are in order and don't overlap.
+
+    The work is done in blocks of spans, so the tables of powers and the sums stay small.
+    """
+    if len(data) > HASH_BLOCK and len(start) > 1:
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + HASH_BLOCK, "right")))
+            a = int(start[i])
+            out[i:j] = _hash_block(data[a : int(end[j - 1])], start[i:j] - a, end[i:j] - a)
+            i = j
+        return out
+    return _hash_block(data, start, end)
+
+
+def _hash_block(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     r, inverse = _powers(len(data) + 1)
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * r[: len(data)], out=prefix[1:])

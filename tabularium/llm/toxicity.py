@@ -28,7 +28,7 @@ WINDOW, STRIDE = 24, 12
 #: Buckets and sizes of the two embeddings, and the size of a direction's state.
 WORDS, CHARS, WIDTH, STATE = 1 << 16, 1 << 15, 6, 8
 #: Most labelled documents of each label that are fitted on.
-PER_LABEL = 2400
+PER_LABEL = 1800
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 42
 #: Windows that are read in step.
 LANES = 2048
@@ -61,13 +61,17 @@ def windows(texts: list[str | None]) -> Windows:
     at = (offset[of] + nth * STRIDE)[:, None] + np.arange(WINDOW)
     inside = at < offset[of + 1][:, None]
     padded = np.append(number + 1, 0)
-    at = np.where(inside, padded[np.minimum(at, len(number))], 0)
+    at = np.where(inside, padded[np.minimum(at, len(number))], 0).astype(np.int32)
     a, b = begin[first], end[first]
     size = b - a  # an n-gram for each byte: the one before, itself and the two after, blank beyond the word
     gram_at = np.concatenate(([0], np.cumsum(size)))
     place = np.arange(gram_at[-1]) - np.repeat(gram_at[:-1] - a, size)
-    around = np.concatenate(([32], np.where(LETTER[data], data, 32), [32, 32])).astype(np.int64)
-    gram = (around[place] << 24 | around[place + 1] << 16 | around[place + 2] << 8 | around[place + 3]) * 2654435761 >> 13 & CHARS - 1
+    blank = np.array([32], np.uint8)
+    around = np.concatenate((blank, np.where(LETTER[data], data, np.uint8(32)), blank, blank))
+    gram = around[place].astype(np.int64)
+    for k in (1, 2, 3):
+        gram = gram << 8 | around[place + k]
+    gram = (gram * 2654435761 >> 13 & CHARS - 1).astype(np.int32)
     return Windows((distinct % np.uint64(WORDS)).astype(np.int64), gram, gram_at, at, of)
 
 
