@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sum
 from .stats import adjusted_skewness
 
 
@@ -124,9 +125,9 @@ def for_level(level: int, has_datetime: bool = False, has_text: bool = False) ->
 def percentile(df: DataFrame, column: str, name: str) -> DataFrame:
     """Average rank as a share of the values that aren't null, by way of the distinct values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    share = (below - (F.col("_n") - 1) / 2) / F.sum("_n").over(Window.partitionBy())
-    return df.join(counts.select(column, share.alias(name)), column, "left").select(*df.columns, name)
+    below = running_sum(counts, column, F.col("_n"), "_below")
+    share = (F.col("_below") - (F.col("_n") - 1) / 2) / F.lit(df.agg(F.count(column)).first()[0])
+    return df.join(below.select(column, share.alias(name)), column, "left").select(*df.columns, name)
 
 
 def entropy(df: DataFrame, by: str, column: str) -> DataFrame:

@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running_sum
 from .profile import is_numeric, normalize_nulls, unpivot
 
 
 def _codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): the distinct values of a column as strings, numbered from 0 in their order."""
     levels = df.select(F.coalesce(F.col(column).cast("string"), F.lit("missing")).alias("value")).distinct()
-    return levels.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("double").alias("code"))
+    return running_sum(levels, "value", F.lit(1), "_number").select("value", (F.col("_number") - 1).cast("double").alias("code"))
 
 
 def prepare(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -45,11 +46,11 @@ def pearson_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
 def average_ranks(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``_rank``: the average rank of ``column`` (ties share it), by way of its distinct values.
 
-    Ranks come from counts of distinct values, so the ordered window sees a row a value, not a row a record.
+    Ranks come from counts of distinct values, so a row a value is ordered, not a row a record, range by range.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select(*by, column, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias("_rank"))
+    below = running_sum(counts, column, F.col("_n"), "_below", by)
+    ranks = below.select(*by, column, (F.col("_below") - (F.col("_n") - 1) / 2).alias("_rank"))
     return df.join(ranks, [*by, column], "left")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordered import ahead, ranges, running_sum
 from .profile import is_numeric, normalize_nulls
 
 # --- columns -------------------------------------------------------------------------------------------------------
@@ -54,9 +55,9 @@ def usable_columns(df: DataFrame, most_null: float = 0.5, strict: bool = False,
 
 
 def level_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): distinct values as strings in order, numbered from 0. The window sees distinct values only."""
+    """(value, code): distinct values as strings in order, numbered from 0."""
     levels = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
-    return levels.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("code"))
+    return running_sum(levels, "value", F.lit(1), "_number").select("value", (F.col("_number") - 1).cast("long").alias("code"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, name: str, unknown: int = -1) -> DataFrame:
@@ -228,12 +229,15 @@ def upsert_annotations(report: DataFrame, notes: DataFrame, least: float = 0.6)
 
 
 def running_best(log: DataFrame, order: str = "sample_order", score: str = "score") -> DataFrame:
-    """``best_so_far``, ``delta`` to the best before, and ``is_best``. The log has a row a sample: it is small."""
-    w = Window.orderBy(order)
-    before = F.max(score).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    """``best_so_far``, ``delta`` to the best before, and ``is_best``."""
+    cut = ranges(log, order)
+    w = Window.partitionBy("_range").orderBy(order)
+    before = F.greatest("_ahead", F.max(score).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    best_now = F.greatest("_ahead", F.max(score).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     delta = F.when(F.col(score).isNull(), 0.0).otherwise(F.col(score) - F.coalesce(before, F.lit(0.0)))
     best = F.coalesce(F.col(score).isNotNull() & (before.isNull() | (F.col(score) > before)), F.lit(False))
-    return log.select("*", F.max(score).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("best_so_far"), delta.alias("delta"), best.alias("is_best"))
+    joined = cut.join(ahead(cut, F.max(score), F.max), "_range")
+    return joined.select(*[joined[c] for c in log.columns], best_now.alias("best_so_far"), delta.alias("delta"), best.alias("is_best"))
 
 
 def progress(log: DataFrame, order: str = "sample_order", score: str = "score") -> DataFrame:

@@ -103,7 +103,7 @@ _SCORES = "(values ('a', 0.5, -0.2, 0.1), ('b', -1.0, 0.4, cast(null as double))
 
 
 def _scores(t):
-    return t("region").limit(1).select(F.inline(F.expr("array(named_struct('feature', 'a', 'pearson', 0.5D, 'spearman', -0.2D, 'mutual_info', 0.1D), named_struct('feature', 'b', 'pearson', -1.0D, 'spearman', 0.4D, 'mutual_info', cast(null as double)), named_struct('feature', 'user_id', 'pearson', 0.9D, 'spearman', 0.1D, 'mutual_info', 0.3D), named_struct('feature', 'c', 'pearson', 0.0D, 'spearman', 0.0D, 'mutual_info', 0.05D))")))
+    return t("region").agg(F.count("*")).select(F.inline(F.expr("array(named_struct('feature', 'a', 'pearson', 0.5D, 'spearman', -0.2D, 'mutual_info', 0.1D), named_struct('feature', 'b', 'pearson', -1.0D, 'spearman', 0.4D, 'mutual_info', cast(null as double)), named_struct('feature', 'user_id', 'pearson', 0.9D, 'spearman', 0.1D, 'mutual_info', 0.3D), named_struct('feature', 'c', 'pearson', 0.0D, 'spearman', 0.0D, 'mutual_info', 0.05D))")))
 
 
 add("combined_score", lambda t: A.combined_score(_scores(t), ["pearson", "spearman", "mutual_info"]), f"select feature, p::double as pearson, s::double as spearman, m::double as mutual_info, (abs(p) / (max(abs(p)) over () + 1e-9) + abs(s) / (max(abs(s)) over () + 1e-9) + coalesce(abs(m) / (max(abs(m)) over () + 1e-9), 0)) / (2 + (m is not null)::int) as combined_score from {_SCORES} v(feature, p, s, m)", "pearson spearman mutual_info combined_score", 6)
@@ -121,11 +121,11 @@ add("unique_columns", lambda t: rows.unique_columns(t("customer").withColumnRena
 add("align_columns", lambda t: rows.align(t("nation"), ["n_regionkey", "extra", "n_nationkey"]), "select n_regionkey, 0::int as extra, n_nationkey from nation")
 add("null_ratio_filter", lambda t: (lambda d: d.select(*rows.usable_columns(d, 0.5)))(t("orders").withColumn("sparse", F.when(F.col("o_orderkey") % 10 == 0, 1)).withColumn("const", F.lit(1))), "select * from orders")
 add("clean_labels", lambda t: X.clean_labels(t("orders").withColumn("label", F.when(F.col("o_orderkey") % 7 == 0, " N/A ").when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" "), "o_orderpriority")).otherwise(F.col("o_orderpriority"))), "label", "o_orderkey"), "select trim(o_orderpriority) as label, min(o_orderkey) as at from orders where o_orderkey % 7 <> 0 group by 1")
-_LOG = "select event_id as sample_order, case when event_type = 'error' then null else value end as score from events where event_id < 5000"
+_LOG = "select event_id as sample_order, case when event_type = 'error' then null else value end as score from events"
 
 
 def _log(t):
-    return t("events").where("event_id < 5000").select(F.col("event_id").alias("sample_order"), F.when(F.col("event_type") != "error", F.col("value")).alias("score"))
+    return t("events").select(F.col("event_id").alias("sample_order"), F.when(F.col("event_type") != "error", F.col("value")).alias("score"))
 
 
 add("valid_samples", lambda t: _log(t).where("score IS NOT NULL"), f"select * from ({_LOG}) where score is not null")
@@ -137,7 +137,7 @@ add("join_scores", lambda t: rows.join_scores([A.pearson_scores(_prepared(t), LI
 add("parent_features", lambda t: rows.group_feature(t("orders"), "o_custkey", "o_totalprice", F.avg, "mean_price").select("o_orderkey", "mean_price"), "select o_orderkey, avg(o_totalprice) over (partition by o_custkey) as mean_price from orders", "mean_price", 1)
 add("parent_features_null_key", lambda t: rows.group_feature(t("orders").withColumn("k", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey"))), "k", "o_totalprice", F.max, "top").select("o_orderkey", "top"), "select o_orderkey, case when o_custkey % 3 <> 0 then max(o_totalprice) over (partition by o_custkey) end as top from orders")
 add("lookup_codes", lambda t: rows.encode(t("orders"), "o_orderpriority", rows.level_codes(t("orders").where("o_orderpriority <> '5-LOW'"), "o_orderpriority"), "code").select("o_orderkey", "code"), "select o_orderkey, coalesce(c, -1)::bigint as code from orders left join (select o_orderpriority, row_number() over (order by o_orderpriority) - 1 as c from (select distinct o_orderpriority from orders where o_orderpriority <> '5-LOW')) using (o_orderpriority)")
-add("annotation_upsert", lambda t: rows.upsert_annotations(t("nation").select(F.col("n_name").alias("name"), F.lit(None).cast("string").alias("note")), t("nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), F.upper("n_name").alias("note"), (F.col("n_nationkey") / 25).alias("confidence")).union(t("region").select("r_name", F.lit("new"), F.lit(None).cast("double")))), "select coalesce(n.n_name, a.name) as name, a.note from nation n full join (select n_name as name, upper(n_name) as note from nation where n_nationkey % 2 = 0 and n_nationkey / 25.0 >= 0.6 union all select r_name, 'new' from region) a on n.n_name = a.name")
+add("annotation_upsert", lambda t: rows.upsert_annotations(t("nation").select(F.col("n_name").alias("name"), F.lit(None).cast("string").alias("note")), t("nation").select(F.col("n_name").alias("name"), F.upper("n_name").alias("note"), (F.col("n_nationkey") / 25).alias("confidence")).union(t("region").select("r_name", F.lit("new"), F.lit(None).cast("double")))), "select coalesce(n.n_name, a.name) as name, a.note from nation n full join (select n_name as name, upper(n_name) as note from nation where n_nationkey / 25.0 >= 0.6 union all select r_name, 'new' from region) a on n.n_name = a.name")
 add("group_column_candidates", lambda t: rows.group_columns(t("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_orderkey"]), f"select feature, count(*)::bigint as n_groups, avg(c) as avg_size from (select feature, value, count(*) as c from ({stack(['l_returnflag', 'l_linestatus', 'l_linenumber', 'l_orderkey'], 'lineitem', 'varchar')}) group by 1, 2) group by 1 having count(*) between 2 and 50 and avg(c) >= 5 order by 3 desc, 1 limit 5", "avg_size")
 add("union_tables", lambda t: rows.union_tables([t("customer").select("c_name", F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("acctbal")), t("supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("acctbal"), "s_name")]), "select c_name, c_nationkey as nationkey, c_acctbal as acctbal, null::varchar as s_name from customer union all select null, s_nationkey, s_acctbal, s_name from supplier")
 add("distinct_first", lambda t: rows.distinct_first(t("orders").select("o_orderstatus", "o_orderpriority", "o_orderkey"), "o_orderkey"), "select o_orderstatus, o_orderpriority, min(o_orderkey) as o_orderkey from orders group by 1, 2")
@@ -211,7 +211,7 @@ add("language_group", lambda t: language.apply(t("part").drop("p_name"), _GROUP_
 # --- encoding, imputing, text (E1-E28) -----------------------------------------------------------------------------
 
 add("label_encoder", lambda t: rows.level_codes(t("part"), "p_brand"), "select p_brand as value, row_number() over (order by p_brand) - 1 as code from (select distinct p_brand from part)")
-add("train_encoding", lambda t: rows.fit_encode(t("part").where("p_partkey % 2 = 0").select("p_partkey", "p_type", "p_retailprice"), t("part").where("p_partkey % 2 = 1").select("p_partkey", "p_type", "p_retailprice"), ["p_type"])[1], "select p_partkey::double as p_partkey, coalesce(c, -1)::double as p_type, p_retailprice from part left join (select p_type, row_number() over (order by p_type) - 1 as c from (select distinct p_type from part where p_partkey % 2 = 0)) using (p_type) where p_partkey % 2 = 1")
+add("train_encoding", lambda t: rows.fit_encode(t("part").where("p_retailprice < 910").select("p_partkey", "p_type", "p_retailprice"), t("part").select("p_partkey", "p_type", "p_retailprice"), ["p_type"])[1], "select p_partkey::double as p_partkey, coalesce(c, -1)::double as p_type, p_retailprice from part left join (select p_type, row_number() over (order by p_type) - 1 as c from (select distinct p_type from part where p_retailprice < 910)) using (p_type)")
 add("impute_median", lambda t: rows.impute_median(t("customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("x")), ["x"]), "select c_custkey, coalesce(case when c_custkey % 4 <> 0 then c_acctbal end, (select median(c_acctbal) from customer where c_custkey % 4 <> 0)) as x from customer", "x", 4)
 add("impute_text", lambda t: rows.impute_text(t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")).alias("x")), ["x"]), "select o_orderkey, case when o_orderkey % 4 <> 0 then o_orderstatus else 'MISSING' end as x from orders")
 add("finite_values", lambda t: t("customer").select("c_custkey", rows.finite(F.when(F.col("c_custkey") % 3 == 0, F.lit(float("inf"))).when(F.col("c_custkey") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))).alias("x")), "select c_custkey, case when c_custkey % 3 = 2 then c_acctbal end as x from customer")

@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tabularium.functions import ordered
 from tabularium.functions import language
 from tabularium.functions import primitives as P
 from tabularium.models import metrics, registry
@@ -96,6 +97,22 @@ def test_running_best(spark):
     assert got == [(None, 0.0, False), (0.5, 0.5, True), (0.5, -0.1, False), (0.5, 0.0, False), (0.9, 0.4, True)]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_running_values_in_ranges(spark, parts):
+    data = [(g, (i * 37) % 101, i % 5 if i % 7 else None) for g in "ab" for i in range(101)]
+    df = spark.createDataFrame(data, "g string, k int, v int")
+    got = {(r.g, r.k): r.s for r in ordered.running_sum(df, "k", F.coalesce("v", F.lit(0)), "s", ("g",), parts).collect()}
+    want, total = {}, {}
+    for g, k, v in sorted(data, key=lambda r: (r[0], r[1])):
+        total[g] = total.get(g, 0) + (v or 0)
+        want[g, k] = total[g]
+    assert got == want
+    assert ordered.running_sum(df.where("g = 'c'"), "k", F.lit(1), "s", ("g",), parts).count() == 0
+    text = df.where("g = 'a'").select(F.concat(F.lit("é"), F.col("k").cast("string")).alias("t"))
+    numbered = [r.t for r in ordered.running_sum(text, "t", F.lit(1), "s", (), parts).orderBy("s").collect()]
+    assert numbered == sorted(numbered) and len(numbered) == 101
+
+
 def test_language_is_closed(people):
     for bad in ("x = __import__('os')", "x = open('f')", "x = nothing", "import os", "x = num.real", "x = [1]", "target = num", "drop target"):
         with pytest.raises(language.ProgramError):
