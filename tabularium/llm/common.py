@@ -82,6 +82,7 @@ def slices(batches, columns: tuple[str, ...] = ("doc_id", "text"), chars: int =
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield [c.slice(a, b - a).to_pylist() for c in cols]
+        pa.default_memory_pool().release_unused()  # workers stay alive between stages
 
 
 # --- words of UTF-8 bytes, found and hashed without a Python loop -------------------------------------------------

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import key_remainder, slices, stratified_ids
 
@@ -29,6 +30,8 @@ TEMPER = 0.2
 UNDETERMINED = "und"
 #: Code points worked on at once.
 BATCH = 400_000
+#: Positions whose matrix rows are looked up at once, within a long text too.
+BLOCK = 1 << 16
 
 
 def _grams(codes: np.ndarray, order: int) -> np.ndarray:
@@ -59,11 +62,15 @@ class Model:
         codes, begin = _codes(texts)
         out = np.tile(self.prior.astype(np.float64), (len(texts), 1))
         for order in ORDERS:
-            rows = self.table[_grams(codes, order)]
-            total = np.zeros((len(codes) + 1, rows.shape[1]))
-            np.cumsum(rows, axis=0, dtype=np.float64, out=total[1 : len(rows) + 1])
+            grams = _grams(codes, order)
             last = np.maximum(begin[1:] - order + 1, begin[:-1])  # n-grams stay within their text
-            out += TEMPER * (total[np.minimum(last, len(rows))] - total[np.minimum(begin[:-1], len(rows))])
+            for a in range(0, len(grams), BLOCK):
+                rows = self.table[grams[a : a + BLOCK]]
+                total = np.zeros((len(rows) + 1, rows.shape[1]))
+                np.cumsum(rows, axis=0, dtype=np.float64, out=total[1:])
+                i, j = np.searchsorted(begin, [a, a + len(rows)], "right")  # texts i - 1 to j - 1 reach into the block
+                own = slice(i - 1, min(j, len(texts)))
+                out[own] += TEMPER * (total[np.clip(last[own] - a, 0, len(rows))] - total[np.clip(begin[:-1][own] - a, 0, len(rows))])
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -115,6 +122,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, *, key: str = "d
     """(doc_id, lang_pred, score) of every row; ``keep`` names columns to carry along, as ``kept_<name>``."""
     shared = spark.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name in keep]
+    twice = {f.name for f in kept if f.name == text and f.dataType == T.StringType()}  # sent once, as ``text``
 
     def run(batches):
         for batch in batches:
@@ -123,10 +131,10 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, *, key: str = "d
                 n, s = shared.value.predict(texts)
                 names += n
                 sure.append(s)
-            extra = [batch.column(batch.schema.get_field_index(f"kept_{f.name}")) for f in kept]
+            extra = [batch.column(batch.schema.get_field_index("text" if f.name in twice else f"kept_{f.name}")) for f in kept]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0)), *extra], names=["doc_id", "lang_pred", "score", *(f"kept_{f.name}" for f in kept)])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(f.name).alias(f"kept_{f.name}") for f in kept])
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(f.name).alias(f"kept_{f.name}") for f in kept if f.name not in twice])
     kinds = [f"doc_id {docs.schema[key].dataType.simpleString()}", "lang_pred string", "score double", *(f"`kept_{f.name}` {f.dataType.simpleString()}" for f in kept)]
     return rows.mapInArrow(run, ", ".join(kinds))
 
