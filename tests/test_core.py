@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tabularium import queries
 from tabularium.functions import ordered
 from tabularium.functions import language
 from tabularium.functions import primitives as P
@@ -221,3 +222,9 @@ def test_models(spark):
     assert r["decisiontree"].mean("accuracy") > 0.8 and registry.best_model(r, "accuracy") == "decisiontree"
     bad = runs.automl(d, "target", "row_id", models=["decisiontree", "nothing"], k=2)
     assert bad.best == "decisiontree" and "nothing" in bad.errors
+
+
+def test_model_queries_take_all_orders(spark):
+    """More orders than the 2000 that were once drawn."""
+    lines = spark.range(5000).select((F.col("id") % 2500).alias("l_orderkey"), (F.col("id") % 50).cast("double").alias("l_quantity"), F.lit(0.1).alias("l_discount"), F.when(F.col("id") % 2 == 0, "R").otherwise("N").alias("l_returnflag"))
+    assert queries._model_table(lambda t: lines).count() == 2500
