@@ -12,7 +12,8 @@ The benchmark is handed out in blocks of bounded size, and a document's spans ar
 
 Defined cases: a null text has no words and is never contaminated; an item without words has no window; one of fewer
 words than a window is one window; items that share a text are all counted; repeated rows stay separate; empty tables
-give no rows, or no hits; columns other than key and text are ignored.
+give no rows, or no hits; columns other than key and text are ignored; windows of an item with a null key mark hits, but
+add no item.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ class Block:
         for i in np.unique(item).tolist():
             own = number[item == i].tolist()
             for a in range(max(1, len(own) - window + 1)):
-                owners.setdefault(tuple(own[a : a + window]), set()).add(str(items[i][0]))
+                owners.setdefault(tuple(own[a : a + window]), set()).update([] if items[i][0] is None else [str(items[i][0])])
         keys = sorted(owners)
         lengths = np.array([len(k) for k in keys], np.int64)
         patterns = np.array([list(k) + [0] * (window - len(k)) for k in keys], np.int64).reshape(len(keys), window)
@@ -228,7 +229,7 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS):
     """The benchmark, read a partition at a time, as blocks of at most ``chars`` characters (or one item)."""
     held, size = [], 0
-    for r in benchmark.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    for r in benchmark.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL").toLocalIterator():
         if held and size + len(r.t) > chars:
             yield Block.build(held)
             held, size = [], 0

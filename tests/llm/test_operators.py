@@ -4,7 +4,9 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -196,6 +198,20 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.decontaminate(spark, empty, bench).count() == 0
 
 
+def test_decontamination_by_items_without_a_key(spark):
+    """Their windows mark hits but add no item, as in the SQL."""
+    words = [f"w{i}" for i in range(60)]
+    texts = pd.DataFrame({"doc_id": [1, 2, 3], "text": [" ".join(words[:30]), " ".join(words[5:45]), "other words"]})
+    items = pd.DataFrame({"item_id": pd.array([None, 7, None], "Int64"), "text": [" ".join(words[:20]), " ".join(words[25:40]), None]})
+    duck = duckdb.connect()
+    duck.register("documents", texts)
+    duck.register("benchmark", items)
+    want = duck.sql(decontaminate.ORACLE_SQL).fetchall()
+    bench = spark.createDataFrame([(None, items.text[0]), (7, items.text[1]), (None, None)], "item_id long, text string")
+    got = decontaminate.decontaminate(spark, spark.createDataFrame(texts), bench).drop("spans").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and [r[2:4] for r in sorted(want)] == [(20, 0), (30, 1), (0, 0)]
+
+
 def test_fm_index_against_scan():
     rng = np.random.default_rng(2)
     s = rng.integers(1, 6, 400)
