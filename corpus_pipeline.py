@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.llm import decontaminate, language, mixing, simhash, token_shards
-from tabularium.llm.common import checkpointed, key_remainder, shared_dir
+from tabularium.llm.common import key_remainder, shared_dir
 
 #: SQL can't express the stages that learn, hash or tokenise; tests compare them with brute force.
 ORACLE_SQL = None
@@ -28,10 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies (one row of it, if its rows are repeated)."""
-    groups = simhash.near_duplicates(docs)
-    first = checkpointed(groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_first_of_group")).distinct())
-    return docs.join(first, F.expr("doc_id <=> _first_of_group")).drop("_first_of_group").dropDuplicates(["doc_id"])
+    """One row of each group of near copies: of the smallest doc_id (null last) and, where rows share it, the least hash of the text."""
+    rows = docs.withColumn("_row", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
+    return rows.join(simhash.first_rows(rows, "_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

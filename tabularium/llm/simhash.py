@@ -55,15 +55,15 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text as a signed long. ``keep`` names string columns to carry along."""
 
     def run(batches):
-        for keys, texts in slices(batches):
+        for keys, texts, *kept in slices(batches, ("doc_id", "text", *keep)):
             fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fp), *(pa.array(k, pa.string()) for k in kept)], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"`{k}` string" for k in keep)]))
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -125,12 +125,27 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node")
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """(fp, least, root): the component of each distinct fingerprint of (fp, least), named by its least fingerprint."""
+    root = components(links(classes.select("fp")))
+    return checkpointed(classes.join(root, classes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     rows = checkpointed(fingerprints(docs, key, text))
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(classes.select("fp")))
-    named = checkpointed(classes.join(root, classes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = _rooted(checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"))))
     smallest = checkpointed(named.groupBy("root").agg(F.min("least").alias("component_id")))
     named = named.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_rows(docs: DataFrame, row: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``row``): of each component the row of the least key and, of equal keys, the least ``row``; null keys come last.
+
+    The string column ``row`` must tell rows apart whose key or text differ.
+    """
+    rows = fingerprints(docs, key, text, (row,))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row))
+    named = _rooted(checkpointed(rows.groupBy("fp").agg(first.alias("least"))))
+    return checkpointed(named.groupBy("root").agg(F.min("least").alias("least")).select(f"least.{row}"))

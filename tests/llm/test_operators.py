@@ -293,3 +293,19 @@ def test_pipeline(spark, docs, tmp_path):
         assert len(ids) >= least and not {0, 1, 2} & set(ids)
     assert 11 not in ids and 4 not in ids
     assert corpus_pipeline.run(spark, sf).count() == len(ids)
+
+
+def test_near_dedup_keeps_a_row_of_each_group(spark):
+    """Repeated and null keys over different texts, against all pairs."""
+    rng = np.random.default_rng(7)
+    a, b, c, d, e = (" ".join(f"w{i}" for i in rng.integers(0, 10_000, 60)) for _ in range(5))
+    rows = [(5, a), (5, b), (2, a.upper()), (None, c), (None, d), (None, d), (9, d), (None, None), (8, ""), (6, e), (6, e), (7, b + " "), (None, e)]
+    fps = [slow_fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(fps):
+            group[i] = min(group[k] for k, y in enumerate(fps) if (x ^ y).bit_count() <= 2)
+    want = [min((rows[i] for i, g in enumerate(group) if g == own), key=lambda r: (r[0] is None, r[0] or 0)) for own in sorted(set(group))]
+    assert want == [(2, a.upper()), (5, b), (None, c), (9, d), (8, ""), (6, e)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
