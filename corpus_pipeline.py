@@ -6,6 +6,7 @@ folder and reads it again as the next one's documents.
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,9 @@ def _kept(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents whose language can be told; those without a letter go, and no others, even if there is no language to learn."""
     model = language.train(spark, docs.where(key_remainder("doc_id", 4) != 2))
+    model = model if model.languages else language.Model(["any"], np.zeros(1), np.zeros((language.BUCKETS, 1), np.float32))
     return _kept(language.predict(spark, docs, model, keep=tuple(docs.columns)).where(F.col("lang_pred") != language.UNDETERMINED), docs.columns)
 
 

@@ -309,3 +309,11 @@ def test_near_dedup_keeps_a_row_of_each_group(spark):
     assert want == [(2, a.upper()), (5, b), (None, c), (9, d), (8, ""), (6, e)]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_language_id_keeps_texts_without_a_label(spark, docs):
+    """No language to learn: only texts without a letter go."""
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.language_id(spark, bare, "")
+    assert got.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(k) for k, t, *_ in ROWS if t and any(map(str.isalpha, t)))
