@@ -1,18 +1,20 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment decides.
-
-Templates are cut into k-grams of words; of every ``WINNOW`` consecutive k-grams the one of least hash is kept, so any
-run of ``K + WINNOW - 1`` words that a text shares with a template holds a kept one. An inverted index leads from the
-hash to template and position. All k-grams of a text are looked up at once; hits of a template that lie near each other
-are one candidate place, where the template's words are aligned with the text's in a band around the hits' diagonals.
-A place is reported if the matched words cover at least ``LEAST`` of the template.
-
-Defined cases: a null text, or one without words, has no match; templates shorter than a k-gram are indexed whole by
-shorter ones; overlapping places of one template are reported once, of different templates each; repeated rows stay;
-an empty table gives no rows; columns other than key and text are ignored.
+"""License scans: word pairs pick candidates, banded alignment decides.
+
+An inverted index leads from the hash of each pair of neighbouring words of a template to template and position. All
+pairs of a text are looked up at once; hits of a template that lie near each other are one candidate place, where the
+template's words are aligned with the text's in a band around the hits' diagonals. An alignment's score stays above
+zero, so its first two words are such a pair: no alignment is without a hit. A place is reported if the matched words
+cover at least ``LEAST`` of the template; what is left before and after it is then aligned again. Places that hold too
+few words of the template for that are not aligned.
+
+Defined cases: a null text, or one without words, has no match; templates of one word are indexed by that; overlapping
+places of one template are reported once, of different templates each; repeated rows stay; an empty table gives no
+rows; columns other than key and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_ASCII, joined, runs, slices, span_hashes
 from .decontaminate import _WORD
 
-K, WINNOW, BAND, LEAST = 3, 4, 6, 0.8
+K, BAND, LEAST = 2, 6, 0.8
 
 #: Public notices, by name.
 TEMPLATES = {
@@ -59,16 +61,9 @@ def _gram_hash(numbers: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def winnow(hashes: np.ndarray, window: int = WINNOW) -> np.ndarray:
-    """Positions of the least hash (the last of equals) of every ``window`` consecutive ones."""
-    if len(hashes) <= window:
-        return np.arange(len(hashes))
-    view = np.lib.stride_tricks.sliding_window_view(hashes[::-1], window)
-    return np.unique(len(hashes) - 1 - (np.arange(len(view)) + view.argmin(axis=1)))
-
-
-def align(template: list[int], text: list[int], low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment within the diagonals low..high (text position - template position): matched words, begin, end in the text.
+def align(template: list[int], text: list[int], low: int, high: int, need: int = 1) -> tuple[int, int, int]:
+    """Best local alignment of at least ``need`` matched words within the diagonals low..high (text position - template
+    position): matched words (0 if there is none), begin, end in the text.
 
     A match counts 1, a mismatch or a gap -1.
     """
@@ -86,7 +81,7 @@ def align(template: list[int], text: list[int], low: int, high: int) -> tuple[in
             if (left := row.get(d - 1)) and left[0] - 1 > cell[0]:  # a text word without one
                 cell = (left[0] - 1, left[1], left[2])
             row[d] = cell
-            if a == text[j] and (cell[0], cell[1]) > best[:2]:
+            if a == text[j] and cell[1] >= need and (cell[0], cell[1]) > best[:2]:
                 best = (cell[0], cell[1], cell[2], j + 1)
         above = row
     return best[1], best[2], best[3]
@@ -110,10 +105,20 @@ class Index:
             n = min(K, len(w))
             if n:
                 h = _gram_hash(np.array(w), n)
-                found.setdefault(n, []).extend((int(h[i]), t, int(i)) for i in winnow(h).tolist())
+                found.setdefault(n, []).extend((x, t, i) for i, x in enumerate(h.tolist()))
         grams = {n: tuple(np.array(c, kind) for c, kind in zip(zip(*sorted(x)), (np.uint64, np.int64, np.int64))) for n, x in found.items()}
         return cls(names, words, vocabulary, grams)
 
+    @staticmethod
+    def _free(x: int, y: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """What of x..y lies outside the spans ``taken``."""
+        out = []
+        for a, b in sorted(taken):
+            if a < y and b > x:
+                out.append((x, a))
+                x = max(x, b)
+        return [(a, b) for a, b in [*out, (x, y)] if a < b]
+
     def find(self, texts: list[str | None], least: float = LEAST) -> list[list[tuple[int, int, str, float]]]:
         """Of each text: (begin, end in code points, template, coverage)."""
         low, starts, begin, end, of = _scan_words(texts)
@@ -136,26 +141,40 @@ class Index:
             k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
             hits.append(np.column_stack([of[np.repeat(places, size)], template[k], np.repeat(places, size), position[k]]))
         hits = np.unique(np.concatenate(hits), axis=0)
-        a = 0
+        held: dict[int, np.ndarray] = {}  # by template: how many of the words before each one it has
         raw = low.tobytes()
-        while a < len(hits):
-            d, t = hits[a, 0], hits[a, 1]
-            words = self.words[t]
-            b = a + 1
-            while b < len(hits) and hits[b, 0] == d and hits[b, 1] == t and hits[b, 2] - hits[b - 1, 2] <= len(words) and hits[b, 2] - hits[b, 3] <= hits[a, 2] - hits[a, 3] + len(words) // 2 + BAND:
-                b += 1
-            diagonals = hits[a:b, 2] - hits[a:b, 3]
-            lo, hi = int(diagonals.min()) - BAND, int(diagonals.max()) + BAND
-            x, y = max(int(first[d]), lo), min(int(first[d + 1]), hi + len(words))
-            matched, s, e = align(words, number[x:y].tolist(), lo - x, hi - x)
-            if matched >= least * len(words):
-                p, q = int(begin[x + s]), int(end[x + e - 1])
-                base = int(starts[d])
-                chars = len(raw[base:p].decode("utf-8", "surrogatepass"))
-                span = (chars, chars + len(raw[p:q].decode("utf-8", "surrogatepass")), self.names[t], matched / len(words))
-                if not any(o[2] == span[2] and o[0] < span[1] and span[0] < o[1] for o in out[d]):
-                    out[d].append(span)
-            a = b
+        new = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0) != 0, axis=1)) + 1
+        edges = [0, *new.tolist(), len(hits)] if len(hits) else []
+        for first_hit, last_hit in zip(edges, edges[1:]):  # of one text and template
+            d, t = hits[first_hit, :2].tolist()
+            words, base = self.words[t], int(starts[d])
+            need, slack = math.ceil(least * len(words) - 1e-9), len(words) // 2 + BAND
+            if t not in held:
+                held[t] = np.concatenate(([0], np.cumsum(np.isin(number, words))))
+            if held[t][first[d + 1]] - held[t][first[d]] < need:
+                continue
+            place, diagonal = hits[first_hit:last_hit, 2].tolist(), (hits[first_hit:last_hit, 2] - hits[first_hit:last_hit, 3]).tolist()
+            taken, a = [], 0
+            while a < len(place):
+                b = a + 1
+                while b < len(place) and place[b] - place[b - 1] <= len(words) and diagonal[b] <= diagonal[a] + slack:
+                    b += 1
+                lo, hi = min(diagonal[a:b]) - slack, max(diagonal[a:b]) + slack
+                taken = [s for s in taken if s[1] > place[a] - len(words) - slack]  # later places don't reach back further
+                free = self._free(max(int(first[d]), lo), min(int(first[d + 1]), hi + len(words)), taken)
+                while free:
+                    x, y = free.pop()
+                    if held[t][y] - held[t][x] < need:
+                        continue
+                    matched, s, e = align(words, number[x:y].tolist(), lo - x, hi - x, need)
+                    if not matched:
+                        continue
+                    taken.append((x + s, x + e))
+                    free += [(x, x + s), (x + e, y)]
+                    p, q = int(begin[x + s]), int(end[x + e - 1])
+                    chars = len(raw[base:p].decode("utf-8", "surrogatepass"))
+                    out[d].append((chars, chars + len(raw[p:q].decode("utf-8", "surrogatepass")), self.names[t], matched / len(words)))
+                a = b
         return [sorted(x) for x in out]
 
 

@@ -236,6 +236,23 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(spark, empty).count() == 0
 
 
+def test_licenses_side_by_side_and_with_edits():
+    """Each of adjacent repeats, and short notices that share no three words in a row with their template."""
+    index = licenses.Index.build(licenses.TEMPLATES)
+    cases = {
+        "All rights reserved. All rights reserved.": {"reserved": 2}, "all rights reserved " * 50: {"reserved": 50}, "GNU General Public License (GNU General Public License)": {"gpl-name": 2},
+        "Released under a MIT License": {"mit-notice": 1}, "All rights are reserved": {"reserved": 1}, "Released under the MIT License, or released under a MIT License": {"mit-notice": 2}, "all of the rights of the": {},
+    }
+    for text, want in cases.items():
+        (found,) = index.find([text])
+        assert {n: sum(f[2] == n for f in found) for n in {f[2] for f in found}} == want, text
+        spans = sorted(f[:2] for f in found)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    mit = licenses.TEMPLATES["mit"]
+    (found,) = index.find([f"{mit} {mit}\n{mit}"])
+    assert [f[0] for f in found if f[2] == "mit"] == [0, len(mit) + 1, 2 * len(mit) + 2]
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers(spark, docs, empty, module):
     rng = np.random.default_rng(0)
