@@ -4,28 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 #: Most characters that a batch of texts holds while it is worked on in Python.
 BATCH_CHARS = 4_000_000
+#: Most characters of a text that a model is fitted on; longer labelled texts aren't picked for a sample.
+SAMPLE_CHARS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that setting is absent (tests on one machine) a temporary folder takes its place, and is made the
-    checkpoint folder of the session.
+    Where that setting is absent and all of Spark is on this machine (tests), a temporary folder takes its place, and
+    is made the checkpoint folder of the session. On a cluster its absence is an error: executors don't share local disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not root:
-        root = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+        root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="tabularium-")
             sc.setCheckpointDir(root)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -39,52 +46,94 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    """Delete a folder that isn't needed any more, in any store that Spark writes."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Schemes that Hadoop and pyarrow call by different names.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
 def filesystem(uri: str):
     """The pyarrow filesystem of a URI (a plain path counts as local) and the path in it."""
     import pyarrow.fs as pafs
 
-    if "://" not in uri:
-        uri = "file://" + uri.removeprefix("file:")
+    scheme, mark, rest = uri.partition("://")
+    uri = f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else "file://" + uri.removeprefix("file:")
     return pafs.FileSystem.from_uri(uri)
 
 
-def key_remainder(column, modulus: int):
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def key_remainder(column: str, modulus: int):
     """crc32 of the key as text, modulo ``modulus`` (null where the key is null)."""
-    return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
+    return F.crc32(quoted(column).cast("string")) % F.lit(modulus)
 
 
-def stratified_ids(df: DataFrame, key: str, stratum: str, per_stratum: int) -> list:
-    """At most ``per_stratum`` keys of each value of ``stratum``, picked by hash, the same at every run.
+def picked_rows(df: DataFrame, stratum: str, per_stratum: int, identity: list[str]) -> DataFrame:
+    """(s, h): at most ``per_stratum`` row hashes of each value of ``stratum``, the same at every run.
 
-    One key (that of the smallest hash) is kept for each of ``per_stratum`` hash buckets of a stratum. That is an
-    ordinary aggregate with partial sums, so one large stratum costs no more than many small ones, and what reaches
-    the driver is bounded by strata x ``per_stratum``.
+    ``h`` is a hash of the ``identity`` columns. The smallest is kept for each of ``per_stratum`` buckets of hashes of
+    a stratum: an ordinary aggregate with partial minima, so one large stratum costs no more than many small ones, and
+    the result is bounded by strata x ``per_stratum`` rows.
     """
-    h = F.xxhash64(F.lit(7), F.col(key))
-    rows = (
-        df.where(F.col(key).isNotNull() & F.col(stratum).isNotNull())
-        .select(F.col(key).alias("k"), F.col(stratum).alias("s"), h.alias("h"))
-        .groupBy("s", F.pmod("h", F.lit(per_stratum)).alias("b"))
-        .agg(F.min_by("k", "h").alias("k"))
-        .select("k", "s")
-        .collect()
-    )
-    return sorted((r.k, r.s) for r in rows)
+    h = F.xxhash64(F.lit(7), *[quoted(c) for c in identity])
+    rows = df.where(quoted(stratum).isNotNull()).select(quoted(stratum).alias("s"), h.alias("h"))
+    return rows.groupBy("s", F.pmod("h", F.lit(per_stratum)).alias("b")).agg(F.min("h").alias("h")).select("s", "h")
+
+
+def cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Bounds of slices of a batch that hold about ``most`` bytes and at least one row."""
+    part = np.cumsum(sizes + 64) // most
+    edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return [(a, b) for a, b in zip(edge, edge[1:]) if b > a]
+
+
+def _sizes(column) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
 
 
 def slices(batches, columns: tuple[str, ...] = ("doc_id", "text"), chars: int = BATCH_CHARS):
     """Lists of the named columns, cut so that a slice holds about ``chars`` bytes of text and at least one row."""
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-        size = pc.fill_null(pc.binary_length(cols[columns.index("text")]), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size + 64) // chars
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                yield [c.slice(a, b - a).to_pylist() for c in cols]
+        for a, b in cuts(_sizes(cols[columns.index("text")]), chars):
+            yield [c.slice(a, b - a).to_pylist() for c in cols]
         pa.default_memory_pool().release_unused()  # workers stay alive between stages
 
 
+def by_text(kind: str, work: Callable[[list], pa.Array], chars: int = BATCH_CHARS):
+    """A column function of texts (or binaries): ``work`` gets them in lists of about ``chars`` bytes, nulls included, and
+    gives an Arrow array of as many values.
+
+    Only the text goes to Python and only the result comes back; the row's other columns stay with Spark.
+    """
+    empty = pa.nulls(0, to_arrow_type(DataType.fromDDL(kind)))
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            found = [work(column.slice(a, b - a).to_pylist()) for a, b in cuts(_sizes(column), chars)]
+            yield pa.concat_arrays(found) if found else empty
+            del found, column
+            pa.default_memory_pool().release_unused()  # workers stay alive between stages
+
+    return run
+
+
 # --- words of UTF-8 bytes, found and hashed without a Python loop -------------------------------------------------
 
 #: Bytes that are hashed at once.

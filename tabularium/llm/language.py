@@ -5,8 +5,10 @@ broadcast (its size is fixed by the number of buckets and languages). Texts are
 texts of a batch are hashed at once from their code points, and their matrix rows are summed up by text.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 1; texts that are no longer than an n-gram
-are scored by the shorter n-grams; rows with a null language are not learned from; with no labelled row at all every
-text is ``und`` with score 0; repeated rows stay; ties go to the language first by code point; other columns are ignored.
+are scored by the shorter n-grams; long texts are scored whole, block by block; rows with a null language are not
+learned from; with no labelled row at all every text is ``und`` with score 0; repeated rows stay (the sample has each
+once); a null key isn't held out, and keys may be of any type; ties go to the language first by code point; an empty
+table gives no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -15,15 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import key_remainder, slices, stratified_ids
+from .common import SAMPLE_CHARS, by_text, key_remainder, picked_rows, quoted
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: Most labelled rows a language that the model is fitted on.
+#: Most labelled rows a language that the model is fitted on (of no more than ``SAMPLE_CHARS`` characters each).
 PER_LANGUAGE = 600
 #: Every n-gram counts as this much evidence: n-grams overlap, so they are far from independent.
 TEMPER = 0.2
@@ -100,47 +101,40 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     for k, lang in enumerate(languages):
         own = [t for t, x in rows if x == lang]
         for a in range(0, len(own), 50):
-            codes, _ = _codes(own[a : a + 50])
+            codes, begin = _codes(own[a : a + 50])
+            left = np.repeat(begin[1:], np.diff(begin)) - np.arange(len(codes))  # code points to the end of the text
             for order in ORDERS:
-                count[k] += np.bincount(_grams(codes, order), minlength=BUCKETS)
+                grams = _grams(codes, order)
+                count[k] += np.bincount(grams[left[: len(grams)] >= order], minlength=BUCKETS)
     share = (count + 0.5) / (count + 0.5).sum(axis=1, keepdims=True) if languages else count
     docs = np.array([sum(x == lang for _, x in rows) for lang in languages], float)
     return Model(languages, np.log(docs / docs.sum()) if languages else docs, np.log(share).T.astype(np.float32).copy())
 
 
 def train(spark: SparkSession, docs: DataFrame, *, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on at most ``per_language`` rows of each language of ``docs``, picked by a hash of the key."""
-    picked = dict(stratified_ids(docs, key, lang, per_language))
-    if not picked:
-        return fit([])
-    ids = spark.createDataFrame([(k,) for k in picked], f"picked {docs.schema[key].dataType.simpleString()}")
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    return fit(sorted((r.t, r.l) for r in rows.join(F.broadcast(ids), F.col("k") == F.col("picked")).collect()))  # bounded by per_language
-
-
-def predict(spark: SparkSession, docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; ``keep`` names columns to carry along, as ``kept_<name>``."""
-    shared = spark.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name in keep]
-    twice = {f.name for f in kept if f.name == text and f.dataType == T.StringType()}  # sent once, as ``text``
-
-    def run(batches):
-        for batch in batches:
-            names, sure = [], []
-            for keys, texts in slices([batch]):
-                n, s = shared.value.predict(texts)
-                names += n
-                sure.append(s)
-            extra = [batch.column(batch.schema.get_field_index("text" if f.name in twice else f"kept_{f.name}")) for f in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0)), *extra], names=["doc_id", "lang_pred", "score", *(f"kept_{f.name}" for f in kept)])
-
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(f.name).alias(f"kept_{f.name}") for f in kept if f.name not in twice])
-    kinds = [f"doc_id {docs.schema[key].dataType.simpleString()}", "lang_pred string", "score double", *(f"`kept_{f.name}` {f.dataType.simpleString()}" for f in kept)]
-    return rows.mapInArrow(run, ", ".join(kinds))
-
-
-def identify(spark: SparkSession, docs: DataFrame, *, modulus: int = 4, held: int = 2) -> DataFrame:
+    """Fit on at most ``per_language`` rows of each language of ``docs``, picked by a hash of key and text."""
+    rows = docs.select(quoted(key).cast("string").alias("k"), quoted(text).cast("string").alias("t"), quoted(lang).cast("string").alias("l"))
+    rows = rows.where(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.char_length("t") <= SAMPLE_CHARS))
+    ids = picked_rows(rows, "l", per_language, ["k", "t"])  # bounded by languages x per_language rows of 8 bytes
+    same = (F.col("l") == F.col("s")) & (F.xxhash64(F.lit(7), "k", "t") == F.col("h"))
+    found = rows.join(F.broadcast(ids), same).groupBy("s", "h").agg(F.min("t").alias("t")).collect()  # a repeated row comes once
+    return fit(sorted((r.t, r.s) for r in found))
+
+
+def prediction(spark: SparkSession, text: Column, model: Model) -> Column:
+    """(lang_pred, score) of a text."""
+    shared = spark.sparkContext.broadcast(model)  # its size is fixed by buckets x languages
+
+    def work(texts: list) -> pa.Array:
+        names, sure = shared.value.predict(texts)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=["lang_pred", "score"])
+
+    return by_text("lang_pred string, score double", work)(text.cast("string"))
+
+
+def identify(spark: SparkSession, docs: DataFrame, *, modulus: int = 4, held: int = 2, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Every row's doc_id, held_out, lang_pred and score, learned from the rows whose key's crc32 isn't ``held`` modulo ``modulus``."""
-    model = train(spark, docs.where(key_remainder("doc_id", modulus) != held))
-    out = predict(spark, docs, model)
-    return out.select("doc_id", F.coalesce(key_remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    own = F.coalesce(key_remainder(key, modulus) == held, F.lit(False))
+    model = train(spark, docs.where(key_remainder(key, modulus) != held), key=key, text=text, lang=lang)
+    rows = docs.select(quoted(key).alias("doc_id"), own.alias("held_out"), prediction(spark, quoted(text), model).alias("p"))
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -7,9 +7,12 @@ without transitions calls bad, and the worst in any case. Forward-backward margi
 length, make one number a document, and a logistic curve fitted on the sample at the labels' own proportions turns
 that into the probability that the label is 1.
 
-Defined cases: a null or empty text is one empty line and gets a score; blank lines are lines; with one label only, or
-none, every score is that label's share (0.5 if there is none); repeated rows stay; a null key isn't held out; an
-empty table gives no rows; columns other than key and text are ignored.
+Defined cases: a null or empty text is one empty line and gets a score; blank lines are lines; a long text is scored
+whole, all its lines as one chain; with one label only, or none, every score is that label's share (0.5 if there is
+none); labels other than 0 and 1 (null too) aren't learned from, nor rows of ``labels`` whose key no document has; of a
+key with several texts one is learned from; of ties the least hash; repeated rows stay; a null key isn't held out, and
+keys may be of any type; an empty table gives no rows; columns other than key and text are ignored, whatever they are
+called.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, key_remainder, runs, slices, span_hashes, stratified_ids
+from .common import SAMPLE_CHARS, by_text, joined, key_remainder, picked_rows, quoted, runs, span_hashes
 
-#: Most labelled documents of each label that are fitted on, and most lines of a training chain (longer ones are cut).
-PER_LABEL, CHAIN = 700, 48
+#: Most labelled documents of each label that are fitted on (of no more than ``SAMPLE_CHARS`` characters each).
+PER_LABEL = 700
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 BATCH = 1_000_000
 GOOD, BAD = 0, 1
@@ -186,9 +189,8 @@ def fit(rows: list[tuple[str | None, int]], counts: dict[int, int]) -> Model:
     margin = z @ _adam(unary_only, z.shape[1], STEPS)
     worst = np.maximum.reduceat(margin, first[:-1])[of]
     state = (bad_doc & ((margin > 0) | (margin >= worst))).astype(int)
-    cut = np.unique(np.concatenate([np.arange(a, b, CHAIN) for a, b in zip(first[:-1], first[1:])] + [first[-1:]]))
     inner = np.ones(len(z), bool)
-    inner[cut[:-1]] = False
+    inner[first[:-1]] = False
     j = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
     np.add.at(seen, (state[j - 1], state[j]), 1)
@@ -197,7 +199,7 @@ def fit(rows: list[tuple[str | None, int]], counts: dict[int, int]) -> Model:
     def gradient(w):
         unary = np.zeros((n, 2))
         unary[:, BAD] = z @ w[:-4]
-        gamma, pairs, _ = forward_backward(unary, w[-4:].reshape(2, 2), cut)
+        gamma, pairs, _ = forward_backward(unary, w[-4:].reshape(2, 2), first)
         return np.concatenate([z.T @ (gamma[:, BAD] - state) / n, ((pairs - seen) / n).reshape(-1)]) + RIDGE * w
 
     w = _adam(gradient, z.shape[1] + 4, STEPS)
@@ -210,27 +212,21 @@ def fit(rows: list[tuple[str | None, int]], counts: dict[int, int]) -> Model:
 
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_label: int) -> tuple[list[tuple[str | None, int]], dict[int, int]]:
     """(text, label) of at most ``per_label`` labelled rows of each label that aren't held out, and the counts of labels."""
-    learn = labels.where((key_remainder("doc_id", modulus) != held) & F.col(label).isin(0, 1)).select("doc_id", label)
-    counts = {r[0]: r[1] for r in learn.groupBy(label).count().collect()}
-    picked = stratified_ids(learn, "doc_id", label, per_label)
-    if not picked:
-        return [], counts
-    ids = spark.createDataFrame(picked, "picked long, y int")  # at most 2 x per_label rows
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("t")).join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).select("picked", "t", "y").collect()
-    return [(r.t, r.y) for r in sorted(rows, key=lambda r: (r.picked, r.y, r.t or ""))], counts
+    learn = labels.where((key_remainder("doc_id", modulus) != held) & quoted(label).isin(0, 1)).select(quoted("doc_id").cast("string").alias("k"), quoted(label).cast("int").alias("y"))
+    counts = {r[0]: r[1] for r in learn.groupBy("y").count().collect()}
+    ids = picked_rows(learn, "y", per_label, ["k"])  # at most 2 x per_label rows of 8 bytes
+    rows = docs.select(quoted("doc_id").cast("string").alias("k"), quoted("text").cast("string").alias("t")).where(F.coalesce(F.char_length("t"), F.lit(0)) <= SAMPLE_CHARS)
+    found = rows.join(F.broadcast(ids), F.xxhash64(F.lit(7), "k") == F.col("h")).groupBy("s", "h").agg(F.min_by(F.struct("t"), F.xxhash64("t")).alias("t")).collect()
+    return [(r.t.t, r.s) for r in sorted(found, key=lambda r: (r.h, r.s))], counts
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model, threshold: float, modulus: int, held: int, chars: int = BATCH) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     shared = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        for keys, texts in slices(batches, chars=chars):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.asarray(shared.value.score(texts), float))], names=["doc_id", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    score = by_text("double", lambda texts: pa.array(np.asarray(shared.value.score(texts), float), pa.float64()), chars)
     out = F.coalesce(key_remainder("doc_id", modulus) == held, F.lit(False))
-    return rows.select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    rows = docs.select(quoted("doc_id").alias("doc_id"), out.alias("held_out"), score(quoted("text").cast("string")).alias("score"))
+    return rows.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def document_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, modulus: int = 5, held: int = 0, threshold: float = 0.3, per_label: int = PER_LABEL) -> DataFrame:

@@ -16,8 +16,10 @@ Only distinct fingerprints are indexed; copies follow by a join. Components are
 small-star steps, in rows, with a checkpoint after each round.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; fewer words than three
-are one shingle; shingles repeat; repeated rows and repeated keys stay rows; a null key stays, and is a component's id
-only if no other key is in it; an empty table gives no rows; other columns are ignored.
+are one shingle; shingles repeat; all shingles of a long text count, hashed in blocks; repeated rows and repeated keys
+stay rows; a null key stays, and is a component's id only if no other key is in it; keys may be of any type that has an
+order, ties between keys don't arise (equal keys name the same component); an empty table gives no rows; other columns
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, checkpointed, slices
+from .common import LOWER_ASCII, by_text, checkpointed, quoted
 
 BITS, SEGMENT, SEED, SHINGLE, DISTANCE = 64, 32, 42, 3, 2
 #: Fingerprints of a variant's bucket that are still compared pair by pair.
 BUCKET = 16
+#: Shingles of a text that are hashed at once.
+BLOCK = 1 << 14
 
 
 def fingerprint(text: str | None) -> int:
@@ -43,34 +47,36 @@ def fingerprint(text: str | None) -> int:
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= SHINGLE:
-        hashes = [digest(line, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        begins = [0, *ends[: -SHINGLE].tolist()]
-        hashes = [digest(line[a:b], SEED) for a, b in zip(begins, (ends[SHINGLE - 1 :] - 1).tolist())]
-    h = np.array(hashes, np.uint64)
+        return digest(line, SEED)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    n = len(words) - SHINGLE + 1
+    del words
     ones = np.zeros(BITS, np.int64)
-    for a in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[a : a + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    for at in range(0, n, BLOCK):
+        stop = min(n, at + BLOCK)
+        begins = ends[at - 1 : stop - 1].tolist() if at else [0, *ends[: stop - 1].tolist()]
+        h = np.array([digest(line[a:b], SEED) for a, b in zip(begins, (ends[at + SHINGLE - 1 : stop + SHINGLE - 1] - 1).tolist())], np.uint64)
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long. ``keep`` names string columns to carry along."""
+def _fingerprint_column(texts: list) -> pa.Array:
+    return pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    def run(batches):
-        for keys, texts, *kept in slices(batches, ("doc_id", "text", *keep)):
-            fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fp), *(pa.array(k, pa.string()) for k in kept)], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"`{k}` string" for k in keep)]))
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text as a signed long. ``keep`` names columns to carry along."""
+    fp = by_text("bigint", _fingerprint_column)(quoted(text).cast("string"))
+    return docs.select(quoted(key).alias("doc_id"), fp.alias("fp"), *[quoted(k) for k in keep])
 
 
 def _variants(fps: DataFrame) -> DataFrame:
     """(segment, bit, key, fp): both segments of each fingerprint with each bit in turn made a wildcard.
 
-    Segment, wildcard position and the other 31 bits are packed into one long.
+    Segment, wildcard position and the other 31 bits are packed into one long. The fingerprints, 8 bytes each, come in
+    few partitions; they are dealt out anew before each becomes 64 rows.
     """
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     mask = F.lit((1 << SEGMENT) - 1)
     parts = [(i, F.expr(f"shiftright(fp, {SEGMENT * i})").bitwiseAND(mask)) for i in range(BITS // SEGMENT)]
     keys = [
@@ -143,9 +149,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def first_rows(docs: DataFrame, row: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``row``): of each component the row of the least key and, of equal keys, the least ``row``; null keys come last.
 
-    The string column ``row`` must tell rows apart whose key or text differ.
+    The column ``row`` must tell rows apart whose key or text differ.
     """
     rows = fingerprints(docs, key, text, (row,))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", quoted(row)))
     named = _rooted(checkpointed(rows.groupBy("fp").agg(first.alias("least"))))
-    return checkpointed(named.groupBy("root").agg(F.min("least").alias("least")).select(f"least.{row}"))
+    return checkpointed(named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least").getField(row).alias(row)))

@@ -10,9 +10,10 @@ The hash is a cascade of bit arrays: at each level the keys that are alone in th
 on to the next; a key's slot is the number of set cells before its own. A look-up touches a bounded expected number
 of levels, then one slot: constant time, however many documents a shard has.
 
-Defined cases: a null or empty text is one end id; null keys come first, are stored, and can't be looked up; repeated
-keys are separate records, ordered by a hash of their text, and a look-up returns them all; an empty table gives no
-shards; columns other than key and text are ignored.
+Defined cases: a null or empty text is one end id; a long text is one record, whole; keys are whole numbers (or cast to
+them); null keys come first, are stored, and can't be looked up; repeated keys are separate records, ordered by a hash of
+their text (equal texts have equal records), and a look-up returns them all; an empty table gives no shards; columns
+other than key and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filesystem, shared_dir, slices
+from .common import checkpointed, filesystem, quoted, shared_dir, slices
 
 MAGIC = b"TBLMTOK1"
 #: Cells a key at each level of the cascade.
@@ -221,7 +222,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, root
         _write(f"{name}.idx", [index_bytes(keys, lengths, dtype)])
         yield pa.RecordBatch.from_pylist([{"shard": shard, "ids_path": f"{name}.ids", "idx_path": f"{name}.idx", "n_docs": len(keys), "n_tokens": sum(lengths)}], schema=pa.schema([("shard", pa.int32()), ("ids_path", pa.string()), ("idx_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     return checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(write, MANIFEST))
 

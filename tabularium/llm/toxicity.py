@@ -10,8 +10,10 @@ their highest and some at random. The first coordinate of both embeddings starts
 the training documents, by which the first windows are picked.
 
 Defined cases: a null text, and one without words, is one window of nothing; shorter texts than a window are one
-shorter window; with one label only, or none, every score is that label's share (0.5 if there is none); repeated rows
-stay; a null key isn't held out; an empty table gives no rows; columns other than key and text are ignored.
+shorter window; of a long text all windows are scored; with one label only, or none, every score is that label's share
+(0.5 if there is none); labels other than 0 and 1 (null too) aren't learned from; of a key with several texts one is
+learned from; repeated rows stay; a null key isn't held out, and keys may be of any type; an empty table gives no rows;
+columns other than key and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .quality import labelled_sample, logistic, score_documents
 WINDOW, STRIDE = 24, 12
 #: Buckets and sizes of the two embeddings, and the size of a direction's state.
 WORDS, CHARS, WIDTH, STATE = 1 << 16, 1 << 15, 6, 8
-#: Most labelled documents of each label that are fitted on.
+#: Most labelled documents of each label that are fitted on (of no more than ``SAMPLE_CHARS`` characters each).
 PER_LABEL = 2400
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 42
 #: Windows that are read in step.
