@@ -8,25 +8,28 @@ Writing: ``encode`` makes a grey image whose thumbnail is a given byte string. A
 is exactly its mean sample, so a byte b becomes the DC term b - 128 and comes back unchanged. Each 64 bytes are one
 restart interval. The DC table gives category c a code of 9 - c bits, so a difference and its code always fill 9 bits.
 
+Images with several scans (a component each) are read too: the thumbnail needs the first component's scan only.
+
 Defined cases: a null or empty text is 64 zero bytes; a payload too tall for one image takes more columns, and one
-too large for that several images one after the other; equal texts give equal bytes; repeated rows stay; an empty
-table gives no rows; columns other than key and text are ignored.
+too large for that, of a long text, several images one after the other; equal texts give equal bytes; repeated rows stay;
+a null stream, and one that is damaged, empty or no baseline JPEG, gives a row with nulls for all that would be read from
+it (a stream that isn't null keeps its size and hash) and the reason in ``problem``; keys may be of any type, null too; an
+empty table gives no rows; columns other than key and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import slices
+from .common import by_text, free_name, quoted
 
 UNIT = 64
 #: Bytes worked on at once: few enough for the arrays to stay in a core's cache.
@@ -129,6 +132,8 @@ class Frame:
     quantisers: dict = field(default_factory=dict)
     tables: dict = field(default_factory=dict)
     restart: int = 0
+    scan_tables: dict = field(default_factory=dict)  # as they were at the scan that is kept
+    scan_restart: int = 0
     comment: bytes = b""
     data: np.ndarray | None = None
 
@@ -176,11 +181,11 @@ def parse(stream: bytes) -> list[Frame]:
                 f.comment = body
             elif marker == SOS:
                 ids = [c[0] for c in f.components]
-                if body[0] != len(f.components):
-                    raise ValueError("several scans in an image are not supported")
-                f.scan = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, 0x10 | body[2 + 2 * i] & 15) for i in range(body[0])]
+                scan = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, 0x10 | body[2 + 2 * i] & 15) for i in range(body[0])]
                 marks = _next_marker(whole, at)
-                f.data, at = whole[at:marks], marks
+                if any(c == 0 for c, _, _ in scan) and f.data is None:  # the scan that has the luminance, with the tables of its time
+                    f.scan, f.data, f.scan_tables, f.scan_restart = scan, whole[at:marks], dict(f.tables), f.restart
+                at = marks
         out.append(f)
     return out
 
@@ -236,7 +241,7 @@ def decode(streams: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]]:
         for f in parse(s):
             if not f.components or f.data is None:
                 raise ValueError("an image without a frame or scan")
-            key = (tuple(c[1:3] for c in f.components), tuple(f.scan), tuple(sorted(f.tables.items())))
+            key = (tuple(c[1:3] for c in f.components), tuple(f.scan), tuple(sorted(f.scan_tables.items())))
             alike.setdefault(key, []).append((i, len(out[i]), f))
             out[i].append(None)
     for group in alike.values():
@@ -248,14 +253,19 @@ def decode(streams: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]]:
 def _decode_alike(frames: list[Frame]) -> list[np.ndarray]:
     """Thumbnails of images that have components and Huffman tables in common."""
     one = frames[0]
-    single = len(one.components) == 1
+    single = len(one.scan) == 1  # blocks of one component come row by row
     order = [(c, dc, ac) for c, dc, ac in one.scan for _ in range(1 if single else one.components[c][1] * one.components[c][2])]
-    h_max, v_max = (1, 1) if single else (max(c[1] for c in one.components), max(c[2] for c in one.components))
+    h_max, v_max = max(c[1] for c in one.components), max(c[2] for c in one.components)
+    h, v = one.components[0][1:3]
+    if single:
+        h_max, v_max, h, v = h_max / h, v_max / v, 1, 1
     buffers, starts, units, shape, base = [], [], [], [], 0
     for f in frames:
-        across, down = -(-f.width // (8 * h_max)), -(-f.height // (8 * v_max))
+        across, down = math.ceil(f.width / (8 * h_max)), math.ceil(f.height / (8 * v_max))
         data, begin = _intervals(f)
-        per = f.restart or across * down
+        per = f.scan_restart or across * down
+        if not 0 < across * down * len(order) <= 4 * len(data):  # a block takes two bits at least
+            raise ValueError("no blocks, or more than there are data for")
         n = -(-(across * down) // per)
         if len(begin) < n:
             raise ValueError("an interval is missing")
@@ -267,11 +277,11 @@ def _decode_alike(frames: list[Frame]) -> list[np.ndarray]:
     data = np.concatenate(buffers)
     window = (data[:-3].astype(np.uint32) << 24) | (data[1:-2].astype(np.uint32) << 16) | (data[2:-1].astype(np.uint32) << 8) | data[3:]
     at, units = np.concatenate(starts) * 8, np.concatenate(units)
-    luma = next(k for k, (c, _, _) in enumerate(order) if c == one.scan[0][0])
-    own = sum(c == one.scan[0][0] for c, _, _ in order)
+    luma = next(k for k, (c, _, _) in enumerate(order) if c == 0)
+    own = sum(c == 0 for c, _, _ in order)
     dc = np.zeros((len(at), int(units.max()), own), np.int32)
     last = np.zeros((len(one.components), len(at)), np.int32)
-    steps = {t: _lookup(one.tables[t]) for _, a, b in order for t in (a, b)}
+    steps = {t: _lookup(one.scan_tables[t]) for _, a, b in order for t in (a, b)}
     limit = 8 * (len(window) - 1)
 
     def peek(bit: np.ndarray, n: int) -> np.ndarray:
@@ -308,15 +318,14 @@ def _decode_alike(frames: list[Frame]) -> list[np.ndarray]:
                 open_ = open_[~end & (seen[open_] < 64)]
         at[lanes] = pos
     out, first = [], 0
-    h, v = (1, 1) if single else one.components[one.scan[0][0]][1:3]
     for f, (across, down), begin in zip(frames, shape, starts):
         n = len(begin)
-        flat = dc[first : first + n].reshape(-1, own)[: across * down] if f.restart else dc[first, : across * down]
-        if f.restart and f.restart != dc.shape[1]:
-            flat = dc[first : first + n, : f.restart].reshape(-1, own)[: across * down]
+        flat = dc[first : first + n].reshape(-1, own)[: across * down] if f.scan_restart else dc[first, : across * down]
+        if f.scan_restart and f.scan_restart != dc.shape[1]:
+            flat = dc[first : first + n, : f.scan_restart].reshape(-1, own)[: across * down]
         first += n
         image = flat.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-        q = f.quantisers[f.components[one.scan[0][0]][3]]
+        q = f.quantisers[f.components[0][3]]
         image = np.clip(np.rint(image[: -(-f.height // 8), : -(-f.width // 8)] * (q / 8) + 128), 0, 255)
         out.append(image.astype(np.uint8))
     return out
@@ -342,36 +351,51 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): every whole text as a JPEG stream."""
 
-    def store(batches):
-        for keys, texts in slices(batches, chars=ENCODE_BYTES):
-            sizes, payloads = zip(*map(payload_of, texts))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(encode(list(payloads)), pa.binary())], names=["doc_id", "n_bytes", "media"])
+    def store(texts: list) -> pa.Array:
+        sizes, payloads = zip(*map(payload_of, texts))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(encode(list(payloads)), pa.binary())], names=["n_bytes", "media"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    made = by_text("n_bytes long, media binary", store, ENCODE_BYTES)(quoted(text).cast("string"))
+    return docs.select(quoted(key).alias("doc_id"), made.alias("made")).select("doc_id", "made.n_bytes", "made.media")
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Features of the stored streams: dimensions, thumbnail hash, and what the thumbnail holds when read as a payload."""
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, problem string"
 
-    def read(batches):
-        for batch in batches:
-            sizes = pc.binary_length(batch.column("media")).to_numpy(zero_copy_only=False)
-            part = np.cumsum(sizes) // DECODE_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b > a:
-                    yield _features(batch.slice(a, b - a))
 
-    return media.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int")
+def media_features(media: DataFrame, stream: str = "media") -> DataFrame:
+    """Features of stored streams: dimensions, thumbnail hash, and what the thumbnail holds when read as a payload. The
+    stream's column is replaced by them; the others stay."""
+    name = free_name(media, "features")
+    rows = media.select(*[quoted(c) for c in media.columns if c != stream], by_text(FEATURES, _features, DECODE_BYTES)(quoted(stream)).alias(name))
+    return rows.select(*[quoted(c) for c in media.columns if c != stream], f"{name}.*")
 
 
-def _features(batch) -> pa.RecordBatch:
-    streams = batch.column("media").to_pylist()
-    rows = []
-    for s, images in zip(streams, decode(streams)):
+def _features(streams: list) -> pa.Array:
+    there = [s for s in streams if s is not None]
+    try:
+        found = [(images, None) for images in decode(there)]
+    except _PROBLEMS:
+        found = list(map(_alone, there))
+    rows, given = [], iter(found)
+    for s in streams:
+        images, problem = next(given) if s is not None else (None, "null")
+        about = (None, None) if s is None else (len(s), hashlib.sha256(s).hexdigest())
+        if not images:
+            rows.append((None, None, None, *about, None, None, None, problem or "empty"))
+            continue
         payload = b"".join(t.tobytes()[: int(f.comment.split()[1]) if f.comment.startswith(b"payload ") else None] for f, t in images)
         f = images[0][0]
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(s), hashlib.sha256(s).hexdigest(), f"{f.width}x{f.height}:" + "".join(thumbnail_hash(t) for _, t in images), f.width, f.height))
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", *names])
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *about, f"{f.width}x{f.height}:" + "".join(thumbnail_hash(t) for _, t in images), f.width, f.height, None))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in FEATURES.split(", ")])
+
+
+#: What reading a damaged stream may raise.
+_PROBLEMS = (ValueError, IndexError, KeyError, StopIteration, struct.error, OverflowError, ZeroDivisionError)
+
+
+def _alone(stream: bytes) -> tuple[list | None, str | None]:
+    try:
+        return decode([stream])[0], None
+    except _PROBLEMS as e:
+        return None, f"{type(e).__name__}: {e}"

@@ -23,7 +23,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.with_media(documents(spark, sf_dir)))
+    return media.media_features(media.with_media(documents(spark, sf_dir))).drop("problem")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
