@@ -1,15 +1,20 @@
-"""License scans: word pairs pick candidates, banded alignment decides.
-
-An inverted index leads from the hash of each pair of neighbouring words of a template to template and position. All
-pairs of a text are looked up at once; hits of a template that lie near each other are one candidate place, where the
-template's words are aligned with the text's in a band around the hits' diagonals. An alignment's score stays above
-zero, so its first two words are such a pair: no alignment is without a hit. A place is reported if the matched words
-cover at least ``LEAST`` of the template; what is left before and after it is then aligned again. Places that hold too
-few words of the template for that are not aligned.
-
-Defined cases: a null text, or one without words, has no match; templates of one word are indexed by that; overlapping
-places of one template are reported once, of different templates each; repeated rows stay; an empty table gives no
-rows; columns other than key and text are ignored.
+"""License scans: winnowed fingerprints pick candidates, banded alignment decides.
+
+A template's fingerprints are hashes of pairs of neighbouring words. Of a long template's they are winnowed: of any
+``WINNOW`` in a row the least is kept, so a run of ``WINNOW`` + 1 words that a text has in common with the template always
+holds one. A match has such a run if less than a third as many words were changed as match (without insertions always).
+Short notices have no such runs once a word is changed, so all of their pairs are kept.
+
+An inverted index leads from a fingerprint to template and position. All pairs of a text are looked up at once; hits of
+a template that lie near each other are one candidate place, where the template's words are aligned with the text's in a
+band around the hits' diagonals. A place is reported if the matched words cover at least ``LEAST`` of the template and it
+holds a fingerprint; what is left before and after it is then aligned again. Places that hold too few words of the
+template for that are not aligned.
+
+Defined cases: a null text, or one without words, has no match; a long text is scanned whole; templates of one word are
+indexed by that, of none never found; with no templates nothing is found; overlapping places of one template are
+reported once (of ties the first place), of different templates each; repeated rows stay; keys may be of any type; an
+empty table gives no rows; columns other than key and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,12 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .common import LOWER_ASCII, joined, runs, slices, span_hashes
+from .common import LOWER_ASCII, by_text, joined, quoted, runs, span_hashes
 from .decontaminate import _WORD
 
 K, BAND, LEAST = 2, 6, 0.8
+#: Pairs of which the least is kept, in templates of at least so many words.
+WINNOW, LONG = 3, 16
 
 #: Public notices, by name.
 TEMPLATES = {
@@ -61,6 +66,11 @@ def _gram_hash(numbers: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def winnow(hashes: np.ndarray, width: int) -> list[int]:
+    """Places of the least of each ``width`` hashes in a row, the last of equals."""
+    return sorted({i + width - 1 - int(np.argmin(hashes[i : i + width][::-1])) for i in range(max(1, len(hashes) - width + 1))})
+
+
 def align(template: list[int], text: list[int], low: int, high: int, need: int = 1) -> tuple[int, int, int]:
     """Best local alignment of at least ``need`` matched words within the diagonals low..high (text position - template
     position): matched words (0 if there is none), begin, end in the text.
@@ -105,7 +115,8 @@ class Index:
             n = min(K, len(w))
             if n:
                 h = _gram_hash(np.array(w), n)
-                found.setdefault(n, []).extend((x, t, i) for i, x in enumerate(h.tolist()))
+                kept = winnow(h, WINNOW) if len(w) >= LONG else range(len(h))
+                found.setdefault(n, []).extend((int(h[i]), t, i) for i in kept)
         grams = {n: tuple(np.array(c, kind) for c, kind in zip(zip(*sorted(x)), (np.uint64, np.int64, np.int64))) for n, x in found.items()}
         return cls(names, words, vocabulary, grams)
 
@@ -123,7 +134,7 @@ class Index:
         """Of each text: (begin, end in code points, template, coverage)."""
         low, starts, begin, end, of = _scan_words(texts)
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-        if not len(begin):
+        if not len(begin) or not len(self.vocabulary):
             return out
         h = span_hashes(low, begin, end)
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
@@ -169,8 +180,10 @@ class Index:
                     matched, s, e = align(words, number[x:y].tolist(), lo - x, hi - x, need)
                     if not matched:
                         continue
-                    taken.append((x + s, x + e))
                     free += [(x, x + s), (x + e, y)]
+                    if not any(x + s <= p < x + e for p in place[a:b]):
+                        continue
+                    taken.append((x + s, x + e))
                     p, q = int(begin[x + s]), int(end[x + e - 1])
                     chars = len(raw[base:p].decode("utf-8", "surrogatepass"))
                     out[d].append((chars, chars + len(raw[p:q].decode("utf-8", "surrogatepass")), self.names[t], matched / len(words)))
@@ -183,18 +196,14 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPL
     shared = spark.sparkContext.broadcast(Index.build(templates))
     kind = pa.list_(pa.struct([("name", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))
 
-    def run(batches):
-        for keys, texts in slices(batches, chars=1_000_000):
-            found = shared.value.find(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.int64()),
-                    pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([",".join(sorted({m[2] for m in x})) for x in found], pa.string()),
-                    pa.array([[{"name": n, "begin": a, "end": b, "coverage": c} for a, b, n, c in x] for x in found], kind),
-                ],
-                names=["doc_id", "n_matches", "licenses", "matches"],
-            )
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_matches long, licenses string, matches array<struct<name:string,begin:long,end:long,coverage:double>>")
+    def work(texts: list) -> pa.Array:
+        found = shared.value.find(texts)
+        columns = [
+            pa.array([len(x) for x in found], pa.int64()),
+            pa.array([",".join(sorted({m[2] for m in x})) for x in found], pa.string()),
+            pa.array([[{"name": n, "begin": a, "end": b, "coverage": c} for a, b, n, c in x] for x in found], kind),
+        ]
+        return pa.StructArray.from_arrays(columns, names=["n_matches", "licenses", "matches"])
+
+    found = by_text("n_matches long, licenses string, matches array<struct<name:string,begin:long,end:long,coverage:double>>", work, 1_000_000)
+    return docs.select(quoted(key).alias("doc_id"), found(quoted(text).cast("string")).alias("found")).select("doc_id", "found.*")
