@@ -7,8 +7,11 @@ expression. A rule whose expression has no mandatory trigram scans every text.
 
 Spans come from splitting at the matches: the lengths of gaps and matches, summed up, are code-point positions.
 
-Defined cases: a null text is empty; a null or repeated key is scanned row by row (postings of equal keys are pooled,
-which only adds candidates); an empty table gives no rows; columns other than key and text are ignored.
+Defined cases: a null text is empty; a long text is scanned whole, in time that grows with its length and its matches (they
+are placed in blocks of ``BLOCK``); matches of one rule don't overlap, those of several rules may, and are ordered by
+start, rule and end; a null or repeated key is scanned row by row (postings of equal keys are pooled, which only adds
+candidates); keys may be of any type; an empty table gives no rows; columns other than key and text are ignored, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -51,6 +56,8 @@ RULES = BASE + FURTHER
 MOST_STRINGS, MOST_CLAUSES = 64, 64
 #: Trigrams of a clause that are asked for (a bit each); fewer only add candidates.
 MOST_GRAMS = 60
+#: Matches of a text that are placed in one go: an array that grows match by match is copied each time.
+BLOCK = 256
 
 
 # --- from regular expressions to trigram queries -------------------------------------------------------------------
@@ -148,7 +155,8 @@ def _row_spans(text: Column, number: int, rule: Rule) -> Column:
     gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.char_length(x).cast("long"))
     sizes = F.transform(F.regexp_extract_all(text, pattern, 0), lambda x: F.char_length(x).cast("long"))
     checked = F.transform(F.regexp_extract_all(text, pattern, rule.group), lambda x: F.char_length(x)) if rule.least else F.transform(sizes, lambda x: F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found"))
+    zero = F.lit(0).cast("long")
+    start = lambda at: F.struct(at.alias("at"), F.array().cast(kind).alias("found"))
 
     def step(acc, m):
         begin = acc["at"] + m["gap"]
@@ -156,8 +164,18 @@ def _row_spans(text: Column, number: int, rule: Rule) -> Column:
         span = F.array(F.struct(begin.alias("start"), F.lit(number).alias("n"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(m["checked"] >= rule.least, F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
+    def in_blocks(matches):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda b: F.slice(matches, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.flatten(F.transform(F.array(blocks), placed))
+
+    def placed(blocks):
+        lengths = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, m: acc + m["gap"] + m["size"]))
+        offsets = F.aggregate(lengths, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(offsets, 1, F.size(blocks)), lambda b, at: F.aggregate(b, start(at), step, lambda acc: acc["found"])))
+
     matches = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(sizes), F.lit(0))).alias("gap"), sizes.alias("size"), checked.alias("checked"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(matches, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
+    few = F.transform(F.array(matches), lambda m: F.when(F.size(m) <= BLOCK, F.aggregate(m, start(zero), step, lambda acc: acc["found"])).otherwise(in_blocks(m)))
+    return F.when(text.rlike(rule.pattern), F.get(few, F.lit(0))).otherwise(F.array().cast(kind))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,9 +184,9 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc
     clauses = [(i, c, clause[:MOST_GRAMS]) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY for c, clause in enumerate(sorted(map(sorted, q)))]
     grams = sorted({g for _, _, clause in clauses for g in clause})
     need = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(c).alias("clause"), F.lit(g).alias("gram"), F.lit(1 << k).cast("long").alias("bit"), F.lit(len(clause)).alias("need")) for i, c, clause in clauses for k, g in enumerate(clause)])))
-    lower = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    lower = F.lower(F.coalesce(quoted(text).cast("string"), F.lit("")))
     present = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(g)), F.lit(g)) for g in grams]))
-    postings = docs.select(F.col(key).alias("doc_id"), F.explode(present).alias("gram"))
+    postings = docs.select(quoted(key).alias("doc_id"), F.explode(present).alias("gram"))
     met = postings.join(F.broadcast(need), "gram")  # a few dozen fixed rows
     held = met.groupBy("doc_id", "rule", "clause", "need").agg(F.bit_or("bit").alias("grams"))
     met = held.where(F.bit_count("grams") == F.col("need"))
@@ -178,7 +196,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's key, the number of spans of each base rule (``n_<kind>``), a sha256 of the base spans, and all spans."""
     found = candidates(docs, rules, key, text).withColumnRenamed("doc_id", "candidate")
-    whole = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    whole = docs.select(quoted(key).alias("doc_id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
     rows = whole.join(found, F.expr("doc_id <=> candidate"), "left").withColumn("rules", F.coalesce("rules", F.lit(0).cast("long")))
     spans = []
     for i, r in enumerate(rules):
