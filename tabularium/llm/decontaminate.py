@@ -1,36 +1,41 @@
 """Benchmark decontamination with an FM-index of each training shard.
 
-A shard is a run of documents of one partition. Only words that benchmark items have get a number of their own; of a
-shard's texts just the runs of consecutive words that can hold a window are indexed: runs in which each pair of
-neighbours is a pair of neighbours in some item, no shorter than the shortest window. Nothing else can be inside an
-occurrence, so this loses none. The index has the Burrows-Wheeler transform of the runs as a wavelet tree with rank
-counts, and suffix positions sampled at every ``SAMPLE``-th text position. All windows of the benchmark are searched
-backwards together, a word at a time; occurrences are located by walking to the next sampled position; their
-document spans are merged, and each is compared with the window's words before it counts.
-
-The benchmark is handed out in blocks of bounded size, and a document's spans are merged over all blocks.
+A shard is a run of documents of one partition, about ``SHARD_CHARS`` bytes of text. All words of all its texts are
+numbered and indexed, one text after the other with a separator between them: the Burrows-Wheeler transform of the
+sequence as a wavelet tree with rank counts, and suffix positions sampled at every ``SAMPLE``-th place of the sequence.
+The index of a shard is built once; then the windows of each benchmark block are searched backwards in it, all windows
+together, a word at a time. A window with a word that the shard lacks has no occurrence. Occurrences are located by
+walking to the next sampled position, each is compared with the window's words before it counts (numbers come from
+64-bit hashes), and a document's spans are merged over all blocks.
+
+The benchmark is handed out in blocks of about ``BLOCK_CHARS`` characters. The first ``BROADCAST_BLOCKS`` are
+broadcast; a larger benchmark's further blocks are files in the shared folder that workers read one at a time. So
+neither what is broadcast nor what a worker holds grows with the benchmark.
 
 Defined cases: a null text has no words and is never contaminated; an item without words has no window; one of fewer
-words than a window is one window; items that share a text are all counted; repeated rows stay separate; empty tables
-give no rows, or no hits; columns other than key and text are ignored; windows of an item with a null key mark hits, but
-add no item.
+words than a window is one window; items that share a text are all counted; a long text is one shard of its own, whole;
+repeated rows stay separate; empty tables give no rows, or no hits; windows of an item with a null key mark hits, but
+add no item; keys may be of any type (items' keys are listed as strings); columns other than key and text are ignored,
+whatever they are called.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, joined, runs, slices, span_hashes
+from .common import LOWER_ASCII, by_text, filesystem, joined, quoted, runs, shared_dir, span_hashes
 
 WINDOW, SAMPLE = 13, 8
-#: Most characters of benchmark text in a block that is broadcast.
-BLOCK_CHARS = 4_000_000
+#: Characters of benchmark text a block (one item at least), and how many blocks are broadcast.
+BLOCK_CHARS, BROADCAST_BLOCKS = 4_000_000, 4
 #: Bytes of text a shard.
 SHARD_CHARS = 1_500_000
 #: Fixed by the contract: a document is contaminated if hit words are at least one in so many.
@@ -54,71 +59,90 @@ class WaveletTree:
         self.bits, self.levels, self.zeros = bits, [], []
         s = symbols
         for k in range(bits - 1, -1, -1):  # the matrix form: after each level, symbols with a 0 bit come first
-            bit = (s >> k) & 1
-            self.levels.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
-            self.zeros.append(int(len(s) - self.levels[-1][-1]))
-            s = np.concatenate((s[bit == 0], s[bit == 1]))
-
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol occurs before each position."""
-        lo, hi = np.zeros_like(at), at
+            bit = ((s >> k) & 1).astype(bool)
+            ones = np.zeros(len(s) + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
+            self.levels.append(ones)
+            self.zeros.append(int(len(s) - ones[-1]))
+            s = np.concatenate((s[~bit], s[bit]))
+
+    def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each symbol occurs before ``lo`` and before ``hi``."""
+        base = np.zeros_like(lo)
         for k, (ones, zeros) in enumerate(zip(self.levels, self.zeros)):
             bit = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
-            lo1, hi1 = ones[lo], ones[hi]
-            lo, hi = np.where(bit, zeros + lo1, lo - lo1), np.where(bit, zeros + hi1, hi - hi1)
-        return hi - lo
+            base, lo, hi = (np.where(bit, zeros + x, at - x) for at, x in ((base, ones[base]), (lo, ones[lo]), (hi, ones[hi])))
+        return lo - base, hi - base
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The symbol at each position."""
         out = np.zeros_like(at)
         for ones, zeros in zip(self.levels, self.zeros):
-            bit = ones[at + 1] - ones[at]
+            before = ones[at]
+            bit = ones[at + 1] - before
             out = out << 1 | bit
-            at = np.where(bit == 1, zeros + ones[at], at - ones[at])
+            at = np.where(bit == 1, zeros + before, at - before)
         return out
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Positions in the order of their suffixes, by doubling. The last symbol must be the least and occur once."""
-    rank, k = s.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        key = rank * (int(rank.max()) + 2)
-        key[: len(s) - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        rank = np.empty_like(rank)
-        rank[order] = new
-        if new[-1] == len(s) - 1:
-            return order
+    """Positions in the order of their suffixes. The last symbol must be the least and occur once.
+
+    Suffixes are ordered by their first symbols, then by twice as many, and so on; only those that are still tied are
+    sorted again.
+    """
+    n, top = len(s), int(s.max()) + 1
+    width = max(1, 62 // max(1, top.bit_length()))  # symbols that fit into one number
+    padded, key = np.concatenate((s, np.zeros(width, s.dtype))), np.zeros(n, np.int64)
+    for k in range(width):
+        key = key << top.bit_length() | padded[k : k + n]
+    order = np.argsort(key, kind="stable")
+    found = key[order]
+    new = np.concatenate(([True], found[1:] != found[:-1]))
+    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a suffix's rank: where its group of ties begins
+    rank = np.empty(n, np.int64)
+    rank[order] = head
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in the order that belong to groups of several
+    k = width
+    while len(tied):
+        at = order[tied]
+        key = rank[at] * (n + 1) + np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        sub = np.argsort(key, kind="stable")
+        at, key = at[sub], key[sub]
+        order[tied] = at  # groups stay where they are: their rank leads the key
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
+        tied = tied[~(new & np.append(new[1:], True))]
         k *= 2
+    return order
 
 
 class FMIndex:
     """Full-text index of a sequence over 2..symbols-1, in which 1 separates runs and a 0 is put at the end."""
 
     def __init__(self, sequence: np.ndarray, symbols: int):
-        s = np.append(sequence, 0)
+        s = np.append(sequence, 0).astype(np.int32)
         order = suffix_array(s)
         self.n = len(s)
-        bwt = s[order - 1]
-        self.tree = WaveletTree(bwt.astype(np.int64), max(1, int(symbols - 1).bit_length()))
+        self.tree = WaveletTree(s[order - 1], max(1, int(symbols - 1).bit_length()))
         self.first = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=symbols))))
         sampled = order % SAMPLE == 0
-        self.sampled = np.concatenate(([0], np.cumsum(sampled)))
+        self.sampled = np.concatenate(([0], np.cumsum(sampled, dtype=np.int32)))
         self.kept = order[sampled]
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of ``patterns`` (filled up at the right) the range of suffixes that begin with it."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        open_ = np.arange(len(patterns))
+    def search(self, words: np.ndarray, lengths: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each pattern words[start : start + length] (without ``start``: each row of ``words``) the range of suffixes that begin with it."""
+        if start is None:
+            words, start = words.ravel(), np.arange(len(lengths)) * words.shape[1]
+        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
+        open_ = np.arange(len(start))
         for back in range(int(lengths.max()) if len(lengths) else 0):
             open_ = open_[(lengths[open_] > back) & (lo[open_] < hi[open_])]
             if not len(open_):
                 break
-            c = patterns[open_, lengths[open_] - 1 - back]
-            lo[open_] = self.first[c] + self.tree.rank(c, lo[open_])
-            hi[open_] = self.first[c] + self.tree.rank(c, hi[open_])
+            c = words[start[open_] + lengths[open_] - 1 - back]
+            a, b = self.tree.ranks(c, lo[open_], hi[open_])
+            lo[open_], hi[open_] = self.first[c] + a, self.first[c] + b
         return lo, np.maximum(lo, hi)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -131,94 +155,75 @@ class FMIndex:
             out[open_[hit]] = self.kept[self.sampled[r[hit]]] + steps
             open_, r = open_[~hit], r[~hit]
             c = self.tree.access(r)
-            row[open_] = self.first[c] + self.tree.rank(c, r)
+            row[open_] = self.first[c] + self.tree.ranks(c, r, r)[0]
             steps += 1
         return out
 
 
+class Shard:
+    """The texts of a shard, numbered and indexed word by word."""
+
+    def __init__(self, texts: list[str | None]):
+        data, self.begin, self.end, self.doc = _words(texts)
+        self.raw, self.texts = data.tobytes(), len(texts)
+        self.count = np.bincount(self.doc, minlength=len(texts)) if len(self.doc) else np.zeros(len(texts), np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.count)))
+        self.vocabulary, number = np.unique(span_hashes(data, self.begin, self.end), return_inverse=True)  # word number = place + 2
+        sequence = np.ones(len(number) + len(texts), np.int64)  # 1 after each text
+        sequence[np.arange(len(number)) + self.doc] = number + 2
+        self.index = FMIndex(sequence, len(self.vocabulary) + 2)
+
+    def find(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The occurrences of a block's windows: window, first word of the shard, text. Only true ones."""
+        none = np.zeros(0, np.int64)
+        if not len(self.vocabulary) or not len(block.start):
+            return none, none, none
+        place = np.minimum(np.searchsorted(self.vocabulary, block.vocabulary), len(self.vocabulary) - 1)
+        here = self.vocabulary[place] == block.vocabulary
+        number = np.where(here, place + 2, 0)[block.sequence]
+        missing = np.concatenate(([0], np.cumsum(number == 0)))
+        window = np.flatnonzero(missing[block.start + block.length] == missing[block.start])
+        lo, hi = self.index.search(number, block.length[window], block.start[window])
+        size = hi - lo
+        rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+        which, at = np.repeat(window, size), self.index.locate(rows)
+        doc = np.searchsorted(self.first[1:] + np.arange(self.texts) + 1, at, "right")
+        word = at - doc
+        true = np.ones(len(word), bool)
+        begin, end, raw = self.begin, self.end, self.raw
+        for i, (a, s, n) in enumerate(zip(word.tolist(), block.start[which].tolist(), block.length[which].tolist())):
+            true[i] = all(raw[begin[a + k] : end[a + k]] == block.words[block.sequence[s + k]] for k in range(n))
+        return which[true], word[true], doc[true]
+
+
 @dataclass
 class Block:
-    """Windows of some benchmark items, over a vocabulary of their words' hashes."""
+    """Windows of some benchmark items: stretches of ``sequence``, whose numbers are places in the vocabulary."""
 
-    vocabulary: np.ndarray  # sorted hashes; word number = place + 2
+    vocabulary: np.ndarray  # sorted hashes
     words: list[bytes]
-    pairs: np.ndarray  # sorted codes of neighbouring words
-    patterns: np.ndarray
-    lengths: np.ndarray
-    owners: list[list[str]]  # of each pattern, the items that have it
-    shortest: int
+    sequence: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    item: np.ndarray  # of each window
+    names: list[str | None]
 
     @classmethod
     def build(cls, items: list[tuple], window: int = WINDOW) -> Block:
         data, begin, end, item = _words([t for _, t in items])
-        hashes = span_hashes(data, begin, end)
-        vocabulary, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        vocabulary, first, number = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        words = [raw[begin[i] : end[i]] for i in first.tolist()]
-        number = number + 2
-        same = item[1:] == item[:-1] if len(item) else np.zeros(0, bool)
-        pairs = np.unique((number[:-1].astype(np.int64) << 32 | number[1:])[same])
-        owners: dict[tuple, set] = {}
-        for i in np.unique(item).tolist():
-            own = number[item == i].tolist()
-            for a in range(max(1, len(own) - window + 1)):
-                owners.setdefault(tuple(own[a : a + window]), set()).update([] if items[i][0] is None else [str(items[i][0])])
-        keys = sorted(owners)
-        lengths = np.array([len(k) for k in keys], np.int64)
-        patterns = np.array([list(k) + [0] * (window - len(k)) for k in keys], np.int64).reshape(len(keys), window)
-        return cls(vocabulary, words, pairs, patterns, lengths, [sorted(owners[k]) for k in keys], int(lengths.min()) if len(keys) else window)
-
-    def find(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
-        """Of each text: its number of words, the merged spans (in words, end exclusive) of occurrences, and the items found."""
-        data, begin, end, doc = _words(texts)
-        count = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[str]] = [set() for _ in texts]
-        if not len(begin) or not len(self.lengths):
-            return count, spans, items
-        hashes = span_hashes(data, begin, end)
-        place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[place] == hashes
-        number = np.where(known, place + 2, 0)
-        code = number[:-1].astype(np.int64) << 32 | number[1:]
-        at = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
-        linked = (self.pairs[at] == code) & (doc[1:] == doc[:-1]) if len(self.pairs) else np.zeros(len(code), bool)
-        a, b = runs(linked)  # words a..b, both inclusive, are one run
-        if self.shortest == 1:
-            lone = known & ~np.append(linked, False) & ~np.concatenate(([False], linked))
-            a, b = np.concatenate((a, np.flatnonzero(lone))), np.concatenate((b, np.flatnonzero(lone)))
-        long = b - a + 1 >= self.shortest
-        a, b = a[long], b[long]
-        if not len(a):
-            return count, spans, items
-        size = b - a + 2  # a separator after each run
-        offset = np.concatenate(([0], np.cumsum(size)))
-        source = np.arange(offset[-1]) - np.repeat(offset[:-1] - a, size)
-        sequence = np.where(np.arange(offset[-1]) == np.repeat(offset[1:] - 1, size), 1, number[np.minimum(source, len(number) - 1)])
-        index = FMIndex(sequence, len(self.vocabulary) + 2)
-        lo, hi = index.search(self.patterns, self.lengths)
-        which = np.repeat(np.arange(len(lo)), hi - lo)
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-        word = source[index.locate(rows)]
-        raw = data.tobytes()
-        first = np.concatenate(([0], np.cumsum(count)))
-        ends, length = word + self.lengths[which], self.lengths[which]
-        checked: dict[int, bool] = {}  # hashes stand for words; the words themselves decide
-        for i in np.unique(np.concatenate([np.arange(x, y) for x, y in _merged(word, ends)]) if len(word) else word).tolist():
-            checked[i] = raw[begin[i] : end[i]] == self.words[place[i]]
-        for p, w, n in zip(which.tolist(), word.tolist(), length.tolist()):
-            if all(checked[i] for i in range(w, w + n)):
-                d = int(doc[w])
-                base = int(first[d])
-                items[d].update(self.owners[p])
-                spans[d].append((w - base, w - base + n))
-        return count, [_merged(*map(np.array, zip(*s))) if s else [] for s in spans], items
-
-
-def _merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+        size = np.bincount(item, minlength=len(items)) if len(item) else np.zeros(len(items), np.int64)
+        per = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
+        of = np.repeat(np.arange(len(items)), per)
+        start = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(np.cumsum(size) - size, per)
+        return cls(vocabulary, [raw[begin[i] : end[i]] for i in first.tolist()], number.astype(np.int32), start, np.minimum(size[of], window), of, [None if k is None else str(k) for k, _ in items])
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping and touching spans joined."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(begin.tolist(), end.tolist())):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -229,7 +234,7 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS):
     """The benchmark, read a partition at a time, as blocks of at most ``chars`` characters (or one item)."""
     held, size = [], 0
-    for r in benchmark.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL").toLocalIterator():
+    for r in benchmark.select(quoted(key).cast("string").alias("k"), quoted(text).cast("string").alias("t")).where("t IS NOT NULL").toLocalIterator():
         if held and size + len(r.t) > chars:
             yield Block.build(held)
             held, size = [], 0
@@ -238,34 +243,62 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", chars
     yield Block.build(held)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), chars: int = BLOCK_CHARS) -> DataFrame:
-    """Every row's doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans (word positions to remove).
+def hand_out(spark: SparkSession, found) -> list[Callable[[], Block]]:
+    """How a worker comes by each block: broadcast, or as a file of the shared folder."""
+    out, root = [], None
+    for i, block in enumerate(found):
+        if i < BROADCAST_BLOCKS:
+            held = spark.sparkContext.broadcast(block)
+            out.append(lambda held=held: held.value)
+            continue
+        root = root or shared_dir(spark)
+        fs, path = filesystem(f"{root}/block-{i:06d}")
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(path) as f:
+            f.write(pickle.dumps(block))
+        out.append(lambda uri=f"{root}/block-{i:06d}": _read_block(uri))
+    return out
 
-    ``keep`` names columns to carry along, as ``kept_<name>``.
-    """
-    shared = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, chars=chars)]
-    kept = [f for f in docs.schema.fields if f.name in keep]
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for (texts,) in slices([batch], ("text",), SHARD_CHARS):
-                words, spans, items = None, [[] for _ in texts], [set() for _ in texts]
-                for b in shared:  # one after the other: no more than a block's matches at once
-                    words, s, i = b.value.find(texts)
-                    spans, items = [x + y for x, y in zip(spans, s)], [x | y for x, y in zip(items, i)]
-                for n, s, i in zip(words.tolist(), spans, items):
-                    s = _merged(*map(np.array, zip(*s))) if s else []
-                    hit = sum(b - a for a, b in s)
-                    out.append((n, hit, len(i), hashlib.sha256(",".join(sorted(i)).encode()).hexdigest(), hit > 0 and SHARE * hit >= n, [{"start": a, "end": b} for a, b in s]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            columns = [pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)]
-            extra = [batch.column(batch.schema.get_field_index(f"kept_{f.name}")) for f in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *extra], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *(f"kept_{f.name}" for f in kept)])
-
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(f.name).alias(f"kept_{f.name}") for f in kept])
-    kinds = [f"doc_id {docs.schema[key].dataType.simpleString()}", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>", *(f"`kept_{f.name}` {f.dataType.simpleString()}" for f in kept)]
-    return rows.mapInArrow(run, ", ".join(kinds))
+
+def _read_block(uri: str) -> Block:
+    fs, path = filesystem(uri)
+    with fs.open_input_file(path) as f:
+        return pickle.loads(f.read())
+
+
+KIND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
+
+
+def contamination(spark: SparkSession, text: Column, benchmark: DataFrame, *, item_key: str = "item_id", item_text: str = "text", chars: int = BLOCK_CHARS) -> Column:
+    """(n_words, n_hit, n_items, items_sha256, contaminated, spans) of a text; spans are the word positions to remove."""
+    given = hand_out(spark, blocks(benchmark, item_key, item_text, chars))
+
+    def work(texts: list) -> pa.Array:
+        shard = Shard(texts)
+        spans: list[list] = [[] for _ in texts]
+        items: list[set] = [set() for _ in texts]
+        for get in given:  # one after the other: no more than a block's occurrences at once
+            block = get()
+            which, word, doc = shard.find(block)
+            for w, a, d in zip(which.tolist(), (word - shard.first[doc]).tolist(), doc.tolist()):
+                spans[d].append((a, a + int(block.length[w])))
+                if (name := block.names[block.item[w]]) is not None:
+                    items[d].add(name)
+        out = []
+        for n, found, own in zip(shard.count.tolist(), spans, items):
+            merged = _merged(found)
+            hit = sum(b - a for a, b in merged)
+            out.append((n, hit, len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), hit > 0 and SHARE * hit >= n, [{"start": a, "end": b} for a, b in merged]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+
+    return by_text(KIND, work, SHARD_CHARS)(text.cast("string"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
+    """Every row's doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans."""
+    rows = docs.select(quoted(key).alias("doc_id"), contamination(spark, quoted(text), benchmark, chars=chars).alias("found"))
+    return rows.select("doc_id", "found.*")
 
 
 ORACLE_SQL = r"""with dw as (select row_number() over () as rid, doc_id, regexp_extract_all(lower_ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_ascii from documents)),
