@@ -7,14 +7,20 @@ taken once for each integer that its stretch of the sum crosses: floor or ceilin
 
 Documents are walked in order of size class (an eighth of a doubling wide) and then of a hash of the key, so every size
 has its due share and the words taken come near the target. All documents of a source share one rate, so the sum is
-rank x rate, and only a rank is needed: the count of documents in all earlier chunks, by sums over a small table, plus
-the position in its own chunk. Chunks (a source's size class, cut by hash prefix into pieces of about ``CHUNK`` rows)
-are dealt separately, so a source or a size with a third of all rows is spread like any other.
-
-Defined cases: a null or blank text has size 0 and may be taken (it adds no words); sources without words get the
-target 0 and are taken at no rate; a null source is a source, last in order; rows that share a key are separate;
-ties in class and hash are broken by size; an empty table gives no rows; reruns agree, as the offset comes from the
-source's name and the seed.
+rank x rate, and only a rank is needed. It is summed up in levels, each by a window over a small table: the source's
+documents in earlier size classes, those of the class with a lesser first half of the chunk's name, those with a lesser
+second half, and the position in the chunk itself. Chunks (a source's size class, cut by hash prefix into pieces of
+about ``CHUNK`` rows) are dealt separately, so a source or a size with a third of all rows is spread like any other, and
+no window holds more than 65,536 rows of a level.
+
+Targets come from plain aggregates over sources: the share of each by weight; sources whose limit that exceeds are
+filled, what is left is shared among the others, and so on until none is above.
+
+Defined cases: a null or blank text has size 0 and may be taken (it adds no words); a long text counts whole; sources
+without words get the target 0 and are taken at no rate; a null source is a source, last in order; rows that share a key
+are separate; ties in class and hash are broken by size (of equal sizes it makes no difference which is taken); keys may
+be of any type; an empty table gives no rows; reruns agree, as the offset comes from the source's name and the seed;
+other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,37 +28,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from ..functions.ordered import running_sum
+from .common import checkpointed, quoted
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Rows a chunk that its rank is counted in, about.
-CHUNK = 250
+#: Rows a chunk that its rank is counted in, about, and most digits of a chunk's name.
+CHUNK, DIGITS = 250, 8
 #: Most rows (a source's size classes) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def words(text: Column) -> Column:
+    """The number of words of a text."""
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+
+
+def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size, target) from (source, size): one row a source.
 
-    Sources that reach their limit do so in order of limit / weight; with those before it filled, a source is full if
-    its share of what is left would be no less than its limit. Sizes stay whole numbers until the last division.
+    Sizes stay whole numbers until the last division.
     """
-    total = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int")).cast("long")
-    rows = total.withColumn("w", weight).withColumn("limit", F.col("source_size") * most)
-    by = Window.orderBy((F.col("limit") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.lit(1))
-    rows = rows.withColumn("left", F.sum("source_size").over(everything) * share - F.coalesce(F.sum("limit").over(before), F.lit(0))).withColumn("w_left", F.sum("w").over(after))
-    rows = rows.withColumn("full", F.col("left") * F.col("w") >= F.col("limit") * F.col("w_left"))
-    # those not full share what the full ones leave: the first of them sees exactly that
-    rows = rows.withColumn("k", F.row_number().over(by))
-    first = F.min_by(F.struct("left", "w_left"), F.when(~F.col("full"), F.col("k"))).over(everything)
-    rows = rows.withColumn("first", first)
-    target = F.when(F.col("full"), F.col("limit").cast("double")).otherwise(F.col("first.left") * F.col("w") / F.col("first.w_left"))
-    return rows.select("source", "source_size", target.alias("target"))
+    total = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    named = total.where("source IS NOT NULL")
+    placed = running_sum(named, "source", F.lit(1), "place").unionByName(total.where("source IS NULL").withColumn("place", F.lit(named.count() + 1)))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long")
+    rows = checkpointed(placed.select("source", "source_size", weight.alias("w"), (F.col("source_size") * most).alias("limit")))
+    wanted = (rows.agg(F.sum("source_size")).first()[0] or 0) * share
+    full, filled = F.lit(False), -1
+    while True:  # what is left a weight only grows, so a source once full stays so
+        taken, of, n = rows.agg(F.coalesce(F.sum(F.when(full, F.col("limit"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0)), F.count_if(full)).first()
+        left = float(wanted - taken)
+        if n == filled or not of:
+            break
+        filled = n
+        full = full | (F.lit(left) * F.col("w") >= F.col("limit") * F.lit(float(of)))
+    return rows.select("source", "source_size", F.when(full, F.col("limit").cast("double")).otherwise(F.lit(left) * F.col("w") / F.lit(float(of or 1))).alias("target"))
 
 
 def offset(source: Column, seed: int) -> Column:
@@ -61,34 +72,41 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's doc_id, size, source_size, target, copies and taken (words); ``keep`` names columns to carry along, as ``kept_<name>``."""
-    size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    bits = F.length(F.bin("size"))
+def _before(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``n`` over the earlier rows of the same ``by``."""
+    earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source", rows_as: str | None = None) -> DataFrame:
+    """Every row's doc_id, size, source_size, target, copies and taken (words). With ``rows_as`` the rows of ``docs`` follow as a struct of that name."""
+    group = F.coalesce(F.concat(F.lit("="), quoted(source).cast("string")), F.lit(""))  # never null, so that joins and windows share a partitioning
+    sized = docs.select(quoted(key).alias("doc_id"), quoted(source).cast("string").alias("source"), group.alias("grp"), words(quoted(text)).alias("size"), *([F.struct(*[quoted(c) for c in docs.columns]).alias("whole")] if rows_as else []))
     step = F.expr("cast(size / power(2, greatest(length(bin(size)) - 4, 0)) as bigint)")
-    rows = rows.withColumn("class", (bits * 16 + step).cast("int")).withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    if not keep:
-        rows = checkpointed(rows)  # narrow rows: texts are read once
-    groups = checkpointed(rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
-    by_source = sources(groups, weights, share, most)
-    depth = F.least(F.lit(8), F.ceil(F.log(16.0, F.greatest(F.col("n") / F.lit(float(CHUNK)), F.lit(1.0)))).cast("int"))
-    facts = groups.select("source", "class", depth.alias("depth")).alias("g").join(by_source.alias("s"), F.expr("g.source <=> s.source"))
-    facts = checkpointed(facts.select(F.col("g.source").alias("fact_source"), F.col("class").alias("fact_class"), "depth", "source_size", "target"))
-    if groups.count() <= BROADCAST_ROWS:
+    sized = sized.withColumn("class", (F.length(F.bin("size")) * 16 + step).cast("int")).withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    narrow = checkpointed(sized.select("source", "grp", "class", "size", "hash", *([] if rows_as else ["doc_id"])))  # texts are read once for the counts
+    classes = checkpointed(narrow.groupBy("source", "grp", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    depth = F.least(F.lit(DIGITS), F.ceil(F.log(16.0, F.greatest(F.col("n") / F.lit(float(CHUNK)), F.lit(1.0)))).cast("int"))
+    shares = targets(classes, weights, share, most).withColumn("grp", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    facts = _before(classes, ["grp"], "class", "before_class").select("grp", F.col("source").alias("src"), "class", "before_class", depth.alias("depth"))
+    facts = checkpointed(facts.join(shares.drop("source"), "grp").withColumn("half", F.ceil(F.col("depth") / 2).cast("int")))
+    if classes.count() <= BROADCAST_ROWS:
         facts = F.broadcast(facts)
-    rows = rows.join(facts, F.expr("source <=> fact_source and class = fact_class")).drop("fact_source", "fact_class")
-    rows = rows.withColumn("chunk", F.expr("substring(hash, 1, depth)"))
-    chunks = rows.groupBy("source", "class", "chunk").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("class", "chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chunks = chunks.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.col("chunk").alias("c_chunk"), before.alias("before"))
-    nth = F.row_number().over(Window.partitionBy("source", "class", "chunk").orderBy("hash", "size"))
-    rows = rows.withColumn("nth", nth).join(chunks, F.expr("source <=> c_source and class = c_class and chunk = c_chunk"))
+    chunk, high = F.expr("substring(hash, 1, depth)").alias("chunk"), F.expr("substring(hash, 1, half)").alias("high")
+    counts = narrow.join(facts, ["grp", "class"]).select("grp", "class", chunk, high).groupBy("grp", "class", "high", "chunk").agg(F.count("*").alias("n"))
+    counts = checkpointed(counts)
+    halves = _before(counts.groupBy("grp", "class", "high").agg(F.sum("n").alias("n")), ["grp", "class"], "high", "before_high").drop("n")
+    chunks = _before(counts, ["grp", "class", "high"], "chunk", "before_chunk").join(halves, ["grp", "class", "high"])
+    chunks = checkpointed(chunks.select("grp", "class", "chunk", (F.col("before_high") + F.col("before_chunk")).alias("before_here")))
+    rows = (sized if rows_as else narrow).join(facts, ["grp", "class"]).withColumn("chunk", chunk)
+    ties = [F.xxhash64(F.col("whole").getField(text))] if rows_as else []
+    nth = F.row_number().over(Window.partitionBy("grp", "class", "chunk").orderBy("hash", "size", *ties))
+    rows = rows.withColumn("nth", nth).join(chunks, ["grp", "class", "chunk"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rank, u = F.col("before") + F.col("nth"), offset(F.col("source"), seed)
+    rank, u = F.col("before_class") + F.col("before_here") + F.col("nth"), offset(F.col("src"), seed)
     copies = F.floor(rank * rate + u) - F.floor((rank - 1) * rate + u)
     rows = rows.withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"kept_{c}" for c in keep])
+    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([F.col("whole").alias(rows_as)] if rows_as else []))
 
 
 ORACLE_SQL = f"""with sized as (select doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
