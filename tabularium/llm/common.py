@@ -115,12 +115,24 @@ def slices(batches, columns: tuple[str, ...] = ("doc_id", "text"), chars: int =
         pa.default_memory_pool().release_unused()  # workers stay alive between stages
 
 
+#: Bytes of the batches in which texts go to Python, unless the session has a limit of its own.
+ARROW_BYTES = 4_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes: ten thousand rows, Spark's own limit, may be gigabytes of long texts."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if limit not in spark.conf.getAll:
+        spark.conf.set(limit, str(ARROW_BYTES))
+
+
 def by_text(kind: str, work: Callable[[list], pa.Array], chars: int = BATCH_CHARS):
     """A column function of texts (or binaries): ``work`` gets them in lists of about ``chars`` bytes, nulls included, and
     gives an Arrow array of as many values.
 
     Only the text goes to Python and only the result comes back; the row's other columns stay with Spark.
     """
+    bounded_batches(SparkSession.active())
     empty = pa.nulls(0, to_arrow_type(DataType.fromDDL(kind)))
 
     @F.arrow_udf(kind)

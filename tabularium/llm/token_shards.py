@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filesystem, quoted, shared_dir, slices
+from .common import bounded_batches, checkpointed, filesystem, quoted, shared_dir, slices
 
 MAGIC = b"TBLMTOK1"
 #: Cells a key at each level of the cascade.
@@ -199,6 +199,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, root
 
     Range partitioning by key and a hash of the text deals even one much-repeated key to many shards.
     """
+    bounded_batches(spark)
     dtype = id_type(vocabulary, end_id)
     end = np.array([end_id], dtype).tobytes()
 
