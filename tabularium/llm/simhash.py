@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, by_text, checkpointed, quoted
@@ -92,15 +92,11 @@ def links(fps: DataFrame) -> DataFrame:
 
     ``fps`` holds distinct fingerprints in ``fp``, and is read several times: hand it over checkpointed.
     """
-    variants = _variants(fps)
-    buckets = variants.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    buckets = checkpointed(buckets)
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    pairs = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(close)
-    crowded = buckets.where("n > 2").select("variant", "n")
-    members = checkpointed(variants.join(crowded, "variant"))
-    few = members.where(F.col("n") <= BUCKET).select("variant", "fp")
-    pairs = pairs.unionByName(few.select("variant", F.col("fp").alias("a")).join(few.select("variant", F.col("fp").alias("b")), "variant").where("a < b").select("a", "b").where(close))
+    size = F.count("*").over(Window.partitionBy("variant"))  # its rows are distinct fingerprints of 8 bytes, and spill; nearly all are alone, so counting them first would move as many
+    members = checkpointed(_variants(fps).withColumn("n", size).where("n > 1"))
+    few = members.where(F.col("n") <= BUCKET)
+    pairs = few.select("variant", F.col("fp").alias("a")).join(few.select("variant", F.col("fp").alias("b")), "variant").where("a < b").select("a", "b").where(close)
     many = members.where(F.col("n") > BUCKET).select("fp").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(BITS)])
     near = many.select("fp", F.explode(flips).alias("neighbour")).groupBy("neighbour").agg(F.collect_set("fp").alias("fps"))  # at most 65 of them
