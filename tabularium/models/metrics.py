@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running_sum
+
 #: 1 where more is better, -1 where less is.
 SIGN = {"accuracy": 1, "f1": 1, "f1_macro": 1, "f1_micro": 1, "precision": 1, "recall": 1, "auc": 1, "r2": 1, "logloss": -1, "rmse": -1, "mse": -1, "mae": -1, "mape": -1}
 CLASSIFICATION = ("accuracy", "f1", "precision", "recall", "f1_macro", "f1_micro", "auc", "logloss")
@@ -50,8 +52,8 @@ def classification(df: DataFrame, y: str = "label", p: str = "prediction", by: t
 def auc(df: DataFrame, y: str = "label", score: str = "probability", by: tuple[str, ...] = ()) -> DataFrame:
     """(by, auc) of a 0/1 label by rank sums with average ranks: exact, from a row a distinct score; 0.5 with one class."""
     cells = df.groupBy(*by, score).agg(F.count_if(F.col(y) == 1).cast("double").alias("pos"), F.count_if(F.col(y) != 1).cast("double").alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = cells.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    below = running_sum(cells, score, F.col("neg"), "_upto", by)
+    won = below.withColumn("won", F.col("pos") * (F.col("_upto") - F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return won.groupBy(*by).agg(F.when(pairs > 0, F.sum("won") / pairs).otherwise(0.5).alias("auc"))
 
@@ -61,6 +63,23 @@ def logloss(df: DataFrame, y: str = "label", score: str = "probability", by: tup
     return df.groupBy(*by).agg(F.avg(-F.ln(F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps)))).alias("logloss"))
 
 
+def multiclass_auc(df: DataFrame, y: str = "label", scores: str = "probabilities", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, auc): each class against the rest by its own probability, weighted by how frequent it is. ``scores`` is an array by class."""
+    rows = df.select(*by, F.col(y).cast("int").alias("_y"), F.posexplode(scores).alias("_class", "_score"))
+    rows = rows.withColumn("_hit", (F.col("_y") == F.col("_class")).cast("int"))
+    each = auc(rows, "_hit", "_score", (*by, "_class"))
+    support = rows.groupBy(*by, "_class").agg(F.sum("_hit").alias("_n")).where("_n > 0")
+    both = each.join(support, [*by, "_class"])
+    return both.groupBy(*by).agg((F.sum(F.col("auc") * F.col("_n")) / F.sum("_n")).alias("auc"))
+
+
+def multiclass_logloss(df: DataFrame, y: str = "label", scores: str = "probabilities", by: tuple[str, ...] = (), eps: float = 1e-15) -> DataFrame:
+    """(by, logloss) from the probability that each row gives its own class, of all it gives; a class without one counts as ``eps``."""
+    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+    p = F.coalesce(F.try_divide(F.get(scores, F.col(y).cast("int")), total), F.lit(eps))
+    return df.groupBy(*by).agg(F.avg(-F.ln(F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps)))).alias("logloss"))
+
+
 def regression(df: DataFrame, y: str = "label", p: str = "prediction", by: tuple[str, ...] = ()) -> DataFrame:
     """rmse, mse, mae, r2 (1 - residual / total), mape in percent over rows whose target isn't 0 (infinite if there are none)."""
     e = F.col(p) - F.col(y)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import running_sum
-from .profile import is_numeric, normalize_nulls, unpivot
+from .profile import is_numeric, medians, normalize_nulls, unpivot
 
 
 def _codes(df: DataFrame, column: str) -> DataFrame:
@@ -21,13 +23,13 @@ def prepare(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """All features as doubles: numbers with the median for nulls, other kinds as codes of their strings in order."""
     df = normalize_nulls(df).where(F.col(target).isNotNull())
     numbers = [c for c in features if is_numeric(df.schema[c].dataType)]
-    medians = df.agg(*[F.median(c).alias(c) for c in numbers]).first() if numbers else {}
+    found = medians(df, numbers)
     y = F.col(target).cast("double") if is_numeric(df.schema[target].dataType) else None
     out = df
     for c in [*(c for c in features if c not in numbers), *([target] if y is None else [])]:
         codes = _codes(df, c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
         out = out.join(codes, F.coalesce(F.col(c).cast("string"), F.lit("missing")) == F.col(f"_v_{c}"))
-    return out.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c]), F.lit(0.0)).alias(c) if c in numbers else F.col(f"_c_{c}").alias(c) for c in features], (y if y is not None else F.col(f"_c_{target}")).alias("_y"))
+    return out.select(*[F.coalesce(F.col(c).cast("double"), F.lit(found.get(c)).cast("double"), F.lit(0.0)).alias(c) if c in numbers else F.col(f"_c_{c}").alias(c) for c in features], (y if y is not None else F.col(f"_c_{target}")).alias("_y"))
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -55,29 +57,53 @@ def average_ranks(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataF
 
 
 def spearman_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, spearman): Pearson's r of average ranks."""
-    y = average_ranks(prepared, "_y").withColumnRenamed("_rank", "_yr")
-    x = average_ranks(unpivot(y, features, "double", keep=("_yr",)), "value", ("feature",))
-    return x.groupBy("feature").agg(pearson(F.col("_rank"), F.col("_yr")).alias("spearman"))
+    """(feature, spearman): Pearson's r of average ranks.
+
+    A feature's ranks depend on its distinct values only, so the rows are summed up by value first, and no rank is joined
+    back to them. Ranks are taken from their middle, which keeps the sums small.
+    """
+    y = average_ranks(prepared, "_y").withColumn("_yr", F.col("_rank")).drop("_rank")
+    middle = prepared.agg(((F.count("_y") + 1) / 2.0).alias("_mid"))
+    rows = unpivot(y.crossJoin(F.broadcast(middle)).withColumn("_yr", F.col("_yr") - F.col("_mid")), features, "double", keep=("_yr",)).where("value IS NOT NULL")  # one row
+    cells = rows.groupBy("feature", "value").agg(F.count("*").alias("n"), F.count("_yr").alias("m"), F.sum("_yr").alias("s"), F.sum(F.col("_yr") * F.col("_yr")).alias("s2"))
+    total = cells.groupBy("feature").agg(((F.sum("n") + 1) / 2.0).alias("_mid"))
+    ranked = running_sum(cells, "value", F.col("n"), "_upto", ("feature",)).join(total, "feature")
+    r, m = F.col("_upto") - (F.col("n") - 1) / 2.0 - F.col("_mid"), F.col("m")
+    sums = ranked.groupBy("feature").agg(F.sum(m).cast("double").alias("n"), F.sum(m * r).alias("x"), F.sum(m * r * r).alias("xx"), F.sum("s").alias("y"), F.sum("s2").alias("yy"), F.sum(r * F.col("s")).alias("xy"))
+    spread = (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n"))
+    return sums.select("feature", F.when(spread > 0, (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread)).alias("spearman"))
+
+
+#: Digits (bits) of a target's code that are dealt with range by range; groups of more digits are small.
+TOP_BITS = 6
 
 
 def kendall_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, kendall): tau-b from the joint counts of a feature and a target of few values.
+    """(feature, kendall): tau-b, exact, for any number of target values.
 
-    Concordant pairs are counted from running sums over the feature's distinct values, kept for each target class.
+    The target's values are numbered in order. Two numbers differ first at some bit: so pairs are counted bit by bit,
+    among rows that agree in all higher bits, as zeros before ones less ones before zeros in the order of the feature.
+    That is one running sum for each bit over counts by value, and no pairs are made.
     """
-    cells = unpivot(prepared, features, "double", keep=("_y",)).groupBy("feature", "value", "_y").agg(F.count("*").alias("n"))
-    classes = cells.select("_y").distinct()
-    grid = cells.select("feature", "value").distinct().crossJoin(F.broadcast(classes)).join(cells, ["feature", "value", "_y"], "left").na.fill(0, ["n"])  # a row a class: classes are few
-    w = Window.partitionBy("feature", "_y").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("double"))
-    v = Window.partitionBy("feature", "value").orderBy("_y")
-    lower, upper = v.rowsBetween(Window.unboundedPreceding, -1), v.rowsBetween(1, Window.unboundedFollowing)
-    pairs = grid.select("feature", (F.col("n") * (F.coalesce(F.sum("before").over(lower), F.lit(0.0)) - F.coalesce(F.sum("before").over(upper), F.lit(0.0)))).alias("s"))
-    s = pairs.groupBy("feature").agg(F.sum("s").alias("s"))
+    codes = running_sum(prepared.select("_y").where("_y IS NOT NULL").distinct(), "_y", F.lit(1), "_code")
+    bits = max(1, (int(codes.agg(F.max("_code")).first()[0] or 1) - 1).bit_length())
+    rows = prepared.join(codes.withColumnRenamed("_y", "_of"), F.col("_y") == F.col("_of"))
+    cells = unpivot(rows, features, "double", keep=("_code",)).where("value IS NOT NULL").groupBy("feature", "value", (F.col("_code") - 1).cast("long").alias("code")).agg(F.count("*").cast("double").alias("n"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level")  # 0 is the highest bit
+    split = cells.select("feature", "value", "code", "n", level)
+    bit = F.expr(f"shiftright(code, {bits - 1} - level) & 1")
+    split = split.select("feature", "value", "level", F.expr(f"shiftright(code, {bits} - level)").alias("prefix"), F.when(bit == 0, F.col("n")).otherwise(0.0).alias("zeros"), F.when(bit == 1, F.col("n")).otherwise(0.0).alias("ones"))
+    counts = split.groupBy("feature", "level", "prefix", "value").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    by = ("feature", "level", "prefix")
+    top = running_sum(running_sum(counts.where(F.col("level") < TOP_BITS), "value", F.col("zeros"), "_zeros", by), "value", F.col("ones"), "_ones", by)
+    if bits > TOP_BITS:
+        w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        low = counts.where(F.col("level") >= TOP_BITS)
+        top = top.unionByName(low.withColumn("_zeros", F.sum("zeros").over(w)).withColumn("_ones", F.sum("ones").over(w)))
+    s = top.groupBy("feature").agg(F.sum(F.col("ones") * (F.col("_zeros") - F.col("zeros")) - F.col("zeros") * (F.col("_ones") - F.col("ones"))).alias("s"))
     tie = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
-    tx = cells.groupBy("feature", "value").agg(F.sum("n").alias("n")).groupBy("feature").agg(tie("n").alias("tx"), F.sum("n").cast("double").alias("total"))
-    ty = cells.groupBy("feature", "_y").agg(F.sum("n").alias("n")).groupBy("feature").agg(tie("n").alias("ty"))
+    tx = cells.groupBy("feature", "value").agg(F.sum("n").alias("n")).groupBy("feature").agg(tie("n").alias("tx"), F.sum("n").alias("total"))
+    ty = cells.groupBy("feature", "code").agg(F.sum("n").alias("n")).groupBy("feature").agg(tie("n").alias("ty"))
     n0 = F.col("total") * (F.col("total") - 1) / 2
     down = F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))
     return s.join(tx, "feature").join(ty, "feature").select("feature", F.when(down > 0, F.col("s") / down).alias("kendall"))
@@ -216,11 +242,36 @@ def leakage(df: DataFrame, target: str, threshold: float = 0.97) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, correlation), a before b: all pairs in one aggregate."""
-    df = normalize_nulls(df)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    made = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias("correlation")) for a, b in pairs]
-    return df.agg(F.array(*made).alias("m")).select(F.inline("m")) if pairs else df.sparkSession.createDataFrame([], "a string, b string, correlation double")
+    """(a, b, correlation), a before b: all pairs, each over the rows that have both.
+
+    Each partition is summed up batch by batch as products of matrices (a row a pair leaves it), so the plan doesn't grow
+    with the number of pairs.
+    """
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, correlation double")
+    df = normalize_nulls(df).select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    shift = [x or 0.0 for x in df.agg(*[F.avg(c) for c in df.columns]).first()]  # keeps the sums small
+    upper = np.triu_indices(len(columns), 1)
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]).astype(float) - shift
+            there = np.isfinite(x).astype(float)
+            x = np.where(there > 0, x, 0.0)
+            own = np.stack([there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x])
+            total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32()), *(pa.array(t[upper]) for t in total)], names=["i", "j", *SUMS])
+
+    s = df.mapInArrow(sums, "i int, j int, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SUMS])
+    spread = (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n"))
+    name = lambda c: F.element_at(F.array(*[F.lit(n) for n in columns]), F.col(c) + 1)
+    r = F.when((F.col("n") > 0) & (spread > 0), (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread))
+    return s.select(name("i").alias("a"), name("j").alias("b"), r.alias("correlation"))
+
+
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
 
 def strength(value: Column) -> Column:

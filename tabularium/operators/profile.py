@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ProfileConfig
+from ..functions import ordered
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
 DEFAULT = ProfileConfig()
 
 
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """The exact median of each numeric column that has values."""
+    counts = unpivot(df, columns, "double").where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    return {r.feature: r.q0 for r in ordered.quantiles(counts, "value", (0.5,), ("feature",)).collect()} if columns else {}  # a row a column
+
+
 def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, NUMERIC)
 
@@ -144,15 +151,16 @@ def warnings(profile: DataFrame) -> DataFrame:
 def numeric_stats(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, std, extremes, exact quantiles (linear), adjusted skewness G1 and excess kurtosis G2 of each column."""
     v = unpivot(normalize_nulls(df), columns, "double")
-    n, s = F.count("value"), F.skewness("value")
     out = v.groupBy("feature").agg(
-        n.alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.percentile("value", F.array(*[F.lit(q) for q in quantiles])).alias("q"), s.alias("g1"), F.kurtosis("value").alias("g2"),
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"),
     )
+    counts = v.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    out = out.join(ordered.quantiles(counts, "value", quantiles, ("feature",)), "feature", "left")
     n = F.col("n").cast("double")
     skew = F.when((n > 2) & (F.col("std") > 0), F.sqrt(n * (n - 1)) / (n - 2) * F.col("g1"))
     kurt = F.when((n > 3) & (F.col("std") > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    return out.select("feature", F.col("n").alias("count"), "mean", "std", "min", *[F.get("q", F.lit(i)).alias(f"p{round(100 * q):02d}") for i, q in enumerate(quantiles)], "max", skew.alias("skew"), kurt.alias("kurtosis"))
+    return out.select("feature", F.col("n").alias("count"), "mean", "std", "min", *[F.col(f"q{i}").alias(f"p{round(100 * q):02d}") for i, q in enumerate(quantiles)], "max", skew.alias("skew"), kurt.alias("kurtosis"))
 
 
 def categorical_stats(df: DataFrame, columns: list[str], config: ProfileConfig = DEFAULT, top: int = 10) -> DataFrame:
