@@ -7,9 +7,9 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .config import Settings
+from .operators.rows import with_row_id
 from .plans import runs
 from .plans.search import StubLLM
 from .plans.synthesis import PRESETS, synthesize
@@ -39,7 +39,7 @@ def main(args: list[str] | None = None) -> int:
     df = spark.read.parquet(a.table) if not a.table.endswith(".csv") else read_csv(spark, a.table)
     key = a.key or "_row_id"
     if key not in df.columns:
-        df = df.withColumn(key, F.monotonically_increasing_id())
+        df = with_row_id(df, key)
     models = a.models.split(",") if a.models else None
     if a.command == "profile":
         found = runs.profile_dataset(df.drop(key), [a.target], associations=tuple(a.associations.split(","))).to_dict()

@@ -8,31 +8,43 @@ syntax but only these forms are understood: column names, numbers, strings, + -
 from __future__ import annotations
 
 import ast
+import copy
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_sum
+
 
 class ProgramError(ValueError):
     """A program that isn't in the language, or names what isn't there."""
 
 
-def _over(f: Callable) -> Callable:
-    """A group aggregate given back to each row; rows without a key get null."""
-    return lambda key, value: F.when(key.isNotNull(), f(value).over(Window.partitionBy(key)))
+def _aggregate(make: Callable) -> Callable:
+    """A group aggregate given back to each row by a join; rows without a key get null."""
+
+    def run(df: DataFrame, name: str, key: str, value: str) -> DataFrame:
+        table = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(make(F.col(value)).alias(name))
+        return df.join(table, F.col(key) == F.col("_key"), "left").drop("_key")
 
+    return run
 
-def group_rank(key: Column, value: Column) -> Column:
-    """Average rank of the value in its group."""
-    w = Window.partitionBy(key)
-    return F.when(key.isNotNull() & value.isNotNull(), F.rank().over(w.orderBy(value.asc_nulls_last())) + (F.count(value).over(Window.partitionBy(key, value)) - 1) / 2)
 
+def group_rank(df: DataFrame, name: str, key: str, value: str) -> DataFrame:
+    """Average rank of the value in its group, from a row a distinct value."""
+    counts = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    ranked = running_sum(counts, "_value", F.col("_n"), "_upto", ("_key",)).select("_key", "_value", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+    return df.join(ranked, (F.col(key) == F.col("_key")) & (F.col(value) == F.col("_value")), "left").drop("_key", "_value")
 
-def frequency(c: Column) -> Column:
+
+def frequency(df: DataFrame, name: str, column: str) -> DataFrame:
     """Share of the rows that have this value."""
-    return F.when(c.isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(c)) / F.count(F.lit(1)).over(Window.partitionBy()))
+    counts = df.groupBy(F.col(column).alias("_key")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    shares = counts.where("_key IS NOT NULL").crossJoin(F.broadcast(total)).select("_key", (F.col("_n") / F.col("_all")).alias(name))  # one row
+    return df.join(shares, F.col(column) == F.col("_key"), "left").drop("_key")
 
 
 def _both(f: Callable) -> Callable:
@@ -44,7 +56,6 @@ def combine(a: Column, b: Column) -> Column:
 
 
 OPERATORS: dict[str, Callable[..., Column]] = {
-    "frequency": frequency,
     "absolute": F.abs,
     "logarithm": lambda c: F.when(c > 0, F.ln(c)),
     "square_root": lambda c: F.when(c >= 0, F.sqrt(c)),
@@ -54,16 +65,12 @@ OPERATORS: dict[str, Callable[..., Column]] = {
     "residual": lambda c: c - F.floor(c),
     "minimum": _both(F.least),
     "maximum": _both(F.greatest),
-    "group_min": _over(F.min),
-    "group_max": _over(F.max),
-    "group_mean": _over(F.avg),
-    "group_median": _over(F.median),
-    "group_std": _over(F.stddev_samp),
-    "group_rank": group_rank,
-    "group_nunique": lambda key, value: F.when(key.isNotNull(), F.size(F.collect_set(value).over(Window.partitionBy(key))).cast("long")),
     "combine": combine,
-    "combine_frequency": lambda a, b: frequency(combine(a, b)),
     "fillna": lambda c, v: F.coalesce(c, v),
+    "replace": lambda c, old, new: F.when(c == old, new).otherwise(c),
+    "to_number": lambda c: c.try_cast("double"),
+    "to_text": lambda c: c.cast("string"),
+    "to_integer": lambda c: c.try_cast("double").try_cast("bigint"),
     "contains": lambda c, s: c.contains(s),
     "extract": lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit("")),
     "length": F.char_length,
@@ -73,6 +80,20 @@ OPERATORS: dict[str, Callable[..., Column]] = {
 }
 
 
+#: Operators over other rows: (table, name of the result, names of the columns) to the table with the result. They are declared
+#: as an aggregate and a join, so a hot group isn't one task's, and no window holds the whole table.
+TABLE_OPERATORS: dict[str, tuple[int, Callable[..., DataFrame]]] = {
+    "frequency": (1, frequency),
+    "group_min": (2, _aggregate(F.min)),
+    "group_max": (2, _aggregate(F.max)),
+    "group_mean": (2, _aggregate(F.avg)),
+    "group_median": (2, _aggregate(F.median)),
+    "group_std": (2, _aggregate(F.stddev_samp)),
+    "group_nunique": (2, _aggregate(F.count_distinct)),
+    "group_rank": (2, group_rank),
+}
+
+
 def register_operator(name: str, make: Callable[..., Column]) -> None:
     """Add an operator: columns in, a column out."""
     if not name.isidentifier():
@@ -80,6 +101,38 @@ def register_operator(name: str, make: Callable[..., Column]) -> None:
     OPERATORS[name] = make
 
 
+class _Tables(ast.NodeTransformer):
+    """Replaces calls of operators over other rows by names of columns, which it adds to the table, innermost first."""
+
+    def __init__(self, df: DataFrame, known: set[str]):
+        self.df, self.known, self.made = df, known, []
+
+    def _add(self, column: Column) -> str:
+        name = f"_part{len(self.made)}"
+        while name in self.df.columns:
+            name += "_"
+        self.made.append(name)
+        self.df = self.df.withColumn(name, column)
+        return name
+
+    def visit_Call(self, node: ast.Call) -> ast.AST:
+        self.generic_visit(node)
+        called = node.func.id if isinstance(node.func, ast.Name) else ""
+        args = node.args
+        if called == "combine_frequency" and len(args) == 2:
+            called, args = "frequency", [ast.Call(ast.Name("combine"), args, [])]
+        if called not in TABLE_OPERATORS:
+            return node
+        count, make = TABLE_OPERATORS[called]
+        if len(args) != count or node.keywords:
+            raise ProgramError(f"{called} takes {count} columns")
+        names = [self._add(_column(a, self.known | {*self.made})) for a in args]
+        name = f"_part{len(self.made)}_result"
+        self.df = make(self.df, name, *names)
+        self.made.append(name)
+        return ast.Name(name)
+
+
 _BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Mod: lambda a, b: F.try_mod(a, b)}
 _COMPARE = {ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
 
@@ -149,7 +202,10 @@ def apply(df: DataFrame, text: str, protected: tuple[str, ...] = ()) -> DataFram
                 raise ProgramError(f"no column {name}")
             df = df.drop(name)
         else:
-            df = df.withColumn(name, _column(tree, {*df.columns} - {*protected}))
+            known = {*df.columns} - {*protected}
+            tables = _Tables(df, known)
+            tree = tables.visit(copy.deepcopy(tree))
+            df = tables.df.withColumn(name, _column(tree, known | {*tables.made})).drop(*[c for c in tables.made if c != name])
     return df
 
 

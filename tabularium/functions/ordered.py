@@ -56,15 +56,24 @@ def ahead(cut: DataFrame, total: Column, combine, by: tuple[str, ...] = ()) -> D
     return totals.select(*by, "_range", combine("_total").over(before).alias("_ahead"))
 
 
-def running_sum(df: DataFrame, column: str, value: Column, name: str, by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` up to and with each row of the same ``by``, in the order of ``column``.
+def running_sums(df: DataFrame, column: str, values: dict[str, Column], by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """``df`` with a column for each of ``values``: its sum up to and with each row of the same ``by``, in the order of ``column``.
 
     The values of ``column`` are distinct within ``by``; ``by`` has no nulls.
     """
-    cut = ranges(df.withColumn("_value", value), column, parts, by)
-    within = F.sum("_value").over(Window.partitionBy(*by, "_range").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    joined = cut.join(ahead(cut, F.sum("_value"), F.sum, by), [*by, "_range"])
-    return joined.select(*df.columns, (within + F.coalesce("_ahead", F.lit(0))).alias(name))
+    own = {name: f"_value{i}" for i, name in enumerate(values)}
+    cut = ranges(df.withColumns({own[name]: v for name, v in values.items()}), column, parts, by)
+    totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in own.values()])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = totals.select(*by, "_range", *[F.sum(c).over(before).alias(f"_ahead{c}") for c in own.values()])
+    within = Window.partitionBy(*by, "_range").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(totals, [*by, "_range"])
+    return joined.select(*df.columns, *[(F.sum(c).over(within) + F.coalesce(f"_ahead{c}", F.lit(0))).alias(name) for name, c in own.items()])
+
+
+def running_sum(df: DataFrame, column: str, value: Column, name: str, by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """``df`` with ``name``: one running sum."""
+    return running_sums(df, column, {name: value}, by, parts)
 
 
 #: Running primitives: of the values so far in the range (w), of those of the ranges before, and both together.

@@ -32,10 +32,17 @@ def final_mode(c: Column) -> Column:
     return F.coalesce(mode == "final", F.lit(False)) | F.coalesce(F.lower(c).rlike(r'"?mode"?\s*[:=]\s*"?final'), F.lit(False))
 
 
+#: What a user says to skip a question, and to end the session.
+SKIP = ("skip", "passe", "suivant", "next")
+DONE = ("done", "fin", "stop", "terminer", "fini", "terminé")
+#: Words of our own with the same meaning.
+MORE_SKIP, MORE_DONE = ("pass",), ("quit", "exit", "end", "arrête")
+
+
 def command(c: Column) -> Column:
     """skip, done or null: what a user's line asks for."""
     word = F.lower(F.trim(c))
-    return F.when(word.isin("skip", "pass", "next"), "skip").when(word.isin("done", "stop", "quit", "exit", "end"), "done")
+    return F.when(word.isin(*SKIP, *MORE_SKIP), "skip").when(word.isin(*DONE, *MORE_DONE), "done")
 
 
 def row_text(columns: list[str], target: str) -> Column:
@@ -45,12 +52,19 @@ def row_text(columns: list[str], target: str) -> Column:
 
 
 #: Names that a metric goes by.
-METRIC_ALIASES = {"roc_auc": "auc", "rocauc": "auc", "roc-auc": "auc", "auroc": "auc", "f1-score": "f1", "f1_score": "f1", "f1_weighted": "f1", "acc": "accuracy", "mean_squared_error": "mse", "mean_absolute_error": "mae", "log_loss": "logloss", "": "auto"}
+METRIC_ALIASES = {
+    "roc_auc": "auc", "rocauc": "auc", "roc-auc": "auc", "auroc": "auc",
+    "f1-score": "f1", "f1score": "f1", "f1-macro": "f1_macro", "f1-micro": "f1_micro", "f1_weighted": "f1",
+    "mean_squared_error": "mse", "root_mean_squared_error": "rmse", "mean_absolute_error": "mae", "r_squared": "r2", "r-squared": "r2",
+    "": "auto",
+}
+#: Names of our own.
+MORE_ALIASES = {"f1_score": "f1", "acc": "accuracy", "log_loss": "logloss"}
 
 
 def metric_name(c: Column) -> Column:
     word = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    pairs = F.create_map(*[F.lit(x) for kv in METRIC_ALIASES.items() for x in kv])
+    pairs = F.create_map(*[F.lit(x) for kv in (METRIC_ALIASES | MORE_ALIASES).items() for x in kv])
     return F.coalesce(pairs[word], word)
 
 

@@ -105,11 +105,21 @@ class CVResult:
 
 
 def predict(model, df: DataFrame) -> DataFrame:
-    """label, prediction, and probability of class 1 where the model gives one."""
+    """label, prediction, probability of class 1, and the probabilities of all classes where the model gives any."""
     out = model.transform(df)
     kept = [c for c in df.columns if c not in ("features", "label")]
-    p = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
-    return out.select(*kept, "label", "prediction", p.alias("probability"))
+    label = ["label"] if "label" in df.columns else []
+    if "probability" in out.columns:
+        each = vector_to_array("probability")
+    elif "rawPrediction" in out.columns:  # one model a class: margins, brought to between 0 and 1
+        each = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x)))
+    else:
+        return out.select(*kept, *label, "prediction", F.col("prediction").alias("probability"))
+    return out.select(*kept, *label, "prediction", F.get(each, F.lit(1)).alias("probability"), each.alias("probabilities"))
+
+
+def classes_of(data: DataFrame) -> int:
+    return int(data.agg(F.max("label")).first()[0] or 0) + 1
 
 
 def evaluate(predictions: DataFrame, task: str, classes: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
@@ -119,29 +129,41 @@ def evaluate(predictions: DataFrame, task: str, classes: int = 2, by: tuple[str,
     out = M.classification(predictions, by=by)
     if classes <= 2:
         parts = [M.auc(predictions, by=by), M.logloss(predictions, by=by)]
-        out = reduce(lambda a, b: a.join(b, list(by)) if by else a.crossJoin(b), parts, out)  # one row each without ``by``
-    return out
+    elif "probabilities" in predictions.columns:
+        parts = [M.multiclass_auc(predictions, by=by), M.multiclass_logloss(predictions, by=by)]
+    else:
+        parts = []
+    return reduce(lambda a, b: a.join(b, list(by)) if by else a.crossJoin(b), parts, out)  # one row each without ``by``
 
 
-def cross_validate(df: DataFrame, features: list[str], target: str, key: str, *, task: str, models: list[str], k: int = 5, seed: int = SEED, stratify: bool | None = None) -> dict[str, CVResult]:
-    """Every model on every fold; all metrics come from one set of predictions a model."""
+def cross_validate(df: DataFrame, features: list[str], target: str, key: str, *, task: str, models: list[str], k: int = 5, seed: int = SEED, stratify: bool | None = None, params: dict | None = None) -> dict[str, CVResult]:
+    """Every model (with ``params``, if given) on every fold; all metrics come from one set of predictions a model."""
     stratify = task != "regression" if stratify is None else stratify
     data = assemble(folds(df, key, k, target if stratify else None, seed), features, target, ("fold",)).persist()
-    classes = 0 if task == "regression" else int(data.agg(F.max("label")).first()[0] or 0) + 1
+    classes = 0 if task == "regression" else classes_of(data)
     out = {}
     try:
         for name in models:
-            result = CVResult(name)
+            made = []
             for i in range(k):
-                model = get_model(name, task, classes).fit(data.where(F.col("fold") != i))
-                row = evaluate(predict(model, data.where(F.col("fold") == i).drop("fold")), task, classes).first()
-                result.folds.append({m: row[m] for m in row.asDict()})
-            out[name] = result
+                model = fit(name, task, classes, data.where(F.col("fold") != i), params)
+                made.append(predict(model, data.where(F.col("fold") == i)))
+            scores = evaluate(reduce(DataFrame.unionByName, made), task, classes, ("fold",)).orderBy("fold").collect()  # a row a fold
+            out[name] = CVResult(name, [{m: v for m, v in r.asDict().items() if m != "fold"} for r in scores])
     finally:
         data.unpersist()
     return out
 
 
+def fit(name: str, task: str, classes: int, data: DataFrame, params: dict | None = None):
+    """A fitted model; ``params`` replace the defaults of those that it has (of each class's model where there is one a class)."""
+    estimator = get_model(name, task, classes)
+    inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    if params:
+        inner = inner.copy({inner.getParam(p): v for p, v in params.items()})
+    return (estimator.copy({estimator.classifier: inner}) if isinstance(estimator, OneVsRest) else inner).fit(data)
+
+
 def best_model(results: dict[str, CVResult], metric: str) -> str:
     """The model whose mean is best in the metric's own direction; the first of equals."""
     best = None

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running_sum
-from .profile import is_numeric, medians, normalize_nulls, unpivot
+from ..functions.ordered import running_sum, running_sums
+from .profile import is_numeric, medians, normalize_nulls, unpivot, value_counts
 
 
 def _codes(df: DataFrame, column: str) -> DataFrame:
@@ -85,8 +85,9 @@ def kendall_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
     among rows that agree in all higher bits, as zeros before ones less ones before zeros in the order of the feature.
     That is one running sum for each bit over counts by value, and no pairs are made.
     """
-    codes = running_sum(prepared.select("_y").where("_y IS NOT NULL").distinct(), "_y", F.lit(1), "_code")
-    bits = max(1, (int(codes.agg(F.max("_code")).first()[0] or 1) - 1).bit_length())
+    levels = prepared.select("_y").where("_y IS NOT NULL").distinct()
+    bits = max(1, (levels.count() - 1).bit_length())
+    codes = running_sum(levels, "_y", F.lit(1), "_code")
     rows = prepared.join(codes.withColumnRenamed("_y", "_of"), F.col("_y") == F.col("_of"))
     cells = unpivot(rows, features, "double", keep=("_code",)).where("value IS NOT NULL").groupBy("feature", "value", (F.col("_code") - 1).cast("long").alias("code")).agg(F.count("*").cast("double").alias("n"))
     level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level")  # 0 is the highest bit
@@ -95,14 +96,14 @@ def kendall_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
     split = split.select("feature", "value", "level", F.expr(f"shiftright(code, {bits} - level)").alias("prefix"), F.when(bit == 0, F.col("n")).otherwise(0.0).alias("zeros"), F.when(bit == 1, F.col("n")).otherwise(0.0).alias("ones"))
     counts = split.groupBy("feature", "level", "prefix", "value").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     by = ("feature", "level", "prefix")
-    top = running_sum(running_sum(counts.where(F.col("level") < TOP_BITS), "value", F.col("zeros"), "_zeros", by), "value", F.col("ones"), "_ones", by)
+    top = running_sums(counts.where(F.col("level") < TOP_BITS), "value", {"_zeros": F.col("zeros"), "_ones": F.col("ones")}, by)
     if bits > TOP_BITS:
         w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         low = counts.where(F.col("level") >= TOP_BITS)
         top = top.unionByName(low.withColumn("_zeros", F.sum("zeros").over(w)).withColumn("_ones", F.sum("ones").over(w)))
     s = top.groupBy("feature").agg(F.sum(F.col("ones") * (F.col("_zeros") - F.col("zeros")) - F.col("zeros") * (F.col("_ones") - F.col("ones"))).alias("s"))
-    tie = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
-    tx = cells.groupBy("feature", "value").agg(F.sum("n").alias("n")).groupBy("feature").agg(tie("n").alias("tx"), F.sum("n").alias("total"))
+    tie = lambda c: F.sum(F.expr(f"{c} * ({c} - 1) / 2"))
+    tx = counts.where("level = 0").groupBy("feature").agg(tie("(zeros + ones)").alias("tx"), F.sum(F.col("zeros") + F.col("ones")).alias("total"))
     ty = cells.groupBy("feature", "code").agg(F.sum("n").alias("n")).groupBy("feature").agg(tie("n").alias("ty"))
     n0 = F.col("total") * (F.col("total") - 1) / 2
     down = F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))
@@ -122,7 +123,9 @@ def mutual_information(df: DataFrame, features: list[str], target: str) -> DataF
 
 
 def binned(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
-    """Numeric columns as numbers of equal-width bins (null stays null): the discrete form for phi-k, MIC and MI."""
+    """Numeric columns as numbers of equal-width bins (null stays null): the discrete form of float columns for phi-k and MI."""
+    if not columns:
+        return df
     found = df.agg(*[f(F.col(c).cast("double")).alias(f"{p}{c}") for c in columns for f, p in ((F.min, "a_"), (F.max, "b_"))]).first()
     return df.withColumns({c: F.least(F.floor((F.col(c) - found[f"a_{c}"]) / max((found[f"b_{c}"] or 0) - (found[f"a_{c}"] or 0), 1e-300) * bins), F.lit(bins - 1)).cast("int") for c in columns})
 
@@ -139,48 +142,46 @@ def chi_square(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return stat.select("feature", "chi2", ((F.col("kx") - 1) * (F.col("ky") - 1)).alias("dof"), F.when(k > 0, F.sqrt(F.greatest(F.col("chi2"), F.lit(0.0)) / (F.col("total") * k))).alias("cramers_v"))
 
 
+#: Most levels of a feature or target that phi-k is computed for: its table is inverted numerically.
+MOST_LEVELS = 100
+
+
 def phi_k(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, phik): the correlation of a bivariate normal that, binned as the table is, would have its chi-square
-    (less what noise would give); found on the driver by bisection from a row a feature."""
+    (less what noise would give), found by bisection from a row a feature. Null beyond ``MOST_LEVELS`` levels."""
+    few = value_counts(df, [*features, target]).groupBy("feature").agg(F.count("*").alias("k")).where(F.col("k") <= MOST_LEVELS)
+    known = {r.feature for r in few.collect()}  # a row a feature
+    fit = [c for c in features if c in known] if target in known else []
+    rows = chi_square(df, fit, target).join(value_margins(df, fit, target), "feature").collect() if fit else []
+    found = {r["feature"]: normal_correlation(np.array(r["x_shares"]), np.array(r["y_shares"]), float(r["chi2"]) - float(r["dof"]), float(r["total"])) for r in rows}
+    return df.sparkSession.createDataFrame([(c, found.get(c)) for c in features], "feature string, phik double")
+
+
+def normal_correlation(a: np.ndarray, b: np.ndarray, want: float, n: float, steps: int = 24) -> float:
+    """The correlation at which a bivariate normal of ``n`` rows, cut into shares ``a`` and ``b``, has the chi-square ``want``."""
+    from math import erf
     from statistics import NormalDist
 
-    rows = chi_square(df, features, target).join(value_margins(df, features, target), "feature").collect()
-    nd = NormalDist()
-
-    def edges(shares: list[float]) -> list[float]:
-        out, total = [], 0.0
-        for s in shares[:-1]:
-            total += s
-            out.append(nd.inv_cdf(min(max(total, 1e-9), 1 - 1e-9)))
-        return [-8.0, *out, 8.0]
-
-    def chi_of(rho: float, xs: list[float], ys: list[float], a: list[float], b: list[float], n: float) -> float:
-        total = 0.0
-        root = max(1e-9, 1 - rho * rho) ** 0.5
-        for i in range(len(a)):
-            steps = 24
-            lo, hi = xs[i], xs[i + 1]
-            mids = [lo + (hi - lo) * (k + 0.5) / steps for k in range(steps)]
-            w = [nd.pdf(m) * (hi - lo) / steps for m in mids]
-            for j in range(len(b)):
-                p = sum(u * (nd.cdf((ys[j + 1] - rho * m) / root) - nd.cdf((ys[j] - rho * m) / root)) for u, m in zip(w, mids))
-                e = a[i] * b[j]
-                total += n * (p - e) ** 2 / e if e > 0 else 0
-        return total
-
-    out = []
-    for r in rows:
-        a, b, n = list(r["x_shares"]), list(r["y_shares"]), float(r["total"])
-        want, xs, ys = float(r["chi2"]) - float(r["dof"]), edges(a), edges(b)
-        if want <= 0 or len(a) < 2 or len(b) < 2:
-            out.append((r["feature"], 0.0))
-            continue
-        lo, hi = 0.0, 0.999
-        for _ in range(20):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if chi_of(mid, xs, ys, a, b, n) < want else (lo, mid)
-        out.append((r["feature"], hi))
-    return df.sparkSession.createDataFrame(out, "feature string, phik double")
+    if want <= 0 or len(a) < 2 or len(b) < 2:
+        return 0.0
+    inverse, cdf = NormalDist().inv_cdf, np.vectorize(lambda z: 0.5 * (1 + erf(z / 2**0.5)), otypes=[float])
+    cut = lambda shares: np.array([-8.0, *[inverse(min(max(x, 1e-9), 1 - 1e-9)) for x in np.cumsum(shares)[:-1]], 8.0])
+    xs, ys = cut(a), cut(b)
+    width = np.diff(xs)[:, None] / steps
+    mids = xs[:-1, None] + width * (np.arange(steps) + 0.5)
+    weight = np.exp(-mids * mids / 2) / (2 * np.pi) ** 0.5 * width
+    expected = np.outer(a, b)
+
+    def chi_of(rho: float) -> float:
+        upto = cdf((ys - rho * mids[:, :, None]) / max(1e-9, 1 - rho * rho) ** 0.5)
+        p = (weight[:, :, None] * np.diff(upto, axis=2)).sum(axis=1)
+        return float(n * np.where(expected > 0, (p - expected) ** 2 / np.where(expected > 0, expected, 1), 0).sum())
+
+    lo, hi = 0.0, 0.999
+    for _ in range(20):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_of(mid) < want else (lo, mid)
+    return hi
 
 
 def value_margins(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -195,13 +196,70 @@ def value_margins(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return shares("value", "x_shares").join(shares("_y", "y_shares"), "feature").select("feature", F.col("t_x_shares").alias("total"), "x_shares", "y_shares")
 
 
-def mic(df: DataFrame, features: list[str], target: str, grids: tuple[int, ...] = (2, 3, 4, 6, 8)) -> DataFrame:
-    """(feature, mic): the largest normalised mutual information over square equal-width grids (grids stand for the full search)."""
-    found = []
-    for g in grids:
-        mi = mutual_information(binned(df, [*features, target], g), features, target)
-        found.append(mi.select("feature", (F.col("mutual_info") / F.ln(F.lit(float(g)))).alias("m")))
-    return reduce(DataFrame.unionByName, found).groupBy("feature").agg(F.max("m").alias("mic"))
+#: Steps that either axis is cut into before grids are searched, each of about as many rows (equal values stay together).
+CLUMPS = 64
+
+
+def mic(df: DataFrame, features: list[str], target: str, clumps: int = CLUMPS, exponent: float = 0.6) -> DataFrame:
+    """(feature, mic): the largest normalised mutual information over grids of at most n ** 0.6 cells (at least 4).
+
+    One axis is cut evenly into each possible number of rows; the best columns for them are found by dynamic programming
+    over ``clumps`` steps of the other axis; then the axes change places. A task sees a feature's joint counts of steps,
+    never its rows.
+    """
+    rows = unpivot(df.withColumn("_y", F.col(target).cast("double")), features, "double", keep=("_y",)).where("value IS NOT NULL AND _y IS NOT NULL")
+    cells = rows.groupBy("feature", "value", "_y").agg(F.count("*").alias("n"))
+
+    def steps(column: str, name: str) -> DataFrame:
+        counts = cells.groupBy("feature", column).agg(F.sum("n").alias("n"))
+        total = counts.groupBy("feature").agg(F.sum("n").alias("_all"))
+        upto = running_sum(counts, column, F.col("n"), "_upto", ("feature",)).join(total, "feature")
+        return upto.select("feature", column, F.floor((F.col("_upto") - F.col("n") / 2.0) * clumps / F.col("_all")).cast("int").alias(name))
+
+    table = cells.join(steps("value", "i"), ["feature", "value"]).join(steps("_y", "j"), ["feature", "_y"]).groupBy("feature", "i", "j").agg(F.sum("n").alias("n"))
+
+    def best(key, pdf):
+        import pandas as pd
+
+        counts = pdf.pivot_table(index="i", columns="j", values="n", fill_value=0).to_numpy(float)
+        return pd.DataFrame({"feature": [key[0]], "mic": [grid_information(counts, exponent)]})
+
+    return table.groupBy("feature").applyInPandas(best, "feature string, mic double")
+
+
+def grid_information(counts: np.ndarray, exponent: float = 0.6) -> float:
+    """The largest normalised mutual information over grids on a table of counts."""
+    n = counts.sum()
+    most = max(4.0, n**exponent)
+    return max((v for table in (counts, counts.T) for v in _best_columns(table, most)), default=0.0)
+
+
+def _best_columns(counts: np.ndarray, most: float):
+    """Of each number of even rows (second axis) and of columns within ``most`` cells: the best normalised information."""
+    n, k = counts.sum(), len(counts)
+    upto = np.cumsum(counts.sum(axis=0))
+    seen = set()
+    for rows in range(2, int(most // 2) + 1):
+        row = np.minimum((upto - counts.sum(axis=0) / 2) * rows / n, rows - 1).astype(int)
+        _, row = np.unique(row, return_inverse=True)
+        made = int(row.max()) + 1
+        if made < 2 or tuple(row) in seen:
+            continue
+        seen.add(tuple(row))
+        by_row = np.zeros((k + 1, made))
+        np.add.at(by_row.T, row, np.vstack([np.zeros(counts.shape[1]), np.cumsum(counts, axis=0)]).T)
+        part = by_row[None, :, :] - by_row[:, None, :]  # steps s..t of the first axis as one column
+        size = part.sum(axis=2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cost = -np.where(part > 0, part * np.log(part / size[:, :, None]), 0).sum(axis=2)
+        cost[np.tril_indices(k + 1)] = np.inf
+        share = by_row[-1] / n
+        entropy = -(share[share > 0] * np.log(share[share > 0])).sum()
+        reached = cost[0]
+        for columns in range(2, min(k, int(most // made)) + 1):
+            reached = (reached[:, None] + cost).min(axis=0)
+            if np.isfinite(reached[-1]):
+                yield (entropy - reached[-1] / n) / np.log(min(columns, made))
 
 
 def combined_score(scores: DataFrame, metrics: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ Everything comes from three families of jobs, each one pass for all columns: nul
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,5 +209,57 @@ def target_profile(df: DataFrame, target: str, config: ProfileConfig = DEFAULT)
 def class_distribution(df: DataFrame, target: str, top: int = 30) -> DataFrame:
     """(class, count, proportion) with nulls as a class, most frequent first."""
     counts = df.groupBy(F.col(target).cast("string").alias("class")).agg(F.count("*").alias("count"))
-    share = F.col("count") / F.sum("count").over(Window.partitionBy())
-    return counts.select("class", "count", share.alias("proportion")).orderBy(F.desc("count"), "class").limit(top)
+    total = counts.agg(F.sum("count").alias("_all"))
+    return counts.crossJoin(F.broadcast(total)).select("class", "count", (F.col("count") / F.col("_all")).alias("proportion")).orderBy(F.desc("count"), "class").limit(top)  # one row
+
+
+def class_counts(df: DataFrame, target: str, top: int = 10) -> DataFrame:
+    """(class, count, proportion) of the most frequent classes among rows that have one."""
+    return class_distribution(normalize_nulls(df).where(F.col(target).isNotNull()), target, top)
+
+
+#: Shares from which one class is called dominant.
+DOMINANT, VERY_DOMINANT = 0.80, 0.90
+
+
+def target_notes(df: DataFrame, target: str, config: ProfileConfig = DEFAULT) -> DataFrame:
+    """(target, note): what to mind about a target."""
+    one = target_profile(df, target, config)
+    top = class_distribution(df, target, 1).select(F.col("proportion").alias("_top"))
+    share, classes = F.col("_top"), F.col("problem_type") != "regression"
+    notes = F.array_compact(F.array(
+        F.when(classes & (share > VERY_DOMINANT), "very_dominant_class").when(classes & (share > DOMINANT), "dominant_class"),
+        F.when(F.col("is_imbalanced"), "imbalanced_classes"),
+        F.when(F.col("n_missing") > 0, "missing_target_values"),
+        F.when(F.col("n_unique") <= 1, "constant_target"),
+    ))
+    return one.join(F.broadcast(top), F.lit(True), "left").select("target", F.explode(notes).alias("note"))  # one row
+
+
+def targets_profile(df: DataFrame, targets: list[str], config: ProfileConfig = DEFAULT) -> DataFrame:
+    """A row a target."""
+    return reduce(DataFrame.unionByName, [target_profile(df, t, config) for t in targets])
+
+
+#: Fixed value: a skewness beyond which a transformation is suggested.
+SKEWED = 1.0
+
+
+def skew_hints(stats: DataFrame) -> DataFrame:
+    """(feature, recommendation) of numeric statistics: features skewed enough to be transformed."""
+    return stats.where(F.abs("skew") > SKEWED).select("feature", F.lit("consider_non_linear_transform").alias("recommendation"))
+
+
+def memory_mb(df: DataFrame) -> float:
+    """The optimizer's estimate of the table's size."""
+    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().doubleValue()) / 1e6
+
+
+def valid_groups(df: DataFrame, columns: list[str], least_size: int = 5, least_groups: int = 2) -> DataFrame:
+    """(feature, n_groups) of the columns with enough levels of enough rows each."""
+    counts = value_counts(df, columns).where(F.col("count") >= least_size)
+    return counts.groupBy("feature").agg(F.count("*").alias("n_groups")).where(F.col("n_groups") >= least_groups)
+
+
+def group_sizes(df: DataFrame, by: str) -> DataFrame:
+    return df.groupBy(by).agg(F.count("*").alias("n"))

@@ -244,3 +244,54 @@ def progress(log: DataFrame, order: str = "sample_order", score: str = "score")
     """One row: samples in all, valid, failed, best, best's order, last order, success rate and spread of scores."""
     n, ok = F.count("*"), F.count(score)
     return log.agg(n.alias("total"), ok.alias("valid"), (n - ok).alias("failed"), F.max(score).alias("best"), F.min_by(order, F.when(F.col(score).isNotNull(), F.struct(-F.col(score), F.col(order)))).alias("best_order"), F.max(order).alias("last_order"), F.when(n > 0, 100.0 * ok / n).otherwise(0.0).alias("success_rate"), F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("std_score"))
+
+
+def valid_samples(log: DataFrame, score: str = "score") -> DataFrame:
+    return log.where(F.col(score).isNotNull())
+
+
+def failed_samples(log: DataFrame, score: str = "score") -> DataFrame:
+    return log.where(F.col(score).isNull())
+
+
+def score_histogram(log: DataFrame, score: str = "score") -> DataFrame:
+    """(score, n): how often each score was reached, in order."""
+    return valid_samples(log, score).groupBy(score).agg(F.count("*").alias("n")).orderBy(score)
+
+
+def last_n(log: DataFrame, n: int = 15, order: str = "sample_order") -> DataFrame:
+    """The last rows, newest first."""
+    return log.orderBy(F.desc(order)).limit(n)
+
+
+def top_n(df: DataFrame, by: str, n: int = 10, tie: str | None = None) -> DataFrame:
+    return df.orderBy(F.desc(by), *([tie] if tie else [])).limit(n)
+
+
+def best_row(df: DataFrame, group: str, score: str, key: str) -> DataFrame:
+    """(group, key): of each group the key of the best score, the least of equals."""
+    ranked = F.min_by(key, F.when(F.col(score).isNotNull(), F.struct(-F.col(score), F.col(key))))
+    return df.groupBy(group).agg(ranked.alias(key))
+
+
+def leaderboard(df: DataFrame, score: str, key: str, name: str = "rank") -> DataFrame:
+    """(key, name): places from 1, best first, ties by key. Counted range by range of the score, and by key among equals."""
+    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    worse = running_sum(counts, score, F.col("_n"), "_upto").crossJoin(F.broadcast(total)).select(F.col(score).alias("_score"), (F.col("_all") - F.col("_upto")).alias("_before"))  # one row
+    among = F.row_number().over(Window.partitionBy(score).orderBy(key))
+    return df.withColumn("_among", among).join(worse, F.col(score) == F.col("_score")).select(key, (F.col("_before") + F.col("_among")).alias(name))
+
+
+def to_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns as doubles; what doesn't parse becomes null."""
+    return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
+
+
+def with_row_id(df: DataFrame, name: str = "_row_id") -> DataFrame:
+    """``df`` with a number for each row that depends on the row's values alone, so splits and folds can be repeated;
+    equal rows are told apart by their number among themselves."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    among = F.row_number().over(Window.partitionBy("_h", "_m").orderBy(F.lit(1)))
+    rows = df.withColumn("_h", h).withColumn("_m", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    return rows.withColumn(name, F.concat_ws("-", F.hex("_h"), "_m", among.cast("string"))).drop("_h", "_m")

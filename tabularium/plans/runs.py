@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, is_dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Layout, ProfileConfig
@@ -33,7 +35,14 @@ class Report:
     association: DataFrame | None = None
 
     def to_dict(self) -> dict:
-        return {k: [r.asDict(recursive=True) for r in v.collect()] for k, v in self.__dict__.items() if v is not None}
+        tables = {k: v for k, v in self.__dict__.items() if v is not None}
+        return dict(zip(tables, at_once([lambda v=v: [r.asDict(recursive=True) for r in v.collect()] for v in tables.values()])))
+
+
+def at_once(jobs: list) -> list:
+    """Results of independent jobs, begun together: small tables wait for scheduling more than for work."""
+    with ThreadPoolExecutor(max_workers=max(1, min(8, len(jobs)))) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), jobs))
 
 
 def profile_dataset(df: DataFrame, targets: list[str] | None = None, config: ProfileConfig = profile.DEFAULT, *, associations: tuple[str, ...] = (), task: str = "classification") -> Report:
@@ -58,20 +67,43 @@ def profile_dataset(df: DataFrame, targets: list[str] | None = None, config: Pro
     return out
 
 
-def associate(df: DataFrame, features: list[str], target: str, methods: tuple[str, ...] = ("pearson", "spearman", "kendall", "mutual_info")) -> DataFrame:
-    """(feature, one column a method, combined_score), best first; only the methods asked for are computed."""
-    data = association.prepare(df, features, target)
+def associate(df: DataFrame, features: list[str], target: str, methods: tuple[str, ...] = ("pearson", "spearman", "kendall", "mutual_info"), errors: dict[str, str] | None = None) -> DataFrame:
+    """(feature, one column a method, combined_score), best first; only the methods asked for are computed.
+
+    Float columns, the target too, are cut into bins for mutual information and phi-k; all others count as they are, level by
+    level. A method that fails leaves its column null and its message in ``errors``.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    data = association.prepare(df, features, target).persist()  # lost blocks are computed again
+    floats = [c for c in [*features, target] if kinds[c].typeName() in ("float", "double") or kinds[c].typeName().startswith("decimal")]
+    discrete = association.binned(data, ["_y" if c == target else c for c in floats])
     made = {
         "pearson": lambda: association.pearson_scores(data, features),
         "spearman": lambda: association.spearman_scores(data, features),
         "kendall": lambda: association.kendall_scores(data, features),
-        "mutual_info": lambda: association.mutual_information(association.binned(data, features), features, "_y"),
+        "mutual_info": lambda: association.mutual_information(discrete, features, "_y"),
         "mic": lambda: association.mic(data, features, "_y"),
-        "phik": lambda: association.phi_k(association.binned(data, features), features, "_y"),
+        "phik": lambda: association.phi_k(discrete, features, "_y"),
     }
-    out = None
-    for m in methods:
-        out = made[m]() if out is None else out.join(made[m](), "feature", "left")
+    if unknown := [m for m in methods if m not in made]:
+        raise ValueError(f"no method {unknown}; there are {', '.join(made)}")
+
+    def scores(method: str) -> dict[str, float]:
+        try:
+            return {r[0]: r[1] for r in made[method]().collect()}  # a row a feature
+        except Exception as e:
+            if errors is None:
+                raise
+            errors[method] = f"{type(e).__name__}: {str(e)[:300]}"
+            return {}
+
+    try:
+        data.count()
+        found = at_once([lambda m=m: scores(m) for m in methods])
+    finally:
+        data.unpersist()
+    rows = [(c, *[t.get(c) for t in found]) for c in features]
+    out = df.sparkSession.createDataFrame(rows, "feature string, " + ", ".join(f"{m} double" for m in methods))
     return association.combined_score(out, list(methods))
 
 

@@ -160,7 +160,7 @@ def evolve(df: DataFrame, target: str, key: str, client: LLMClient, *, task: str
 def build_prompt(df: DataFrame, target: str, numeric: list[str], ancestors: list[tuple[float, str]], rng: random.Random) -> str:
     """What a client is asked; the operators are listed one time in three, else the task's domain is stressed."""
     lines = [f"Propose features that help to predict {target}, one 'name = expression' a line."]
-    lines.append("Operators: " + ", ".join(sorted(language.OPERATORS)) if rng.random() < 1 / 3 else "Use what the columns mean in their domain.")
+    lines.append("Operators: " + ", ".join(sorted({*language.OPERATORS, *language.TABLE_OPERATORS, "combine_frequency"})) if rng.random() < 1 / 3 else "Use what the columns mean in their domain.")
     lines += [f"# score {s:.6f}\n{p}" for s, p in ancestors if p]
     lines.append("COLUMNS " + json.dumps({"numeric": numeric, "all": [c for c in df.columns if c != target]}))
     return "\n".join(lines)

@@ -6,12 +6,14 @@ A run first lists ``FeatureDef``s, its logical plan, then declares them all in a
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import primitives as P
+from ..functions.ordered import running
 from ..operators.profile import TIME, is_numeric
 from ..operators.rows import group_columns
 from .selection import SelectionResult, select_features
@@ -36,6 +38,8 @@ class SynthesisConfig:
     max_features: int = 200
     select: str | None = "hybrid"
     top_k: int | None = None
+    time: str | None = None  # the column that first, last, trend and times since go by
+    asof: str | None = None  # the moment that times since count up to; by default the latest there is
 
 
 #: Presets by name.
@@ -64,52 +68,121 @@ def _takes(p: P.Primitive, kind: T.DataType) -> bool:
     )
 
 
+#: Special aggregates that need a time column.
+BY_TIME = ("time_since_last", "time_since_first", "trend", "first", "last")
+#: Of these one is made for each group, of the others one for each column.
+ALONE = ("count", "time_since_last", "time_since_first")
+
+
+def _known(names: list[str], known: set[str], what: str) -> list[str]:
+    if unknown := [n for n in names if n not in known]:
+        raise ValueError(f"no {what} {', '.join(unknown)}; there are {', '.join(sorted(known))}")
+    return names
+
+
 def define(df: DataFrame, target: str, key: str, config: SynthesisConfig, groups: list[str]) -> list[FeatureDef]:
-    """The features of a run in a fixed order; no job is needed for it."""
+    """The features of a run in a fixed order; no job is needed for it.
+
+    Depth 1: transforms of columns. 2: aggregates of groups, given back to their rows. 3: transforms of those, and aggregates of
+    transforms. 4: transforms of the latter. An unknown primitive is an error, as is one by time without a time column.
+    """
     fields = [f for f in df.schema.fields if f.name not in (target, key)]
     has_time, has_text = any(isinstance(f.dataType, TIME) for f in fields), any(isinstance(f.dataType, T.StringType) for f in fields)
     aggregates, transforms = P.for_level(config.max_depth, has_time, has_text)
-    aggregates = list(config.aggregates) if config.aggregates is not None else aggregates
-    transforms = list(config.transforms) if config.transforms is not None else transforms
-    out: list[FeatureDef] = []
-    for f in fields:
+    if config.aggregates is not None:
+        aggregates = _known(list(config.aggregates), {*P.AGGREGATES, *P.SPECIAL}, "aggregate")
+        if (timed := [a for a in aggregates if a in BY_TIME]) and not config.time:
+            raise ValueError(f"{', '.join(timed)} need the name of a time column")
+    elif not config.time:
+        aggregates = [a for a in aggregates if a not in BY_TIME]
+    if config.transforms is not None:
+        transforms = _known(list(config.transforms), {*P.TRANSFORMS, *P.WINDOWS, "percentile"}, "transform")
+    transforms = list(dict.fromkeys(transforms))
+
+    def takes(name: str, kind: T.DataType) -> bool:
+        if name in P.SPECIAL:
+            return isinstance(kind, (T.StringType, T.BooleanType)) or is_numeric(kind) and not isinstance(kind, (T.DoubleType, T.FloatType)) if name in ("entropy", "n_most_common") else is_numeric(kind)
+        p = P.AGGREGATES[name]
+        return _takes(p, kind) and (is_numeric(kind) or p.takes != "any")
+
+    def transformed(base: str, kind: T.DataType, depth: int, group: str | None = None) -> list[FeatureDef]:
+        made = []
         for t in transforms:
-            if t == "percentile" and is_numeric(f.dataType):
-                out.append(FeatureDef(f"PERCENTILE({f.name})", t, f.name, 1))
-            elif t in P.WINDOWS and _takes(P.WINDOWS[t], f.dataType) or t in P.TRANSFORMS and _takes(P.TRANSFORMS[t], f.dataType):
-                out.append(FeatureDef(f"{t.upper()}({f.name})", t, f.name, 1))
-    if config.max_depth >= 2:
+            if t == "percentile" and is_numeric(kind) or t in P.WINDOWS and _takes(P.WINDOWS[t], kind) or t in P.TRANSFORMS and _takes(P.TRANSFORMS[t], kind):
+                made.append(FeatureDef(f"{t.upper()}({base})", t, base, depth, group))
+        return made
+
+    def aggregated(bases: list[tuple[str, T.DataType]], depth: int) -> list[FeatureDef]:
+        made = []
         for g in groups:
             for a in aggregates:
-                if a == "count":
-                    out.append(FeatureDef(f"{g}_groups.COUNT(main)", a, g, 2, g))
-                elif a in P.AGGREGATES:
-                    out += [FeatureDef(f"{g}_groups.{a.upper()}(main.{f.name})", a, f.name, 2, g) for f in fields if f.name != g and _takes(P.AGGREGATES[a], f.dataType) and (is_numeric(f.dataType) or P.AGGREGATES[a].takes != "any")]
+                if a in ALONE:
+                    made += [FeatureDef(f"{g}_groups.{a.upper()}(main)", a, g, depth, g)] if depth == 2 else []
+                else:
+                    made += [FeatureDef(f"{g}_groups.{a.upper()}(main.{name})", a, name, depth, g) for name, kind in bases if name != g and takes(a, kind)]
+        return made
+
+    out = [d for f in fields for d in transformed(f.name, f.dataType, 1)]
+    if config.max_depth >= 2:
+        out += aggregated([(f.name, f.dataType) for f in fields], 2)
     if config.max_depth >= 3:
-        out += [FeatureDef(f"ABSOLUTE({d.name})", "absolute", d.name, 3) for d in out if d.depth == 2 and d.primitive in ("mean", "min", "sum")]
+        number = T.DoubleType()
+        stack = [d for d in out if d.depth == 2 and d.primitive != "n_most_common" and d.primitive not in ("mode", "first", "last")]
+        simple = [d for d in out if d.depth == 1 and d.primitive in P.TRANSFORMS and P.TRANSFORMS[d.primitive].returns == "numeric"]
+        out += [x for d in stack for x in transformed(d.name, number, 3) if x.primitive in P.TRANSFORMS and x.primitive != "is_null"]
+        deep = [d for d in aggregated([(d.name, number) for d in simple], 3) if d.primitive in P.AGGREGATES]
+        out += deep
+        if config.max_depth >= 4:
+            out += [x for d in deep for x in transformed(d.name, number, 4) if x.primitive in P.TRANSFORMS and x.primitive != "is_null"]
     return out[: config.max_features]
 
 
-def compute(df: DataFrame, definitions: list[FeatureDef], key: str) -> DataFrame:
+def _special(df: DataFrame, group: str, own: list[FeatureDef], key: str, time: str | None, asof) -> list[DataFrame]:
+    """(_key, features) of a group's special aggregates, a table each."""
+    df, out = df.where(F.col(f"`{group}`").isNotNull()), []
+    timed: dict[str, list[FeatureDef]] = {}
+    for d in own:
+        if d.primitive in BY_TIME:
+            timed.setdefault(d.base if d.primitive not in ALONE else "", []).append(d)
+        elif d.primitive == "entropy":
+            out.append(P.entropy(df.select(F.col(f"`{group}`").alias("_key"), F.col(f"`{d.base}`").alias("_value")), "_key", "_value").withColumnRenamed("entropy", d.name))
+        elif d.primitive == "n_most_common":
+            found = P.n_most_common(df.select(F.col(f"`{group}`").alias("_key"), F.col(f"`{d.base}`").alias("_value")), "_key", "_value")
+            out.append(found.select("_key", *[F.col(f"most_common_{i}").alias(f"{d.name}[{i}]") for i in (1, 2, 3)]))
+    for base, defs in timed.items():
+        rows = df.select(F.col(f"`{group}`").alias("_key"), F.col(f"`{base}`" if base else f"`{key}`").alias("_value"), F.col(f"`{time}`").alias("_time"), F.col(f"`{key}`").alias("_tie"))
+        rows = rows if base else rows.withColumn("_value", F.lit(0.0))
+        found = P.time_aggregates(rows, "_key", "_value", "_time", "_tie", asof)
+        out.append(found.select("_key", *[F.col(d.primitive).alias(d.name) for d in defs]))
+    return out
+
+
+def compute(df: DataFrame, definitions: list[FeatureDef], key: str, time: str | None = None, asof: str | None = None) -> DataFrame:
     """``df`` with the features."""
-    direct, out = [], df
-    for d in definitions:
-        if d.depth == 1 and d.primitive in P.TRANSFORMS:
-            direct.append((d.name, P.TRANSFORMS[d.primitive].make(F.col(f"`{d.base}`"))))
-        elif d.depth == 1 and d.primitive in P.WINDOWS:
-            direct.append((d.name, P.WINDOWS[d.primitive].make(F.col(f"`{d.base}`"), [key], [])))
-    if direct:
-        out = out.select("*", *[c.alias(n) for n, c in direct])
+    out = df
+    simple = lambda depth: [(d.name, P.TRANSFORMS[d.primitive].make(F.col(f"`{d.base}`"))) for d in definitions if d.depth == depth and d.primitive in P.TRANSFORMS]
+    if first := simple(1):
+        out = out.select("*", *[c.alias(n) for n, c in first])
+    if windows := [(d.name, d.primitive, d.base) for d in definitions if d.depth == 1 and d.primitive in P.WINDOWS]:
+        out = running(out, key, windows)
     for d in definitions:
-        if d.primitive == "percentile":
+        if d.primitive == "percentile" and d.depth == 1:
             out = P.percentile(out, d.base, d.name)
+    base = out
+    moment = None
+    if time and any(d.primitive in BY_TIME for d in definitions):
+        moment = F.lit(asof).cast("timestamp") if asof else F.lit(df.agg(F.max(F.col(f"`{time}`").cast("timestamp"))).first()[0])
     for g in dict.fromkeys(d.group for d in definitions if d.group):
         own = [d for d in definitions if d.group == g]
-        table = df.where(F.col(g).isNotNull()).groupBy(F.col(g).alias("_key")).agg(*[P.AGGREGATES[d.primitive].make(F.col(f"`{d.base}`")).alias(d.name) for d in own])
-        out = out.join(table, F.col(f"`{g}`") == F.col("_key"), "left").drop("_key")  # rows without a key stay, without values
-    stacked = [d for d in definitions if d.depth == 3]
-    if stacked:
-        out = out.select("*", *[F.abs(F.col(f"`{d.base}`")).alias(d.name) for d in stacked])
+        plain = [d for d in own if d.primitive in P.AGGREGATES]
+        tables = [base.where(F.col(f"`{g}`").isNotNull()).groupBy(F.col(f"`{g}`").alias("_key")).agg(*[P.AGGREGATES[d.primitive].make(F.col(f"`{d.base}`")).alias(d.name) for d in plain])] if plain else []
+        tables += _special(base, g, own, key, time, moment)
+        if tables:
+            table = reduce(lambda a, b: a.join(b, "_key", "full"), tables)  # a row a group
+            out = out.join(table, F.col(f"`{g}`") == F.col("_key"), "left").drop("_key")  # rows without a key stay, without values
+    for depth in (3, 4):
+        if stacked := simple(depth):
+            out = out.select("*", *[c.alias(n) for n, c in stacked])
     return out
 
 
@@ -124,7 +197,7 @@ def synthesize(df: DataFrame, target: str, key: str, config: SynthesisConfig | s
     else:
         groups = []
     definitions = define(df, target, key, config, groups)
-    table = compute(df, definitions, key)
+    table = compute(df, definitions, key, config.time, config.asof)
     selection = None
     if config.select:
         selection = select_features(table.drop(key), target, task=task, method=config.select, top_k=config.top_k)
