@@ -176,11 +176,11 @@ def parse(text: str) -> list[tuple[str, ast.AST | None]]:
     """(name, expression) by line; no expression where the column is dropped. Blank lines and comments are skipped."""
     out: list[tuple[str, ast.AST | None]] = []
     for line in text.splitlines():
-        line = line.split("#", 1)[0].strip()
-        if not line:
+        line = line.strip()
+        if not line or line.startswith("#"):
             continue
         if line.startswith("drop "):
-            out.append((line[5:].strip(), None))
+            out.append((line[5:].split("#", 1)[0].strip(), None))
             continue
         try:
             tree = ast.parse(line, mode="exec").body

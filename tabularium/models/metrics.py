@@ -87,6 +87,11 @@ def regression(df: DataFrame, y: str = "label", p: str = "prediction", by: tuple
     return df.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"), F.coalesce(mape, F.lit(float("inf"))).alias("mape"))
 
 
+def fold_summary(scores: DataFrame, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, mean, std, min, max, median) of scores, a row a fold or model; the deviation is that of the population."""
+    return scores.groupBy(*by).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"), F.median(score).alias("median"))
+
+
 def weighted(scores: dict[str, float], weights: dict[str, float]) -> float:
     """Sum of weighted metrics, each by its sign; weights must total 1 to within 0.01."""
     if abs(sum(weights.values()) - 1) > 0.01 + 1e-9:

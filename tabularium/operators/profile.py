@@ -22,8 +22,10 @@ DEFAULT = ProfileConfig()
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """The exact median of each numeric column that has values."""
+    if not columns:
+        return {}
     counts = unpivot(df, columns, "double").where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n"))
-    return {r.feature: r.q0 for r in ordered.quantiles(counts, "value", (0.5,), ("feature",)).collect()} if columns else {}  # a row a column
+    return {r.feature: r.q0 for r in ordered.quantiles(counts, "value", (0.5,), ("feature",)).collect()}  # a row a column
 
 
 def is_numeric(kind: T.DataType) -> bool:
@@ -252,7 +254,7 @@ def skew_hints(stats: DataFrame) -> DataFrame:
 
 def memory_mb(df: DataFrame) -> float:
     """The optimizer's estimate of the table's size."""
-    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().doubleValue()) / 1e6
+    return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
 
 
 def valid_groups(df: DataFrame, columns: list[str], least_size: int = 5, least_groups: int = 2) -> DataFrame:

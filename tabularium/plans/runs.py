@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, is_dataclass
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Layout, ProfileConfig
+from ..functions import language
+from ..functions.primitives import TRANSFORMS
 from ..models import metrics, registry
-from ..operators import association, profile
+from ..operators import association, profile, rows
+from ..sources.readers import list_files
+from ..sources.writers import write_csv, write_predictions
 from . import search
 from .infer import infer
 from .selection import select_features
-from .synthesis import SynthesisConfig, synthesize
+from .synthesis import SynthesisConfig, compute, synthesize
 
 
 @dataclass
@@ -33,6 +39,8 @@ class Report:
     text: DataFrame | None = None
     leakage: DataFrame | None = None
     association: DataFrame | None = None
+    target_notes: DataFrame | None = None
+    hints: DataFrame | None = None
 
     def to_dict(self) -> dict:
         tables = {k: v for k, v in self.__dict__.items() if v is not None}
@@ -54,12 +62,15 @@ def profile_dataset(df: DataFrame, targets: list[str] | None = None, config: Pro
     numeric = [c for c in features if profile.is_numeric(kinds[c])]
     strings = [c for c in features if kinds[c].typeName() == "string"]
     out = Report(profile.dataset_profile(df), profile.column_profile(df, targets, config))
-    out.numeric = profile.numeric_stats(df, numeric) if numeric else None
+    if numeric:
+        out.numeric = profile.numeric_stats(df, numeric)
+        out.hints = profile.skew_hints(out.numeric)
     if strings:
         out.categorical, out.text = profile.categorical_stats(df, strings, config), profile.text_stats(df, strings)
     if targets:
         t = targets[0]
-        out.target = profile.target_profile(df, t, config)
+        out.target = profile.targets_profile(df, targets, config)
+        out.target_notes = reduce(DataFrame.unionByName, [profile.target_notes(df, x, config) for x in targets])
         out.classes = profile.class_distribution(df, t)
         out.leakage = association.leakage(df.select(*features, t), t, config.strong_correlation) if profile.is_numeric(kinds[t]) and numeric else None
         if associations:
@@ -67,12 +78,17 @@ def profile_dataset(df: DataFrame, targets: list[str] | None = None, config: Pro
     return out
 
 
+METHODS = ("pearson", "spearman", "kendall", "mutual_info", "mic", "phik")
+
+
 def associate(df: DataFrame, features: list[str], target: str, methods: tuple[str, ...] = ("pearson", "spearman", "kendall", "mutual_info"), errors: dict[str, str] | None = None) -> DataFrame:
     """(feature, one column a method, combined_score), best first; only the methods asked for are computed.
 
     Float columns, the target too, are cut into bins for mutual information and phi-k; all others count as they are, level by
     level. A method that fails leaves its column null and its message in ``errors``.
     """
+    if unknown := [m for m in methods if m not in METHODS]:
+        raise ValueError(f"no method {unknown}; there are {', '.join(METHODS)}")
     kinds = {f.name: f.dataType for f in df.schema.fields}
     data = association.prepare(df, features, target).persist()  # lost blocks are computed again
     floats = [c for c in [*features, target] if kinds[c].typeName() in ("float", "double") or kinds[c].typeName().startswith("decimal")]
@@ -85,9 +101,6 @@ def associate(df: DataFrame, features: list[str], target: str, methods: tuple[st
         "mic": lambda: association.mic(data, features, "_y"),
         "phik": lambda: association.phi_k(discrete, features, "_y"),
     }
-    if unknown := [m for m in methods if m not in made]:
-        raise ValueError(f"no method {unknown}; there are {', '.join(made)}")
-
     def scores(method: str) -> dict[str, float]:
         try:
             return {r[0]: r[1] for r in made[method]().collect()}  # a row a feature
@@ -114,40 +127,126 @@ class AutoResult:
     metric: str
     errors: dict[str, str] = field(default_factory=dict)
     results: dict[str, registry.CVResult] = field(default_factory=dict)
+    test_scores: dict[str, float] | None = None  # of the best model on the test table; without one its cross-validated score counts
+    paths: dict[str, str] = field(default_factory=dict)
+    importances: list[tuple[str, float]] = field(default_factory=list)
+    features: list[str] = field(default_factory=list)
 
+    @property
+    def score(self) -> float | None:
+        """Of the best model: on the test table where there is a target in it, else by cross-validation."""
+        if self.test_scores:
+            return self.test_scores[self.metric]
+        return self.leaderboard[0][1] if self.leaderboard else None
 
-def automl(df: DataFrame, target: str, key: str, *, task: str = "classification", metric: str | None = None, models: list[str] | None = None, time_budget: float = 120, k: int = 3) -> AutoResult:
-    """Compare model families by cross-validation within a time budget; a family's failure is recorded, not raised."""
+
+def automl(df: DataFrame, target: str, key: str, *, task: str = "classification", metric: str | None = None, models: list[str] | None = None, time_budget: float = 120, k: int = 3, test: DataFrame | None = None, output: str | None = None) -> AutoResult:
+    """Compare model families by cross-validation within a time budget; a family's failure is recorded, not raised.
+
+    With a ``test`` table or an ``output`` folder the best family is fitted on all rows; the test table's predictions, and its
+    scores if it has the target, follow. In ``output`` are then the model, the predictions, the leaderboard and the candidates.
+    """
     metric = metrics.check(metric or metrics.default_metric(task))
     features = [c for c in df.columns if c not in (target, key)]
-    data = association.prepare(df, [*features, key], target).withColumnRenamed("_y", target).persist()
-    out, began = AutoResult([], None, metric), time.time()
+    if test is not None:  # one preparation for both, so that codes and medians agree; the test rows have no part in either
+        coded, test = both_tables(df, test, target, key, features)
+    else:
+        coded = association.prepare(df, [*features, key], target).withColumnRenamed("_y", target)
+    data = coded.persist()
+    out, began = AutoResult([], None, metric, features=features), time.time()
     try:
         for name in models or registry.GROUPS["default"]:
             if time.time() - began > time_budget and out.results:
                 out.errors[name] = "not begun within the time budget"
                 continue
             try:
-                out.results |= registry.cross_validate(data, features, target, key, task=task, models=[name], k=k)
+                found = registry.cross_validate(data, features, target, key, task=task, models=[name], k=k)
+                if any(metric not in f for f in found[name].folds):
+                    raise ValueError(f"{name} gives no {metric} for this target")
+                out.results |= found
             except Exception as e:
                 out.errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
+        out.leaderboard = sorted(((n, r.mean(metric)) for n, r in out.results.items()), key=lambda x: (-metrics.SIGN[metric] * x[1], x[0]))
+        out.best = out.leaderboard[0][0] if out.leaderboard else None
+        if out.best and (test is not None or output):
+            classes = registry.classes_of(registry.assemble(data, features, target)) if task != "regression" else 0
+            model = registry.fit(out.best, task, classes, registry.assemble(data, features, target))
+            out.importances = registry.importances(model, features)
+            if output:
+                out.paths |= export(df.sparkSession, out, model, output)
+            if test is not None:
+                rows_in = registry.assemble(test, features, target, (key,))
+                made = registry.predict(model, rows_in)
+                if rows_in.where("label IS NOT NULL").limit(1).count():
+                    r = registry.evaluate(made.where("label IS NOT NULL"), task, classes).first()
+                    out.test_scores = r.asDict()
+                if output:
+                    out.paths["predictions"] = write_predictions(made.drop("probabilities", "label"), f"{output}/predictions")
     finally:
         data.unpersist()
-    out.leaderboard = sorted(((n, r.mean(metric)) for n, r in out.results.items()), key=lambda x: (-metrics.SIGN[metric] * x[1], x[0]))
-    out.best = out.leaderboard[0][0] if out.leaderboard else None
     return out
 
 
+def both_tables(train: DataFrame, test: DataFrame, target: str, key: str, features: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Train and test as models take them: levels, medians and the target's codes are those of the training table; a level that it
+    lacks is -1, a missing value its median, a target that is absent or unknown null."""
+    kinds = {f.name: f.dataType for f in train.schema.fields}
+    text = [c for c in features if not profile.is_numeric(kinds[c])]
+    numbers = [c for c in features if c not in text]
+    aligned = test if target in test.columns else test.withColumn(target, F.lit(None).cast(kinds[target]))
+    a, b = profile.normalize_nulls(train).where(F.col(target).isNotNull()), profile.normalize_nulls(aligned.select(*[F.col(f"`{c}`") for c in train.columns if c in aligned.columns]))
+    for c in text:
+        codes = rows.level_codes(a, c)
+        a, b = rows.encode(a, c, codes, c), rows.encode(b, c, codes, c)
+    if not profile.is_numeric(kinds[target]):
+        codes = rows.level_codes(a, target)
+        a, b = (rows.encode(x, target, codes, target) for x in (a, b))
+        b = b.withColumn(target, F.when(F.col(target) >= 0, F.col(target)))
+    middle = profile.medians(a, numbers)
+    fill = lambda df: df.select(*[F.coalesce(rows.finite(F.col(f"`{c}`").cast("double")), F.lit(middle.get(c)).cast("double"), F.lit(0.0)).alias(c) for c in features], F.col(f"`{key}`"), F.col(f"`{target}`").cast("double").alias(target))
+    return fill(a), fill(b)
+
+
+def candidates(spark: SparkSession, result: AutoResult) -> DataFrame:
+    """A row a candidate: its place, algorithm, score and spread, features, or the error that it ended with."""
+    order = {n: i + 1 for i, (n, _) in enumerate(result.leaderboard)}
+    done = [(n, registry.ALIASES.get(n, n), order[n], r.mean(result.metric), r.std(result.metric), result.features, [f for f, v in result.importances if n == result.best and v > 0], None) for n, r in result.results.items()]
+    failed = [(n, registry.ALIASES.get(n, n), None, None, None, result.features, [], e) for n, e in result.errors.items()]
+    return spark.createDataFrame(done + failed, "model_id string, algorithm string, leaderboard_rank int, score double, score_std double, original_features array<string>, used_features array<string>, error string")
+
+
+def export(spark: SparkSession, result: AutoResult, model, output: str) -> dict[str, str]:
+    """The fitted leader, the leaderboard, variable importances and all candidates below ``output``."""
+    paths = {"model": f"{output}/model-{result.best}", "candidates": f"{output}/candidates", "importances": f"{output}/importances"}
+    registry.save(model, paths["model"])
+    paths["candidates"] = write_csv(candidates(spark, result), paths["candidates"], single=True)
+    paths["importances"] = write_csv(spark.createDataFrame(result.importances or [("", 0.0)], "feature string, importance double"), paths["importances"], single=True)
+    paths["leaderboard"] = write_csv(spark.createDataFrame([(n, float(v)) for n, v in result.leaderboard], "model string, score double"), f"{output}/leaderboard", single=True)
+    return paths
+
+
+def reload(spark: SparkSession, root: str, path: str | None = None):
+    """A saved leader: that of ``path``, else of the folder that comes last by name below ``root`` (run ids sort by time)."""
+    if path is None:
+        models = [f for f in list_files(spark, root, "") if f.rstrip("/").rsplit("/", 1)[-1].startswith("model-")]
+        runs_below = [] if models else [f for d in list_files(spark, root, "") for f in list_files(spark, d, "") if f.rstrip("/").rsplit("/", 1)[-1].startswith("model-")]
+        if not (models or runs_below):
+            raise FileNotFoundError(f"no model below {root}")
+        path = sorted(models or runs_below)[-1]
+    return registry.load(path)
+
+
 def engineer(df: DataFrame, target: str, key: str, client: search.LLMClient | None = None, *, task: str = "classification", samples: int = 6, config: SynthesisConfig | str = "fast", most: int = 100) -> tuple[DataFrame, dict]:
     """Searched and synthesized features together, selected with searched ones preferred; without a client, or if the search fails, synthesized ones alone."""
     preferred: list[str] = []
-    report: dict = {}
+    report: dict = {"program": ""}
     made = df
     if client is not None:
         try:
             found = search.evolve(df, target, key, client, task=task, samples=samples)
             made = found.table
             preferred = [c for c in made.columns if c not in df.columns]
+            report["program"] = found.best
             report["search"] = {"best": found.best, "score": found.best_score, "baseline": found.baseline}
         except Exception as e:
             report["search_error"] = f"{type(e).__name__}: {str(e)[:300]}"
@@ -155,21 +254,21 @@ def engineer(df: DataFrame, target: str, key: str, client: search.LLMClient | No
     extra = synthesize(made, target, key, SynthesisConfig(select=None) if config == "default" else config, task=task)
     table = extra.table
     picked = select_features(table.drop(key), target, task=task, method="hybrid", preferred=[c for c in preferred if c in table.columns], top_k=most)
-    report |= {"selected": picked.selected, "dropped": picked.dropped}
+    report |= {"selected": picked.selected, "dropped": picked.dropped, "definitions": extra.definitions}
     return table.select(key, *[f"`{c}`" for c in picked.selected], target), report
 
 
-def make_json_safe(value, rows: int = 50):
-    """Plain data: dataclasses as dicts, tables as their rows up to ``rows`` (else shape and 5 rows), the rest as text."""
+def make_json_safe(value, most: int = 50):
+    """Plain data: dataclasses as dicts, tables as their rows up to ``most`` (else columns and 5 rows), the rest as text."""
     if is_dataclass(value) and not isinstance(value, type):
-        return make_json_safe(asdict(value) if not any(isinstance(v, DataFrame) for v in value.__dict__.values()) else value.__dict__, rows)
+        return make_json_safe(asdict(value) if not any(isinstance(v, DataFrame) for v in value.__dict__.values()) else value.__dict__, most)
     if isinstance(value, DataFrame):
-        head = [r.asDict(recursive=True) for r in value.limit(rows + 1).collect()]
-        return make_json_safe(head, rows) if len(head) <= rows else {"columns": value.columns, "head": make_json_safe(head[:5], rows)}
+        head = [r.asDict(recursive=True) for r in value.limit(most + 1).collect()]
+        return make_json_safe(head, most) if len(head) <= most else {"columns": value.columns, "head": make_json_safe(head[:5], most)}
     if isinstance(value, dict):
-        return {str(k): make_json_safe(v, rows) for k, v in value.items()}
+        return {str(k): make_json_safe(v, most) for k, v in value.items()}
     if isinstance(value, (list, tuple, set)):
-        return [make_json_safe(v, rows) for v in value]
+        return [make_json_safe(v, most) for v in value]
     if isinstance(value, float):
         return value if value == value and abs(value) != float("inf") else None
     return value if value is None or isinstance(value, (bool, int, str)) else str(value)
@@ -199,6 +298,12 @@ def compact(report: dict, digits: int = 4) -> dict:
     return prune(small(make_json_safe(out)))
 
 
+def row_program(program: str) -> str:
+    """The lines of a program that read nothing but their own row."""
+    over_rows = re.compile(r"\b(" + "|".join([*language.TABLE_OPERATORS, "combine_frequency"]) + r")\s*\(")
+    return "\n".join(x for x in program.splitlines() if not over_rows.search(x))
+
+
 @dataclass
 class PipelineResult:
     report: dict
@@ -220,7 +325,14 @@ def run_pipeline(project: str, df: DataFrame, target: str, key: str, *, client:
     paths = {"features": layout.path("features", "train.parquet")}
     table.write.mode("overwrite").parquet(paths["features"])
     table = spark.read.parquet(paths["features"])
-    result = automl(table, target, key, task=params["task"], metric=params["metric"], models=models, time_budget=float(params["time_budget"])) if with_automl else None
+    given = None
+    if test is not None:  # features of single rows are made in it too; what depends on other rows is left out of both tables
+        made = language.apply(test, row_program(notes.get("program", "")), protected=(target, key))
+        given = compute(made, [x for x in notes.get("definitions", []) if x.depth == 1 and x.primitive in TRANSFORMS], key)
+        table = table.select(*[F.col(f"`{c}`") for c in table.columns if c in given.columns or c == target])
+    result = automl(table, target, key, task=params["task"], metric=params["metric"], models=models, time_budget=float(params["time_budget"]), test=given, output=layout.path("models")) if with_automl else None
+    if result:
+        paths |= result.paths
     paths["summary"] = layout.path("reports", "summary")
     text = json.dumps(make_json_safe({"params": params, "engineering": notes, "report": compact(found), "leaderboard": result.leaderboard if result else None}))
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(paths["summary"])
@@ -237,7 +349,3 @@ def summary_text(report: dict) -> str:
         lines.append(f"target {t['target']}: {t['problem_type']}")
     return "\n".join(lines)
 
-
-def event_log(df: DataFrame) -> DataFrame:
-    """The scores of a sample log, with failures last."""
-    return df.orderBy(F.col("score").desc_nulls_last(), "sample_order")

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import language
 from .functions import primitives as P
 from .functions import text as X
+from .models import evaluation, registry
 from .models import metrics as M
-from .models import registry
 from .operators import association as A
 from .operators import profile, rows
-from .plans import infer, runs, selection, synthesis
+from .plans import describe, history, infer, runs, selection, synthesis
+from .sources import readers, writers
 from .streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +75,10 @@ _NUMERIC_KIND = "case when n_unique <= 2 then 'binary' when n_unique <= 20 and n
 _TEXT_KIND = "case when n_unique <= 2 then 'binary' when n_unique <= 20 then 'multiclass' else 'high_cardinality_classification' end"
 for _t, _c, _k in (("orders", "o_orderpriority", _TEXT_KIND), ("labels", "toxic", _NUMERIC_KIND), ("orders", "o_totalprice", _NUMERIC_KIND), ("customer", "c_name", _TEXT_KIND)):
     add(f"target_profile_{_c}", lambda t, a=_t, b=_c: profile.target_profile(t(a), b), _TARGET.format(t=_t, c=_c, kind=_k), "imbalance_ratio")
+add("targets_profile", lambda t: profile.targets_profile(t("orders"), ["o_orderpriority", "o_totalprice"]), " union all ".join(f"select * from ({_TARGET.format(t='orders', c=c, kind=k)})" for c, k in (("o_orderpriority", _TEXT_KIND), ("o_totalprice", _NUMERIC_KIND))), "imbalance_ratio")
+add("target_notes", lambda t: profile.target_notes(t("events").select((F.col("event_id") % 20 == 0).cast("int").alias("rare"), "event_type"), "rare").union(profile.target_notes(t("lineitem").select((F.col("l_linenumber") % 20 == 0).cast("int").alias("never")), "never")), "select 'rare' as target, unnest(['very_dominant_class', 'imbalanced_classes']) as note where (select avg((event_id % 20 <> 0)::int) from events) > 0.9 union all select 'never', unnest(['very_dominant_class', 'constant_target'])")
+add("class_counts", lambda t: profile.class_counts(t("orders").withColumn("c", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus"))), "c", 2), "select o_orderstatus as class, count(*)::bigint as count, count(*)::double / sum(count(*)) over () as proportion from orders where o_orderkey % 3 <> 0 group by 1 order by 2 desc, 1 limit 2", "proportion", 6)
+add("skew_hints", lambda t: profile.skew_hints(profile.numeric_stats(t("lineitem").select("l_quantity", F.exp(F.col("l_quantity") / 5).alias("e")), ["l_quantity", "e"])), "select feature, 'consider_non_linear_transform' as recommendation from (select 'l_quantity' as feature, l_quantity as v from lineitem union all select 'e', exp(l_quantity / 5) from lineitem) group by 1 having abs(skewness(v)) > 1")
 add("class_distribution", lambda t: profile.class_distribution(t("lineitem"), "l_returnflag"), "select l_returnflag as class, count(*)::bigint as count, count(*)::double / sum(count(*)) over () as proportion from lineitem group by 1 order by 2 desc, 1 limit 30", "proportion", 6)
 
 # --- association (A22-A34) -----------------------------------------------------------------------------------------
@@ -111,7 +117,12 @@ add("top_features", lambda t: A.top_features(_scores(t), 3), f"select feature, w
 add("correlation_matrix", lambda t: A.correlation_matrix(t("lineitem"), LI), " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as correlation from lineitem" for i, a in enumerate(LI) for b in LI[i + 1 :]), "correlation", 6)
 add("correlation_strength", lambda t: A.correlation_matrix(t("lineitem"), LI).select("a", "b", A.strength(F.col("correlation")).alias("band")), " union all ".join(f"select '{a}' as a, '{b}' as b, case when abs(corr({a}, {b})) > 0.5 then 'strong' when abs(corr({a}, {b})) > 0.2 then 'moderate' else 'weak' end as band from lineitem" for i, a in enumerate(LI) for b in LI[i + 1 :]))
 add("insight_tiers", lambda t: A.insight_tier(profile.column_profile(t("lineitem").select(*LI, "l_returnflag"), ["l_returnflag"]), A.pearson_scores(_prepared(t), LI)).select("feature", "tier"), f"select feature, case when u > 0.9 then 'low' when r >= 0.3 then 'high' when r >= 0.1 then 'medium' else 'medium' end as tier from (select feature, abs(corr(value, y)) as r, count(distinct value)::double / count(*) as u from {_PREP} group by 1)")
-add("associate_all", lambda t: runs.associate(t("lineitem").select(*LI, "l_returnflag"), LI, "l_returnflag", ("pearson", "spearman", "mutual_info")))
+_ASSOCIATED = ["l_quantity", "l_discount", "l_linenumber", "l_linestatus"]
+_MIXED = "select 'l_quantity' as feature, l_quantity as value, least(floor((l_quantity - (select min(l_quantity) from lineitem)) / (select max(l_quantity) - min(l_quantity) from lineitem) * 10), 9) as level, dense_rank() over (order by l_returnflag) - 1 as y from lineitem union all select 'l_discount', l_discount, least(floor((l_discount - (select min(l_discount) from lineitem)) / (select max(l_discount) - min(l_discount) from lineitem) * 10), 9), dense_rank() over (order by l_returnflag) - 1 from lineitem union all select 'l_linenumber', l_linenumber, l_linenumber, dense_rank() over (order by l_returnflag) - 1 from lineitem union all select 'l_linestatus', dense_rank() over (order by l_linestatus) - 1, dense_rank() over (order by l_linestatus) - 1, dense_rank() over (order by l_returnflag) - 1 from lineitem"
+add("associate_all", lambda t: runs.associate(t("lineitem").select(*_ASSOCIATED, "l_returnflag"), _ASSOCIATED, "l_returnflag", ("pearson", "spearman", "mutual_info")), f"""with v as ({_MIXED}), r as (select *, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2.0 as rx, rank() over (partition by feature order by y) + (count(*) over (partition by feature, y) - 1) / 2.0 as ry from v),
+  c as (select feature, corr(value, y) as pearson, corr(rx, ry) as spearman from r group by 1), j as (select feature, level, y, count(*)::double as n from v group by 1, 2, 3), e as (select *, sum(n) over (partition by feature, level) as nx, sum(n) over (partition by feature, y) as ny, sum(n) over (partition by feature) as total from j),
+  m as (select feature, sum(n / total * ln(n * total / (nx * ny))) as mutual_info from e group by 1)
+  select feature, pearson, spearman, mutual_info, (abs(pearson) / (max(abs(pearson)) over () + 1e-9) + abs(spearman) / (max(abs(spearman)) over () + 1e-9) + abs(mutual_info) / (max(abs(mutual_info)) over () + 1e-9)) / 3 as combined_score from c join m using (feature)""", "pearson spearman mutual_info combined_score", 6)
 
 # --- projections and filters (F1-F14), sources and sinks over them ------------------------------------------------
 
@@ -128,8 +139,8 @@ def _log(t):
     return t("events").select(F.col("event_id").alias("sample_order"), F.when(F.col("event_type") != "error", F.col("value")).alias("score"))
 
 
-add("valid_samples", lambda t: _log(t).where("score IS NOT NULL"), f"select * from ({_LOG}) where score is not null")
-add("valid_groups", lambda t: profile.value_counts(t("part"), ["p_brand", "p_type"]).where("count >= 5").groupBy("feature").agg(F.count("*").alias("n_groups")).where("n_groups >= 2"), f"select feature, count(*)::bigint as n_groups from (select feature, value, count(*) as c from ({stack(['p_brand', 'p_type'], 'part', 'varchar')}) group by 1, 2 having count(*) >= 5) group by 1 having count(*) >= 2")
+add("valid_samples", lambda t: rows.valid_samples(_log(t)), f"select * from ({_LOG}) where score is not null")
+add("valid_groups", lambda t: profile.valid_groups(t("part"), ["p_brand", "p_type"]), f"select feature, count(*)::bigint as n_groups from (select feature, value, count(*) as c from ({stack(['p_brand', 'p_type'], 'part', 'varchar')}) group by 1, 2 having count(*) >= 5) group by 1 having count(*) >= 2")
 
 # --- joins, groups, dedup (J1-J11, U1-U5, A35-A42) -----------------------------------------------------------------
 
@@ -143,9 +154,9 @@ add("union_tables", lambda t: rows.union_tables([t("customer").select("c_name",
 add("distinct_first", lambda t: rows.distinct_first(t("orders").select("o_orderstatus", "o_orderpriority", "o_orderkey"), "o_orderkey"), "select o_orderstatus, o_orderpriority, min(o_orderkey) as o_orderkey from orders group by 1, 2")
 _SPARSE = "select distinct case when o_orderkey % 3 <> 0 then o_orderstatus end as a, case when o_orderkey % 4 <> 0 then o_orderpriority end as b, case when o_orderkey % 5 = 0 then (o_custkey % 4)::varchar end as c from orders"
 add("dominated_rows", lambda t: rows.drop_dominated(t("orders").select(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("a"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).otherwise(F.lit(" ")).alias("b"), F.when(F.col("o_orderkey") % 5 == 0, (F.col("o_custkey") % 4).cast("string")).alias("c")), ["a", "b", "c"]), f"with s as ({_SPARSE}) select a, b, c from s x where (a is not null or b is not null or c is not null) and not exists (select 1 from s y where (x.a is null or x.a = y.a) and (x.b is null or x.b = y.b) and (x.c is null or x.c = y.c) and (x.a is distinct from y.a or x.b is distinct from y.b or x.c is distinct from y.c))")
-add("group_sizes", lambda t: t("orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")), "select o_orderpriority, count(*)::bigint as n from orders group by 1")
+add("group_sizes", lambda t: profile.group_sizes(t("orders"), "o_orderpriority"), "select o_orderpriority, count(*)::bigint as n from orders group by 1")
 add("progress", lambda t: rows.progress(_log(t)), f"select count(*)::bigint as total, count(score)::bigint as valid, (count(*) - count(score))::bigint as failed, max(score) as best, (select sample_order from ({_LOG}) where score is not null order by score desc, sample_order limit 1) as best_order, max(sample_order) as last_order, 100.0::double * count(score) / count(*) as success_rate, avg(score) as mean_score, stddev_pop(score) as std_score from ({_LOG})", "success_rate mean_score std_score", 6)
-add("score_histogram", lambda t: _log(t).where("score IS NOT NULL").groupBy(F.floor("score").alias("bucket")).agg(F.count("*").alias("n")).orderBy("bucket"), f"select floor(score)::bigint as bucket, count(*)::bigint as n from ({_LOG}) where score is not null group by 1")
+add("score_histogram", lambda t: rows.score_histogram(_log(t)), f"select score, count(*)::bigint as n from ({_LOG}) where score is not null group by 1")
 add("running_best", lambda t: rows.running_best(_log(t)), f"select sample_order, score, max(score) over (order by sample_order rows between unbounded preceding and current row) as best_so_far, case when score is null then 0.0::double else score - coalesce(max(score) over (order by sample_order rows between unbounded preceding and 1 preceding), 0) end as delta, coalesce(score is not null and (max(score) over (order by sample_order rows between unbounded preceding and 1 preceding) is null or score > max(score) over (order by sample_order rows between unbounded preceding and 1 preceding)), false) as is_best from ({_LOG})", "delta", 6)
 
 # --- windows, sorts, samples, splits (W1-W9, T1-T12) ---------------------------------------------------------------
@@ -158,10 +169,10 @@ def _by_user(make, name):
 for _n, _f in (("cum_sum", "sum(value) over w"), ("cum_mean", "avg(value) over w"), ("cum_min", "min(value) over w"), ("cum_max", "max(value) over w"), ("diff", "value - lag(value) over (partition by user_id order by ts, event_id)")):
     add(f"primitive_{_n}", _by_user(P.WINDOWS[_n].make, "x"), f"select event_id, {_f} as x from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)", "x", 2)
 add("primitive_percentile", lambda t: P.percentile(t("customer"), "c_acctbal", "x").select("c_custkey", "x"), "select c_custkey, (rank() over (order by c_acctbal) + (count(*) over (partition by c_acctbal) - 1) / 2.0) / count(c_acctbal) over () as x from customer", "x", 8)
-add("leaderboard_rank", lambda t: t("supplier").select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).cast("long").alias("rank")), "select s_suppkey, row_number() over (order by s_acctbal desc, s_suppkey) as rank from supplier")
-add("top_n", lambda t: t("customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(10), "select * from customer order by c_acctbal desc, c_custkey limit 10")
-add("best_row", lambda t: t("customer").groupBy("c_mktsegment").agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("c_custkey")), "select c_mktsegment, c_custkey from (select *, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as r from customer) where r = 1")
-add("last_n", lambda t: _log(t).orderBy(F.desc("sample_order")).limit(15), f"select * from ({_LOG}) order by sample_order desc limit 15")
+add("leaderboard_rank", lambda t: rows.leaderboard(t("supplier"), "s_acctbal", "s_suppkey"), "select s_suppkey, row_number() over (order by s_acctbal desc, s_suppkey) as rank from supplier")
+add("top_n", lambda t: rows.top_n(t("customer"), "c_acctbal", 10, "c_custkey"), "select * from customer order by c_acctbal desc, c_custkey limit 10")
+add("best_row", lambda t: rows.best_row(t("customer"), "c_mktsegment", "c_acctbal", "c_custkey"), "select c_mktsegment, c_custkey from (select *, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as r from customer) where r = 1")
+add("last_n", lambda t: rows.last_n(_log(t)), f"select * from ({_LOG}) order by sample_order desc limit 15")
 add("sample_exact", lambda t: rows.sample_exact(t("orders"), "o_orderkey", 100).select("o_orderkey"), "select o_orderkey from orders order by md5('42:' || o_orderkey), o_orderkey limit 100")
 add("split_stratified", lambda t: rows.split(t("orders"), "o_orderkey", "o_orderstatus").select("o_orderkey", "split"), "select o_orderkey, case when row_number() over (partition by o_orderstatus order by md5('42:' || o_orderkey), o_orderkey) <= ceil(count(*) over (partition by o_orderstatus) * 0.2) then 'test' else 'train' end as split from orders")
 add("folds_stratified", lambda t: rows.folds(t("orders"), "o_orderkey", 5, "o_orderpriority").select("o_orderkey", "fold"), "select o_orderkey, ((row_number() over (partition by o_orderpriority order by md5('42:' || o_orderkey), o_orderkey) - 1) % 5)::int as fold from orders")
@@ -216,7 +227,7 @@ add("impute_median", lambda t: rows.impute_median(t("customer").select("c_custke
 add("impute_text", lambda t: rows.impute_text(t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")).alias("x")), ["x"]), "select o_orderkey, case when o_orderkey % 4 <> 0 then o_orderstatus else 'MISSING' end as x from orders")
 add("finite_values", lambda t: t("customer").select("c_custkey", rows.finite(F.when(F.col("c_custkey") % 3 == 0, F.lit(float("inf"))).when(F.col("c_custkey") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))).alias("x")), "select c_custkey, case when c_custkey % 3 = 2 then c_acctbal end as x from customer")
 add("standard_scaling", lambda t: rows.standardize(t("customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]), "select c_custkey, (c_acctbal - (select avg(c_acctbal) from customer)) / (select stddev_pop(c_acctbal) from customer) as c_acctbal from customer", "c_acctbal", 6)
-add("numeric_coercion", lambda t: t("events").select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"), F.col("event_type").try_cast("double").alias("none")), "select event_id, try_cast(json_extract_string(props, '$.k') as double) as k, try_cast(event_type as double) as none from events")
+add("numeric_coercion", lambda t: rows.to_numbers(t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("none")), ["k", "none"]), "select event_id, try_cast(json_extract_string(props, '$.k') as double) as k, try_cast(event_type as double) as none from events")
 add("whitespace", lambda t: t("conversations").select("conv_id", "turn", X.normalize_space(F.col("text")).alias("text")), "select conv_id, turn, regexp_replace(trim(text), '\\s+', ' ', 'g') as text from conversations")
 add("json_salvage", lambda t: t("events").select("event_id", F.get_json_object(X.salvage_json(F.concat(F.lit("Here: "), "props", F.lit(" done"))), "$.k").alias("k")), "select event_id, json_extract_string(regexp_extract('Here: ' || props || ' done', '(?s)\\{.*\\}'), '$.k') as k from events")
 add("row_text", lambda t: t("nation").select("n_nationkey", X.row_text(["n_name", "n_nationkey"], "n_regionkey").alias("s")), "select n_nationkey, 'If n_name is ' || n_name || ', n_nationkey is ' || n_nationkey || ', Then n_regionkey is ' || n_regionkey || '.' as s from nation")
@@ -225,6 +236,43 @@ add("history_truncation", lambda t: X.truncate_history(t("conversations"), last=
 add("inferred_parameters", lambda t: infer.infer(t("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 3 == 0, "regression").when(F.col("n_nationkey") % 3 == 1, "binary").otherwise("multiclass").alias("problem_type"), (F.col("n_nationkey") % 2 == 0).alias("is_imbalanced"), (F.col("n_nationkey").cast("long") * 4000).alias("n_rows"), (F.col("n_nationkey").cast("long") * 3).alias("n_features"), (F.col("n_nationkey") % 2).cast("long").alias("n_text"), (F.col("n_nationkey") / 30.0).alias("missing_ratio"))).select("n_nationkey", "task", "metric", "feature_format", F.col("max_samples").cast("long").alias("max_samples"), F.col("time_budget").cast("long").alias("time_budget")), """select n_nationkey, case when n_nationkey % 3 = 0 then 'regression' else 'classification' end as task, case when n_nationkey % 3 = 0 then 'rmse' when n_nationkey % 3 = 1 and n_nationkey % 2 <> 0 then 'accuracy' when n_nationkey % 3 = 1 then 'f1' else 'f1_macro' end as metric,
   case when n_nationkey * 3 <= 5 then 'basic' when (case when n_nationkey * 3 > 50 then 0.4 when n_nationkey * 3 > 20 then 0.2 else 0 end) + (case when n_nationkey % 2 > 0 then 0.2 else 0 end) + (case when n_nationkey / 30.0 > 0.3 then 0.2 else 0 end) > 0.5 then 'hierarchical' else 'tags' end as feature_format, case when n_nationkey * 3 <= 10 then 10 when n_nationkey * 3 > 30 then 25 else 15 end::bigint as max_samples, case when n_nationkey * 4000 < 1000 then 60 when n_nationkey * 4000 > 50000 then 300 else 120 end::bigint as time_budget from nation""")
 
+_TEXT_PROGRAM = """a = contains(p_type, 'BRASS')
+b = extract(p_brand, 'Brand#(.)')
+c = length(p_type)
+d = bucket(p_retailprice, 900, 1900, 5)
+e = is_null(to_number(p_type))
+f = replace(p_size, 7, 70)
+g = round(p_retailprice / 3, 1)
+h = absolute(p_size - 25)
+i = to_integer(p_retailprice)
+j = to_text(p_size)"""
+add("language_text", lambda t: language.apply(t("part"), _TEXT_PROGRAM).select("p_partkey", *"abcdefghij"), "select p_partkey, contains(p_type, 'BRASS') as a, nullif(regexp_extract(p_brand, 'Brand#(.)', 1), '') as b, length(p_type)::int as c, case when p_retailprice < 900 then 0 when p_retailprice >= 1900 then 6 else floor((p_retailprice - 900) / 200) + 1 end::bigint as d, try_cast(p_type as double) is null as e, case when p_size = 7 then 70 else p_size end::int as f, round_even(p_retailprice / 3, 1) as g, abs(p_size - 25)::int as h, trunc(p_retailprice)::bigint as i, p_size::varchar as j from part", "g", 1)
+_DESCRIBED = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _insights(t):
+    return describe.insights(t("lineitem").select(*_DESCRIBED, "l_returnflag"), "l_returnflag")
+
+
+_LINES = f"(select feature, replace(feature, '_', ' ') as about, min(value) as lo, max(value) as hi, corr(value, y) as r from ({stack(_DESCRIBED, 'lineitem', 'double', ', dense_rank() over (order by l_returnflag) - 1 as y')}) group by 1)"
+add("feature_lines_basic", lambda t: describe.lines(_insights(t), "basic").select("line"), f"select '- ' || feature || ': ' || about || ' (numerical variable within range [' || lo::varchar || ', ' || hi::varchar || '])' as line from {_LINES}")
+add("feature_lines_tags", lambda t: describe.lines(_insights(t), "tags").select("line"), f"select '- ' || feature || ': ' || about || ' [NUM] ' || case when abs(r) >= 0.3 then '[HIGH_PRED] ' else '' end || printf('[CORR:%.2f] (%.2f to %.2f)', r, lo, hi) as line from {_LINES}")
+add("feature_lines_hierarchical", lambda t: describe.lines(_insights(t), "hierarchical").select("section", "line"), f"select case when abs(r) >= 0.3 then 'high' else 'medium' end as section, '- ' || feature || ': ' || about || printf(' [CORR: %.2f] (%.1f-%.1f)', r, lo, hi) as line from {_LINES}")
+add("features_by_value", lambda t: describe.high_value(_insights(t), 0.0).select("feature"), f"select feature from {_LINES} where r is not null")
+
+
+def _programs(t):
+    made = F.concat(F.lit("f"), (F.col("sample_order") % 7).cast("string"), F.lit(" = value * 2  # twice\nvalue = absolute(value)\ndrop c"), (F.col("sample_order") % 5).cast("string"))
+    return _log(t).withColumn("function", made)
+
+
+_PROGRAMS = f"(select *, 'f' || sample_order % 7 as made, 'c' || sample_order % 5 as gone from ({_LOG}))"
+add("evolution_history", lambda t: history.evolution(_programs(t), ["value", "c0", "c1"]).drop("sample_time", "evaluate_time", "timestamp"), f"select sample_order, score, case when score is null then 0.0::double else score - coalesce(max(score) over (order by sample_order rows between unbounded preceding and 1 preceding), 0) end as score_delta, coalesce(score is not null and (max(score) over (order by sample_order rows between unbounded preceding and 1 preceding) is null or score > max(score) over (order by sample_order rows between unbounded preceding and 1 preceding)), false) as is_best, 1::int as n_features_created, 1::int as n_features_dropped, made as features_created, gone as features_dropped, score is null as has_error from {_PROGRAMS}", "score score_delta", 6)
+add("evolution_timeline", lambda t: history.timeline(_programs(t), ["value", "c0", "c1"]).select("sample_order", "total_features", F.array_join("transformed", ",").alias("transformed")), f"select sample_order, 3::int as total_features, 'value' as transformed from {_PROGRAMS}")
+add("most_created", lambda t: history.most_changed(_programs(t), ["value"], "created", 3), f"select made as feature, count(*)::bigint as n from {_PROGRAMS} group by 1 order by 2 desc, 1 limit 3")
+add("most_dropped", lambda t: history.most_changed(_programs(t), ["value"], "dropped", 3), f"select gone as feature, count(*)::bigint as n from {_PROGRAMS} group by 1 order by 2 desc, 1 limit 3")
+add("convergence", lambda t: history.convergence(_log(t)), f"select max(sample_order) as sample_order from (select sample_order, score > coalesce(max(score) over (order by sample_order rows between unbounded preceding and 1 preceding), -1e308) as best from ({_LOG}) where score is not null) where best")
+
 # --- metrics and models (M1-M13, G1-G8) ----------------------------------------------------------------------------
 
 
@@ -245,8 +293,17 @@ def _binary(t):
 
 add("auc", lambda t: M.auc(_binary(t)), f"select (sum(r) filter (label = 1) - n1 * (n1 + 1) / 2.0) / (n1 * n0) as auc from (select label, rank() over (order by probability) + (count(*) over (partition by probability) - 1) / 2.0 as r from {_BIN}), (select sum(label)::double as n1, sum(1 - label)::double as n0 from {_BIN}) group by n1, n0", "auc", 6)
 add("logloss", lambda t: M.logloss(_binary(t)), f"select avg(-ln(least(greatest(case when label = 1 then probability else 1 - probability end, 1e-15), 1 - 1e-15))) as logloss from {_BIN}", "logloss", 6)
+_SCORES3 = "(select l_orderkey, l_linenumber as line, l_linenumber % 3 as label, [l_discount * 5 + 0.1, l_tax * 3 + 0.1, l_quantity / 100] as p from lineitem)"
+
+
+def _three(t):
+    return t("lineitem").select((F.col("l_linenumber") % 3).alias("label"), F.array(F.col("l_discount") * 5 + 0.1, F.col("l_tax") * 3 + 0.1, F.col("l_quantity") / 100).alias("probabilities"))
+
+
+add("multiclass_auc", lambda t: M.multiclass_auc(_three(t)), f"select sum(a * n1) / sum(n1) as auc from (select c, n1, (sum(r) filter (hit) - n1 * (n1 + 1) / 2.0) / (n1 * n0) as a from (select *, count(*) filter (hit) over (partition by c)::double as n1, count(*) filter (not hit) over (partition by c)::double as n0 from (select c, label = c as hit, rank() over (partition by c order by p[c + 1]) + (count(*) over (partition by c, p[c + 1]) - 1) / 2.0 as r from {_SCORES3}, (select unnest([0, 1, 2]) as c))) group by c, n1, n0)", "auc", 6)
+add("multiclass_logloss", lambda t: M.multiclass_logloss(_three(t)), f"select avg(-ln(least(greatest(p[label + 1] / list_sum(p), 1e-15), 1 - 1e-15))) as logloss from {_SCORES3}", "logloss", 6)
 add("regression_metrics", lambda t: M.regression(t("lineitem").select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 1500).alias("prediction"))), "select sqrt(avg((p - y) ** 2)) as rmse, avg((p - y) ** 2) as mse, avg(abs(p - y)) as mae, 1 - avg((p - y) ** 2) / var_pop(y) as r2, avg(abs((p - y) / y)) filter (y <> 0) * 100 as mape from (select l_extendedprice as y, l_quantity * 1500 as p from lineitem)", "rmse mse mae r2 mape", 1)
-add("fold_scores", lambda t: rows.folds(t("customer"), "c_custkey", 4).groupBy("fold").agg(F.avg("c_acctbal").alias("m")).agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.min("m").alias("min"), F.max("m").alias("max"), F.median("m").alias("median")), "select avg(m) as mean, stddev_pop(m) as std, min(m) as min, max(m) as max, median(m) as median from (select avg(c_acctbal) as m from (select c_acctbal, (row_number() over (order by md5('42:' || c_custkey), c_custkey) - 1) % 4 as fold from customer) group by fold)", "mean std min max median", 3)
+add("fold_scores", lambda t: M.fold_summary(rows.folds(t("customer"), "c_custkey", 4).groupBy("fold").agg(F.avg("c_acctbal").alias("m")), "m"), "select avg(m) as mean, stddev_pop(m) as std, min(m) as min, max(m) as max, median(m) as median from (select avg(c_acctbal) as m from (select c_acctbal, (row_number() over (order by md5('42:' || c_custkey), c_custkey) - 1) % 4 as fold from customer) group by fold)", "mean std min max median", 3)
 _RED = ["l_quantity", "l_extendedprice", "l_discount", "twice"]
 
 
@@ -274,7 +331,35 @@ add("feature_selection", lambda t: (lambda d: d.sparkSession.createDataFrame([(c
 add("automl_leaderboard", lambda t: (lambda d, r: d.sparkSession.createDataFrame(r.leaderboard, "model string, score double"))(d := _model_table(t), runs.automl(d, "target", "l_orderkey", models=["decisiontree", "logistic"], k=2)))
 add("synthesized_features", lambda t: synthesis.synthesize(t("orders").withColumn("target", (F.col("o_totalprice") > 200000).cast("int")).drop("o_totalprice", "o_custkey"), "target", "o_orderkey", synthesis.SynthesisConfig(select=None, max_groups=1)).table)
 _FE = "select o_orderkey, year(o_orderdate)::int as y, o_orderstatus = 'F' as f from orders"
-add("feature_store", lambda t: t("orders").select("o_orderkey", P.TRANSFORMS["year"].make(F.col("o_orderdate")).alias("y"), (F.col("o_orderstatus") == "F").alias("f")), _FE)
+_STACK = synthesis.SynthesisConfig(max_depth=4, aggregates=("count", "mean", "entropy", "time_since_last", "last", "n_most_common"), transforms=("year", "absolute", "cum_sum", "percentile"), groups=("o_orderpriority",), select=None, time="o_orderdate", asof="2030-01-01")
+
+
+def _stacked(t):
+    made = synthesis.synthesize(t("orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice", F.lit(1).alias("target")), "target", "o_orderkey", _STACK).table
+    return made.toDF(*[c.lower().replace("o_orderpriority_groups.", "").replace("main.", "").replace("(", "_").replace(")", "").replace("[", "_").replace("]", "") for c in made.columns]).drop("target")
+
+
+add("synthesized_stack", _stacked, """with f as (select *, year(o_orderdate)::int as y from orders), g as (select o_orderpriority, count(*) as n, avg(o_totalprice) as m, epoch(timestamp '2030-01-01') - epoch(max(o_orderdate)) as since, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as latest, avg(y) as my, avg(abs(o_totalprice)) as ma from f group by 1)
+  select o_orderkey, o_orderdate, o_orderpriority, o_totalprice, y as year_o_orderdate, abs(o_totalprice) as absolute_o_totalprice, sum(o_totalprice) over (order by o_orderkey rows between unbounded preceding and current row) as cum_sum_o_totalprice, (rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0) / count(*) over () as percentile_o_totalprice,
+  n::bigint as count_main, m as mean_o_totalprice, since as time_since_last_main, latest as last_o_totalprice, n::bigint as absolute_count_main, m as absolute_mean_o_totalprice, abs(since) as absolute_time_since_last_main, my as mean_year_o_orderdate, ma as mean_absolute_o_totalprice, my as absolute_mean_year_o_orderdate, ma as absolute_mean_absolute_o_totalprice from f join g using (o_orderpriority)""", "cum_sum_o_totalprice percentile_o_totalprice mean_o_totalprice absolute_mean_o_totalprice mean_year_o_orderdate mean_absolute_o_totalprice absolute_mean_year_o_orderdate absolute_mean_absolute_o_totalprice", 1)
+add("evaluation_detailed", lambda t: (lambda d, r: d.sparkSession.createDataFrame([(m, v["mean"], v["std"]) for m, v in r["models"].items()], "model string, mean double, std double"))(d := _model_table(t), evaluation.evaluate_features_detailed(d, "target", "l_orderkey", metric="accuracy", using="screening")))
+
+
+def _stored(write, read):
+    """Features written below the shared folder (or the warehouse) and read from there."""
+
+    def run(t):
+        table = t("orders").select("o_orderkey", P.TRANSFORMS["year"].make(F.col("o_orderdate")).alias("y"), (F.col("o_orderstatus") == "F").alias("f"))
+        spark = table.sparkSession
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        return read(spark, write(table, f"{root.rstrip('/')}/tabularium-features-{uuid.uuid4().hex}"))
+
+    return run
+
+
+add("feature_store", _stored(writers.write_features, lambda s, p: s.read.parquet(p)), _FE)
+add("feature_csv", _stored(writers.write_csv, readers.read_csv), _FE)
+add("feature_json", _stored(writers.write_json, lambda s, p: s.read.schema("o_orderkey long, y int, f boolean").json(p)), _FE)
 
 # --- events (streaming operators on the finished table) ------------------------------------------------------------
 

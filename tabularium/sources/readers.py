@@ -6,6 +6,7 @@ import math
 import random
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,24 @@ def detect_separator(spark: SparkSession, path: str) -> str:
     return SEPARATORS[counts.index(max(counts))] if max(counts) else ","
 
 
-def read_csv(spark: SparkSession, path: str, *, sep: str | None = None, encoding: str = "UTF-8", schema: str | None = None, dates: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
-    """One CSV with a header; the separator is looked for if none is given. ``strict``: malformed rows are an error."""
-    reader = spark.read.option("header", True).option("sep", sep or detect_separator(spark, path)).option("encoding", encoding).option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    df = trim_names((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path))
+def read_csv(spark: SparkSession, path: str, *, sep: str | None = None, encoding: str = "UTF-8", schema: str | None = None, dates: tuple[str, ...] = (), strict: bool = False, index: str | int | None = None) -> DataFrame:
+    """One CSV with a header; the separator is looked for if none is given, and where that leaves one column a comma and then a
+    semicolon are tried. ``strict``: malformed rows are an error, found when the rows are read. ``index``: a column (name or
+    number) that becomes ``_row_id``. A file that isn't there is a FileNotFoundError, one that can't be read as CSV a ValueError."""
+    try:
+        tried = [sep] if sep else list(dict.fromkeys([detect_separator(spark, path), ",", ";"]))
+        for mark in tried:
+            reader = spark.read.option("header", True).option("sep", mark).option("encoding", encoding).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+            df = trim_names((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path))
+            if len(df.columns) > 1:
+                break
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(path) from e
+        raise ValueError(f"{path} can't be read as CSV: {str(e)[:300]}") from e
+    if index is not None:
+        name = df.columns[index] if isinstance(index, int) else index
+        df = df.withColumnRenamed(name, "_row_id")
     return df.withColumns({c: F.try_to_timestamp(F.col(c).cast("string")) for c in dates})
 
 

@@ -28,6 +28,12 @@ def write_features(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     return path
 
 
+def write_pair(train: DataFrame, test: DataFrame | None, folder: str, form: str = "parquet") -> list[str]:
+    """The transformed training table, and the test table if there is one: ``<folder>/train.<form>`` and ``test.<form>``."""
+    write = write_features if form == "parquet" else write_csv
+    return [write(t, f"{folder}/{name}.{form}") for name, t in (("train", train), ("test", test)) if t is not None]
+
+
 def write_json(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     return path
