@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from .config import Settings
 from .operators.rows import with_row_id
 from .plans import runs
-from .plans.search import StubLLM
+from .plans.dialogue import make_client
 from .plans.synthesis import PRESETS, synthesize
 from .sources.readers import read_csv
 from .sources.writers import write_features
@@ -33,13 +33,19 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--time-budget", type=float)
     p.add_argument("--no-engineering", action="store_true")
     p.add_argument("--no-automl", action="store_true")
-    p.add_argument("--search", action="store_true", help="search features with the offline proposer")
-    a = p.parse_args(args)
+    p.add_argument("--search", action="store_true", help="search features with the provider of TABULARIUM_LLM (stub: offline)")
+    p.add_argument("--test", help="a table to predict, prepared like the first")
+    a, settings = p.parse_args(args), Settings()
     spark = SparkSession.builder.appName("tabularium").getOrCreate()
-    df = spark.read.parquet(a.table) if not a.table.endswith(".csv") else read_csv(spark, a.table)
+    place = lambda path: path if "/" in path else f"{settings.data_dir}/{path}"
+    load = lambda path: spark.read.parquet(path) if not path.endswith(".csv") else read_csv(spark, path)
+    df = load(place(a.table))
+    test = load(place(a.test)) if a.test else None
     key = a.key or "_row_id"
     if key not in df.columns:
         df = with_row_id(df, key)
+    if test is not None and key not in test.columns:
+        test = with_row_id(test, key)
     models = a.models.split(",") if a.models else None
     if a.command == "profile":
         found = runs.profile_dataset(df.drop(key), [a.target], associations=tuple(a.associations.split(","))).to_dict()
@@ -48,10 +54,10 @@ def main(args: list[str] | None = None) -> int:
         out = synthesize(df, a.target, key, a.preset, task=a.task or "classification")
         print(write_features(out.table, f"{a.output}/{a.project}/features/train.parquet"))
     elif a.command == "automl":
-        r = runs.automl(df, a.target, key, task=a.task or "classification", metric=a.metric, models=models, time_budget=a.time_budget or 120)
+        r = runs.automl(df, a.target, key, task=a.task or "classification", metric=a.metric, models=models, time_budget=a.time_budget or 120, test=test, output=f"{a.output}/{a.project}/models")
         print(json.dumps(runs.make_json_safe({"leaderboard": r.leaderboard, "best": r.best, "errors": r.errors})))
     else:
-        r = runs.run_pipeline(a.project, df, a.target, key, client=StubLLM() if a.search else None, root=a.output, engineer_features=not a.no_engineering, with_automl=not a.no_automl, associations=tuple(a.associations.split(",")), models=models, task=a.task, metric=a.metric, time_budget=a.time_budget)
+        r = runs.run_pipeline(a.project, df, a.target, key, client=make_client(settings.llm_provider) if a.search else None, root=a.output, engineer_features=not a.no_engineering, with_automl=not a.no_automl, associations=tuple(a.associations.split(",")), models=models, task=a.task, metric=a.metric, time_budget=a.time_budget, test=test)
         print(json.dumps(runs.make_json_safe({"params": r.params, "paths": r.paths, "leaderboard": r.automl.leaderboard if r.automl else None})))
     return 0
 

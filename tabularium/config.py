@@ -40,5 +40,14 @@ class Layout:
     project: str
     root: str = "out"
 
+    def log(self, spark, module: str, event: dict) -> str:
+        """Append an event to the module's log (a JSON line a call)."""
+        import json
+        import time
+
+        path = self.path(module, "log")
+        spark.createDataFrame([(json.dumps({"time": time.time()} | event, default=str),)], "value string").coalesce(1).write.mode("append").text(path)
+        return path
+
     def path(self, module: str, *names: str) -> str:
         return "/".join([self.root.rstrip("/"), self.project, module, *names])

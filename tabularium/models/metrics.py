@@ -25,6 +25,14 @@ def check(name: str) -> str:
     return name
 
 
+def list_metrics(task: str | None = None) -> list[str]:
+    return [*CLASSIFICATION] if task == "classification" else [*REGRESSION] if task == "regression" else [*CLASSIFICATION, *REGRESSION]
+
+
+def needs_probability(name: str) -> bool:
+    return check(name) in PROBABILITY
+
+
 def better(name: str, a: float | None, b: float | None) -> bool:
     """Whether a beats b."""
     return a is not None and (b is None or SIGN[check(name)] * a > SIGN[name] * b)

@@ -276,12 +276,12 @@ WEIGHTS = {"pearson": 0.20, "spearman": 0.20, "kendall": 0.15, "mutual_info": 0.
 
 
 def top_features(scores: DataFrame, n: int = 10, unique_frac: str | None = None) -> DataFrame:
-    """(feature, weighted_score): min-max scaled metrics by weight; a tenth for features that look like ids."""
+    """(feature, weighted_score): min-max scaled metrics by weight, signs as they are; a tenth for features that look like ids."""
     every = Window.partitionBy()
     total = F.lit(0.0)
     for m, w in WEIGHTS.items():
         if m in scores.columns:
-            v = F.coalesce(F.abs(m), F.lit(0.0))
+            v = F.coalesce(m, F.lit(0.0))
             lo, hi = F.min(v).over(every), F.max(v).over(every)
             total = total + F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(0.0) * w
     id_like = F.lower("feature").rlike("id|code")
@@ -290,6 +290,11 @@ def top_features(scores: DataFrame, n: int = 10, unique_frac: str | None = None)
     return scores.select("feature", (total * F.when(id_like, 0.1).otherwise(1.0)).alias("weighted_score")).orderBy(F.desc("weighted_score"), "feature").limit(n)
 
 
+def heat_map(scores: DataFrame) -> DataFrame:
+    """(feature, metric, value) of the metrics that a table of scores has: a cell each."""
+    return unpivot(scores, [m for m in WEIGHTS if m in scores.columns], "double", keep=("feature",), name="metric")
+
+
 def leakage(df: DataFrame, target: str, threshold: float = 0.97) -> DataFrame:
     """(feature, correlation) of numeric features that all but give the target away."""
     df = normalize_nulls(df)

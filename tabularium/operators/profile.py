@@ -45,9 +45,9 @@ def normalize_nulls(df: DataFrame) -> DataFrame:
     return df.select(*[F.nanvl(F.col(f.name), F.lit(None)).alias(f.name) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f.name) for f in df.schema.fields])
 
 
-def unpivot(df: DataFrame, columns: list[str], kind: str = "string", keep: tuple[str, ...] = ()) -> DataFrame:
+def unpivot(df: DataFrame, columns: list[str], kind: str = "string", keep: tuple[str, ...] = (), name: str = "feature") -> DataFrame:
     """(feature, value) of the named columns, a row each; numbers that don't parse become null."""
-    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).try_cast(kind).alias("value")) for c in columns]
+    pairs = [F.struct(F.lit(c).alias(name), F.col(f"`{c}`").try_cast(kind).alias("value")) for c in columns]
     return df.select(*keep, F.inline(F.array(*pairs)))
 
 
@@ -252,6 +252,14 @@ def skew_hints(stats: DataFrame) -> DataFrame:
     return stats.where(F.abs("skew") > SKEWED).select("feature", F.lit("consider_non_linear_transform").alias("recommendation"))
 
 
+def is_categorical(df: DataFrame, column: str) -> bool:
+    """Whether a column counts as categorical: any that isn't a number, and numbers of just 0 and 1."""
+    kind = df.schema[column].dataType
+    if not is_numeric(kind):
+        return True
+    return sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("double")).distinct().limit(3).collect()) == [0.0, 1.0]
+
+
 def memory_mb(df: DataFrame) -> float:
     """The optimizer's estimate of the table's size."""
     return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6

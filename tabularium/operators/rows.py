@@ -172,24 +172,24 @@ def distinct_first(df: DataFrame, order: str) -> DataFrame:
 def drop_dominated(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct rows that no other, fuller row agrees with on every cell they have.
 
-    Cells are compared as trimmed strings, empty ones as missing; rows without a cell go. Rows are grouped by which
-    cells they have; each such pattern is compared by an equality join, on just those cells, with the rows of every
-    larger pattern that includes it. So no theta join is needed; patterns, not rows, are paired (2^columns of them at
-    most, a handful in practice), and their list is a row a pattern on the driver.
+    Cells are compared as trimmed strings, empty ones as missing; rows without a cell go. Which cells a row has is its
+    pattern. Every row gives its cells on each smaller pattern that occurs, and a row goes if its own cells are among
+    those: one equality join, however many columns and patterns there are, and no theta join. Patterns, not rows, are
+    paired on the driver.
     """
-    text = df.select(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(c) for c in columns]).distinct()
-    bits = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(0) for i, c in enumerate(columns)), F.lit(0))
-    text = text.withColumn("_has", bits.cast("long")).where("_has > 0")
-    patterns = [r[0] for r in text.select("_has").distinct().collect()]
-    out = None
-    for p in sorted(patterns):
-        rows = text.where(F.col("_has") == p)
-        larger = [q for q in patterns if q != p and q & p == p]
-        if larger:
-            on = [c for i, c in enumerate(columns) if p >> i & 1]
-            rows = rows.join(text.where(F.col("_has").isin(larger)).select(*on), on, "left_anti").select(*text.columns)
-        out = rows if out is None else out.unionByName(rows)
-    return (out if out is not None else text).drop("_has")
+    # one expression over one array: the optimizer's work doubles with each column that is named apart
+    given = F.transform(F.array(*[F.col(f"`{c}`").cast("string") for c in columns]), lambda x: F.when(F.trim(x) != "", F.trim(x)))
+    text = df.select(given.alias("_cells")).distinct()
+    text = text.withColumn("_has", F.array_join(F.transform("_cells", lambda x: F.when(x.isNull(), "0").otherwise("1")), "")).where(F.contains("_has", F.lit("1")))
+    patterns = sorted((int(r[0], 2), r[0]) for r in text.select("_has").distinct().collect())
+    pairs = [(q, p) for n, q in patterns for m, p in patterns if m != n and m & n == m]
+    own = text.withColumn("_own", F.to_json("_cells"))
+    if pairs:
+        smaller = df.sparkSession.createDataFrame(pairs, "_has string, _of string")
+        on_those = F.transform("_cells", lambda x, i: F.when(F.substring(F.col("_of"), i + 1, F.lit(1)) == "1", x))
+        covered = text.join(smaller, "_has").select(F.col("_of").alias("_has"), F.to_json(on_those).alias("_own")).distinct()
+        own = own.join(covered, ["_has", "_own"], "left_anti")
+    return own.select(*[F.get("_cells", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------
@@ -220,9 +220,11 @@ def group_columns(df: DataFrame, candidates: list[str], least_size: float = 5, m
 
 
 def upsert_annotations(report: DataFrame, notes: DataFrame, least: float = 0.6) -> DataFrame:
-    """The report's rows with annotations of enough confidence (none given counts as 1), and annotations of names it lacks."""
+    """The report's rows with annotations of enough confidence (none given counts as 1), and annotations of names it lacks.
+
+    All other columns of the report stay, null where the name is new."""
     sure = notes.where(F.coalesce("confidence", F.lit(1.0)) >= least).select("name", F.col("note").alias("_note"))
-    return report.join(sure, "name", "full").select("name", F.coalesce("_note", "note").alias("note"))
+    return report.join(sure, "name", "full").select(*[F.coalesce("_note", "note").alias("note") if c == "note" else F.col(f"`{c}`") for c in report.columns])
 
 
 # --- the log of a search -------------------------------------------------------------------------------------------

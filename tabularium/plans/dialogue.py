@@ -9,6 +9,7 @@ import time
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.rows import upsert_annotations
 from . import runs
-from .search import LLMClient
+from .search import LLMClient, RetryingLLM, StubLLM
 
 #: Most questions of a session, and messages that are sent along.
 QUESTIONS, LAST = 10, 20
@@ -56,6 +57,40 @@ class HttpLLM:
         return [self.complete(prompt) for _ in range(n)]
 
 
+def make_client(provider: str = "stub") -> LLMClient:
+    """The client of a provider's name: stub (offline), ollama or openai; the latter two try again when they fail."""
+    if provider == "stub":
+        return StubLLM()
+    if provider not in ("ollama", "openai"):
+        raise ValueError(f"no provider {provider}; there are stub, ollama, openai")
+    return RetryingLLM(HttpLLM(provider=provider))
+
+
+def completion_server(client: LLMClient, port: int = 0) -> ThreadingHTTPServer:
+    """Completions over HTTP on this machine: POST {"prompt", "repeat_prompt"} gives {"content": [...]}. Start it with ``serve_forever``."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            try:
+                asked = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))))
+                status, said = 200, {"content": [client.complete(asked["prompt"]) for _ in range(int(asked.get("repeat_prompt", 1)))]}
+            except (ValueError, KeyError, TypeError) as e:
+                status, said = 400, {"error": str(e)}
+            except Exception as e:
+                status, said = 502, {"error": f"{type(e).__name__}: {e}"}
+            body = json.dumps(said).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    return ThreadingHTTPServer(("127.0.0.1", port), Handler)
+
+
 def _salvaged(answer: str):
     for part in (answer, *re.findall(r"(?s)\{.*\}", answer)):
         try:

@@ -13,6 +13,10 @@ from ..operators.profile import unpivot
 from ..operators.rows import usable_columns
 
 
+#: Forests that importances are taken from, alone and in repeated elimination.
+FOREST, FOREST_RFE = {"numTrees": 100, "maxDepth": 10}, {"numTrees": 50, "maxDepth": 8}
+
+
 @dataclass
 class SelectionResult:
     selected: list[str]
@@ -64,17 +68,25 @@ def select_features(df: DataFrame, target: str, *, task: str = "classification",
         if method in ("importance", "hybrid", "rfe"):
             classes = 0 if task == "regression" else 2
 
+            forest = FOREST_RFE if method == "rfe" else FOREST
+
             def ranked(names: list[str]) -> list[tuple[str, float]]:
-                return registry.importances(registry.get_model("randomforest", task, classes).fit(registry.assemble(data, names, "_y")), names)
+                return registry.importances(registry.fit("randomforest", task, classes, registry.assemble(data, names, "_y"), forest), names)
 
             found = ranked(features)
             if method == "rfe":
                 n = top_k or max(10, len(features) // 4)
                 while len(found) > n:
                     found = ranked([c for c, _ in found[: max(n, len(found) - max(1, len(everything) // 10))]])
+            if method == "rfe":
+                scores = {c: 1.0 / (i + 1) for i, (c, _) in enumerate(found)}
+            elif method == "hybrid":  # the mean of what either step gives: staying counts as 1
+                scores = {c: (scores[c] + v) / 2 for c, v in found}
+            else:
+                scores = dict(found)
             kept = [c for c, v in found if method == "rfe" or v >= least or c in (preferred or [])]
             dropped += [c for c in features if c not in kept]
-            features, scores = [c for c in features if c in kept], dict(found)
+            features = [c for c in features if c in kept]
     finally:
         data.unpersist()
     if top_k and len(features) > top_k:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import primitives as P
 from ..functions.ordered import running
+from ..models import evaluation
 from ..operators.profile import TIME, is_numeric
 from ..operators.rows import group_columns
 from .selection import SelectionResult, select_features
@@ -203,3 +204,9 @@ def synthesize(df: DataFrame, target: str, key: str, config: SynthesisConfig | s
         selection = select_features(table.drop(key), target, task=task, method=config.select, top_k=config.top_k)
         table = table.select(key, *[f"`{c}`" for c in selection.selected], target)
     return SynthesisResult(table, definitions, selection, {"groups": groups, "n_features": len(definitions)})
+
+
+def evaluate(df: DataFrame, result: SynthesisResult, target: str, key: str, *, task: str = "classification", using="llmfe") -> dict[str, float]:
+    """The signed score of the table before and after, by the same models and folds, and by how many percent it got better."""
+    before, after = (evaluation.evaluate_features(t, target, key, task=task, using=using) for t in (df, result.table))
+    return {"before": before, "after": after, "improvement_pct": 100.0 * (after - before) / abs(before) if before else 0.0}

@@ -113,7 +113,8 @@ def _scores(t):
 
 
 add("combined_score", lambda t: A.combined_score(_scores(t), ["pearson", "spearman", "mutual_info"]), f"select feature, p::double as pearson, s::double as spearman, m::double as mutual_info, (abs(p) / (max(abs(p)) over () + 1e-9) + abs(s) / (max(abs(s)) over () + 1e-9) + coalesce(abs(m) / (max(abs(m)) over () + 1e-9), 0)) / (2 + (m is not null)::int) as combined_score from {_SCORES} v(feature, p, s, m)", "pearson spearman mutual_info combined_score", 6)
-add("top_features", lambda t: A.top_features(_scores(t), 3), f"select feature, w as weighted_score from (select feature, (0.2 * (abs(p) - 0) / 1.0 + 0.2 * abs(s) / 0.4 + 0.25 * coalesce(abs(m), 0) / 0.3) * case when regexp_matches(lower(feature), 'id|code') then 0.1 else 1 end as w from {_SCORES} v(feature, p, s, m)) order by w desc, feature limit 3", "weighted_score", 6)
+add("top_features", lambda t: A.top_features(_scores(t), 3), f"select feature, w as weighted_score from (select feature, (0.2 * (p + 1) / 1.9 + 0.2 * (s + 0.2) / 0.6 + 0.25 * coalesce(m, 0) / 0.3) * case when regexp_matches(lower(feature), 'id|code') then 0.1 else 1 end as w from {_SCORES} v(feature, p, s, m)) order by w desc, feature limit 3", "weighted_score", 6)
+add("heat_map", lambda t: A.heat_map(_scores(t)), f"select feature, metric, case metric when 'pearson' then p::double when 'spearman' then s::double else m::double end as value from {_SCORES} v(feature, p, s, m), (select unnest(['pearson', 'spearman', 'mutual_info']) as metric)")
 add("correlation_matrix", lambda t: A.correlation_matrix(t("lineitem"), LI), " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as correlation from lineitem" for i, a in enumerate(LI) for b in LI[i + 1 :]), "correlation", 6)
 add("correlation_strength", lambda t: A.correlation_matrix(t("lineitem"), LI).select("a", "b", A.strength(F.col("correlation")).alias("band")), " union all ".join(f"select '{a}' as a, '{b}' as b, case when abs(corr({a}, {b})) > 0.5 then 'strong' when abs(corr({a}, {b})) > 0.2 then 'moderate' else 'weak' end as band from lineitem" for i, a in enumerate(LI) for b in LI[i + 1 :]))
 add("insight_tiers", lambda t: A.insight_tier(profile.column_profile(t("lineitem").select(*LI, "l_returnflag"), ["l_returnflag"]), A.pearson_scores(_prepared(t), LI)).select("feature", "tier"), f"select feature, case when u > 0.9 then 'low' when r >= 0.3 then 'high' when r >= 0.1 then 'medium' else 'medium' end as tier from (select feature, abs(corr(value, y)) as r, count(distinct value)::double / count(*) as u from {_PREP} group by 1)")

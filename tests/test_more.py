@@ -259,3 +259,51 @@ def test_profile_of_several_targets(spark, table):
     found = runs.profile_dataset(table, ["y", "k"], associations=("pearson",)).to_dict()
     assert [t["target"] for t in found["target"]] == ["y", "k"] and found["association"][0]["feature"] == "x"
     assert profile.memory_mb(table) > 0 and registry.ALIASES["xgboost"] == "gbt"
+
+
+def test_dominated_rows_of_many_columns(spark):
+    """More columns than a long has bits, against all pairs."""
+    rng = random.Random(6)
+    columns = [f"c{i}" for i in range(70)]
+    base = [[rng.choice("ab") for _ in columns] for _ in range(3)]
+    data = [[v if rng.random() < 0.97 else None for v in rng.choice(base)] for _ in range(60)] + [[None] * 70, base[0], [" "] + base[1][1:]]
+    cells = {tuple(None if v is None or not v.strip() else v.strip() for v in r) for r in data}
+    want = {a for a in cells if any(a) and not any(b != a and all(x is None or x == y for x, y in zip(a, b)) for b in cells)}
+    got = rows.drop_dominated(spark.createDataFrame(data, ", ".join(f"{c} string" for c in columns)), columns).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_completions_over_http(spark, tmp_path):
+    import threading
+
+    server = dialogue.completion_server(Scripted("one", "two", RuntimeError("no")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    import urllib.error
+    import urllib.request
+
+    def post(body):
+        with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}/completions", json.dumps(body).encode()), timeout=10) as r:
+            return json.load(r)
+
+    assert post({"prompt": "x", "repeat_prompt": 2}) == {"content": ["one", "two"]}
+    for body, status in (({"prompt": "x"}, 502), ({}, 400)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            post(body)
+        assert e.value.code == status
+    client = dialogue.HttpLLM(url=f"http://127.0.0.1:{server.server_port}/completions")
+    with pytest.raises(ValueError):
+        client.complete("x")  # the server knows no messages: refused, not tried again
+    server.shutdown()
+    with pytest.raises(ValueError):
+        dialogue.make_client("none")
+
+
+def test_selection_and_synthesis_scores(spark, table):
+    from tabularium.plans.selection import select_features
+
+    df = table.select("x", (F.col("x") * 2).alias("twice"), "z", "y")
+    assert set(select_features(df, "y").selected) <= {"x", "twice", "z"} and select_features(df, "y", method="rfe", top_k=1).scores in ({"x": 1.0}, {"twice": 1.0})
+    got = synthesis.synthesize(table.select("id", "x", "z", "y"), "y", "id", synthesis.SynthesisConfig(max_depth=1, select=None))
+    found = synthesis.evaluate(table.select("id", "x", "z", "y"), got, "y", "id", using=evaluation.Preset(models=("decisiontree",), folds=2))
+    assert 0 < found["before"] <= 1 and 0 < found["after"] <= 1
+    assert profile.is_categorical(table, "city") and profile.is_categorical(table, "y") and not profile.is_categorical(table, "x")
