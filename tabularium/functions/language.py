@@ -72,7 +72,7 @@ OPERATORS: dict[str, Callable[..., Column]] = {
     "to_text": lambda c: c.cast("string"),
     "to_integer": lambda c: c.try_cast("double").try_cast("bigint"),
     "contains": lambda c, s: c.contains(s),
-    "extract": lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit("")),
+    "extract": lambda c, p: F.nullif(F.call_function("regexp_extract", c, p, F.lit(1)), F.lit("")),
     "length": F.char_length,
     "bucket": lambda c, lo, hi, n: F.width_bucket(c.cast("double"), lo.cast("double"), hi.cast("double"), n.cast("int")),
     "is_null": lambda c: c.isNull(),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import running_sum, running_sums
-from .profile import is_numeric, medians, normalize_nulls, unpivot, value_counts
+from .profile import is_numeric, medians, normalize_nulls, unpivot, value_counts, with_nulls
 
 
 def _codes(df: DataFrame, column: str) -> DataFrame:
@@ -23,7 +23,7 @@ def prepare(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """All features as doubles: numbers with the median for nulls, other kinds as codes of their strings in order."""
     df = normalize_nulls(df).where(F.col(target).isNotNull())
     numbers = [c for c in features if is_numeric(df.schema[c].dataType)]
-    found = medians(df, numbers)
+    found = medians(df, with_nulls(df, numbers))
     y = F.col(target).cast("double") if is_numeric(df.schema[target].dataType) else None
     out = df
     for c in [*(c for c in features if c not in numbers), *([target] if y is None else [])]:

@@ -28,6 +28,14 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {r.feature: r.q0 for r in ordered.quantiles(counts, "value", (0.5,), ("feature",)).collect()}  # a row a column
 
 
+def with_nulls(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that have nulls."""
+    if not columns:
+        return []
+    missing = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return [c for c, n in zip(columns, missing) if n]
+
+
 def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, NUMERIC)
 

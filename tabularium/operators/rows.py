@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordered import ahead, ranges, running_sum
-from .profile import is_numeric, medians, normalize_nulls
+from .profile import is_numeric, medians, normalize_nulls, with_nulls
 
 # --- columns -------------------------------------------------------------------------------------------------------
 
@@ -83,7 +83,7 @@ def finite(c: Column) -> Column:
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact medians for nulls; 0 in a column without values."""
     df = normalize_nulls(df)
-    m = medians(df, columns)
+    m = medians(df, with_nulls(df, columns))
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m.get(c)).cast("double"), F.lit(0.0)) for c in columns})
 
 

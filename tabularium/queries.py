@@ -336,13 +336,13 @@ _STACK = synthesis.SynthesisConfig(max_depth=4, aggregates=("count", "mean", "en
 
 
 def _stacked(t):
-    made = synthesis.synthesize(t("orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice", F.lit(1).alias("target")), "target", "o_orderkey", _STACK).table
+    made = synthesis.synthesize(t("orders").select("o_orderkey", "o_orderdate", "o_orderpriority", F.floor("o_totalprice").cast("double").alias("o_totalprice"), F.lit(1).alias("target")), "target", "o_orderkey", _STACK).table
     return made.toDF(*[c.lower().replace("o_orderpriority_groups.", "").replace("main.", "").replace("(", "_").replace(")", "").replace("[", "_").replace("]", "") for c in made.columns]).drop("target")
 
 
-add("synthesized_stack", _stacked, """with f as (select *, year(o_orderdate)::int as y from orders), g as (select o_orderpriority, count(*) as n, avg(o_totalprice) as m, epoch(timestamp '2030-01-01') - epoch(max(o_orderdate)) as since, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as latest, avg(y) as my, avg(abs(o_totalprice)) as ma from f group by 1)
+add("synthesized_stack", _stacked, """with f as (select * replace (floor(o_totalprice)::double as o_totalprice), year(o_orderdate)::int as y from orders), g as (select o_orderpriority, count(*) as n, avg(o_totalprice) as m, epoch(timestamp '2030-01-01') - epoch(max(o_orderdate)) as since, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as latest, avg(y) as my, avg(abs(o_totalprice)) as ma from f group by 1)
   select o_orderkey, o_orderdate, o_orderpriority, o_totalprice, y as year_o_orderdate, abs(o_totalprice) as absolute_o_totalprice, sum(o_totalprice) over (order by o_orderkey rows between unbounded preceding and current row) as cum_sum_o_totalprice, (rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0) / count(*) over () as percentile_o_totalprice,
-  n::bigint as count_main, m as mean_o_totalprice, since as time_since_last_main, latest as last_o_totalprice, n::bigint as absolute_count_main, m as absolute_mean_o_totalprice, abs(since) as absolute_time_since_last_main, my as mean_year_o_orderdate, ma as mean_absolute_o_totalprice, my as absolute_mean_year_o_orderdate, ma as absolute_mean_absolute_o_totalprice from f join g using (o_orderpriority)""", "cum_sum_o_totalprice percentile_o_totalprice mean_o_totalprice absolute_mean_o_totalprice mean_year_o_orderdate mean_absolute_o_totalprice absolute_mean_year_o_orderdate absolute_mean_absolute_o_totalprice", 1)
+  n::bigint as count_main, m as mean_o_totalprice, since as time_since_last_main, latest as last_o_totalprice, n::bigint as absolute_count_main, m as absolute_mean_o_totalprice, abs(since) as absolute_time_since_last_main, my as mean_year_o_orderdate, ma as mean_absolute_o_totalprice, my as absolute_mean_year_o_orderdate, ma as absolute_mean_absolute_o_totalprice from f join g using (o_orderpriority)""", "percentile_o_totalprice mean_o_totalprice absolute_mean_o_totalprice mean_year_o_orderdate mean_absolute_o_totalprice absolute_mean_year_o_orderdate absolute_mean_absolute_o_totalprice", 4)
 add("evaluation_detailed", lambda t: (lambda d, r: d.sparkSession.createDataFrame([(m, v["mean"], v["std"]) for m, v in r["models"].items()], "model string, mean double, std double"))(d := _model_table(t), evaluation.evaluate_features_detailed(d, "target", "l_orderkey", metric="accuracy", using="screening")))
 
 
@@ -359,7 +359,7 @@ def _stored(write, read):
 
 
 add("feature_store", _stored(writers.write_features, lambda s, p: s.read.parquet(p)), _FE)
-add("feature_csv", _stored(writers.write_csv, readers.read_csv), _FE)
+add("feature_csv", _stored(writers.write_csv, lambda s, p: readers.read_csv(s, p, schema="o_orderkey long, y int, f boolean")), _FE)
 add("feature_json", _stored(writers.write_json, lambda s, p: s.read.schema("o_orderkey long, y int, f boolean").json(p)), _FE)
 
 # --- events (streaming operators on the finished table) ------------------------------------------------------------
