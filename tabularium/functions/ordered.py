@@ -26,7 +26,7 @@ def _bounds(df: DataFrame, column: str, by: tuple[str, ...], parts: int) -> Data
     picked = rows.groupBy(*by, F.pmod(h, F.lit(SAMPLE)).alias("_b")).agg(F.min_by(column, h).alias("_v"))
     values = picked.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_v"))  # at most SAMPLE a group
     at = F.sequence(F.lit(1), F.lit(parts - 1))
-    return values.select(*by, F.transform(at, lambda k: F.element_at("_v", F.greatest(F.lit(1), F.floor(F.size("_v") * k / parts).cast("int")))).alias("_bounds"))
+    return values.select(*by, F.transform(at, lambda k: F.try_element_at(F.col("_v"), F.greatest(F.lit(1), F.floor(F.size("_v") * k / parts).cast("int")))).alias("_bounds"))
 
 
 def ranges(df: DataFrame, column: str, parts: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
