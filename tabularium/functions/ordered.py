@@ -16,7 +16,7 @@ SAMPLE = 4096
 ACCURACY = 1000
 
 
-def _bounds(df: DataFrame, column: str, by: tuple[str, ...], parts: int) -> DataFrame:
+def bounds(df: DataFrame, column: str, by: tuple[str, ...], parts: int) -> DataFrame:
     """(*by, _bounds): about evenly spaced values of ``column`` in each group, from a mergeable sketch or a hash sample."""
     rows, kind = df.where(F.col(column).isNotNull()), df.schema[column].dataType
     if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -38,10 +38,15 @@ def ranges(df: DataFrame, column: str, parts: int | None = None, by: tuple[str,
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if parts < 2:
         return df.withColumn("_range", F.lit(0))
-    found = _bounds(df, column, by, parts)
+    found = bounds(df, column, by, parts)
     joined = df.join(found, list(by), "left") if by else df.crossJoin(F.broadcast(found))  # one row
-    number = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(column))), F.lit(0))
-    return joined.select(*[df_col(c) for c in df.columns], F.when(F.col("_bounds").isNull(), 0).otherwise(number).alias("_range"))
+    return joined.select(*[df_col(c) for c in df.columns], range_of(F.col(column)).alias("_range"))
+
+
+def range_of(value: Column) -> Column:
+    """The range of a value beside the ``_bounds`` of its group."""
+    number = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= value)), F.lit(0))
+    return F.when(F.col("_bounds").isNull(), 0).otherwise(number)
 
 
 def df_col(name: str) -> Column:

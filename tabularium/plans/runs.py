@@ -17,7 +17,7 @@ from ..config import Layout, ProfileConfig
 from ..functions import language
 from ..functions.primitives import TRANSFORMS
 from ..models import metrics, registry
-from ..operators import association, profile, rows
+from ..operators import association, neighbours, profile, rows
 from ..sources.readers import list_files
 from ..sources.writers import write_csv, write_predictions
 from . import search
@@ -84,8 +84,9 @@ METHODS = ("pearson", "spearman", "kendall", "mutual_info", "mic", "phik")
 def associate(df: DataFrame, features: list[str], target: str, methods: tuple[str, ...] = ("pearson", "spearman", "kendall", "mutual_info"), errors: dict[str, str] | None = None) -> DataFrame:
     """(feature, one column a method, combined_score), best first; only the methods asked for are computed.
 
-    Float columns, the target too, are cut into bins for mutual information and phi-k; all others count as they are, level by
-    level. A method that fails leaves its column null and its message in ``errors``.
+    Mutual information of a float column and one of another kind is found by nearest neighbours; phi-k cuts float columns
+    into bins, as mutual information does where feature and target are floats; all others count as they are, level by level.
+    A method that fails leaves its column null and its message in ``errors``.
     """
     if unknown := [m for m in methods if m not in METHODS]:
         raise ValueError(f"no method {unknown}; there are {', '.join(METHODS)}")
@@ -97,7 +98,7 @@ def associate(df: DataFrame, features: list[str], target: str, methods: tuple[st
         "pearson": lambda: association.pearson_scores(data, features),
         "spearman": lambda: association.spearman_scores(data, features),
         "kendall": lambda: association.kendall_scores(data, features),
-        "mutual_info": lambda: association.mutual_information(discrete, features, "_y"),
+        "mutual_info": lambda: neighbours.information(data, features, "_y", ["_y" if c == target else c for c in floats]),
         "mic": lambda: association.mic(data, features, "_y"),
         "phik": lambda: association.phi_k(discrete, features, "_y"),
     }

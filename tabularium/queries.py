@@ -14,7 +14,7 @@ from .functions import text as X
 from .models import evaluation, registry
 from .models import metrics as M
 from .operators import association as A
-from .operators import profile, rows
+from .operators import neighbours, profile, rows
 from .plans import describe, history, infer, runs, selection, synthesis
 from .sources import readers, writers
 from .streaming import monitor
@@ -118,11 +118,31 @@ add("heat_map", lambda t: A.heat_map(_scores(t)), f"select feature, metric, case
 add("correlation_matrix", lambda t: A.correlation_matrix(t("lineitem"), LI), " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as correlation from lineitem" for i, a in enumerate(LI) for b in LI[i + 1 :]), "correlation", 6)
 add("correlation_strength", lambda t: A.correlation_matrix(t("lineitem"), LI).select("a", "b", A.strength(F.col("correlation")).alias("band")), " union all ".join(f"select '{a}' as a, '{b}' as b, case when abs(corr({a}, {b})) > 0.5 then 'strong' when abs(corr({a}, {b})) > 0.2 then 'moderate' else 'weak' end as band from lineitem" for i, a in enumerate(LI) for b in LI[i + 1 :]))
 add("insight_tiers", lambda t: A.insight_tier(profile.column_profile(t("lineitem").select(*LI, "l_returnflag"), ["l_returnflag"]), A.pearson_scores(_prepared(t), LI)).select("feature", "tier"), f"select feature, case when u > 0.9 then 'low' when r >= 0.3 then 'high' when r >= 0.1 then 'medium' else 'medium' end as tier from (select feature, abs(corr(value, y)) as r, count(distinct value)::double / count(*) as u from {_PREP} group by 1)")
+
+def _psi(n: str) -> str:
+    """SQL of the digamma function of a whole number."""
+    x = f"({n} + 8.0::double)"
+    return f"(ln({x}) - 0.5 / {x} - (1 / 12.0 - (1 / 120.0 - (1 / 252.0 - 1 / 240.0 / {x} ** 2) / {x} ** 2) / {x} ** 2) / {x} ** 2 - (" + " + ".join(f"1 / ({n} + {i}.0::double)" for i in range(8)) + "))"
+
+
+def _near_sql(rows: str, k: int = 3) -> str:
+    """SQL of mutual information by nearest neighbours, from all pairs of distinct values of (feature, value, level)."""
+    return f"""with s0 as (select feature, level, value, count(*) as n from ({rows}) group by all), s as (select *, sum(n) over (partition by feature, level) as size from s0 qualify size > 1),
+  d as (select a.*, abs(a.value - b.value) as d, sum(b.n) over (partition by a.feature, a.level, a.value order by abs(a.value - b.value)) as have from s a join s b on a.feature = b.feature and a.level = b.level and a.value <> b.value),
+  r as (select s.*, case when s.n - 1 >= least({k}, s.size - 1) then 0 else (select min(d.d) from d where d.feature = s.feature and d.level = s.level and d.value = s.value and s.n - 1 + d.have >= least({k}, s.size - 1)) end as r from s),
+  m as (select a.feature, a.level, a.value, a.n, a.size, a.r, sum(b.n) as m from r a join s b on a.feature = b.feature and case when a.r > 0 then b.value > a.value - a.r and b.value < a.value + a.r else a.value = b.value end group by all)
+  select feature, greatest(0, {_psi("sum(n)")} + sum(n * (case when r > 0 then {_psi(f"least({k}, size - 1)")} else {_psi("n")} end - {_psi("size")} - {_psi("m")})) / sum(n)) as mutual_info from m group by 1"""
+
+
+_NEAR = ["c_mktsegment", "c_nationkey"]
+add("mutual_information_neighbours", lambda t: neighbours.information(t("customer"), ["c_acctbal"], "c_mktsegment", ["c_acctbal"]), _near_sql("select 'c_acctbal' as feature, c_acctbal as value, c_mktsegment as level from customer"), "mutual_info", 8)
+add("mutual_information_continuous_target", lambda t: neighbours.information(t("customer"), _NEAR, "c_acctbal", ["c_acctbal"]), _near_sql(" union all ".join(f"select '{c}' as feature, c_acctbal as value, {c}::varchar as level from customer" for c in _NEAR)), "mutual_info", 8)
 _ASSOCIATED = ["l_quantity", "l_discount", "l_linenumber", "l_linestatus"]
 _MIXED = "select 'l_quantity' as feature, l_quantity as value, least(floor((l_quantity - (select min(l_quantity) from lineitem)) / (select max(l_quantity) - min(l_quantity) from lineitem) * 10), 9) as level, dense_rank() over (order by l_returnflag) - 1 as y from lineitem union all select 'l_discount', l_discount, least(floor((l_discount - (select min(l_discount) from lineitem)) / (select max(l_discount) - min(l_discount) from lineitem) * 10), 9), dense_rank() over (order by l_returnflag) - 1 from lineitem union all select 'l_linenumber', l_linenumber, l_linenumber, dense_rank() over (order by l_returnflag) - 1 from lineitem union all select 'l_linestatus', dense_rank() over (order by l_linestatus) - 1, dense_rank() over (order by l_linestatus) - 1, dense_rank() over (order by l_returnflag) - 1 from lineitem"
 add("associate_all", lambda t: runs.associate(t("lineitem").select(*_ASSOCIATED, "l_returnflag"), _ASSOCIATED, "l_returnflag", ("pearson", "spearman", "mutual_info")), f"""with v as ({_MIXED}), r as (select *, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2.0 as rx, rank() over (partition by feature order by y) + (count(*) over (partition by feature, y) - 1) / 2.0 as ry from v),
   c as (select feature, corr(value, y) as pearson, corr(rx, ry) as spearman from r group by 1), j as (select feature, level, y, count(*)::double as n from v group by 1, 2, 3), e as (select *, sum(n) over (partition by feature, level) as nx, sum(n) over (partition by feature, y) as ny, sum(n) over (partition by feature) as total from j),
-  m as (select feature, sum(n / total * ln(n * total / (nx * ny))) as mutual_info from e group by 1)
+  m as (select feature, sum(n / total * ln(n * total / (nx * ny))) as mutual_info from e where feature in ('l_linenumber', 'l_linestatus') group by 1
+    union all select * from ({_near_sql("select feature, value, y as level from v where feature in ('l_quantity', 'l_discount')")}))
   select feature, pearson, spearman, mutual_info, (abs(pearson) / (max(abs(pearson)) over () + 1e-9) + abs(spearman) / (max(abs(spearman)) over () + 1e-9) + abs(mutual_info) / (max(abs(mutual_info)) over () + 1e-9)) / 3 as combined_score from c join m using (feature)""", "pearson spearman mutual_info combined_score", 6)
 
 # --- projections and filters (F1-F14), sources and sinks over them ------------------------------------------------

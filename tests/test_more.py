@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions import language, ordered
 from tabularium.models import evaluation, metrics, registry
-from tabularium.operators import association, profile, rows
+from tabularium.operators import association, neighbours, profile, rows
 from tabularium.plans import describe, dialogue, history, runs, synthesis
 from tabularium.plans.search import RetryingLLM
 from tabularium.sources import readers, writers
@@ -307,3 +307,31 @@ def test_selection_and_synthesis_scores(spark, table):
     found = synthesis.evaluate(table.select("id", "x", "z", "y"), got, "y", "id", using=evaluation.Preset(models=("decisiontree",), folds=2))
     assert 0 < found["before"] <= 1 and 0 < found["after"] <= 1
     assert profile.is_categorical(table, "city") and profile.is_categorical(table, "y") and not profile.is_categorical(table, "x")
+
+
+def test_mutual_information_by_neighbours(spark):
+    """Against all pairs: values with and without ties, a level of one row, values that aren't there, more ranges than a level has values."""
+    rng = np.random.default_rng(8)
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, int(n)))
+    rows = [("smooth", float(v), f"g{i % 3}") for i, v in enumerate(rng.normal(size=90) + np.arange(90) % 3)]
+    rows += [("tied", float(v), f"g{v % 2}" if i % 4 else "g2") for i, v in enumerate(rng.integers(0, 5, 80))]
+    rows += [("few", 1.0, "a"), ("few", 2.0, "a"), ("few", 9.0, "b"), ("none", 1.0, "a")]
+
+    def plain(name):
+        x = [(v, y) for f, v, y in rows if f == name]
+        x = [(v, y) for v, y in x if sum(z == y for _, z in x) > 1]
+        total = 0.0
+        for i, (v, y) in enumerate(x):
+            own = sorted(abs(v - a) for j, (a, z) in enumerate(x) if z == y and j != i)
+            k = min(3, len(own))
+            r = own[k - 1]
+            near = k if r > 0 else sum(d == 0 for d in own) + 1
+            m = sum(v - r < a < v + r for a, _ in x) if r > 0 else sum(a == v for a, _ in x)
+            total += psi(near) - psi(len(own) + 1) - psi(m)
+        return max(0.0, psi(len(x)) + total / len(x))
+
+    gaps = [("smooth", None, "g0"), ("smooth", float("nan"), "g0"), ("smooth", float("inf"), "g1"), ("smooth", 0.0, None)]
+    df = spark.createDataFrame(rows + gaps, "feature string, value double, level string")
+    got = {r.feature: r.mutual_info for r in neighbours.neighbour_information(df).collect()}
+    assert got == {n: pytest.approx(plain(n), abs=1e-9) for n in ("smooth", "tied", "few")}
+    assert neighbours.neighbour_information(df.limit(0)).collect() == []
