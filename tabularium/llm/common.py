@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
@@ -46,6 +46,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: each row's place in the order, from 1 (ties in any order).
+
+    Rows are dealt by ranges of the order and written with their range, as its bounds are sampled anew whenever it is
+    computed. Each range is numbered apart, and what the ranges before it hold is added from a row a range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = checkpointed(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = cut.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return cut.withColumn(name, nth).join(F.broadcast(totals), "_part").select(*[quoted(c) for c in df.columns], (F.col(name) + F.col("_before")).cast("long").alias(name))
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     """Delete a folder that isn't needed any more, in any store that Spark writes."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, media, mixing, quality, secrets, simhash, token_shards, toxicity
+from . import decontaminate, importance, language, licenses, media, mixing, quality, secrets, simhash, token_shards, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_shards, op2_quality, op3_media_columns, op4_language, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_toxicity, op10_decontamination)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_shards, op2_quality, op3_media_columns, op4_language, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_toxicity, op10_decontamination, op11_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secrets": secrets.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL}
+    return {"op7_secrets": secrets.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL}
