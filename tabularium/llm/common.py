@@ -160,6 +160,18 @@ def by_text(kind: str, work: Callable[[list], pa.Array], chars: int = BATCH_CHAR
     return run
 
 
+def by_rows(kind: str, work: Callable[[pa.Array], pa.Array]):
+    """A column function of any values: ``work`` gets them as Arrow arrays, in batches cut by bytes."""
+    bounded_batches(SparkSession.active())
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield work(column)
+
+    return run
+
+
 # --- words of UTF-8 bytes, found and hashed without a Python loop -------------------------------------------------
 
 #: Bytes that are hashed at once.

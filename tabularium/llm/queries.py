@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, importance, language, licenses, media, mixing, quality, secrets, simhash, token_shards, toxicity
+from . import decontaminate, importance, language, licenses, media, mixing, negatives, quality, secrets, simhash, token_shards, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +59,16 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=changed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_shards, op2_quality, op3_media_columns, op4_language, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_toxicity, op10_decontamination, op11_importance)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_shards, op2_quality, op3_media_columns, op4_language, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_toxicity, op10_decontamination, op11_importance, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secrets": secrets.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL}
+    return {"op7_secrets": secrets.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL, "op12_hard_negatives": negatives.ORACLE_SQL}
