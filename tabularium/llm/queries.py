@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, language, licenses, media, mixing, negatives, quality, secrets, simhash, token_shards, toxicity
+from . import decontaminate, importance, language, licenses, media, mixing, negatives, quality, secrets, simhash, token_shards, toxicity, winnowing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +64,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=changed)
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.with_next(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_shards, op2_quality, op3_media_columns, op4_language, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_toxicity, op10_decontamination, op11_importance, op12_hard_negatives)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_shards, op2_quality, op3_media_columns, op4_language, op5_simhash, op6_licenses, op7_secrets, op8_mixing, op9_toxicity, op10_decontamination, op11_importance, op12_hard_negatives, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
