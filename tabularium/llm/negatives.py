@@ -154,7 +154,7 @@ def mine(spark: SparkSession, rows: DataFrame, *, key: str = "vec_id", vector: s
     picked = rows.groupBy(F.pmod(F.xxhash64("rid"), F.lit(PIVOTS))).agg(F.min_by("v", F.xxhash64("rid", F.lit(1))).alias("v")).collect()
     pivots = Pivots(matrix(pa.array([r.v for r in picked], pa.list_(pa.int64())), size), largest)
     held = spark.sparkContext.broadcast(pivots)  # at most PIVOTS vectors
-    slack = SLACK * largest**0.5 + 1e-9
+    slack = SLACK * largest**0.5 + 1e-9 if size * peak * peak < 2**63 else float("inf")  # scores that stop at 64 bits follow no distance
 
     home = by_rows("cell int, far double", lambda v: held.value.cells(v))(F.col("v"))
     rows = checkpointed(rows.withColumn("at", home).select("rid", "id", "label", "v", "norm2", "at.cell", "at.far"))
