@@ -42,7 +42,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns are kept as they are.
     """
     row = free_name(docs, "row")
-    rows = docs.withColumn(row, F.md5(F.concat_ws(":", F.coalesce(quoted("doc_id").cast("string"), F.lit("")), F.coalesce(quoted("text"), F.lit("")))))
+    key, text = quoted("doc_id").cast("string"), quoted("text").cast("string")
+    sized = F.concat(F.length(key).cast("string"), F.lit(":"), key)  # so that no two keys and texts join alike
+    rows = docs.withColumn(row, F.md5(F.concat(F.coalesce(sized, F.lit("-")), F.coalesce(F.concat(F.lit("="), text), F.lit("-")))))
     return rows.join(simhash.first_rows(rows, row), row, "left_semi").dropDuplicates([row]).select(_own(docs))
 
 
