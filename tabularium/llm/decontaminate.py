@@ -4,9 +4,10 @@ A shard is a run of documents of one partition, about ``SHARD_CHARS`` bytes of t
 numbered and indexed, one text after the other with a separator between them: the Burrows-Wheeler transform of the
 sequence as a wavelet tree with rank counts, and suffix positions sampled at every ``SAMPLE``-th place of the sequence.
 The index of a shard is built once; then the windows of each benchmark block are searched backwards in it, all windows
-together, a word at a time. A window with a word that the shard lacks has no occurrence. Occurrences are located by
-walking to the next sampled position, each is compared with the window's words before it counts (numbers come from
-64-bit hashes), and a document's spans are merged over all blocks.
+together, a word at a time. Windows are distinct: one that many items share is searched once and keeps the list of its
+items. A window with a word that the shard lacks has no occurrence. Occurrences are located by walking to the next
+sampled position and marked on the shard's words, over all blocks; runs of marked words are the spans. Words are numbered
+by 64-bit hashes whose bytes are compared, so equal numbers are equal words.
 
 The benchmark is handed out in blocks of about ``BLOCK_CHARS`` characters. The first ``BROADCAST_BLOCKS`` are
 broadcast; a larger benchmark's further blocks are files in the shared folder that workers read one at a time. So
@@ -160,27 +161,56 @@ class FMIndex:
         return out
 
 
+def _numbered(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words in order, where each first occurs, and the number of each word. Equal numbers are equal bytes."""
+    h = span_hashes(data, begin, end)
+    vocabulary, first, number = np.unique(h, return_index=True, return_inverse=True)
+    size, model = end - begin, first[number]
+    same = bool((size == size[model]).all())
+    if same and len(size):
+        offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        same = bool((data[np.repeat(begin, size) + offset] == data[np.repeat(begin[model], size) + offset]).all())
+    if not same:  # two words with one hash: they are told apart by their bytes
+        words = [(x, data[a:b].tobytes()) for x, a, b in zip(h.tolist(), begin.tolist(), end.tolist())]
+        places = {w: i for i, w in enumerate(sorted(set(words)))}
+        number = np.array([places[w] for w in words], np.int64)
+        vocabulary, first = np.array([x for x, _ in sorted(places)], np.uint64), np.unique(number, return_index=True)[1]
+    return vocabulary, first, number
+
+
 class Shard:
     """The texts of a shard, numbered and indexed word by word."""
 
     def __init__(self, texts: list[str | None]):
-        data, self.begin, self.end, self.doc = _words(texts)
-        self.raw, self.texts = data.tobytes(), len(texts)
+        data, begin, end, self.doc = _words(texts)
+        self.texts = len(texts)
         self.count = np.bincount(self.doc, minlength=len(texts)) if len(self.doc) else np.zeros(len(texts), np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.count)))
-        self.vocabulary, number = np.unique(span_hashes(data, self.begin, self.end), return_inverse=True)  # word number = place + 2
+        self.vocabulary, first, number = _numbered(data, begin, end)  # word number = place + 2
+        raw = data.tobytes()
+        self.words = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]
         sequence = np.ones(len(number) + len(texts), np.int64)  # 1 after each text
         sequence[np.arange(len(number)) + self.doc] = number + 2
         self.index = FMIndex(sequence, len(self.vocabulary) + 2)
 
+    def numbers(self, block: Block) -> np.ndarray:
+        """The number here of each word of a block, 0 for those that don't occur."""
+        out = np.zeros(len(block.vocabulary), np.int64)
+        at = np.searchsorted(self.vocabulary, block.vocabulary)
+        held = np.flatnonzero((at < len(self.vocabulary)) & (self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == block.vocabulary))
+        for i, p in zip(held.tolist(), at[held].tolist()):
+            while p < len(self.words) and self.vocabulary[p] == block.vocabulary[i]:  # nearly always one
+                if self.words[p] == block.words[i]:
+                    out[i] = p + 2
+                p += 1
+        return out
+
     def find(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The occurrences of a block's windows: window, first word of the shard, text. Only true ones."""
+        """The occurrences of a block's distinct windows: window, first word of the shard, text."""
         none = np.zeros(0, np.int64)
         if not len(self.vocabulary) or not len(block.start):
             return none, none, none
-        place = np.minimum(np.searchsorted(self.vocabulary, block.vocabulary), len(self.vocabulary) - 1)
-        here = self.vocabulary[place] == block.vocabulary
-        number = np.where(here, place + 2, 0)[block.sequence]
+        number = self.numbers(block)[block.sequence]
         missing = np.concatenate(([0], np.cumsum(number == 0)))
         window = np.flatnonzero(missing[block.start + block.length] == missing[block.start])
         lo, hi = self.index.search(number, block.length[window], block.start[window])
@@ -188,47 +218,56 @@ class Shard:
         rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
         which, at = np.repeat(window, size), self.index.locate(rows)
         doc = np.searchsorted(self.first[1:] + np.arange(self.texts) + 1, at, "right")
-        word = at - doc
-        true = np.ones(len(word), bool)
-        begin, end, raw = self.begin, self.end, self.raw
-        for i, (a, s, n) in enumerate(zip(word.tolist(), block.start[which].tolist(), block.length[which].tolist())):
-            true[i] = all(raw[begin[a + k] : end[a + k]] == block.words[block.sequence[s + k]] for k in range(n))
-        return which[true], word[true], doc[true]
+        return which, at - doc, doc
 
 
 @dataclass
 class Block:
-    """Windows of some benchmark items: stretches of ``sequence``, whose numbers are places in the vocabulary."""
+    """Distinct windows of some benchmark items: stretches of ``sequence``, whose numbers are places in the vocabulary."""
 
     vocabulary: np.ndarray  # sorted hashes
     words: list[bytes]
     sequence: np.ndarray
     start: np.ndarray
     length: np.ndarray
-    item: np.ndarray  # of each window
+    edge: np.ndarray  # window w is in the items item[edge[w]:edge[w + 1]]
+    item: np.ndarray
     names: list[str | None]
 
     @classmethod
     def build(cls, items: list[tuple], window: int = WINDOW) -> Block:
         data, begin, end, item = _words([t for _, t in items])
-        vocabulary, first, number = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
+        vocabulary, first, number = _numbered(data, begin, end)
         raw = data.tobytes()
         size = np.bincount(item, minlength=len(items)) if len(item) else np.zeros(len(items), np.int64)
         per = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
         of = np.repeat(np.arange(len(items)), per)
         start = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(np.cumsum(size) - size, per)
-        return cls(vocabulary, [raw[begin[i] : end[i]] for i in first.tolist()], number.astype(np.int32), start, np.minimum(size[of], window), of, [None if k is None else str(k) for k, _ in items])
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping and touching spans joined."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+        length = np.minimum(size[of], window)
+        padded = np.concatenate((number, np.zeros(window, number.dtype)))
+        content = np.full((len(of), window), -1, np.int32)
+        for k in range(window):  # a window's words, -1 beyond a short one
+            content[:, k] = np.where(k < length, padded[start + k], -1)
+        _, model, distinct = np.unique(content, axis=0, return_index=True, return_inverse=True)
+        pairs = np.unique(distinct.reshape(-1).astype(np.int64) * max(1, len(items)) + of)
+        edge = np.searchsorted(pairs // max(1, len(items)), np.arange(len(model) + 1))
+        return cls(vocabulary, [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())], number.astype(np.int32), start[model], length[model], edge, pairs % max(1, len(items)), [None if k is None else str(k) for k, _ in items])
+
+    def items(self, window: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item), distinct, of occurrences."""
+        pairs = np.unique(doc * max(1, len(self.start)) + window)
+        doc, window = pairs // max(1, len(self.start)), pairs % max(1, len(self.start))
+        size = self.edge[window + 1] - self.edge[window]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.edge[window], size)
+        both = np.unique(np.repeat(doc, size) * max(1, len(self.names)) + self.item[at])
+        return both // max(1, len(self.names)), both % max(1, len(self.names))
+
+
+def _spans(hit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of marked words; a run ends where its text does."""
+    before = np.concatenate(([False], hit[:-1] & (doc[1:] == doc[:-1]))) if len(hit) else hit
+    after = np.concatenate((hit[1:] & (doc[1:] == doc[:-1]), [False])) if len(hit) else hit
+    return np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after) + 1
 
 
 def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS):
@@ -275,20 +314,26 @@ def contamination(spark: SparkSession, text: Column, benchmark: DataFrame, *, it
 
     def work(texts: list) -> pa.Array:
         shard = Shard(texts)
-        spans: list[list] = [[] for _ in texts]
+        marks = np.zeros(len(shard.doc) + 1, np.int64)
         items: list[set] = [set() for _ in texts]
         for get in given:  # one after the other: no more than a block's occurrences at once
             block = get()
             which, word, doc = shard.find(block)
-            for w, a, d in zip(which.tolist(), (word - shard.first[doc]).tolist(), doc.tolist()):
-                spans[d].append((a, a + int(block.length[w])))
-                if (name := block.names[block.item[w]]) is not None:
-                    items[d].add(name)
+            np.add.at(marks, word, 1)
+            np.add.at(marks, word + block.length[which], -1)
+            for d, i in zip(*(x.tolist() for x in block.items(which, doc))):
+                if block.names[i] is not None:
+                    items[d].add(block.names[i])
+        hit = np.cumsum(marks)[:-1] > 0
+        begin, end = _spans(hit, shard.doc)
+        of = np.searchsorted(shard.first, begin, "right") - 1
+        edge, total = np.searchsorted(of, np.arange(len(texts) + 1)), np.concatenate(([0], np.cumsum(hit)))
         out = []
-        for n, found, own in zip(shard.count.tolist(), spans, items):
-            merged = _merged(found)
-            hit = sum(b - a for a, b in merged)
-            out.append((n, hit, len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), hit > 0 and SHARE * hit >= n, [{"start": a, "end": b} for a, b in merged]))
+        for d, (n, own) in enumerate(zip(shard.count.tolist(), items)):
+            a, b, zero = int(edge[d]), int(edge[d + 1]), int(shard.first[d])
+            found = int(total[shard.first[d + 1]] - total[zero])
+            spans = [{"start": x - zero, "end": y - zero} for x, y in zip(begin[a:b].tolist(), end[a:b].tolist())]
+            out.append((n, found, len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), found > 0 and SHARE * found >= n, spans))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
