@@ -5,7 +5,7 @@ reshared by weight among the others. Every document of a source expects ``rate``
 the source the expected copies are summed up from document to document, one random offset is added, and a document is
 taken once for each integer that its stretch of the sum crosses: floor or ceiling of its rate, never more than ``most``.
 
-Documents are walked in order of size class (an eighth of a doubling wide) and then of a hash of the key, so every size
+Documents are walked in order of size class (an eighth of a doubling wide) and then of a hash of key and text, so every size
 has its due share and the words taken come near the target. All documents of a source share one rate, so the sum is
 rank x rate, and only a rank is needed. It is summed up in levels, each by a window over a small table: the source's
 documents in earlier size classes, those of the class with a lesser first half of the chunk's name, those with a lesser
@@ -18,7 +18,7 @@ filled, what is left is shared among the others, and so on until none is above.
 
 Defined cases: a null or blank text has size 0 and may be taken (it adds no words); a long text counts whole; sources
 without words get the target 0 and are taken at no rate; a null source is a source, last in order; rows that share a key
-are separate; ties in class and hash are broken by size (of equal sizes it makes no difference which is taken); keys may
+are separate, and dealt apart if their texts differ; ties in class and hash are broken by size (of equal sizes it makes no difference which is taken); keys may
 be of any type; an empty table gives no rows; reruns agree, as the offset comes from the source's name and the seed;
 other columns are ignored, whatever they are called.
 """
@@ -81,9 +81,10 @@ def _before(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source", rows_as: str | None = None) -> DataFrame:
     """Every row's doc_id, size, source_size, target, copies and taken (words). With ``rows_as`` the rows of ``docs`` follow as a struct of that name."""
     group = F.coalesce(F.concat(F.lit("="), quoted(source).cast("string")), F.lit(""))  # never null, so that joins and windows share a partitioning
-    sized = docs.select(quoted(key).alias("doc_id"), quoted(source).cast("string").alias("source"), group.alias("grp"), words(quoted(text)).alias("size"), *([F.struct(*[quoted(c) for c in docs.columns]).alias("whole")] if rows_as else []))
+    name = F.concat(F.coalesce(quoted(key).cast("string"), F.lit("")), F.lit(":"), F.coalesce(quoted(text).cast("string"), F.lit("")))
+    sized = docs.select(quoted(key).alias("doc_id"), quoted(source).cast("string").alias("source"), group.alias("grp"), words(quoted(text)).alias("size"), F.md5(name).alias("hash"), *([F.struct(*[quoted(c) for c in docs.columns]).alias("whole")] if rows_as else []))
     step = F.expr("cast(size / power(2, greatest(length(bin(size)) - 4, 0)) as bigint)")
-    sized = sized.withColumn("class", (F.length(F.bin("size")) * 16 + step).cast("int")).withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = sized.withColumn("class", (F.length(F.bin("size")) * 16 + step).cast("int"))
     narrow = checkpointed(sized.select("source", "grp", "class", "size", "hash", *([] if rows_as else ["doc_id"])))  # texts are read once for the counts
     classes = checkpointed(narrow.groupBy("source", "grp", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     depth = F.least(F.lit(DIGITS), F.ceil(F.log(16.0, F.greatest(F.col("n") / F.lit(float(CHUNK)), F.lit(1.0)))).cast("int"))
@@ -109,14 +110,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
     return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([F.col("whole").alias(rows_as)] if rows_as else []))
 
 
-ORACLE_SQL = f"""with sized as (select doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+ORACLE_SQL = f"""with sized as (select doc_id, text, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
 total as (select source, sum(size)::bigint as source_size from sized group by source),
 weighted as (select *, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)]::bigint as w, 2 * source_size as lim from total),
 walk as (select *, row_number() over o as k, (sum(source_size) over ())::double * 1.5 - coalesce((sum(lim) over (o rows between unbounded preceding and 1 preceding))::double, 0) as lft,
   (sum(w) over (o rows between current row and unbounded following))::double as w_left from weighted window o as (order by lim / w, source nulls last)),
 fullness as (select *, lft * w >= lim * w_left as is_full from walk),
 targets as (select source, source_size, case when is_full then lim::double else (select lft from fullness where not is_full order by k limit 1) * w / (select w_left from fullness where not is_full order by k limit 1) end as target from fullness),
-ranked as (select doc_id, size, sized.source, source_size, target, row_number() over (partition by sized.source order by length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)::bigint), md5(coalesce(doc_id::varchar, '')), size) as rank,
+ranked as (select doc_id, size, sized.source, source_size, target, row_number() over (partition by sized.source order by length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)::bigint), md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), size) as rank,
   ('0x' || md5('42:' || coalesce(sized.source, chr(0)))[1:8])::bigint / 4294967296.0::double as u, case when source_size > 0 then target / source_size else 0 end::double as rate
   from sized join targets on sized.source is not distinct from targets.source)
 select doc_id, size, source_size, target, copies, copies * size as taken from (
