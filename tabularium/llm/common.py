@@ -16,8 +16,8 @@ from pyspark.sql.types import DataType
 
 #: Most characters that a batch of texts holds while it is worked on in Python.
 BATCH_CHARS = 4_000_000
-#: Most characters of a text that a model is fitted on; longer labelled texts aren't picked for a sample.
-SAMPLE_CHARS = 200_000
+#: Most characters of a text, and of a sample, that a model is fitted on; of longer texts so many stretches are taken, evenly from begin to end.
+SAMPLE_CHARS, SAMPLE_TOTAL, STRETCHES = 200_000, 60_000_000, 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -109,6 +109,24 @@ def picked_rows(df: DataFrame, stratum: str, per_stratum: int, identity: list[st
     return rows.groupBy("s", F.pmod("h", F.lit(per_stratum)).alias("b")).agg(F.min("h").alias("h")).select("s", "h")
 
 
+def excerpts(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` of a bounded sample with whole texts, or stretches of those above the limit, which is the largest that keeps the
+    sample within ``SAMPLE_TOTAL`` characters and no text above ``SAMPLE_CHARS``."""
+    rows = checkpointed(rows)
+    length = F.coalesce(F.char_length(quoted(text)), F.lit(0))
+    sizes = sorted(r[0] for r in rows.select(length).collect())  # a number a picked row
+    left, most = SAMPLE_TOTAL, SAMPLE_CHARS
+    for i, n in enumerate(sizes):
+        if n > left // (len(sizes) - i):
+            most = min(most, left // (len(sizes) - i))
+            break
+        left -= n
+    piece = max(1, most // STRETCHES)
+    gap = (length - piece) / float(STRETCHES - 1)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substring(quoted(text), F.floor(i * gap).cast("int") + 1, F.lit(piece)))
+    return rows.withColumn(text, F.when(length > max(most, STRETCHES), F.array_join(spread, "\n")).otherwise(quoted(text)))
+
+
 def cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Bounds of slices of a batch that hold about ``most`` bytes and at least one row."""
     part = np.cumsum(sizes + 64) // most

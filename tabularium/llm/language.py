@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SAMPLE_CHARS, by_text, key_remainder, picked_rows, quoted
+from .common import by_text, excerpts, key_remainder, picked_rows, quoted
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: Most labelled rows a language that the model is fitted on (of no more than ``SAMPLE_CHARS`` characters each).
+#: Most labelled rows a language that the model is fitted on (excerpts of very long ones).
 PER_LANGUAGE = 600
 #: Every n-gram counts as this much evidence: n-grams overlap, so they are far from independent.
 TEMPER = 0.2
@@ -114,11 +114,11 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 def train(spark: SparkSession, docs: DataFrame, *, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on at most ``per_language`` rows of each language of ``docs``, picked by a hash of key and text."""
     rows = docs.select(quoted(key).cast("string").alias("k"), quoted(text).cast("string").alias("t"), quoted(lang).cast("string").alias("l"))
-    rows = rows.where(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.char_length("t") <= SAMPLE_CHARS))
+    rows = rows.where(F.col("t").isNotNull() & F.col("l").isNotNull())
     ids = picked_rows(rows, "l", per_language, ["k", "t"])  # bounded by languages x per_language rows of 8 bytes
     same = (F.col("l") == F.col("s")) & (F.xxhash64(F.lit(7), "k", "t") == F.col("h"))
-    found = rows.join(F.broadcast(ids), same).groupBy("s", "h").agg(F.min("t").alias("t")).collect()  # a repeated row comes once
-    return fit(sorted((r.t, r.s) for r in found))
+    found = rows.join(F.broadcast(ids), same).groupBy("s", "h").agg(F.min("t").alias("t"))  # a repeated row comes once
+    return fit(sorted((r.t, r.s) for r in excerpts(found, "t").collect()))
 
 
 def prediction(spark: SparkSession, text: Column, model: Model) -> Column:

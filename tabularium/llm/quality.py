@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SAMPLE_CHARS, by_text, joined, key_remainder, picked_rows, quoted, runs, span_hashes
+from .common import by_text, checkpointed, excerpts, joined, key_remainder, picked_rows, quoted, runs, span_hashes
 
-#: Most labelled documents of each label that are fitted on (of no more than ``SAMPLE_CHARS`` characters each).
+#: Most labelled documents of each label that are fitted on (excerpts of very long ones).
 PER_LABEL = 700
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 BATCH = 1_000_000
@@ -211,13 +211,14 @@ def fit(rows: list[tuple[str | None, int]], counts: dict[int, int]) -> Model:
 
 
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_label: int) -> tuple[list[tuple[str | None, int]], dict[int, int]]:
-    """(text, label) of at most ``per_label`` labelled rows of each label that aren't held out, and the counts of labels."""
+    """(text, label) of at most ``per_label`` labelled documents of each label that aren't held out, and the counts of labels."""
     learn = labels.where((key_remainder("doc_id", modulus) != held) & quoted(label).isin(0, 1)).select(quoted("doc_id").cast("string").alias("k"), quoted(label).cast("int").alias("y"))
+    learn = checkpointed(learn.join(docs.select(quoted("doc_id").cast("string").alias("k")).distinct(), "k", "left_semi"))
     counts = {r[0]: r[1] for r in learn.groupBy("y").count().collect()}
     ids = picked_rows(learn, "y", per_label, ["k"])  # at most 2 x per_label rows of 8 bytes
-    rows = docs.select(quoted("doc_id").cast("string").alias("k"), quoted("text").cast("string").alias("t")).where(F.coalesce(F.char_length("t"), F.lit(0)) <= SAMPLE_CHARS)
-    found = rows.join(F.broadcast(ids), F.xxhash64(F.lit(7), "k") == F.col("h")).groupBy("s", "h").agg(F.min_by(F.struct("t"), F.xxhash64("t")).alias("t")).collect()
-    return [(r.t.t, r.s) for r in sorted(found, key=lambda r: (r.h, r.s))], counts
+    rows = docs.select(quoted("doc_id").cast("string").alias("k"), quoted("text").cast("string").alias("t"))
+    found = rows.join(F.broadcast(ids), F.xxhash64(F.lit(7), "k") == F.col("h")).groupBy("s", "h").agg(F.min_by(F.struct("t"), F.xxhash64("t")).alias("t"))
+    return [(r.t, r.s) for r in sorted(excerpts(found.select("s", "h", "t.t"), "t").collect(), key=lambda r: (r.h, r.s))], counts
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model, threshold: float, modulus: int, held: int, chars: int = BATCH) -> DataFrame:

@@ -29,7 +29,7 @@ from .quality import labelled_sample, logistic, score_documents
 WINDOW, STRIDE = 24, 12
 #: Buckets and sizes of the two embeddings, and the size of a direction's state.
 WORDS, CHARS, WIDTH, STATE = 1 << 16, 1 << 15, 6, 8
-#: Most labelled documents of each label that are fitted on (of no more than ``SAMPLE_CHARS`` characters each).
+#: Most labelled documents of each label that are fitted on (excerpts of very long ones).
 PER_LABEL = 2400
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 42
 #: Windows that are read in step.

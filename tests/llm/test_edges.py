@@ -358,3 +358,83 @@ def test_no_machine_local_folder_on_a_cluster():
 def test_names_of_stores():
     assert common.filesystem("/tmp/x")[1] == "/tmp/x" and common.filesystem("file:/tmp/x")[1] == "/tmp/x"
     assert common.SCHEMES["s3a"] == "s3"
+
+
+# --- windows that many items share, words with one hash, long labelled texts, keys that look alike ------------------
+
+
+def _decontaminated_by_sql(docs, items):
+    duck = duckdb.connect()
+    duck.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    duck.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    return sorted(duck.sql(decontaminate.ORACLE_SQL).fetchall())
+
+
+def test_items_that_share_windows(spark):
+    rng = random.Random(4)
+    prompt = " ".join(f"p{i}" for i in range(15))
+    items = [(i, f"{prompt} q{i}" if i % 3 else "yes") for i in range(3000)]
+    docs = [(i, " ".join(rng.choices(["yes", "no", "p1", prompt, "other"], k=rng.randint(0, 30)))) for i in range(60)] + [(100, "yes " * 500)]
+    got = decontaminate.decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.drop("spans").collect())) == _decontaminated_by_sql(docs, items)
+    block = decontaminate.Block.build(items)
+    assert len(block.start) == 1 + 3 + 2000  # "yes", the prompt's own windows, and one window to each item's end
+    assert len(decontaminate.Shard([prompt] * 9).find(block)[0]) == 27
+
+
+def test_words_with_one_hash(monkeypatch):
+    monkeypatch.setattr(decontaminate, "span_hashes", lambda data, begin, end: (end - begin).astype(np.uint64))
+    items = [(1, "cat dog"), (2, "dog cat"), (3, "bird"), (4, "fish cat")]
+    block = decontaminate.Block.build(items)
+    shard = decontaminate.Shard(["a cat dog cat", "dog dog", "bird fish", "fis cat dog"])
+    which, word, doc = shard.find(block)
+    found = {(items[i][0], d) for d, i in zip(*(x.tolist() for x in block.items(which, doc)))}
+    assert found == {(1, 0), (2, 0), (3, 2), (1, 3)} and sorted(word.tolist()) == [1, 2, 6, 9]
+
+
+def test_spans_of_each_text(spark):
+    docs = spark.createDataFrame([(1, "x cat sat y cat"), (2, "cat sat"), (3, "sat cat sat cat sat"), (4, None)], "doc_id long, text string").coalesce(1)
+    got = decontaminate.decontaminate(spark, docs, spark.createDataFrame([(1, "cat sat"), (2, "y")], "item_id long, text string"))
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in got.collect()} == {1: [(1, 4)], 2: [(0, 2)], 3: [(1, 5)], 4: []}
+
+
+def test_long_texts_of_a_label_or_language_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(common, "SAMPLE_CHARS", 2000)
+    german, english = "der Hund und die Katze laufen im Garten. ", "the cat and the dog run in the garden. "
+    rows = [(i, (german if i % 2 else english) * (300 if i % 2 else 3), "de" if i % 2 else "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(spark, docs)
+    assert model.languages == ["de", "en"] and model.predict([german, english])[0] == ["de", "en"]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)] + [(i, 0, 0) for i in range(1000, 3000)], "doc_id long, quality int, toxic int")
+    sample, counts = quality.labelled_sample(spark, docs, labels, "quality", 5, 0, 20)
+    assert {y for _, y in sample} == {0, 1} and counts[0] + counts[1] < 60  # labels without a document aren't picked
+    assert max(len(t) for t, _ in sample) <= 2000 + common.STRETCHES and sum(y for _, y in sample) > 5
+
+
+def test_excerpts(spark, monkeypatch):
+    long = "".join(chr(97 + i % 26) for i in range(10_000))
+    rows = spark.createDataFrame([(long,), ("short",), ("x" * 900,)], "t string")
+    monkeypatch.setattr(common, "SAMPLE_TOTAL", 2000)
+    got = sorted((r.t for r in common.excerpts(rows, "t").collect()), key=len)
+    assert got[:2] == ["short", "x" * 900] and 1000 < len(got[2]) <= 2000 - 905 + common.STRETCHES
+    parts = got[2].split("\n")
+    assert len(parts) == common.STRETCHES and all(p in long for p in parts) and long.startswith(parts[0]) and long.endswith(parts[-1])
+    monkeypatch.setattr(common, "SAMPLE_TOTAL", 10**6)
+    assert sorted(r.t for r in common.excerpts(rows, "t").collect()) == sorted([long, "short", "x" * 900])
+
+
+def test_keys_and_texts_that_join_alike_stay_apart(spark):
+    rows = [("a", "b:alpha beta gamma delta"), ("a:b", "alpha beta gamma delta"), (None, "epsilon zeta eta theta"), ("", "iota kappa lambda mu"), ("n", None), ("t", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in docs.collect() if r.doc_id != "t")  # no text and an empty one are one group
+
+
+def test_text_keys_in_stages(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([("i:1", "one two")], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.createDataFrame([(f"k:{i}", f"word{i} and text {i} more", "en", "s") for i in range(20)] + [(None, "null key", "en", None), ("", "one two", "en", "s")], "doc_id string, text string, lang string, source string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf).collect()
+        assert {str(r) for r in got} <= {str(r) for r in docs.collect()}, name
+        assert len(got) == (21 if "decont" in name else 22 if "mixing" not in name else len(got)), name
