@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running_sum, running_sums
-from .profile import is_numeric, medians, normalize_nulls, unpivot, value_counts, with_nulls
+from ..functions.ordered import running, running_sum, running_sums
+from ..sources.shared import checkpointed
+from .profile import is_numeric, medians, normalize_nulls, unpivot, with_nulls
 
 
 def _codes(df: DataFrame, column: str) -> DataFrame:
@@ -56,58 +57,86 @@ def average_ranks(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataF
     return df.join(ranks, [*by, column], "left")
 
 
+def cells_of(prepared: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, value, _y, n): rows counted by their values; a null target counts as one."""
+    return unpivot(prepared, features, "double", keep=("_y",)).where("value IS NOT NULL").groupBy("feature", "value", "_y").agg(F.count("*").alias("n"))
+
+
 def spearman_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
     """(feature, spearman): Pearson's r of average ranks.
 
-    A feature's ranks depend on its distinct values only, so the rows are summed up by value first, and no rank is joined
-    back to them. Ranks are taken from their middle, which keeps the sums small.
+    Ranks depend on distinct values only, so rows are counted by value and target value first, and no rank is joined to a
+    row. Ranks are taken from their middle, which keeps the sums small.
     """
-    y = average_ranks(prepared, "_y").withColumn("_yr", F.col("_rank")).drop("_rank")
-    middle = prepared.agg(((F.count("_y") + 1) / 2.0).alias("_mid"))
-    rows = unpivot(y.crossJoin(F.broadcast(middle)).withColumn("_yr", F.col("_yr") - F.col("_mid")), features, "double", keep=("_yr",)).where("value IS NOT NULL")  # one row
-    cells = rows.groupBy("feature", "value").agg(F.count("*").alias("n"), F.count("_yr").alias("m"), F.sum("_yr").alias("s"), F.sum(F.col("_yr") * F.col("_yr")).alias("s2"))
+    counts = prepared.where("_y IS NOT NULL").groupBy("_y").agg(F.count("*").alias("k"))
+    whole = counts.agg(((F.sum("k") + 1) / 2.0).alias("_mid"))
+    ranks = running_sum(counts, "_y", F.col("k"), "_upto").crossJoin(F.broadcast(whole))  # one row
+    ranks = ranks.select(F.col("_y").alias("_of"), (F.col("_upto") - (F.col("k") - 1) / 2.0 - F.col("_mid")).alias("_yr"))
+    rows = cells_of(prepared, features).join(ranks, F.col("_y") == F.col("_of"), "left")
+    n, r = F.col("n"), F.col("_yr")
+    cells = rows.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum(F.when(r.isNotNull(), n).otherwise(0)).alias("m"), F.sum(n * r).alias("s"), F.sum(n * r * r).alias("s2"))
     total = cells.groupBy("feature").agg(((F.sum("n") + 1) / 2.0).alias("_mid"))
-    ranked = running_sum(cells, "value", F.col("n"), "_upto", ("feature",)).join(total, "feature")
+    ranked = running_sum(cells, "value", F.col("n"), "_upto", ("feature",)).join(F.broadcast(total), "feature")  # a row a feature
     r, m = F.col("_upto") - (F.col("n") - 1) / 2.0 - F.col("_mid"), F.col("m")
     sums = ranked.groupBy("feature").agg(F.sum(m).cast("double").alias("n"), F.sum(m * r).alias("x"), F.sum(m * r * r).alias("xx"), F.sum("s").alias("y"), F.sum("s2").alias("yy"), F.sum(r * F.col("s")).alias("xy"))
     spread = (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n"))
     return sums.select("feature", F.when(spread > 0, (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread)).alias("spearman"))
 
 
-#: Digits (bits) of a target's code that are dealt with range by range; groups of more digits are small.
-TOP_BITS = 6
+#: Levels of the split tree that are dealt with range by range; a group below them holds at most 2 ** (1 - TOP_LEVELS) of the rows.
+TOP_LEVELS = 6
+#: Most target values that are put in order by one window (16 bytes each).
+FEW_LEVELS = 10_000
+
+
+def split_codes(prepared: DataFrame) -> tuple[DataFrame, int]:
+    """(_y, code, depth) of the target's values, and the bits of a code.
+
+    A value's code is the place of its middle row in the order, in half rows: codes grow with the values, and those that
+    share their first l bits lie within 2 ** -l of all rows. So two or more values that do hold at most twice that share,
+    however the rows are spread. ``depth`` is how many bits tell a value from both of its neighbours.
+    """
+    counts = prepared.where("_y IS NOT NULL").groupBy("_y").agg(F.count("*").alias("w"))
+    n, total = counts.agg(F.count("*"), F.sum("w")).first()
+    bits = max(1, (2 * (total or 0)).bit_length())
+    if n <= FEW_LEVELS:
+        order = Window.orderBy("_y")
+        codes = counts.withColumn("code", 2 * F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
+        codes = codes.withColumn("_up", F.col("code") - F.lag("code").over(order)).withColumn("_down", F.col("code") - F.lead("code").over(order))
+    else:
+        codes = running_sum(counts, "_y", F.col("w"), "_upto").select("_y", (2 * F.col("_upto") - F.col("w")).alias("code"), (-F.col("_y")).alias("_back"))
+        codes = running(running(codes, "_y", [("_up", "diff", "code")]), "_back", [("_down", "diff", "code")])
+    same = lambda step: F.when(F.col(step).isNull(), 0).otherwise(bits + 1 - F.length(F.bin(F.col("code").bitwiseXOR(F.col("code") - F.col(step)))))  # noqa: E731  bits up to the first that differs
+    return codes.select("_y", "code", F.greatest(same("_up"), same("_down")).cast("int").alias("depth")), bits
 
 
 def kendall_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, kendall): tau-b, exact, for any number of target values.
+    """(feature, kendall): tau-b, exact, for any number of target values and any shares of them.
 
-    The target's values are numbered in order. Two numbers differ first at some bit: so pairs are counted bit by bit,
-    among rows that agree in all higher bits, as zeros before ones less ones before zeros in the order of the feature.
-    That is one running sum for each bit over counts by value, and no pairs are made.
+    Two codes of target values (``split_codes``) differ first at some bit: so pairs are counted bit by bit, among rows that
+    agree in all higher bits, as zeros before ones less ones before zeros in the order of the feature. That is one running
+    sum for each bit over counts by value, and no pairs are made. A value leaves the tree once it is alone, so one that
+    nearly all rows share is in few levels.
     """
-    levels = prepared.select("_y").where("_y IS NOT NULL").distinct()
-    bits = max(1, (levels.count() - 1).bit_length())
-    codes = running_sum(levels, "_y", F.lit(1), "_code")
-    rows = prepared.join(codes.withColumnRenamed("_y", "_of"), F.col("_y") == F.col("_of"))
-    cells = unpivot(rows, features, "double", keep=("_code",)).where("value IS NOT NULL").groupBy("feature", "value", (F.col("_code") - 1).cast("long").alias("code")).agg(F.count("*").cast("double").alias("n"))
-    level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level")  # 0 is the highest bit
-    split = cells.select("feature", "value", "code", "n", level)
+    codes, bits = split_codes(prepared)
+    cells = cells_of(prepared, features).where("_y IS NOT NULL").join(codes.withColumnRenamed("_y", "_of"), F.col("_y") == F.col("_of")).select("feature", "value", "code", "depth", F.col("n").cast("double").alias("n"))
+    split = cells.where("depth > 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)))  # 0 is the highest bit
     bit = F.expr(f"shiftright(code, {bits - 1} - level) & 1")
     split = split.select("feature", "value", "level", F.expr(f"shiftright(code, {bits} - level)").alias("prefix"), F.when(bit == 0, F.col("n")).otherwise(0.0).alias("zeros"), F.when(bit == 1, F.col("n")).otherwise(0.0).alias("ones"))
     counts = split.groupBy("feature", "level", "prefix", "value").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     by = ("feature", "level", "prefix")
-    top = running_sums(counts.where(F.col("level") < TOP_BITS), "value", {"_zeros": F.col("zeros"), "_ones": F.col("ones")}, by)
-    if bits > TOP_BITS:
+    top = running_sums(counts.where(F.col("level") < TOP_LEVELS), "value", {"_zeros": F.col("zeros"), "_ones": F.col("ones")}, by)
+    if bits > TOP_LEVELS:
         w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        low = counts.where(F.col("level") >= TOP_BITS)
+        low = counts.where(F.col("level") >= TOP_LEVELS)
         top = top.unionByName(low.withColumn("_zeros", F.sum("zeros").over(w)).withColumn("_ones", F.sum("ones").over(w)))
     s = top.groupBy("feature").agg(F.sum(F.col("ones") * (F.col("_zeros") - F.col("zeros")) - F.col("zeros") * (F.col("_ones") - F.col("ones"))).alias("s"))
-    tie = lambda c: F.sum(F.expr(f"{c} * ({c} - 1) / 2"))
-    tx = counts.where("level = 0").groupBy("feature").agg(tie("(zeros + ones)").alias("tx"), F.sum(F.col("zeros") + F.col("ones")).alias("total"))
+    tie = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    tx = cells.groupBy("feature", "value").agg(F.sum("n").alias("n")).groupBy("feature").agg(tie("n").alias("tx"), F.sum("n").alias("total"))
     ty = cells.groupBy("feature", "code").agg(F.sum("n").alias("n")).groupBy("feature").agg(tie("n").alias("ty"))
     n0 = F.col("total") * (F.col("total") - 1) / 2
     down = F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))
-    return s.join(tx, "feature").join(ty, "feature").select("feature", F.when(down > 0, F.col("s") / down).alias("kendall"))
+    return tx.join(ty, "feature").join(s, "feature", "left").select("feature", F.when(down > 0, F.coalesce("s", F.lit(0.0)) / down).alias("kendall"))
 
 
 def mutual_information(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -142,124 +171,222 @@ def chi_square(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return stat.select("feature", "chi2", ((F.col("kx") - 1) * (F.col("ky") - 1)).alias("dof"), F.when(k > 0, F.sqrt(F.greatest(F.col("chi2"), F.lit(0.0)) / (F.col("total") * k))).alias("cramers_v"))
 
 
-#: Most levels of a feature or target that phi-k is computed for: its table is inverted numerically.
-MOST_LEVELS = 100
-
+#: Terms of the series for shares of a bivariate normal: to 1e-6 up to a correlation of 0.97, to about 2e-3 at 0.99.
+TERMS = 600
 
-def phi_k(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, phik): the correlation of a bivariate normal that, binned as the table is, would have its chi-square
-    (less what noise would give), found by bisection from a row a feature. Null beyond ``MOST_LEVELS`` levels."""
-    few = value_counts(df, [*features, target]).groupBy("feature").agg(F.count("*").alias("k")).where(F.col("k") <= MOST_LEVELS)
-    known = {r.feature for r in few.collect()}  # a row a feature
-    fit = [c for c in features if c in known] if target in known else []
-    rows = chi_square(df, fit, target).join(value_margins(df, fit, target), "feature").collect() if fit else []
-    found = {r["feature"]: normal_correlation(np.array(r["x_shares"]), np.array(r["y_shares"]), float(r["chi2"]) - float(r["dof"]), float(r["total"])) for r in rows}
-    return df.sparkSession.createDataFrame([(c, found.get(c)) for c in features], "feature string, phik double")
 
+def phi_k(df: DataFrame, features: list[str], target: str, terms: int = TERMS) -> DataFrame:
+    """(feature, phik): the correlation of a bivariate normal that, cut as the table is, would have its chi-square (less what
+    noise would give), for any number of levels; null without a row that has both.
 
-def normal_correlation(a: np.ndarray, b: np.ndarray, want: float, n: float, steps: int = 24) -> float:
-    """The correlation at which a bivariate normal of ``n`` rows, cut into shares ``a`` and ``b``, has the chi-square ``want``."""
-    from math import erf
+    A normal's share of a cell, less the product of the cell's marginal shares, is a sum over k of r ** k times a factor of
+    its row and one of its column (differences of Hermite functions between the level's bounds). So chi-square is a power
+    series in r whose terms come from a matrix of either axis, summed up over blocks of levels in tasks; no table of levels
+    is made. It grows with r and is inverted by bisection, in a task a feature.
+    """
+    rows = unpivot(df.withColumn("_y", F.col(target).cast("string")), features, keep=("_y",)).where("value IS NOT NULL AND _y IS NOT NULL")
+    axes = _axis(rows, "value").withColumn("axis", F.lit(0)).unionByName(_axis(rows, "_y").withColumn("axis", F.lit(1)))
+    axes = checkpointed(axes)
+    facts = chi_square(df, features, target).join(rows.groupBy("feature").agg(F.count("*").alias("total")), "feature").withColumnRenamed("feature", "of")  # a row a feature
+    with_facts = lambda table: table.join(F.broadcast(facts), F.col("feature") == F.col("of")).drop("of")
+    counts = {r[0]: r[1] for r in axes.groupBy("feature", "axis").agg(F.count("*").alias("k")).groupBy("feature").agg(F.max("k")).collect()}
+    few, many = ([c for c, k in counts.items() if (k > TASK_LEVELS) == more] for more in (False, True))
+
+    def at_once(table: pa.Table) -> pa.Table:
+        axis, share, below = (np.asarray(table[c]) for c in ("axis", "share", "below"))
+        both = [_level_products(share[axis == a], below[axis == a], terms) for a in (0, 1)]
+        return pa.table({"feature": table["feature"].slice(0, 1), "phik": pa.array([_normal_correlation(both, table, terms)], pa.float64())})
+
+    def from_sums(table: pa.Table) -> pa.Table:
+        axis, at, both = np.asarray(table["axis"]), np.asarray(table["at"]), []
+        for a in (0, 1):
+            own = np.flatnonzero(axis == a)
+            own = own[np.argsort(at[own])]
+            both.append(np.asarray(table["sums"].combine_chunks().take(pa.array(own)).flatten())[: terms * (terms + 1) // 2])
+        return pa.table({"feature": table["feature"].slice(0, 1), "phik": pa.array([_normal_correlation(both, table, terms)], pa.float64())})
+
+    schema, found = "feature string, phik double", []
+    if few:
+        found.append(with_facts(axes.where(F.col("feature").isin(few))).groupBy("feature").applyInArrow(at_once, schema))
+    if many:
+        sums = axes.where(F.col("feature").isin(many)).mapInArrow(lambda batches: _stripes(batches, terms), "feature string, axis int, at int, sums array<double>")
+        sums = sums.groupBy("feature", "axis", "at").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(STRIPE)]).alias("sums"))
+        found.append(with_facts(sums).groupBy("feature").applyInArrow(from_sums, schema))
+    absent = df.sparkSession.createDataFrame([(c, None) for c in features if c not in counts], schema)
+    return reduce(DataFrame.unionByName, [absent, *found])
+
+
+#: Levels of an axis that one task takes as they are.
+TASK_LEVELS = 1000
+#: Entries of a matrix's upper triangle that are one row while it is summed up.
+STRIPE = 100
+
+
+def _axis(rows: DataFrame, column: str) -> DataFrame:
+    """(feature, share, below): the share of each level and of those before it, numbers in their order, other levels as text."""
+    levels = rows.groupBy("feature", column).agg(F.count("*").alias("n"))
+    levels = levels.select("feature", F.struct(F.coalesce(F.col(column).try_cast("double"), F.lit(0.0)).alias("number"), F.col(column).alias("text")).alias("place"), "n")
+    total = levels.groupBy("feature").agg(F.sum("n").alias("total"))
+    upto = running_sum(levels, "place", F.col("n"), "upto", ("feature",)).join(F.broadcast(total), "feature")  # a row a feature
+    return upto.select("feature", (F.col("n") / F.col("total")).alias("share"), ((F.col("upto") - F.col("n")) / F.col("total")).alias("below"))
+
+
+def hermite_functions(z: np.ndarray, terms: int) -> np.ndarray:
+    """For k from 1: He_(k-1)(z) times the normal density over the root of k!, a column a k; zero at both infinities."""
+    out = np.zeros((len(z), terms))
+    finite = np.isfinite(z)
+    x = z[finite]
+    g = np.empty((len(x), terms))
+    before, now = np.zeros(len(x)), np.exp(-x * x / 2) / (2 * np.pi) ** 0.5  # He_j times the density over the root of j!
+    for k in range(1, terms + 1):
+        g[:, k - 1] = now / k**0.5
+        before, now = now, (x * now - (k - 1) ** 0.5 * before) / k**0.5
+    out[finite] = g
+    return out
+
+
+def quantile_of(shares: np.ndarray) -> np.ndarray:
+    """The normal's quantiles; infinite at 0 and 1."""
     from statistics import NormalDist
 
-    if want <= 0 or len(a) < 2 or len(b) < 2:
+    inverse = NormalDist().inv_cdf
+    return np.array([-np.inf if s <= 0 else np.inf if s >= 1 else inverse(s) for s in shares.tolist()])
+
+
+def _level_products(share: np.ndarray, below: np.ndarray, terms: int) -> np.ndarray:
+    """The sum over levels of products of their factors over their share: the upper triangle."""
+    total = np.zeros((terms, terms))
+    for at in range(0, len(share), 512):
+        begin, width = below[at : at + 512], share[at : at + 512]
+        end = np.where(begin + width > 1 - 1e-12, 1.0, begin + width)
+        factor = (hermite_functions(quantile_of(begin), terms) - hermite_functions(quantile_of(end), terms)) / np.sqrt(width)[:, None]
+        total += factor.T @ factor
+    return total[np.triu_indices(terms)]
+
+
+def _stripes(batches, terms: int):
+    """Of each feature and axis in a batch: the products of its levels, in rows of ``STRIPE``."""
+    for batch in batches:
+        names, axis = np.asarray(batch.column("feature").to_pylist(), object), np.asarray(batch.column("axis"))
+        share, below = np.asarray(batch.column("share")), np.asarray(batch.column("below"))
+        for name, a in sorted(set(zip(names.tolist(), axis.tolist()))):
+            own = (names == name) & (axis == a)
+            flat = _level_products(share[own], below[own], terms)
+            flat = np.concatenate((flat, np.zeros(-len(flat) % STRIPE)))
+            n = len(flat) // STRIPE
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * STRIPE, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([a] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), sums], names=["feature", "axis", "at", "sums"])
+
+
+def _normal_correlation(both: list[np.ndarray], table: pa.Table, terms: int) -> float:
+    """The root of the series: the correlation at which chi-square is what was found."""
+    want, n = float(table["chi2"][0].as_py()) - float(table["dof"][0].as_py()), float(table["total"][0].as_py())
+    if want <= 0:
         return 0.0
-    inverse, cdf = NormalDist().inv_cdf, np.vectorize(lambda z: 0.5 * (1 + erf(z / 2**0.5)), otypes=[float])
-    cut = lambda shares: np.array([-8.0, *[inverse(min(max(x, 1e-9), 1 - 1e-9)) for x in np.cumsum(shares)[:-1]], 8.0])
-    xs, ys = cut(a), cut(b)
-    width = np.diff(xs)[:, None] / steps
-    mids = xs[:-1, None] + width * (np.arange(steps) + 0.5)
-    weight = np.exp(-mids * mids / 2) / (2 * np.pi) ** 0.5 * width
-    expected = np.outer(a, b)
-
-    def chi_of(rho: float) -> float:
-        upto = cdf((ys - rho * mids[:, :, None]) / max(1e-9, 1 - rho * rho) ** 0.5)
-        p = (weight[:, :, None] * np.diff(upto, axis=2)).sum(axis=1)
-        return float(n * np.where(expected > 0, (p - expected) ** 2 / np.where(expected > 0, expected, 1), 0).sum())
-
-    lo, hi = 0.0, 0.999
-    for _ in range(20):
+    i, j = np.triu_indices(terms)
+    powers = np.bincount(i + j + 2, both[0] * both[1] * np.where(i == j, 1.0, 2.0), 2 * terms + 1)
+    chi_of = lambda r: n * float(powers @ r ** np.arange(2 * terms + 1.0))
+    if chi_of(1.0) <= want:
+        return 1.0
+    lo, hi = 0.0, 1.0
+    for _ in range(40):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if chi_of(mid) < want else (lo, mid)
     return hi
 
 
-def value_margins(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, total, x_shares, y_shares): shares of the levels of each feature and of the target, in order."""
-    rows = unpivot(df.withColumn("_y", F.col(target).cast("string")), features, keep=("_y",)).where("value IS NOT NULL AND _y IS NOT NULL")
-
-    def shares(c: str, name: str) -> DataFrame:
-        n = rows.groupBy("feature", c).agg(F.count("*").alias("n"))
-        key = F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
-        return n.groupBy("feature").agg(F.sum("n").alias(f"t_{name}"), F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col(c).alias("v"), "n"))).alias("all")).select("feature", F.col(f"t_{name}"), F.transform("all", lambda s: s["n"] / F.col(f"t_{name}")).alias(name))
-
-    return shares("value", "x_shares").join(shares("_y", "y_shares"), "feature").select("feature", F.col("t_x_shares").alias("total"), "x_shares", "y_shares")
-
+#: Steps of about as many rows that either axis is cut into before grids are searched (equal values stay together), and superclumps a column.
+STEPS, SUPERCLUMPS = 1024, 15
 
-#: Steps that either axis is cut into before grids are searched, each of about as many rows (equal values stay together).
-CLUMPS = 64
 
+def mic(df: DataFrame, features: list[str], target: str, steps: int = STEPS, exponent: float = 0.6) -> DataFrame:
+    """(feature, mic): the largest normalised mutual information over grids of at most n ** ``exponent`` cells (at least 4).
 
-def mic(df: DataFrame, features: list[str], target: str, clumps: int = CLUMPS, exponent: float = 0.6) -> DataFrame:
-    """(feature, mic): the largest normalised mutual information over grids of at most n ** 0.6 cells (at least 4).
-
-    One axis is cut evenly into each possible number of rows; the best columns for them are found by dynamic programming
-    over ``clumps`` steps of the other axis; then the axes change places. A task sees a feature's joint counts of steps,
-    never its rows.
+    One axis is cut evenly into each possible number of rows. Places of the other axis between which all rows are in one
+    row of the grid are a clump, and clumps are merged into ``SUPERCLUMPS`` times as many superclumps as columns may be; the
+    best columns are unions of these, found by dynamic programming; then the axes change places. An axis of up to ``steps``
+    distinct values isn't cut before. A task sees a feature's joint counts of steps, never its rows, and either
+    direction is a task of its own; rows of the grid end at the number of steps, and columns where more of them can't
+    beat the best grid so far, so the time doesn't follow the number of rows.
     """
     rows = unpivot(df.withColumn("_y", F.col(target).cast("double")), features, "double", keep=("_y",)).where("value IS NOT NULL AND _y IS NOT NULL")
     cells = rows.groupBy("feature", "value", "_y").agg(F.count("*").alias("n"))
 
-    def steps(column: str, name: str) -> DataFrame:
+    def places(column: str, name: str) -> DataFrame:
         counts = cells.groupBy("feature", column).agg(F.sum("n").alias("n"))
-        total = counts.groupBy("feature").agg(F.sum("n").alias("_all"))
-        upto = running_sum(counts, column, F.col("n"), "_upto", ("feature",)).join(total, "feature")
-        return upto.select("feature", column, F.floor((F.col("_upto") - F.col("n") / 2.0) * clumps / F.col("_all")).cast("int").alias(name))
-
-    table = cells.join(steps("value", "i"), ["feature", "value"]).join(steps("_y", "j"), ["feature", "_y"]).groupBy("feature", "i", "j").agg(F.sum("n").alias("n"))
+        total = counts.groupBy("feature").agg(F.sum("n").alias("_all"), F.count("*").alias("_values"))
+        upto = running_sums(counts, column, {"_upto": F.col("n"), "_nth": F.lit(1)}, ("feature",)).join(F.broadcast(total), "feature")  # a row a feature
+        even = F.floor((F.col("_upto") - F.col("n") / 2.0) * steps / F.col("_all"))
+        return upto.select("feature", column, F.when(F.col("_values") <= steps, F.col("_nth") - 1).otherwise(even).cast("int").alias(name))
 
-    def best(key, pdf):
-        import pandas as pd
+    table = cells.join(places("value", "i"), ["feature", "value"]).join(places("_y", "j"), ["feature", "_y"]).groupBy("feature", "i", "j").agg(F.sum("n").alias("n"))
+    turned = table.select("feature", F.lit(0).alias("turn"), "i", "j", "n").union(table.select("feature", F.lit(1), "j", "i", "n"))
 
-        counts = pdf.pivot_table(index="i", columns="j", values="n", fill_value=0).to_numpy(float)
-        return pd.DataFrame({"feature": [key[0]], "mic": [grid_information(counts, exponent)]})
+    def best(found: pa.Table) -> pa.Table:
+        i, j = (np.unique(np.asarray(found[c]), return_inverse=True)[1] for c in ("i", "j"))
+        counts = np.zeros((i.max() + 1, j.max() + 1))
+        counts[i, j] = np.asarray(found["n"])
+        return pa.table({"feature": found["feature"].slice(0, 1), "value": pa.array([max(_best_columns(counts, max(4.0, counts.sum() ** exponent)), default=0.0)])})
 
-    return table.groupBy("feature").applyInPandas(best, "feature string, mic double")
+    one = turned.groupBy("feature", "turn").applyInArrow(best, "feature string, value double")
+    return one.groupBy("feature").agg(F.max("value").alias("mic"))
 
 
 def grid_information(counts: np.ndarray, exponent: float = 0.6) -> float:
     """The largest normalised mutual information over grids on a table of counts."""
-    n = counts.sum()
-    most = max(4.0, n**exponent)
+    most = max(4.0, counts.sum() ** exponent)
     return max((v for table in (counts, counts.T) for v in _best_columns(table, most)), default=0.0)
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.where(x > 0, x, 1.0))
+
+
+def _superclumps(part: np.ndarray, most: int) -> np.ndarray:
+    """Counts by clump and row: neighbouring places of one row joined, and then merged evenly to at most ``most``."""
+    pure, row = (part > 0).sum(axis=1) == 1, part.argmax(axis=1)
+    new = np.append(True, ~(pure[1:] & pure[:-1] & (row[1:] == row[:-1])))
+    part = np.add.reduceat(part, np.flatnonzero(new), axis=0)
+    if len(part) > most:
+        size = part.sum(axis=1)
+        of = np.minimum((np.cumsum(size) - size / 2) * most / size.sum(), most - 1).astype(int)
+        part = np.add.reduceat(part, np.flatnonzero(np.append(True, of[1:] != of[:-1])), axis=0)
+    return part
+
+
 def _best_columns(counts: np.ndarray, most: float):
-    """Of each number of even rows (second axis) and of columns within ``most`` cells: the best normalised information."""
-    n, k = counts.sum(), len(counts)
-    upto = np.cumsum(counts.sum(axis=0))
-    seen = set()
-    for rows in range(2, int(most // 2) + 1):
-        row = np.minimum((upto - counts.sum(axis=0) / 2) * rows / n, rows - 1).astype(int)
-        _, row = np.unique(row, return_inverse=True)
-        made = int(row.max()) + 1
-        if made < 2 or tuple(row) in seen:
+    """Ever better normalised information, over all numbers of even rows (second axis) and of columns within ``most`` cells."""
+    n, found = counts.sum(), 0.0
+    size = counts.sum(axis=0)
+    middle, seen = np.cumsum(size) - size / 2, set()
+    for rows in range(2, min(int(most // 2), counts.shape[1]) + 1):  # more rows than steps are none
+        row = np.minimum(middle * rows / n, rows - 1).astype(int)
+        row = np.cumsum(np.append(0, row[1:] != row[:-1]))
+        made = int(row[-1]) + 1
+        if made < 2 or row.tobytes() in seen:
+            continue
+        seen.add(row.tobytes())
+        columns = int(most // made)
+        part = _superclumps(np.add.reduceat(counts, np.flatnonzero(np.append(True, row[1:] != row[:-1])), axis=1), SUPERCLUMPS * columns)
+        k, own = len(part), part.sum(axis=0)
+        entropy = (_xlogx(n) - _xlogx(own).sum()) / n
+        all_columns = entropy - (_xlogx(part.sum(axis=1)).sum() - _xlogx(part).sum()) / n  # no grid of these rows tells more
+        if k < 2 or all_columns / np.log(2) <= found:
             continue
-        seen.add(tuple(row))
-        by_row = np.zeros((k + 1, made))
-        np.add.at(by_row.T, row, np.vstack([np.zeros(counts.shape[1]), np.cumsum(counts, axis=0)]).T)
-        part = by_row[None, :, :] - by_row[:, None, :]  # steps s..t of the first axis as one column
-        size = part.sum(axis=2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cost = -np.where(part > 0, part * np.log(part / size[:, :, None]), 0).sum(axis=2)
+        upto = np.vstack((np.zeros(made), np.cumsum(part, axis=0)))
+        cost = _xlogx(np.maximum(upto.sum(axis=1)[None, :] - upto.sum(axis=1)[:, None], 0.0))
+        for r in range(made):  # superclumps s..t as one column: what isn't known of the row there
+            cost -= _xlogx(np.maximum(upto[None, :, r] - upto[:, None, r], 0.0))
         cost[np.tril_indices(k + 1)] = np.inf
-        share = by_row[-1] / n
-        entropy = -(share[share > 0] * np.log(share[share > 0])).sum()
-        reached = cost[0]
-        for columns in range(2, min(k, int(most // made)) + 1):
-            reached = (reached[:, None] + cost).min(axis=0)
-            if np.isfinite(reached[-1]):
-                yield (entropy - reached[-1] / n) / np.log(min(columns, made))
+        cost = np.ascontiguousarray(cost.T)
+        reached = cost[:, 0]
+        for c in range(2, min(k, columns) + 1):
+            if all_columns / np.log(min(c, made)) <= found:
+                break
+            reached = (cost + reached).min(axis=1)
+            if np.isfinite(reached[-1]) and (value := float((entropy - reached[-1] / n) / np.log(min(c, made)))) > found:
+                found = value
+                yield found
 
 
 def combined_score(scores: DataFrame, metrics: list[str]) -> DataFrame:

@@ -9,25 +9,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import bounds, range_of
-from .association import binned, mutual_information
+from ..functions.stats import digamma
+from .association import mutual_information
+from .plane import plane_information
 from .profile import unpivot
 
 #: Neighbours that make a neighbourhood.
 NEIGHBOURS = 3
 
 
-def digamma(n: Column) -> Column:
-    """Digamma of a whole number from 1 on, to about 1e-11: the series at n + 8 less the reciprocals on the way there."""
-    x = n + 8.0
-    square = x * x
-    series = F.ln(x) - 0.5 / x - (1 / 12 - (1 / 120 - (1 / 252 - 1 / 240 / square) / square) / square) / square
-    return series - reduce(lambda a, b: a + b, [1.0 / (n + float(i)) for i in range(8)])
-
-
 def neighbour_information(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(feature, mutual_info) in nats of rows (feature, value, level): ``value`` is continuous, ``level`` discrete.
 
@@ -84,17 +78,18 @@ def neighbour_information(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
 
 def information(df: DataFrame, features: list[str], target: str, continuous: list[str]) -> DataFrame:
-    """(feature, mutual_info): by counts of two discrete columns, by neighbours of a continuous and a discrete one.
-
-    Two continuous columns are cut into bins and counted: neighbours in the plane aren't found range by range.
-    """
+    """(feature, mutual_info): by counts of two discrete columns, by neighbours of a continuous and a discrete one, and by
+    neighbours in the plane of two continuous ones."""
     mixed = [c for c in features if (c in continuous) != (target in continuous)]
-    counts = [c for c in features if c not in mixed]
-    tables = []
+    plane = [c for c in features if c in continuous and target in continuous]
+    counts = [c for c in features if c not in mixed and c not in plane]
+    rows, tables = df.withColumn("_y", F.col(target)), []
     if counts:
-        tables.append(mutual_information(binned(df, [c for c in [*counts, target] if c in continuous]), counts, target))
+        tables.append(mutual_information(df, counts, target))
     if mixed:
         value, level = ("_y", "value") if target in continuous else ("value", "_y")
-        rows = unpivot(df.withColumn("_y", F.col(target)), mixed, "string" if target in continuous else "double", keep=("_y",))
-        tables.append(neighbour_information(rows.select("feature", F.col(value).cast("double").alias("value"), F.col(level).cast("string").alias("level"))))
+        own = unpivot(rows, mixed, "string" if target in continuous else "double", keep=("_y",))
+        tables.append(neighbour_information(own.select("feature", F.col(value).cast("double").alias("value"), F.col(level).cast("string").alias("level"))))
+    if plane:
+        tables.append(plane_information(unpivot(rows, plane, "double", keep=("_y",)).select("feature", F.col("value").alias("x"), F.col("_y").cast("double").alias("y"))))
     return reduce(DataFrame.unionByName, tables) if tables else df.sparkSession.createDataFrame([], "feature string, mutual_info double")

@@ -103,7 +103,21 @@ e as (select *, sum(n) over (partition by feature, value) as nx, sum(n) over (pa
 _month = lambda t: t("lineitem").withColumn("l_shipmonth", F.month("l_shipdate"))
 add("mutual_information", lambda t: A.mutual_information(_month(t), _D, "l_returnflag"), _JOINT + " select feature, sum(n / total * ln(n * total / (nx * ny))) as mutual_info from e group by 1", "mutual_info", 8)
 add("chi_square", lambda t: A.chi_square(_month(t), _D, "l_returnflag"), _JOINT + " select feature, sum(n * n * total / (nx * ny)) - max(total) as chi2, ((count(distinct value) - 1) * (count(distinct y) - 1))::bigint as dof, sqrt(greatest(sum(n * n * total / (nx * ny)) - max(total), 0) / (max(total) * (least(count(distinct value), count(distinct y)) - 1))) as cramers_v from e group by 1", "chi2 cramers_v", 5)
-add("phi_k", lambda t: A.phi_k(_month(t), _D, "l_returnflag"))
+_PHI = "(0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(abs({z})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))))"  # the normal's distribution function by its series
+_CHI = "(total * list_sum(list_transform(w, lambda c: pow(list_sum(list_transform(range(1, 601), lambda i: c[i] * pow({r}, i))), 2))))"
+add("phi_k", lambda t: A.phi_k(_month(t), _D, "l_returnflag"), "with recursive " + _JOINT.removeprefix("with ") + f""", facts as (select feature, sum(n * n * total / (nx * ny)) - max(total) - (count(distinct value) - 1) * (count(distinct y) - 1) as want, max(total) as total from e group by 1),
+lev as (select feature, 0 as axis, value as v, sum(n) as n from j group by all union all select feature, 1, y, sum(n) from j group by all),
+pl as (select *, sum(n) over (partition by feature, axis order by coalesce(try_cast(v as double), 0), v) as upto, sum(n) over (partition by feature, axis) as total from lev),
+bis as (select distinct feature, axis, upto / total as s, -9.1::double as lo, 9.0::double as hi, 0 as it from pl where upto < total
+  union all select feature, axis, s, case when {_PHI.format(z="((lo + hi) / 2)")} < s then (lo + hi) / 2 else lo end, case when {_PHI.format(z="((lo + hi) / 2)")} < s then hi else (lo + hi) / 2 end, it + 1 from bis where it < 55),
+her as (select feature, axis, s, lo as z, 1 as k, 0.0::double as before, exp(-lo * lo / 2) / sqrt(2 * pi()) as now from bis where it = 55
+  union all select feature, axis, s, z, k + 1, now, (z * now - sqrt(k - 1) * before) / sqrt(k) from her where k < 600),
+g as (select feature, axis, s, list(now / sqrt(k) order by k) as g from her group by 1, 2, 3),
+f as (select pl.feature, pl.axis, list_transform(range(1, 601), lambda i: (coalesce(a.g[i], 0) - coalesce(b.g[i], 0)) / sqrt(n / total)) as f from pl left join g a on a.feature = pl.feature and a.axis = pl.axis and a.s = (upto - n) / total left join g b on b.feature = pl.feature and b.axis = pl.axis and b.s = upto / total),
+w as (select a.feature, list(list_transform(range(1, 601), lambda i: a.f[i] * b.f[i])) as w from f a join f b using (feature) where a.axis = 0 and b.axis = 1 group by 1),
+root as (select feature, total, want, w, 0.0::double as lo, 1.0::double as hi, 0 as it from facts join w using (feature)
+  union all select feature, total, want, w, case when {_CHI.format(r="((lo + hi) / 2)")} < want then (lo + hi) / 2 else lo end, case when {_CHI.format(r="((lo + hi) / 2)")} < want then hi else (lo + hi) / 2 end, it + 1 from root where it < 40)
+select feature, case when want <= 0 then 0 else hi end as phik from root where it = 40""", "phik", 4)
 add("mic", lambda t: A.mic(A.prepare(t("lineitem"), LI, "l_returnflag"), LI, "_y"))
 _SCORES = "(values ('a', 0.5, -0.2, 0.1), ('b', -1.0, 0.4, cast(null as double)), ('user_id', 0.9, 0.1, 0.3), ('c', 0.0, 0.0, 0.05))"
 
@@ -125,6 +139,20 @@ def _psi(n: str) -> str:
     return f"(ln({x}) - 0.5 / {x} - (1 / 12.0 - (1 / 120.0 - (1 / 252.0 - 1 / 240.0 / {x} ** 2) / {x} ** 2) / {x} ** 2) / {x} ** 2 - (" + " + ".join(f"1 / ({n} + {i}.0::double)" for i in range(8)) + "))"
 
 
+def _plane_sql(rows: str, k: int = 3) -> str:
+    """SQL of mutual information by nearest neighbours in the plane, from all pairs of rows of (feature, x, y)."""
+    near = lambda c: f"(select count(*) from p b where b.feature = r.feature and case when r.reach > 0 then b.{c} > r.{c} - (r.reach * (1 - 1e-9::double) - abs(r.{c}) * 1e-15::double) and b.{c} < r.{c} + (r.reach * (1 - 1e-9::double) - abs(r.{c}) * 1e-15::double) else b.{c} = r.{c} end)"
+    return f"""with p as (select feature, row_number() over () as i, x / stddev_pop(x) over (partition by feature) as x, y / stddev_pop(y) over (partition by feature) as y, count(*) over (partition by feature) as total from ({rows}) where x is not null and y is not null),
+    r as (select a.feature, a.i, a.x, a.y, a.total, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), {k})[{k}] as reach, count(*) filter (a.x = b.x and a.y = b.y) + 1 as alike from p a join p b on a.feature = b.feature and a.i <> b.i group by 1, 2, 3, 4, 5),
+    n as (select *, {near("x")} as nx, {near("y")} as ny from r)
+    select feature, greatest(0, {_psi("max(total)")} + avg({_psi(f"case when reach > 0 then {k} else alike end")} - {_psi("nx")} - {_psi("ny")})) as mutual_info from n group by feature"""
+
+
+def _spending(t):
+    """A row a customer with orders: what they come to."""
+    return t("orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("max_price"), F.sum(F.floor(F.col("o_totalprice") / 50000)).cast("double").alias("steps"), F.sum("o_totalprice").alias("spent"))
+
+
 def _near_sql(rows: str, k: int = 3) -> str:
     """SQL of mutual information by nearest neighbours, from all pairs of distinct values of (feature, value, level)."""
     return f"""with s0 as (select feature, level, value, count(*) as n from ({rows}) group by all), s as (select *, sum(n) over (partition by feature, level) as size from s0 qualify size > 1),
@@ -135,6 +163,10 @@ def _near_sql(rows: str, k: int = 3) -> str:
 
 
 _NEAR = ["c_mktsegment", "c_nationkey"]
+_SPENDING = "(select o_custkey, avg(o_totalprice) as mean_price, max(o_totalprice) as max_price, sum(floor(o_totalprice / 50000))::double as steps, sum(o_totalprice) as spent from orders group by 1)"
+_FLOATS = ["mean_price", "max_price", "steps"]
+add("mutual_information_plane", lambda t: neighbours.information(_spending(t), _FLOATS, "spent", [*_FLOATS, "spent"]), _plane_sql(" union all ".join(f"select '{c}' as feature, {c} as x, spent as y from {_SPENDING}" for c in _FLOATS)), "mutual_info", 4)
+
 add("mutual_information_neighbours", lambda t: neighbours.information(t("customer"), ["c_acctbal"], "c_mktsegment", ["c_acctbal"]), _near_sql("select 'c_acctbal' as feature, c_acctbal as value, c_mktsegment as level from customer"), "mutual_info", 8)
 add("mutual_information_continuous_target", lambda t: neighbours.information(t("customer"), _NEAR, "c_acctbal", ["c_acctbal"]), _near_sql(" union all ".join(f"select '{c}' as feature, c_acctbal as value, {c}::varchar as level from customer" for c in _NEAR)), "mutual_info", 8)
 _ASSOCIATED = ["l_quantity", "l_discount", "l_linenumber", "l_linestatus"]
