@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordered import ahead, ranges, running_sum
+from ..sources.shared import checkpointed
 from .profile import is_numeric, medians, normalize_nulls, with_nulls
 
 # --- columns -------------------------------------------------------------------------------------------------------
@@ -172,23 +173,42 @@ def distinct_first(df: DataFrame, order: str) -> DataFrame:
 def drop_dominated(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct rows that no other, fuller row agrees with on every cell they have.
 
-    Cells are compared as trimmed strings, empty ones as missing; rows without a cell go. Which cells a row has is its
-    pattern. Every row gives its cells on each smaller pattern that occurs, and a row goes if its own cells are among
-    those: one equality join, however many columns and patterns there are, and no theta join. Patterns, not rows, are
-    paired on the driver.
+    Cells are compared as trimmed strings, empty ones as missing; rows without a cell go. A fuller row has a row's rarest
+    cell too: so rows are looked up by that cell in an inverted index of the cells asked for, and what is found there is
+    verified. Where a pattern's rows (those that have the same columns) have only common cells, so that the lookup would
+    find more than there are rows with these columns, every fuller row gives its cells on that pattern instead, and these
+    are joined by equality. Which patterns lie in which is found in the same way, by their rarest column.
     """
     # one expression over one array: the optimizer's work doubles with each column that is named apart
     given = F.transform(F.array(*[F.col(f"`{c}`").cast("string") for c in columns]), lambda x: F.when(F.trim(x) != "", F.trim(x)))
     text = df.select(given.alias("_cells")).distinct()
     text = text.withColumn("_has", F.array_join(F.transform("_cells", lambda x: F.when(x.isNull(), "0").otherwise("1")), "")).where(F.contains("_has", F.lit("1")))
-    patterns = sorted((int(r[0], 2), r[0]) for r in text.select("_has").distinct().collect())
-    pairs = [(q, p) for n, q in patterns for m, p in patterns if m != n and m & n == m]
-    own = text.withColumn("_own", F.to_json("_cells"))
-    if pairs:
-        smaller = df.sparkSession.createDataFrame(pairs, "_has string, _of string")
-        on_those = F.transform("_cells", lambda x, i: F.when(F.substring(F.col("_of"), i + 1, F.lit(1)) == "1", x))
-        covered = text.join(smaller, "_has").select(F.col("_of").alias("_has"), F.to_json(on_those).alias("_own")).distinct()
-        own = own.join(covered, ["_has", "_own"], "left_anti")
+    text = checkpointed(text.withColumn("_row", F.monotonically_increasing_id()).withColumn("_filled", F.size(F.filter("_cells", lambda x: x.isNotNull()))))
+    long = text.select("_row", "_has", F.posexplode("_cells").alias("_at", "_value")).where("_value IS NOT NULL")
+    often = checkpointed(long.groupBy("_at", "_value").agg(F.count("*").alias("_n")))
+    rarest = long.join(often, ["_at", "_value"]).groupBy("_row", "_has").agg(F.min(F.struct("_n", "_at", "_value")).alias("_cell"))
+    rarest = checkpointed(rarest.where("_cell._n > 1"))  # a cell that no other row has: nothing agrees with it
+    by_column = often.groupBy("_at").agg(F.sum("_n").alias("_rows"))
+    asked = rarest.groupBy("_has").agg(F.sum("_cell._n").alias("_found"))
+    bits = lambda has: F.filter(F.sequence(F.lit(0), F.length(has) - 1), lambda i: F.substring(has, i + 1, F.lit(1)) == "1")
+    wide = asked.select("_has", "_found", F.explode(bits(F.col("_has"))).alias("_at")).join(F.broadcast(by_column), "_at")  # a row a column
+    plan = checkpointed(wide.groupBy("_has", "_found").agg(F.min(F.struct("_rows", "_at")).alias("_least")).select("_has", (F.col("_found") > F.col("_least._rows")).alias("_common"), F.col("_least._at").alias("_at")))
+
+    # by the rarest cell
+    probes = rarest.join(plan.where("NOT _common").select("_has"), "_has", "left_semi").select("_row", F.col("_cell._at").alias("_at"), F.col("_cell._value").alias("_value"))
+    probes = probes.join(text.select("_row", F.col("_cells").alias("_own"), F.col("_filled").alias("_size")), "_row").withColumnRenamed("_row", "_asking")
+    index = text.select("_cells", "_filled", F.posexplode("_cells").alias("_at", "_value")).where("_value IS NOT NULL").join(probes.select("_at", "_value").distinct(), ["_at", "_value"], "left_semi")
+    agrees = F.forall(F.arrays_zip("_own", "_cells"), lambda z: z["_own"].isNull() | z["_own"].eqNullSafe(z["_cells"]))
+    gone = probes.join(index, ["_at", "_value"]).where((F.col("_filled") > F.col("_size")) & agrees).select(F.col("_asking").alias("_row")).distinct()
+
+    # by the whole pattern
+    smaller = plan.where("_common").select(F.col("_has").alias("_of"), "_at")
+    holds = F.forall(bits(F.col("_of")), lambda i: F.substring(F.col("_has"), i + 1, F.lit(1)) == "1")
+    larger = text.select("_has").distinct().withColumn("_at", F.explode(bits(F.col("_has"))))
+    pairs = larger.join(smaller, "_at").where((F.col("_of") != F.col("_has")) & holds).select("_has", "_of")
+    on_those = F.transform("_cells", lambda x, i: F.when(F.substring(F.col("_of"), i + 1, F.lit(1)) == "1", x))
+    covered = text.join(pairs, "_has").select(F.col("_of").alias("_has"), F.to_json(on_those).alias("_json")).distinct()
+    own = text.join(gone, "_row", "left_anti").withColumn("_json", F.to_json("_cells")).join(covered, ["_has", "_json"], "left_anti")
     return own.select(*[F.get("_cells", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 

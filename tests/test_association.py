@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabularium.operators import association, neighbours, plane
+from tabularium.operators import rows as rows_of
 
 
 def psi(n):
@@ -182,3 +183,35 @@ def test_kendall_of_skewed_targets(spark, monkeypatch, share, few):
         for level in range(r.depth):
             groups.setdefault((level, r.code >> bits - level), []).append(weight[r._y])
     assert all(sum(g) <= 2 * n / 2**level + 1 for (level, _), g in groups.items() if len(g) > 1) and all(len(g) > 1 for g in groups.values())
+
+
+# --- rows that fuller rows agree with ---------------------------------------------------------------------------------
+
+
+def undominated(data):
+    rows = {tuple((x.strip() or None) if isinstance(x, str) else x for x in r) for r in data}
+    rows = [r for r in rows if any(r)]
+    covers = lambda a, b: a != b and all(x is None or x == y for x, y in zip(a, b))
+    return sorted(map(str, (r for r in rows if not any(covers(r, b) for b in rows))))
+
+
+@pytest.mark.parametrize("levels,filled,parents", [(60, 0.2, 400), (2, 0.5, 300), (3, 0.95, 200)])
+def test_dominated_rows_of_sparse_and_dense_tables(spark, levels, filled, parents):
+    """40 columns with thousands of patterns, and tables of a few common values, where whole patterns are joined."""
+    rng = np.random.default_rng(11)
+    width = 40 if levels > 3 else 8
+    full = [[f"v{rng.integers(levels)}" if rng.random() < filled else None for _ in range(width)] for _ in range(parents)]
+    data = [tuple(r) for r in full]
+    for r in full:
+        for _ in range(6):  # parts of it, some with a changed cell
+            part = [x if rng.random() < 0.6 else None for x in r]
+            if rng.random() < 0.3:
+                part[rng.integers(width)] = f"v{rng.integers(levels)}"
+            data.append(tuple(part))
+    data += [(" ",) * width, (None,) * width, data[0]]
+    columns = [f"c{i}" for i in range(width)]
+    if levels > 3:
+        assert len({tuple(x is None for x in r) for r in data}) > 2000
+    got = rows_of.drop_dominated(spark.createDataFrame(data, ", ".join(f"{c} string" for c in columns)), columns)
+    assert sorted(str(tuple(r)) for r in got.collect()) == undominated(data)
+    assert rows_of.drop_dominated(got.limit(0), columns).collect() == []
