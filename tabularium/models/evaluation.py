@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import association, rows
 from ..operators.profile import is_numeric
 from . import metrics, registry
+from .limits import OutOfTime
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,16 @@ def metric_of(metric: str, task: str) -> str:
     return metrics.check(metrics.default_metric(task) if metric == "auto" else metric)
 
 
+def metric_for(df: DataFrame, target: str, task: str, metric: str | None = None) -> str:
+    """The metric that is asked for, or the one that suits the target: f1 of two classes, macro f1 of more, the task's own else."""
+    if metric not in (None, "auto"):
+        return metrics.check(metric)
+    if task != "classification":
+        return metrics.default_metric(task)
+    several = df.where(F.col(f"`{target}`").isNotNull()).select(f"`{target}`").distinct().limit(3).count() > 2
+    return "f1_macro" if several else "f1"
+
+
 def model_table(df: DataFrame, target: str, key: str) -> tuple[DataFrame, list[str]]:
     """The table as models take it, and its features: codes for strings, infinities and nulls filled by the median (0 without
     any value), columns of no more than one value dropped. Rows without a target go."""
@@ -61,11 +72,16 @@ def model_table(df: DataFrame, target: str, key: str) -> tuple[DataFrame, list[s
     return made, features
 
 
-def _scores(df: DataFrame, target: str, key: str, task: str, chosen: Preset) -> dict[str, registry.CVResult]:
+def _scores(df: DataFrame, target: str, key: str, task: str, chosen: Preset, errors: dict[str, str] | None = None) -> dict[str, registry.CVResult]:
+    """Of each model that ends within the preset's time; all of them overrun is an error."""
+    errors = {} if errors is None else errors
     table, features = model_table(df, target, key)
     if chosen.sample:
         table = rows.sample_exact(table, key, chosen.sample, chosen.seed)
-    return registry.cross_validate(table, features, target, key, task=task, models=list(chosen.models), k=chosen.folds, seed=chosen.seed)
+    found = registry.cross_validate(table, features, target, key, task=task, models=list(chosen.models), k=chosen.folds, seed=chosen.seed, seconds=chosen.seconds_a_model, errors=errors)
+    if not found:
+        raise OutOfTime("; ".join(f"{m}: {e}" for m, e in errors.items()))
+    return found
 
 
 def evaluate_features(df: DataFrame, target: str, key: str, *, task: str = "classification", metric: str = "auto", using: Preset | str = "llmfe") -> float:
@@ -76,14 +92,14 @@ def evaluate_features(df: DataFrame, target: str, key: str, *, task: str = "clas
 
 
 def evaluate_features_detailed(df: DataFrame, target: str, key: str, *, task: str = "classification", metric: str = "auto", using: Preset | str = "llmfe") -> dict:
-    """Of each model mean, deviation and folds of the metric as it is, the aggregates over models, and the best model."""
-    name = metric_of(metric, task)
-    found = _scores(df, target, key, task, preset(using) if isinstance(using, str) else using)
+    """Of each model mean, deviation and folds of the metric as it is, the aggregates over models, the best model, and what became of models that overran."""
+    name, errors = metric_of(metric, task), {}
+    found = _scores(df, target, key, task, preset(using) if isinstance(using, str) else using, errors)
     by_model = {m: {"mean": r.mean(name), "std": r.std(name), "folds": [f[name] for f in r.folds]} for m, r in found.items()}
     means = sorted(v["mean"] for v in by_model.values())
     middle = len(means) // 2
     median = means[middle] if len(means) % 2 else (means[middle - 1] + means[middle]) / 2
-    return {"metric": name, "higher_is_better": metrics.SIGN[name] > 0, "models": by_model, "mean": sum(means) / len(means), "min": means[0], "max": means[-1], "median": median, "best_model": registry.best_model(found, name)}
+    return {"metric": name, "higher_is_better": metrics.SIGN[name] > 0, "models": by_model, "mean": sum(means) / len(means), "min": means[0], "max": means[-1], "median": median, "best_model": registry.best_model(found, name), "errors": errors}
 
 
 def evaluate_features_weighted(df: DataFrame, target: str, key: str, weights: dict[str, float], *, task: str = "classification", using: Preset | str = "llmfe") -> dict:
@@ -120,10 +136,12 @@ class Tuned:
     trials: list[tuple[dict, float]] = field(default_factory=list)
 
 
-def tune(df: DataFrame, target: str, key: str, model: str, *, task: str = "classification", metric: str = "auto", trials: int = 50, folds: int = 3, seconds: float | None = None, space: dict | None = None) -> Tuned:
+def tune(df: DataFrame, target: str, key: str, model: str, *, task: str = "classification", metric: str = "auto", trials: int | None = None, folds: int = 3, seconds: float | None = None, space: dict | None = None, using: Preset | str = "hpo") -> Tuned:
     """The best parameters of a model's grid by cross-validation, in the metric's own direction. A grid of more points than
-    ``trials`` is walked at even steps; time left over ends it after a whole trial."""
-    name = metric_of(metric, task)
+    ``trials`` is walked at even steps. Trials and seconds are the preset's unless given; a trial that the time doesn't
+    suffice for is cut off and the best so far counts, but the first one may take it all."""
+    name, chosen = metric_of(metric, task), preset(using) if isinstance(using, str) else using
+    trials, seconds = trials or chosen.trials or 1, seconds if seconds is not None else chosen.seconds
     space = space or registry.SPACES[registry.ALIASES.get(model, model)]
     points = [dict(zip(space, p)) for p in itertools.product(*space.values())]
     if len(points) > trials:
@@ -132,9 +150,15 @@ def tune(df: DataFrame, target: str, key: str, model: str, *, task: str = "class
     table, began, out = table.persist(), time.time(), None
     try:
         for params in points:
-            if out and seconds and time.time() - began > seconds:
+            left = None if seconds is None else seconds - (time.time() - began)
+            if out and left is not None and left <= 0:
+                break
+            try:
+                found = registry.cross_validate(table, features, target, key, task=task, models=[model], k=folds, params=params, seconds=left)
+            except OutOfTime:
+                if out is None:
+                    raise
                 break
-            found = registry.cross_validate(table, features, target, key, task=task, models=[model], k=folds, params=params)
             score = found[model].mean(name)
             out = out or Tuned(model, params, score)
             out.trials.append((params, score))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rows import folds
 from . import metrics as M
+from .limits import OutOfTime, within
 
 SEED = 42
 
@@ -67,6 +68,16 @@ def assemble(df: DataFrame, features: list[str], target: str, keep: tuple[str, .
 
 def importances(model, features: list[str]) -> list[tuple[str, float]]:
     """(feature, importance), most important first; coefficients' magnitudes where a model has no importances."""
+    if isinstance(model, PipelineModel):  # an ensemble: importances of its members, each by what it is given
+        from .stacking import members
+
+        total = dict.fromkeys(features, 0.0)
+        for share, m in members(model):
+            own = importances(m, features)
+            size = sum(v for _, v in own) or 1.0
+            for f, v in own:
+                total[f] += share * v / size
+        return sorted(total.items(), key=lambda x: (-x[1], x[0]))
     if hasattr(model, "featureImportances"):
         v = model.featureImportances.toArray().tolist()
     elif hasattr(model, "coefficientMatrix"):
@@ -82,7 +93,7 @@ def importances(model, features: list[str]) -> list[tuple[str, float]]:
 
 
 def save(model, path: str) -> None:
-    PipelineModel(stages=[model]).write().overwrite().save(path)
+    (model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])).write().overwrite().save(path)
 
 
 def load(path: str):
@@ -136,25 +147,47 @@ def evaluate(predictions: DataFrame, task: str, classes: int = 2, by: tuple[str,
     return reduce(lambda a, b: a.join(b, list(by)) if by else a.crossJoin(b), parts, out)  # one row each without ``by``
 
 
-def cross_validate(df: DataFrame, features: list[str], target: str, key: str, *, task: str, models: list[str], k: int = 5, seed: int = SEED, stratify: bool | None = None, params: dict | None = None) -> dict[str, CVResult]:
-    """Every model (with ``params``, if given) on every fold; all metrics come from one set of predictions a model."""
+def cross_validate(
+    df: DataFrame, features: list[str], target: str, key: str, *, task: str, models: list[str], k: int = 5, seed: int = SEED, stratify: bool | None = None, params: dict | None = None,
+    seconds: float | None = None, errors: dict[str, str] | None = None, fitted: dict[str, list] | None = None,
+) -> dict[str, CVResult]:
+    """Every model (with ``params``, if given) on every fold; all metrics come from one set of predictions a model.
+
+    A model that takes longer than ``seconds`` is cut off: it is named in ``errors``, or raises where there is no such
+    dict. ``fitted`` gets the models of all folds by name.
+    """
     stratify = task != "regression" if stratify is None else stratify
-    data = assemble(folds(df, key, k, target if stratify else None, seed), features, target, ("fold",)).persist()
+    data = folded(df, features, target, key, k, target if stratify else None, seed).persist()
     classes = 0 if task == "regression" else classes_of(data)
     out = {}
+
+    def one(name: str) -> tuple[CVResult, list]:
+        own = [fit(name, task, classes, data.where(F.col("fold") != i), params) for i in range(k)]
+        made = [predict(m, data.where(F.col("fold") == i)) for i, m in enumerate(own)]
+        scores = evaluate(reduce(DataFrame.unionByName, made), task, classes, ("fold",)).orderBy("fold").collect()  # a row a fold
+        return CVResult(name, [{m: v for m, v in r.asDict().items() if m != "fold"} for r in scores]), own
+
     try:
         for name in models:
-            made = []
-            for i in range(k):
-                model = fit(name, task, classes, data.where(F.col("fold") != i), params)
-                made.append(predict(model, data.where(F.col("fold") == i)))
-            scores = evaluate(reduce(DataFrame.unionByName, made), task, classes, ("fold",)).orderBy("fold").collect()  # a row a fold
-            out[name] = CVResult(name, [{m: v for m, v in r.asDict().items() if m != "fold"} for r in scores])
+            try:
+                out[name], own = within(seconds, lambda: one(name), df.sparkSession)
+            except OutOfTime as e:
+                if errors is None:
+                    raise
+                errors[name] = f"{type(e).__name__}: {e}"
+                continue
+            if fitted is not None:
+                fitted[name] = own
     finally:
         data.unpersist()
     return out
 
 
+def folded(df: DataFrame, features: list[str], target: str, key: str, k: int, stratify: str | None, seed: int = SEED) -> DataFrame:
+    """(features, label, fold): the rows that cross-validation takes, in their folds."""
+    return assemble(folds(df, key, k, stratify, seed), features, target, ("fold",))
+
+
 def fit(name: str, task: str, classes: int, data: DataFrame, params: dict | None = None):
     """A fitted model; ``params`` replace the defaults of those that it has (of each class's model where there is one a class)."""
     estimator = get_model(name, task, classes)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..config import Layout, ProfileConfig
 from ..functions import language
 from ..functions.primitives import TRANSFORMS
-from ..models import metrics, registry
+from ..models import evaluation, metrics, registry, stacking
+from ..models.limits import within
 from ..operators import association, neighbours, profile, rows
 from ..sources.readers import list_files
 from ..sources.writers import write_csv, write_predictions
@@ -132,6 +133,7 @@ class AutoResult:
     paths: dict[str, str] = field(default_factory=dict)
     importances: list[tuple[str, float]] = field(default_factory=list)
     features: list[str] = field(default_factory=list)
+    stack: dict[str, float] = field(default_factory=dict)  # base models of the ensemble and their weights
 
     @property
     def score(self) -> float | None:
@@ -141,37 +143,62 @@ class AutoResult:
         return self.leaderboard[0][1] if self.leaderboard else None
 
 
-def automl(df: DataFrame, target: str, key: str, *, task: str = "classification", metric: str | None = None, models: list[str] | None = None, time_budget: float = 120, k: int = 3, test: DataFrame | None = None, output: str | None = None) -> AutoResult:
+def automl(df: DataFrame, target: str, key: str, *, task: str = "classification", metric: str | None = None, models: list[str] | None = None, time_budget: float = 120, k: int = 3, test: DataFrame | None = None, output: str | None = None, stack: bool = False) -> AutoResult:
     """Compare model families by cross-validation within a time budget; a family's failure is recorded, not raised.
 
-    With a ``test`` table or an ``output`` folder the best family is fitted on all rows; the test table's predictions, and its
-    scores if it has the target, follow. In ``output`` are then the model, the predictions, the leaderboard and the candidates.
+    Each family has what is left of the budget, and is cut off at its end. Without a metric, f1 counts for two classes, macro
+    f1 for more, and the root of the squared error for numbers. ``stack`` adds an ensemble over the families that
+    ended (``stacked`` on the leaderboard; its base models and their weights are in ``stack``). With a ``test`` table or an
+    ``output`` folder the best is fitted on all rows; the test table's predictions, and its scores if it has the target,
+    follow. In ``output`` are then the model, the predictions, the leaderboard and the candidates.
     """
-    metric = metrics.check(metric or metrics.default_metric(task))
+    metric = evaluation.metric_for(df, target, task, metric)
     features = [c for c in df.columns if c not in (target, key)]
     if test is not None:  # one preparation for both, so that codes and medians agree; the test rows have no part in either
         coded, test = both_tables(df, test, target, key, features)
     else:
         coded = association.prepare(df, [*features, key], target).withColumnRenamed("_y", target)
     data = coded.persist()
-    out, began = AutoResult([], None, metric, features=features), time.time()
+    out, began, fitted = AutoResult([], None, metric, features=features), time.time(), {}
+    left = lambda: time_budget - (time.time() - began)
+
+    def note(name: str, e: Exception) -> None:
+        out.errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
+
     try:
+        data.count()
         for name in models or registry.GROUPS["default"]:
-            if time.time() - began > time_budget and out.results:
+            if left() <= 0:
                 out.errors[name] = "not begun within the time budget"
                 continue
             try:
-                found = registry.cross_validate(data, features, target, key, task=task, models=[name], k=k)
+                found = registry.cross_validate(data, features, target, key, task=task, models=[name], k=k, seconds=left(), fitted=fitted)
                 if any(metric not in f for f in found[name].folds):
                     raise ValueError(f"{name} gives no {metric} for this target")
                 out.results |= found
             except Exception as e:
-                out.errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
+                note(name, e)
+        classes = registry.classes_of(registry.assemble(data, features, target)) if task != "regression" else 0
+        bases, meta = {n: fitted[n] for n in out.results}, None
+        if stack and len(bases) > 1 and left() > 0:
+            try:
+                def stacked():
+                    rows_in = registry.folded(data, features, target, key, k, target if task != "regression" else None)
+                    table = stacking.out_of_fold(rows_in, bases, task, classes)
+                    return stacking.fit_meta(table, task, classes), stacking.cross_validate(table, task, classes)
+
+                meta, out.results["stacked"] = within(left(), stacked, df.sparkSession)
+                out.stack = stacking.weights(list(bases), meta)
+            except Exception as e:
+                note("stacked", e)
         out.leaderboard = sorted(((n, r.mean(metric)) for n, r in out.results.items()), key=lambda x: (-metrics.SIGN[metric] * x[1], x[0]))
         out.best = out.leaderboard[0][0] if out.leaderboard else None
         if out.best and (test is not None or output):
-            classes = registry.classes_of(registry.assemble(data, features, target)) if task != "regression" else 0
-            model = registry.fit(out.best, task, classes, registry.assemble(data, features, target))
+            rows_in = registry.assemble(data, features, target)
+            if out.best == "stacked":
+                model = stacking.ensemble({n: registry.fit(n, task, classes, rows_in) for n in bases}, meta, task, classes)
+            else:
+                model = registry.fit(out.best, task, classes, rows_in)
             out.importances = registry.importances(model, features)
             if output:
                 out.paths |= export(df.sparkSession, out, model, output)
