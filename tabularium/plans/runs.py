@@ -264,14 +264,14 @@ def reload(spark: SparkSession, root: str, path: str | None = None):
     return registry.load(path)
 
 
-def engineer(df: DataFrame, target: str, key: str, client: search.LLMClient | None = None, *, task: str = "classification", samples: int = 6, config: SynthesisConfig | str = "fast", most: int = 100) -> tuple[DataFrame, dict]:
+def engineer(df: DataFrame, target: str, key: str, client: search.LLMClient | None = None, *, task: str = "classification", samples: int = 6, config: SynthesisConfig | str = "fast", most: int = 100, path: str | None = None) -> tuple[DataFrame, dict]:
     """Searched and synthesized features together, selected with searched ones preferred; without a client, or if the search fails, synthesized ones alone."""
     preferred: list[str] = []
     report: dict = {"program": ""}
     made = df
     if client is not None:
         try:
-            found = search.evolve(df, target, key, client, task=task, samples=samples)
+            found = search.evolve(df, target, key, client, task=task, samples=samples, path=path)
             made = found.table
             preferred = [c for c in made.columns if c not in df.columns]
             report["program"] = found.best
@@ -344,12 +344,13 @@ class PipelineResult:
 def run_pipeline(project: str, df: DataFrame, target: str, key: str, *, client: search.LLMClient | None = None, root: str = "out", test: DataFrame | None = None, engineer_features: bool = True, with_automl: bool = True, associations: tuple[str, ...] = ("pearson",), models: list[str] | None = None, **overrides) -> PipelineResult:
     """Profile, infer parameters, engineer features, compare models; tables and reports go to ``<root>/<project>``."""
     layout, spark = Layout(project, root), df.sparkSession
+    layout.log(spark, "reports", {"begun": project, "target": target})
     report = profile_dataset(df.drop(key), [target], associations=associations)
     found = report.to_dict()
     d, t = found["dataset"][0], found["target"][0]
     facts = spark.createDataFrame([(t["problem_type"], t["is_imbalanced"], d["n_rows"], d["n_columns"] - 1, len(found.get("text") or []), float(d["missing_ratio"]))], "problem_type string, is_imbalanced boolean, n_rows long, n_features long, n_text long, missing_ratio double")
     params = infer(facts).first().asDict() | {k: v for k, v in overrides.items() if v is not None}
-    table, notes = engineer(df, target, key, client, task=params["task"], samples=int(params["max_samples"])) if engineer_features else (df, {})
+    table, notes = engineer(df, target, key, client, task=params["task"], samples=int(params["max_samples"]), path=layout.path("features", "population")) if engineer_features else (df, {})
     paths = {"features": layout.path("features", "train.parquet")}
     table.write.mode("overwrite").parquet(paths["features"])
     table = spark.read.parquet(paths["features"])
@@ -364,6 +365,7 @@ def run_pipeline(project: str, df: DataFrame, target: str, key: str, *, client:
     paths["summary"] = layout.path("reports", "summary")
     text = json.dumps(make_json_safe({"params": params, "engineering": notes, "report": compact(found), "leaderboard": result.leaderboard if result else None}))
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(paths["summary"])
+    paths["metadata"] = layout.save_metadata(spark, "reports", {"target": target, "key": key, "params": params, "rows": d["n_rows"], "features": [c for c in table.columns if c not in (target, key)], "best": result.best if result else None, "paths": dict(paths)})
     return PipelineResult(found, params, table, result, paths)
 
 

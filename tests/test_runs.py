@@ -1,5 +1,7 @@
 """Time limits, stacked ensembles, live bests and searches that go on."""
 
+import hashlib
+import json
 import threading
 import time
 
@@ -9,8 +11,12 @@ import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
+from tabularium.config import Layout
 from tabularium.models import evaluation, limits, registry, stacking
-from tabularium.plans import runs
+from tabularium.operators import rows
+from tabularium.plans import runs, search
+from tabularium.sources import readers
+from tabularium.streaming import monitor
 
 
 @pytest.fixture(scope="module")
@@ -94,8 +100,8 @@ def test_stacked_ensemble(spark, curve, tmp_path):
     assert sum(r.stack.values()) == pytest.approx(1.0) and all(w > 0.05 for w in r.stack.values())
     assert r.test_scores["auc"] > 0.85 and {f for f, _ in r.importances[:2]} == {"a", "b"}
     again = runs.reload(spark, str(tmp_path))
-    rows = registry.assemble(test.withColumns({c: F.col(c).cast("double") for c in "abc"}), ["a", "b", "c"], "y", ("id",))
-    assert registry.evaluate(registry.predict(again, rows), "classification").first()["auc"] == pytest.approx(r.test_scores["auc"])
+    given = registry.assemble(test.withColumns({c: F.col(c).cast("double") for c in "abc"}), ["a", "b", "c"], "y", ("id",))
+    assert registry.evaluate(registry.predict(again, given), "classification").first()["auc"] == pytest.approx(r.test_scores["auc"])
 
 
 @pytest.mark.parametrize("task,target", [("classification", "y"), ("classification", "many"), ("regression", "c")])
@@ -105,9 +111,9 @@ def test_out_of_fold_predictions_never_saw_their_fold(spark, curve, task, target
     fitted = {}
     data = curve.select("a", "b", target, "id")
     registry.cross_validate(data, features, target, "id", task=task, models=models, k=3, fitted=fitted)
-    rows = registry.folded(data, features, target, "id", 3, target if task != "regression" else None)
-    classes = 0 if task == "regression" else registry.classes_of(rows)
-    table = stacking.out_of_fold(rows, fitted, task, classes)
+    given = registry.folded(data, features, target, "id", 3, target if task != "regression" else None)
+    classes = 0 if task == "regression" else registry.classes_of(given)
+    table = stacking.out_of_fold(given, fitted, task, classes)
     assert table.count() == 600
     width = 2 * max(1, classes - 1)
     assert {len(r.stacked) for r in table.collect()} == {width}
@@ -115,11 +121,88 @@ def test_out_of_fold_predictions_never_saw_their_fold(spark, curve, task, target
     noise = data.withColumn(target, F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"))
     fitted = {}
     registry.cross_validate(noise, features, target, "id", task="classification", models=models, k=3, fitted=fitted)
-    rows = registry.folded(noise, features, target, "id", 3, target)
-    found = stacking.cross_validate(stacking.out_of_fold(rows, fitted, "classification", 2), "classification", 2)
+    given = registry.folded(noise, features, target, "id", 3, target)
+    found = stacking.cross_validate(stacking.out_of_fold(given, fitted, "classification", 2), "classification", 2)
     assert 0.4 < found.mean("auc") < 0.6
 
 
 def test_metric_for_the_classes(spark, curve):
     assert evaluation.metric_for(curve, "y", "classification") == "f1" and evaluation.metric_for(curve, "many", "classification") == "f1_macro"
     assert evaluation.metric_for(curve, "a", "regression") == "rmse" and evaluation.metric_for(curve, "many", "classification", "accuracy") == "accuracy"
+
+
+# --- live bests and searches that go on -----------------------------------------------------------------------------
+
+
+def told(folder, name, rows):
+    for order, score in rows:
+        (folder / f"sample_{name}_{order}.json").write_text(json.dumps({"sample_order": order, "function": "x", "score": score}))
+
+
+def test_live_bests_equal_those_of_the_finished_log(spark, tmp_path):
+    """Late samples, repeats, failures, several blocks, and a query that is started again each time."""
+    rng = np.random.default_rng(9)
+    scores = [None if rng.random() < 0.2 else round(float(rng.normal()), 1) for _ in range(60)]
+    folder, table, checkpoint = tmp_path / "log", str(tmp_path / "t"), str(tmp_path / "c")
+    folder.mkdir()
+    orders = rng.permutation(60).tolist()
+    for i, part in enumerate([orders[:25], orders[25:30], [], orders[20:45], orders[45:]]):
+        told(folder, i, [(o, scores[o]) for o in part])
+        q = monitor.live_best(readers.stream_samples(spark, str(folder)), table, checkpoint, block=16, availableNow=True)
+        q.awaitTermination()
+        seen = sorted({o for p in [orders[:25], orders[25:30], [], orders[20:45], orders[45:]][: i + 1] for o in p})
+        log = spark.createDataFrame([(o, scores[o]) for o in seen], "sample_order long, score double")
+        want = rows.running_best(log).select("sample_order", "score", "best_so_far", "delta", "is_best")
+        got = monitor.bests(spark.read.parquet(table))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), i
+    written = spark.read.parquet(table)
+    assert written.count() > 60 and written.where("revision > 1").count()  # late samples made some rows again
+
+
+class Hashing:
+    """Answers that depend on the prompt and the place in the round alone."""
+
+    def __init__(self, breaks_at=None):
+        self.asked, self.breaks_at = 0, breaks_at
+
+    def complete(self, prompt):
+        self.asked += 1
+        if self.asked == self.breaks_at:
+            raise KeyboardInterrupt
+        h = int(hashlib.md5(f"{prompt}{self.asked % 2}".encode()).hexdigest(), 16)  # two answers a prompt, as many as a round asks for
+        return [f"p{h % 7} = a * {h % 5}", f"q = square(b) + {h % 3}", "r = nonsense(", f"s = a / (b + {h % 4})", f"t{h % 3} = b * c"][h % 5]
+
+
+def test_a_search_goes_on_where_it_was_broken_off(spark, curve, tmp_path):
+    df = curve.drop("many").where("id < 150")
+    how = dict(samples=12, n_islands=3, per_prompt=2, k=2, reset_every=4)
+    whole = search.evolve(df, "y", "id", Hashing(), **how, path=str(tmp_path / "whole"))
+    path = str(tmp_path / "broken")
+    for stop in (3, 5, None):
+        try:
+            parts = search.evolve(df, "y", "id", Hashing(stop), **how, path=path)
+        except KeyboardInterrupt:
+            continue
+    assert parts.samples == whole.samples and (parts.best, parts.best_score, parts.baseline) == (whole.best, whole.best_score, whole.baseline)
+    assert len({s.function for s in whole.samples}) > 2 and len({s.score for s in whole.samples}) > 1
+    short = search.evolve(df, "y", "id", Hashing(), **{**how, "samples": 5}, path=str(tmp_path / "short"))
+    longer = search.evolve(df, "y", "id", Hashing(), **how, path=str(tmp_path / "short"))
+    assert short.samples == whole.samples[:5] and longer.samples == whole.samples
+    assert search.evolve(df, "y", "id", Hashing(), **how).samples == whole.samples  # without a log
+    kept, again = search.Population(3), search.read_population(spark, path, 3)
+    kept.take(again.rows)
+    assert [(i.clusters, i.count) for i in kept.islands] == [(i.clusters, i.count) for i in again.islands] and kept.epochs == again.epochs and max(again.epochs) > 0
+
+
+def test_slow_candidates_have_no_score(spark, curve, slow):
+    found = search.evolve(curve.drop("many").where("id < 100"), "y", "id", search.StubLLM(["x = a * 2"]), samples=1, k=2, seconds_a_sample=0.01)
+    assert found.samples[0].score is None and "OutOfTime" in found.samples[0].error
+
+
+def test_metadata_and_log_of_a_run(spark, tmp_path):
+    layout = Layout("p", str(tmp_path))
+    layout.log(spark, "features", {"step": 1})
+    layout.save_metadata(spark, "features", {"rows": 5})
+    assert layout.metadata(spark, "features")["rows"] == 5 and layout.metadata(spark, "features")["project"] == "p"
+    assert [json.loads(r.event) for r in layout.events(spark, "features").collect()] == [{"step": 1}, {"saved": layout.paths("features")["metadata"]}]
+    assert Layout.of(layout.path("features")) == (layout, "features")
