@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import language
 from .functions import primitives as P
 from .functions import text as X
-from .models import evaluation, registry
+from .models import evaluation, registry, stacking
 from .models import metrics as M
 from .operators import association as A
 from .operators import neighbours, profile, rows
 from .plans import describe, history, infer, runs, selection, synthesis
 from .sources import readers, writers
+from .sources.shared import checkpointed, remove, shared_dir
 from .streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,8 +59,26 @@ p as (select *, n_unique::double / n_rows as unique_ratio, case when kind = 'num
 select ordinal::int as ordinal, feature, kind, role, n_non_null::bigint as n_non_null, (n_rows - n_non_null)::bigint as n_missing, (n_rows - n_non_null)::double / n_rows as missing_rate, n_unique::bigint as n_unique, unique_ratio,
 concat_ws(',', case when n_unique <= 1 then 'CONSTANT' end, case when regexp_matches(lower(feature), 'id|uuid|guid') or unique_ratio > 0.9 then 'ID_LIKE' end, case when role = 'categorical' and n_unique > 50 then 'HIGH_CARDINALITY' end) as flags from p"""
 add("column_profile", lambda t: profile.column_profile(t("customer")).drop("inferred_type", "recommendations").withColumn("flags", F.array_join("flags", ",")), _PROFILE_SQL, "missing_rate unique_ratio", 6)
-add("profile_types_and_hints", lambda t: profile.column_profile(t("orders"), ["o_orderstatus"]).select("feature", "role", "inferred_type", F.array_join("recommendations", ",").alias("recommendations")), """select * from (values ('o_orderkey', 'numeric', 'id_like', 'do_not_use_as_raw_feature,candidate_for_scaling'), ('o_custkey', 'numeric', 'numeric', 'candidate_for_scaling'), ('o_totalprice', 'numeric', case when (select count(distinct o_totalprice)::double / count(*) from orders) > 0.9 then 'id_like' else 'numeric' end, case when (select count(distinct o_totalprice)::double / count(*) from orders) > 0.9 then 'do_not_use_as_raw_feature,candidate_for_scaling' else 'candidate_for_scaling' end),
-  ('o_orderdate', 'datetime', case when (select count(distinct o_orderdate)::double / count(*) from orders) > 0.9 then 'id_like' else 'datetime' end, case when (select count(distinct o_orderdate)::double / count(*) from orders) > 0.9 then 'do_not_use_as_raw_feature,extract_datetime_features' else 'extract_datetime_features' end), ('o_orderpriority', 'categorical', 'categorical_low', 'candidate_for_one_hot')) v(feature, role, inferred_type, recommendations)""")
+
+
+def _types_sql(table: str, kinds: dict[str, str]) -> str:
+    """SQL of the types and hints of a table's columns, from what they hold."""
+    own = ", ".join(f"({i}, '{c}', '{k}')" for i, (c, k) in enumerate(kinds.items()))
+    return f"""with v as ({stack(list(kinds), table, "varchar")}), facts as (select feature, count(value) as n_non_null, count(*) as n_rows, count(distinct value) as n_unique, bool_and(lower(value) in ('0', '1', '0.0', '1.0', 'true', 'false')) as two from v group by feature),
+k as (select * from (values {own}) k(ordinal, feature, kind)),
+p as (select *, n_unique::double / n_rows as unique_ratio, case when kind = 'numeric' and two then 'boolean' when kind = 'string' then case when n_unique > 20 and n_unique::double / n_rows > 0.5 then 'text' else 'categorical' end else kind end as role from facts join k using (feature)),
+f as (select *, n_unique <= 1 as constant, regexp_matches(lower(feature), 'id|uuid|guid') or unique_ratio > 0.9 as id_like, role = 'categorical' and n_unique > 50 as high from p)
+select feature, role, case when constant then 'constant' when id_like then 'id_like' when role = 'numeric' then 'numeric' when role = 'boolean' then 'bool' when role in ('datetime', 'text') then role when n_unique <= 20 then 'categorical_low' else 'categorical_high' end as inferred_type,
+concat_ws(',', case when constant then 'drop_constant_feature' end, case when id_like then 'do_not_use_as_raw_feature' end, case when n_non_null < n_rows then case when role = 'numeric' then 'impute_median' else 'impute_most_frequent_or_category' end end, case when 1 - n_non_null::double / n_rows > 0.3 then 'high_missing_rate' end, case role when 'numeric' then 'candidate_for_scaling' when 'categorical' then case when high then 'use_target_encoding_or_hashing' else 'candidate_for_one_hot' end when 'text' then 'use_text_embeddings,tfidf_or_ngram_features' when 'datetime' then 'extract_datetime_features' when 'boolean' then 'binary_feature' end) as recommendations from f"""
+
+
+def _holey(t):
+    """Orders with gaps and a yes-or-no column."""
+    return t("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", F.when(F.col("o_orderkey") % 5 > 1, F.col("o_orderstatus")).alias("o_state"), (F.col("o_orderkey") % 2).alias("odd"))
+
+
+_HOLEY = "(select o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority, case when o_orderkey % 5 > 1 then o_orderstatus end as o_state, o_orderkey % 2 as odd from orders)"
+add("profile_types_and_hints", lambda t: profile.column_profile(_holey(t)).select("feature", "role", "inferred_type", F.array_join("recommendations", ",").alias("recommendations")), _types_sql(_HOLEY, {"o_orderkey": "numeric", "o_custkey": "numeric", "o_totalprice": "numeric", "o_orderdate": "datetime", "o_orderpriority": "string", "o_state": "string", "odd": "numeric"}))
 add("profile_warnings", lambda t: profile.warnings(profile.column_profile(t("customer"))), f"select feature, unnest(string_split(flags, ',')) as warning from ({_PROFILE_SQL}) where flags <> ''")
 add("null_stats", lambda t: rows.null_ratios(t("conversations")), " union all ".join(f"select '{c}' as feature, avg(({c} is null)::int)::double as null_ratio from conversations" for c in ("conv_id", "turn", "role", "text")), "null_ratio")
 add("numeric_stats", lambda t: profile.numeric_stats(t("lineitem"), LI), f"""select feature, count(value)::bigint as count, avg(value) as mean, stddev_samp(value) as std, min(value) as min, quantile_cont(value, 0.25) as p25, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.75) as p75, max(value) as max, skewness(value) as skew, kurtosis(value) as kurtosis from ({stack(LI, "lineitem")}) group by feature""", "mean std min p25 p50 p75 max skew kurtosis", 3)
@@ -119,16 +138,24 @@ root as (select feature, total, want, w, 0.0::double as lo, 1.0::double as hi, 0
   union all select feature, total, want, w, case when {_CHI.format(r="((lo + hi) / 2)")} < want then (lo + hi) / 2 else lo end, case when {_CHI.format(r="((lo + hi) / 2)")} < want then hi else (lo + hi) / 2 end, it + 1 from root where it < 40)
 select feature, case when want <= 0 then 0 else hi end as phik from root where it = 40""", "phik", 4)
 add("mic", lambda t: A.mic(A.prepare(t("lineitem"), LI, "l_returnflag"), LI, "_y"))
-_SCORES = "(values ('a', 0.5, -0.2, 0.1), ('b', -1.0, 0.4, cast(null as double)), ('user_id', 0.9, 0.1, 0.3), ('c', 0.0, 0.0, 0.05))"
+_EV = ["event_id", "user_id", "value"]
+_EVENTS = f"({stack(_EV, 'events', 'double', ', dense_rank() over (order by event_type) - 1 as y')})"
+_SCORES = f"""(select feature, corr(value, y) as p, corr(rx, ry) as s, any_value(m) as m from (select *, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2.0 as rx, rank() over (partition by feature order by y) + (count(*) over (partition by feature, y) - 1) / 2.0 as ry from {_EVENTS})
+  left join (select 'user_id' as feature, sum(n / total * ln(n * total / (nx * ny))) as m from (select count(*)::double as n, sum(count(*)) over (partition by user_id) as nx, sum(count(*)) over (partition by event_type) as ny, sum(count(*)) over () as total from events group by user_id, event_type)) using (feature) group by feature)"""
 
 
 def _scores(t):
-    return t("region").agg(F.count("*")).select(F.inline(F.expr("array(named_struct('feature', 'a', 'pearson', 0.5D, 'spearman', -0.2D, 'mutual_info', 0.1D), named_struct('feature', 'b', 'pearson', -1.0D, 'spearman', 0.4D, 'mutual_info', cast(null as double)), named_struct('feature', 'user_id', 'pearson', 0.9D, 'spearman', 0.1D, 'mutual_info', 0.3D), named_struct('feature', 'c', 'pearson', 0.0D, 'spearman', 0.0D, 'mutual_info', 0.05D))")))
+    """Scores of the events' columns for their type; mutual information of one of them."""
+    data = A.prepare(t("events"), _EV, "event_type")
+    found = rows.join_scores([A.pearson_scores(data, _EV), A.spearman_scores(data, _EV)])
+    return found.join(A.mutual_information(t("events"), ["user_id"], "event_type"), "feature", "left")
 
 
-add("combined_score", lambda t: A.combined_score(_scores(t), ["pearson", "spearman", "mutual_info"]), f"select feature, p::double as pearson, s::double as spearman, m::double as mutual_info, (abs(p) / (max(abs(p)) over () + 1e-9) + abs(s) / (max(abs(s)) over () + 1e-9) + coalesce(abs(m) / (max(abs(m)) over () + 1e-9), 0)) / (2 + (m is not null)::int) as combined_score from {_SCORES} v(feature, p, s, m)", "pearson spearman mutual_info combined_score", 6)
-add("top_features", lambda t: A.top_features(_scores(t), 3), f"select feature, w as weighted_score from (select feature, (0.2 * (p + 1) / 1.9 + 0.2 * (s + 0.2) / 0.6 + 0.25 * coalesce(m, 0) / 0.3) * case when regexp_matches(lower(feature), 'id|code') then 0.1 else 1 end as w from {_SCORES} v(feature, p, s, m)) order by w desc, feature limit 3", "weighted_score", 6)
-add("heat_map", lambda t: A.heat_map(_scores(t)), f"select feature, metric, case metric when 'pearson' then p::double when 'spearman' then s::double else m::double end as value from {_SCORES} v(feature, p, s, m), (select unnest(['pearson', 'spearman', 'mutual_info']) as metric)")
+_SHARE = lambda c: f"abs({c}) / (max(abs({c})) over () + 1e-9)"
+_PLACE = lambda c: f"coalesce((coalesce({c}, 0) - min(coalesce({c}, 0)) over ()) / nullif(max(coalesce({c}, 0)) over () - min(coalesce({c}, 0)) over (), 0), 0)"
+add("combined_score", lambda t: A.combined_score(_scores(t), ["pearson", "spearman", "mutual_info"]), f"select feature, p as pearson, s as spearman, m as mutual_info, ({_SHARE('p')} + {_SHARE('s')} + coalesce({_SHARE('m')}, 0)) / (2 + (m is not null)::int) as combined_score from {_SCORES}", "pearson spearman mutual_info combined_score", 6)
+add("top_features", lambda t: A.top_features(_scores(t), 2), f"select feature, w as weighted_score from (select feature, (0.2 * {_PLACE('p')} + 0.2 * {_PLACE('s')} + 0.25 * {_PLACE('m')}) * case when regexp_matches(lower(feature), 'id|code') then 0.1 else 1 end as w from {_SCORES}) order by w desc, feature limit 2", "weighted_score", 6)
+add("heat_map", lambda t: A.heat_map(_scores(t)), f"select feature, metric, case metric when 'pearson' then p when 'spearman' then s else m end as value from {_SCORES}, (select unnest(['pearson', 'spearman', 'mutual_info']) as metric)", "value", 6)
 add("correlation_matrix", lambda t: A.correlation_matrix(t("lineitem"), LI), " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as correlation from lineitem" for i, a in enumerate(LI) for b in LI[i + 1 :]), "correlation", 6)
 add("correlation_strength", lambda t: A.correlation_matrix(t("lineitem"), LI).select("a", "b", A.strength(F.col("correlation")).alias("band")), " union all ".join(f"select '{a}' as a, '{b}' as b, case when abs(corr({a}, {b})) > 0.5 then 'strong' when abs(corr({a}, {b})) > 0.2 then 'moderate' else 'weak' end as band from lineitem" for i, a in enumerate(LI) for b in LI[i + 1 :]))
 add("insight_tiers", lambda t: A.insight_tier(profile.column_profile(t("lineitem").select(*LI, "l_returnflag"), ["l_returnflag"]), A.pearson_scores(_prepared(t), LI)).select("feature", "tier"), f"select feature, case when u > 0.9 then 'low' when r >= 0.3 then 'high' when r >= 0.1 then 'medium' else 'medium' end as tier from (select feature, abs(corr(value, y)) as r, count(distinct value)::double / count(*) as u from {_PREP} group by 1)")
@@ -197,7 +224,7 @@ add("valid_groups", lambda t: profile.valid_groups(t("part"), ["p_brand", "p_typ
 
 # --- joins, groups, dedup (J1-J11, U1-U5, A35-A42) -----------------------------------------------------------------
 
-add("join_scores", lambda t: rows.join_scores([A.pearson_scores(_prepared(t), LI), A.spearman_scores(_prepared(t), LI).select("feature")]), f"select feature, corr(value, y) as pearson from {_PREP} group by 1", "pearson", 6)
+add("join_scores", lambda t: rows.join_scores([A.pearson_scores(_prepared(t), LI), A.spearman_scores(_prepared(t), LI), A.kendall_scores(A.prepare(t("lineitem"), _K, "l_returnflag"), _K)]), f"select feature, pearson, spearman, kendall from (select feature, corr(value, y) as pearson from {_PREP} group by 1) join ({SQL['spearman_scores'].split(' from (', 1)[1][:-1]}) using (feature) join ({SQL['kendall_scores'].split(' from (', 1)[1][:-1]}) using (feature)", "pearson spearman kendall", 6)
 add("parent_features", lambda t: rows.group_feature(t("orders"), "o_custkey", "o_totalprice", F.avg, "mean_price").select("o_orderkey", "mean_price"), "select o_orderkey, avg(o_totalprice) over (partition by o_custkey) as mean_price from orders", "mean_price", 1)
 add("parent_features_null_key", lambda t: rows.group_feature(t("orders").withColumn("k", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey"))), "k", "o_totalprice", F.max, "top").select("o_orderkey", "top"), "select o_orderkey, case when o_custkey % 3 <> 0 then max(o_totalprice) over (partition by o_custkey) end as top from orders")
 add("lookup_codes", lambda t: rows.encode(t("orders"), "o_orderpriority", rows.level_codes(t("orders").where("o_orderpriority <> '5-LOW'"), "o_orderpriority"), "code").select("o_orderkey", "code"), "select o_orderkey, coalesce(c, -1)::bigint as code from orders left join (select o_orderpriority, row_number() over (order by o_orderpriority) - 1 as c from (select distinct o_orderpriority from orders where o_orderpriority <> '5-LOW')) using (o_orderpriority)")
@@ -284,7 +311,8 @@ add("numeric_coercion", lambda t: rows.to_numbers(t("events").select("event_id",
 add("whitespace", lambda t: t("conversations").select("conv_id", "turn", X.normalize_space(F.col("text")).alias("text")), "select conv_id, turn, regexp_replace(trim(text), '\\s+', ' ', 'g') as text from conversations")
 add("json_salvage", lambda t: t("events").select("event_id", F.get_json_object(X.salvage_json(F.concat(F.lit("Here: "), "props", F.lit(" done"))), "$.k").alias("k")), "select event_id, json_extract_string(regexp_extract('Here: ' || props || ' done', '(?s)\\{.*\\}'), '$.k') as k from events")
 add("row_text", lambda t: t("nation").select("n_nationkey", X.row_text(["n_name", "n_nationkey"], "n_regionkey").alias("s")), "select n_nationkey, 'If n_name is ' || n_name || ', n_nationkey is ' || n_nationkey || ', Then n_regionkey is ' || n_regionkey || '.' as s from nation")
-add("metric_names", lambda t: t("region").select("r_regionkey", X.metric_name(F.element_at(F.array(*map(F.lit, ["ROC_AUC", "f1-score", "", "rmse", "acc"])), F.col("r_regionkey").cast("int") + 1)).alias("m")), "select r_regionkey, (['auc', 'f1', 'auto', 'rmse', 'accuracy'])[r_regionkey + 1] as m from region")
+_SPELLED = ["ROC_AUC", " f1-score", "", "rmse", "acc", "R_Squared"]  # as people write them, by order and priority
+add("metric_names", lambda t: t("orders").groupBy(X.metric_name(F.coalesce(F.get(F.array(*map(F.lit, _SPELLED)), (F.col("o_orderkey") % 9).cast("int")), F.col("o_orderpriority"))).alias("m")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first")), f"select case o_orderkey % 9 when 0 then 'auc' when 1 then 'f1' when 2 then 'auto' when 3 then 'rmse' when 4 then 'accuracy' when 5 then 'r2' else lower(trim(o_orderpriority)) end as m, count(*)::bigint as n, min(o_orderkey) as first from orders group by 1")
 add("history_truncation", lambda t: X.truncate_history(t("conversations"), last=2), "select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn) as u, row_number() over (partition by conv_id order by turn desc) as d from conversations) where role = 'system' or u = 1 or d <= 2")
 add("inferred_parameters", lambda t: infer.infer(t("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 3 == 0, "regression").when(F.col("n_nationkey") % 3 == 1, "binary").otherwise("multiclass").alias("problem_type"), (F.col("n_nationkey") % 2 == 0).alias("is_imbalanced"), (F.col("n_nationkey").cast("long") * 4000).alias("n_rows"), (F.col("n_nationkey").cast("long") * 3).alias("n_features"), (F.col("n_nationkey") % 2).cast("long").alias("n_text"), (F.col("n_nationkey") / 30.0).alias("missing_ratio"))).select("n_nationkey", "task", "metric", "feature_format", F.col("max_samples").cast("long").alias("max_samples"), F.col("time_budget").cast("long").alias("time_budget")), """select n_nationkey, case when n_nationkey % 3 = 0 then 'regression' else 'classification' end as task, case when n_nationkey % 3 = 0 then 'rmse' when n_nationkey % 3 = 1 and n_nationkey % 2 <> 0 then 'accuracy' when n_nationkey % 3 = 1 then 'f1' else 'f1_macro' end as metric,
   case when n_nationkey * 3 <= 5 then 'basic' when (case when n_nationkey * 3 > 50 then 0.4 when n_nationkey * 3 > 20 then 0.2 else 0 end) + (case when n_nationkey % 2 > 0 then 0.2 else 0 end) + (case when n_nationkey / 30.0 > 0.3 then 0.2 else 0 end) > 0.5 then 'hierarchical' else 'tags' end as feature_format, case when n_nationkey * 3 <= 10 then 10 when n_nationkey * 3 > 30 then 25 else 15 end::bigint as max_samples, case when n_nationkey * 4000 < 1000 then 60 when n_nationkey * 4000 > 50000 then 300 else 120 end::bigint as time_budget from nation""")
@@ -311,7 +339,7 @@ _LINES = f"(select feature, replace(feature, '_', ' ') as about, min(value) as l
 add("feature_lines_basic", lambda t: describe.lines(_insights(t), "basic").select("line"), f"select '- ' || feature || ': ' || about || ' (numerical variable within range [' || lo::varchar || ', ' || hi::varchar || '])' as line from {_LINES}")
 add("feature_lines_tags", lambda t: describe.lines(_insights(t), "tags").select("line"), f"select '- ' || feature || ': ' || about || ' [NUM] ' || case when abs(r) >= 0.3 then '[HIGH_PRED] ' else '' end || printf('[CORR:%.2f] (%.2f to %.2f)', r, lo, hi) as line from {_LINES}")
 add("feature_lines_hierarchical", lambda t: describe.lines(_insights(t), "hierarchical").select("section", "line"), f"select case when abs(r) >= 0.3 then 'high' else 'medium' end as section, '- ' || feature || ': ' || about || printf(' [CORR: %.2f] (%.1f-%.1f)', r, lo, hi) as line from {_LINES}")
-add("features_by_value", lambda t: describe.high_value(_insights(t), 0.0).select("feature"), f"select feature from {_LINES} where r is not null")
+add("features_by_value", lambda t: describe.high_value(describe.insights(t("part").select("p_partkey", "p_size", (F.col("p_retailprice") + F.col("p_size") * 20).alias("mixed"), "p_retailprice"), "p_retailprice"), 0.3).select("feature"), "select feature from (select feature, corr(value, y) as r from (select 'p_partkey' as feature, p_partkey::double as value, p_retailprice as y from part union all select 'p_size', p_size, p_retailprice from part union all select 'mixed', p_retailprice + p_size * 20, p_retailprice from part) group by 1) where abs(r) >= 0.3")
 
 
 def _programs(t):
@@ -321,7 +349,16 @@ def _programs(t):
 
 _PROGRAMS = f"(select *, 'f' || sample_order % 7 as made, 'c' || sample_order % 5 as gone from ({_LOG}))"
 add("evolution_history", lambda t: history.evolution(_programs(t), ["value", "c0", "c1"]).drop("sample_time", "evaluate_time", "timestamp"), f"select sample_order, score, case when score is null then 0.0::double else score - coalesce(max(score) over (order by sample_order rows between unbounded preceding and 1 preceding), 0) end as score_delta, coalesce(score is not null and (max(score) over (order by sample_order rows between unbounded preceding and 1 preceding) is null or score > max(score) over (order by sample_order rows between unbounded preceding and 1 preceding)), false) as is_best, 1::int as n_features_created, 1::int as n_features_dropped, made as features_created, gone as features_dropped, score is null as has_error from {_PROGRAMS}", "score score_delta", 6)
-add("evolution_timeline", lambda t: history.timeline(_programs(t), ["value", "c0", "c1"]).select("sample_order", "total_features", F.array_join("transformed", ",").alias("transformed")), f"select sample_order, 3::int as total_features, 'value' as transformed from {_PROGRAMS}")
+
+
+def _uneven(t):
+    """Programs that create one or two columns, transform one in half of the rows, and drop none, one or two."""
+    n = F.col("sample_order")
+    lines = F.array_compact(F.array(F.lit("a = value + 1"), F.when(n % 3 == 0, "b = a * a  # twice"), F.when(n % 2 == 0, "value = absolute(value)"), F.when(n % 4 > 0, "drop c0"), F.when(n % 4 == 3, "drop c1")))
+    return _log(t).withColumn("function", F.array_join(lines, "\n"))
+
+
+add("evolution_timeline", lambda t: history.timeline(_uneven(t), ["value", "c0", "c1"]).select("sample_order", "total_features", F.array_join("transformed", ",").alias("transformed"), F.array_join("created", ",").alias("created"), F.array_join("dropped", ",").alias("dropped")), f"select sample_order, (3 + 1 + (sample_order % 3 = 0)::int - (sample_order % 4 > 0)::int - (sample_order % 4 = 3)::int)::int as total_features, case when sample_order % 2 = 0 then 'value' else '' end as transformed, case when sample_order % 3 = 0 then 'a,b' else 'a' end as created, case sample_order % 4 when 0 then '' when 3 then 'c0,c1' else 'c0' end as dropped from ({_LOG})")
 add("most_created", lambda t: history.most_changed(_programs(t), ["value"], "created", 3), f"select made as feature, count(*)::bigint as n from {_PROGRAMS} group by 1 order by 2 desc, 1 limit 3")
 add("most_dropped", lambda t: history.most_changed(_programs(t), ["value"], "dropped", 3), f"select gone as feature, count(*)::bigint as n from {_PROGRAMS} group by 1 order by 2 desc, 1 limit 3")
 add("convergence", lambda t: history.convergence(_log(t)), f"select max(sample_order) as sample_order from (select sample_order, score > coalesce(max(score) over (order by sample_order rows between unbounded preceding and 1 preceding), -1e308) as best from ({_LOG}) where score is not null) where best")
@@ -380,6 +417,19 @@ def _cv(t):
 
 
 add("cross_validation", _cv)
+add("fold_sizes", lambda t: rows.folds(_model_table(t), "l_orderkey", 3, "target").groupBy("target", "fold").agg(F.count("*").alias("n")), """with d as (select target, count(*) as n from (select l_orderkey, max((l_returnflag = 'R')::int) as target from lineitem group by 1) group by 1) select target::int as target, fold::int as fold, (n // 3 + (fold < n % 3)::int)::bigint as n from d, (select unnest([0, 1, 2]) as fold)""")
+
+
+def _stack_board(t):
+    """What an ensemble over two families is made of: the leaderboard's names, and rows and width of the out-of-fold table by fold and class."""
+    d, fitted = _model_table(t), {}
+    registry.cross_validate(d, ["qty", "disc", "n"], "target", "l_orderkey", task="classification", models=["decisiontree", "logistic"], k=3, fitted=fitted)
+    table = stacking.out_of_fold(registry.folded(d, ["qty", "disc", "n"], "target", "l_orderkey", 3, "target"), fitted, "classification", 2)
+    board = stacking.cross_validate(table, "classification", 2)
+    return table.groupBy(F.col("label").cast("int").alias("target"), "fold").agg(F.count("*").alias("n"), F.max(F.size(vector_to_array("stacked"))).alias("width")).withColumn("folds", F.lit(len(board.folds)))
+
+
+add("stacked_out_of_fold", _stack_board, """with d as (select target, count(*) as n from (select l_orderkey, max((l_returnflag = 'R')::int) as target from lineitem group by 1) group by 1) select target::int as target, fold::int as fold, (n // 3 + (fold < n % 3)::int)::bigint as n, 2::int as width, 3::int as folds from d, (select unnest([0, 1, 2]) as fold)""")
 add("feature_selection", lambda t: (lambda d: d.sparkSession.createDataFrame([(c,) for c in selection.select_features(d.drop("l_orderkey"), "target").selected], "feature string"))(_model_table(t)))
 add("automl_leaderboard", lambda t: (lambda d, r: d.sparkSession.createDataFrame(r.leaderboard, "model string, score double"))(d := _model_table(t), runs.automl(d, "target", "l_orderkey", models=["decisiontree", "logistic"], k=2)))
 add("synthesized_features", lambda t: synthesis.synthesize(t("orders").withColumn("target", (F.col("o_totalprice") > 200000).cast("int")).drop("o_totalprice", "o_custkey"), "target", "o_orderkey", synthesis.SynthesisConfig(select=None, max_groups=1)).table)
@@ -399,13 +449,16 @@ add("evaluation_detailed", lambda t: (lambda d, r: d.sparkSession.createDataFram
 
 
 def _stored(write, read):
-    """Features written below the shared folder (or the warehouse) and read from there."""
+    """Features written below the shared folder and read from there; the folder goes once they are."""
 
     def run(t):
         table = t("orders").select("o_orderkey", P.TRANSFORMS["year"].make(F.col("o_orderdate")).alias("y"), (F.col("o_orderstatus") == "F").alias("f"))
         spark = table.sparkSession
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        return read(spark, write(table, f"{root.rstrip('/')}/tabularium-features-{uuid.uuid4().hex}"))
+        folder = shared_dir(spark)
+        try:
+            return checkpointed(read(spark, write(table, f"{folder}/features")))
+        finally:
+            remove(spark, folder)
 
     return run
 
@@ -418,4 +471,4 @@ add("feature_json", _stored(writers.write_json, lambda s, p: s.read.schema("o_or
 
 add("event_windows", lambda t: monitor.windowed_counts(t("events")).withColumn("window_start", F.unix_timestamp("window_start")), "select epoch(time_bucket(interval '1 hour', ts))::bigint as window_start, event_type, count(*)::bigint as n, sum(value) as total from events group by 1, 2", "total", 3)
 add("event_sessions", lambda t: monitor.sessions(t("events")).withColumn("session_start", F.unix_micros("session_start")), "select user_id, epoch_us(min(ts)) as session_start, count(*)::bigint as n from (select *, sum(new) over (partition by user_id order by ts rows between unbounded preceding and current row) as s from (select *, case when ts < lag(ts) over (partition by user_id order by ts) + interval '30 minutes' then 0 else 1 end as new from events)) group by user_id, s")
-add("profile_report", lambda t: runs.profile_dataset(t("customer"), ["c_mktsegment"]).columns.select("feature", "role", "inferred_type"))
+add("profile_report", lambda t: runs.profile_dataset(t("customer"), ["c_mktsegment"]).columns.select("feature", "role", "inferred_type", F.array_join("recommendations", ",").alias("recommendations")), _types_sql("customer", {"c_custkey": "numeric", "c_name": "string", "c_nationkey": "numeric", "c_acctbal": "numeric"}))
