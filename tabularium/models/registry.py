@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rows import folds
 from . import metrics as M
+from .boosting import SoftmaxBoost
 from .limits import OutOfTime, within
 
 SEED = 42
@@ -24,8 +25,7 @@ SEED = 42
 def _gbt(task: str, classes: int, depth: int, rounds: int) -> Estimator:
     if task == "regression":
         return GBTRegressor(maxDepth=depth, maxIter=rounds, seed=SEED)
-    one = GBTClassifier(maxDepth=depth, maxIter=rounds, seed=SEED)
-    return one if classes <= 2 else OneVsRest(classifier=one, parallelism=2)
+    return GBTClassifier(maxDepth=depth, maxIter=rounds, seed=SEED) if classes <= 2 else SoftmaxBoost(maxDepth=depth, maxIter=rounds)
 
 
 _MAKE: dict[str, Callable[[str, int], Estimator]] = {
