@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import aggregates
 from .ordered import running_sum
 
 
@@ -32,6 +33,16 @@ def _aggregate(make: Callable) -> Callable:
     return run
 
 
+def _aggregate_by_values(primitive: str) -> Callable:
+    """The same of an aggregate that needs a group's distinct values."""
+
+    def run(df: DataFrame, name: str, key: str, value: str) -> DataFrame:
+        table = aggregates(df.where(F.col(key).isNotNull()), key, [(name, primitive, value)]).withColumnRenamed(key, "_key")
+        return df.join(table, F.col(key) == F.col("_key"), "left").drop("_key")
+
+    return run
+
+
 def group_rank(df: DataFrame, name: str, key: str, value: str) -> DataFrame:
     """Average rank of the value in its group, from a row a distinct value."""
     counts = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
@@ -87,9 +98,9 @@ TABLE_OPERATORS: dict[str, tuple[int, Callable[..., DataFrame]]] = {
     "group_min": (2, _aggregate(F.min)),
     "group_max": (2, _aggregate(F.max)),
     "group_mean": (2, _aggregate(F.avg)),
-    "group_median": (2, _aggregate(F.median)),
+    "group_median": (2, _aggregate_by_values("median")),
     "group_std": (2, _aggregate(F.stddev_samp)),
-    "group_nunique": (2, _aggregate(F.count_distinct)),
+    "group_nunique": (2, _aggregate_by_values("num_unique")),
     "group_rank": (2, group_rank),
 }
 

@@ -85,24 +85,25 @@ def running_sum(df: DataFrame, column: str, value: Column, name: str, by: tuple[
 RUNNING = ("cum_sum", "cum_mean", "cum_min", "cum_max", "diff")
 
 
-def running(df: DataFrame, order: str, wanted: list[tuple[str, str, str]], parts: int | None = None) -> DataFrame:
-    """``df`` with a column for each (name, primitive, column) of ``wanted``, in the order of ``order``, whose values are distinct.
+def running(df: DataFrame, order: str, wanted: list[tuple[str, str, str]], parts: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with a column for each (name, primitive, column) of ``wanted``, in the order of ``order``, whose values are distinct
+    within ``by``, which has no nulls.
 
     Primitives are those of ``RUNNING``. Nulls are passed over by the running ones; ``diff`` is null beside them.
     """
     columns = list(dict.fromkeys(c for _, _, c in wanted))
-    cut = ranges(df, order, parts)
+    cut = ranges(df, order, parts, by)
     own, i = [], {c: str(k) for k, c in enumerate(columns)}
     for c in columns:
         v, k = df_col(c), i[c]
         own += [F.sum(v).alias(f"_sum{k}"), F.count(v).alias(f"_count{k}"), F.min(v).alias(f"_min{k}"), F.max(v).alias(f"_max{k}"), F.max_by(F.struct(v.alias("v")), order).alias(f"_last{k}")]
-    totals = cut.groupBy("_range").agg(*own)
-    so_far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = cut.groupBy(*by, "_range").agg(*own)
+    so_far = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     before = []
     for k in i.values():
         before += [F.sum(f"_sum{k}").over(so_far).alias(f"_sum{k}"), F.sum(f"_count{k}").over(so_far).alias(f"_count{k}"), F.min(f"_min{k}").over(so_far).alias(f"_min{k}"), F.max(f"_max{k}").over(so_far).alias(f"_max{k}"), F.last(f"_last{k}").over(so_far).alias(f"_last{k}")]
-    joined = cut.join(totals.select("_range", *before), "_range")
-    own_window = Window.partitionBy("_range").orderBy(order)
+    joined = cut.join(totals.select(*by, "_range", *before), [*by, "_range"])
+    own_window = Window.partitionBy(*by, "_range").orderBy(order)
     w = own_window.rowsBetween(Window.unboundedPreceding, 0)
     out = []
     for name, primitive, c in wanted:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import primitives as P
+from ..functions.grouped import aggregates
 from ..functions.ordered import running
 from ..models import evaluation
 from ..operators.profile import TIME, is_numeric
@@ -176,7 +177,7 @@ def compute(df: DataFrame, definitions: list[FeatureDef], key: str, time: str |
     for g in dict.fromkeys(d.group for d in definitions if d.group):
         own = [d for d in definitions if d.group == g]
         plain = [d for d in own if d.primitive in P.AGGREGATES]
-        tables = [base.where(F.col(f"`{g}`").isNotNull()).groupBy(F.col(f"`{g}`").alias("_key")).agg(*[P.AGGREGATES[d.primitive].make(F.col(f"`{d.base}`")).alias(d.name) for d in plain])] if plain else []
+        tables = [aggregates(base.where(F.col(f"`{g}`").isNotNull()), g, [(d.name, d.primitive, d.base) for d in plain]).withColumnRenamed(g, "_key")] if plain else []
         tables += _special(base, g, own, key, time, moment)
         if tables:
             table = reduce(lambda a, b: a.join(b, "_key", "full"), tables)  # a row a group

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import language
+from .functions import grouped, language
 from .functions import primitives as P
 from .functions import text as X
 from .models import evaluation, registry, stacking
@@ -242,12 +242,16 @@ add("running_best", lambda t: rows.running_best(_log(t)), f"select sample_order,
 # --- windows, sorts, samples, splits (W1-W9, T1-T12) ---------------------------------------------------------------
 
 
-def _by_user(make, name):
-    return lambda t: t("events").select("event_id", make(F.col("value"), ["ts", "event_id"], ["user_id"]).alias(name))
+def _by_user(primitive):
+    def run(t):
+        events = t("events").select("event_id", "user_id", "value", F.struct("ts", "event_id").alias("at"))
+        return grouped.running_by(events, "user_id", "at", [("x", primitive, "value")]).select("event_id", "x")
+
+    return run
 
 
 for _n, _f in (("cum_sum", "sum(value) over w"), ("cum_mean", "avg(value) over w"), ("cum_min", "min(value) over w"), ("cum_max", "max(value) over w"), ("diff", "value - lag(value) over (partition by user_id order by ts, event_id)")):
-    add(f"primitive_{_n}", _by_user(P.WINDOWS[_n].make, "x"), f"select event_id, {_f} as x from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)", "x", 2)
+    add(f"primitive_{_n}", _by_user(_n), f"select event_id, {_f} as x from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)", "x", 2)
 add("primitive_percentile", lambda t: P.percentile(t("customer"), "c_acctbal", "x").select("c_custkey", "x"), "select c_custkey, (rank() over (order by c_acctbal) + (count(*) over (partition by c_acctbal) - 1) / 2.0) / count(c_acctbal) over () as x from customer", "x", 8)
 add("leaderboard_rank", lambda t: rows.leaderboard(t("supplier"), "s_acctbal", "s_suppkey"), "select s_suppkey, row_number() over (order by s_acctbal desc, s_suppkey) as rank from supplier")
 add("top_n", lambda t: rows.top_n(t("customer"), "c_acctbal", 10, "c_custkey"), "select * from customer order by c_acctbal desc, c_custkey limit 10")
@@ -262,8 +266,8 @@ add("priority_quota", lambda t: selection.quota(t("part").select(F.concat(F.lit(
 # --- primitives (P1-P42) -------------------------------------------------------------------------------------------
 
 _AGG_SQL = {"count": "count(*)::bigint", "sum": "sum(l_extendedprice)", "mean": "avg(l_extendedprice)", "min": "min(l_extendedprice)", "max": "max(l_extendedprice)", "median": "median(l_extendedprice)", "std": "stddev_samp(l_extendedprice)", "num_unique": "count(distinct l_extendedprice)::bigint", "skew": "case when count(*) > 2 then skewness(l_extendedprice) end"}
-add("primitives_aggregate", lambda t: t("lineitem").groupBy("l_suppkey").agg(*[P.AGGREGATES[n].make(F.col("l_extendedprice")).alias(f"x_{n}") for n in _AGG_SQL]), f"select l_suppkey, {', '.join(f'{e} as x_{n}' for n, e in _AGG_SQL.items())} from lineitem group by 1", "x_sum x_mean x_min x_max x_median x_std x_skew", 2)
-add("primitive_mode", lambda t: t("lineitem").groupBy("l_partkey").agg(P.AGGREGATES["mode"].make(F.col("l_linenumber")).alias("x")), "select l_partkey, l_linenumber as x from (select l_partkey, l_linenumber, row_number() over (partition by l_partkey order by count(*) desc, l_linenumber) as r from lineitem group by 1, 2) where r = 1")
+add("primitives_aggregate", lambda t: grouped.aggregates(t("lineitem"), "l_suppkey", [(f"x_{n}", n, "l_extendedprice") for n in _AGG_SQL]), f"select l_suppkey, {', '.join(f'{e} as x_{n}' for n, e in _AGG_SQL.items())} from lineitem group by 1", "x_sum x_mean x_min x_max x_median x_std x_skew", 2)
+add("primitive_mode", lambda t: grouped.aggregates(t("lineitem"), "l_partkey", [("x", "mode", "l_linenumber")]), "select l_partkey, l_linenumber as x from (select l_partkey, l_linenumber, row_number() over (partition by l_partkey order by count(*) desc, l_linenumber) as r from lineitem group by 1, 2) where r = 1")
 add("primitives_boolean", lambda t: t("lineitem").withColumn("b", F.when(F.col("l_linenumber") != 3, F.col("l_quantity") > 25)).groupBy("l_suppkey").agg(P.AGGREGATES["percent_true"].make(F.col("b")).alias("pct"), P.AGGREGATES["num_true"].make(F.col("b")).alias("n")), "select l_suppkey, avg((l_linenumber <> 3 and l_quantity > 25)::int)::double as pct, count(*) filter (l_linenumber <> 3 and l_quantity > 25)::bigint as n from lineitem group by 1", "pct", 6)
 add("primitives_time", lambda t: P.time_aggregates(t("orders"), "o_custkey", "o_totalprice", "o_orderdate", "o_orderkey", F.lit("2020-01-01").cast("timestamp_ntz")), "select o_custkey, arg_min(o_totalprice, (o_orderdate, o_orderkey)) as first, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as last, epoch(timestamp '2020-01-01') - epoch(max(o_orderdate)) as time_since_last, epoch(timestamp '2020-01-01') - epoch(min(o_orderdate)) as time_since_first, case when isfinite(regr_slope(o_totalprice, epoch(o_orderdate) / 86400)) then regr_slope(o_totalprice, epoch(o_orderdate) / 86400) end as trend from orders group by 1", "time_since_last time_since_first trend", 3)
 add("primitive_entropy", lambda t: P.entropy(t("lineitem"), "l_suppkey", "l_linenumber"), "select l_suppkey, entropy(l_linenumber) * ln(2) as entropy from lineitem group by 1", "entropy", 6)
