@@ -26,10 +26,14 @@ def salvage_json(c: Column) -> Column:
     return F.when(F.get_json_object(c, "$").isNotNull(), c).when(inner != "", inner).otherwise(c)
 
 
+#: How an answer that isn't JSON says that it is the final one.
+FINAL = r'"?mode"?\s*[:=]\s*"?final'
+
+
 def final_mode(c: Column) -> Column:
     """Whether an answer says that it is the final one."""
     mode = F.lower(F.coalesce(F.get_json_object(salvage_json(c), "$.Mode"), F.get_json_object(salvage_json(c), "$.mode")))
-    return F.coalesce(mode == "final", F.lit(False)) | F.coalesce(F.lower(c).rlike(r'"?mode"?\s*[:=]\s*"?final'), F.lit(False))
+    return F.coalesce(mode == "final", F.lit(False)) | F.coalesce(F.lower(c).rlike(FINAL), F.lit(False))
 
 
 #: What a user says to skip a question, and to end the session.
@@ -37,12 +41,13 @@ SKIP = ("skip", "passe", "suivant", "next")
 DONE = ("done", "fin", "stop", "terminer", "fini", "terminé")
 #: Words of our own with the same meaning.
 MORE_SKIP, MORE_DONE = ("pass",), ("quit", "exit", "end", "arrête")
+#: What each word asks for.
+COMMANDS = dict.fromkeys((*SKIP, *MORE_SKIP), "skip") | dict.fromkeys((*DONE, *MORE_DONE), "done")
 
 
 def command(c: Column) -> Column:
     """skip, done or null: what a user's line asks for."""
-    word = F.lower(F.trim(c))
-    return F.when(word.isin(*SKIP, *MORE_SKIP), "skip").when(word.isin(*DONE, *MORE_DONE), "done")
+    return F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])[F.lower(F.trim(c))]
 
 
 def row_text(columns: list[str], target: str) -> Column:

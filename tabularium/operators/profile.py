@@ -60,11 +60,13 @@ def unpivot(df: DataFrame, columns: list[str], kind: str = "string", keep: tuple
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, missing cells and their share, duplicate rows, columns by kind."""
+    """One row: rows, columns, missing cells and their share, duplicate rows (by two 64-bit hashes of a row), columns by kind."""
     n_cols = len(df.columns)
     kinds = [f.dataType for f in df.schema.fields]
     cells = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
-    counts = df.withColumn("_missing", cells).groupBy(*df.columns).agg(F.count("*").alias("_n"), F.sum("_missing").alias("_m"))
+    told = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]  # hashes pass over nulls
+    alike = [F.xxhash64(F.lit(seed), *told).alias(f"_h{seed}") for seed in (1, 2)]  # 128 bits a row are shuffled, not its texts
+    counts = df.select(cells.alias("_missing"), *alike).groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.sum("_missing").alias("_m"))
     out = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("_m"), F.lit(0)).alias("missing_cells"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
     return out.select(
         "n_rows",

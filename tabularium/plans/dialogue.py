@@ -103,12 +103,11 @@ def _salvaged(answer: str):
 def is_final(answer: str) -> bool:
     found = _salvaged(answer)
     mode = str(found.get("Mode", found.get("mode", ""))).lower() if isinstance(found, dict) else ""
-    return mode == "final" or bool(re.search(r'"?mode"?\s*[:=]\s*"?final', answer.lower()))
+    return mode == "final" or bool(re.search(X.FINAL, answer.lower()))
 
 
 def command(line: str) -> str | None:
-    word = line.strip().lower()
-    return "skip" if word in (*X.SKIP, *X.MORE_SKIP) else "done" if word in (*X.DONE, *X.MORE_DONE) else None
+    return X.COMMANDS.get(line.strip().lower())
 
 
 @dataclass

@@ -310,20 +310,49 @@ def prune(value, keep: tuple[str, ...] = ()):
     return [x for x in (prune(v, keep) for v in value) if x not in (None, [], {})] if isinstance(value, list) else value
 
 
-def compact(report: dict, digits: int = 4) -> dict:
-    """A report made small for a prompt: rounded floats, three top values, no nulls."""
+#: Of each section of a report, what a prompt doesn't need: it follows from the rest, or tells a model nothing.
+NOT_NEEDED = {
+    "dataset": ("missing_cells", "duplicate_rows", "n_numeric", "n_categorical", "n_datetime"),
+    "columns": ("ordinal", "kind", "role", "n_non_null", "n_missing", "unique_ratio"),
+    "target": ("n_rows", "imbalance_ratio", "is_imbalanced"),
+    "classes": ("proportion",),
+    "numeric": ("count", "p25", "p50", "p75", "kurtosis"),
+    "categorical": ("n_rare",),
+}
+#: Sections that are left out as a whole.
+NOTES = ("target_notes", "hints")
+
+
+def compact(report: dict, digits: int = 4, *, engineering: bool = True, top: int = 3, examples: int = 3) -> dict:
+    """A report made small for a prompt: each section without what isn't needed of it, rounded floats, ``top`` values of a
+    column, no nulls, no zero rates of missing values. Unless features are to be engineered, hints go too, and of example
+    values at most ``examples`` different ones stay, none of numbers and ids."""
 
     def small(v):
         if isinstance(v, float):
             return round(v, digits)
         if isinstance(v, dict):
-            return {k: small(x) for k, x in v.items() if k not in ("ordinal", "kind", "n_non_null")}
+            return {k: small(x) for k, x in v.items()}
         return [small(x) for x in v] if isinstance(v, list) else v
 
-    out = {k: v for k, v in report.items()}
-    if "categorical" in out:
-        out["categorical"] = [r for r in out["categorical"] if r["rank"] <= 3]
-    return prune(small(make_json_safe(out)))
+    def column(row: dict) -> dict:
+        if not engineering:
+            row.pop("recommendations", None)
+            given = row.pop("example_values", None) or []
+            if row.get("inferred_type") != "numeric" and "ID_LIKE" not in (row.get("flags") or []):
+                row["example_values"] = list(dict.fromkeys(given))[:examples]
+        if not row.get("missing_rate"):
+            row.pop("missing_rate", None)
+        return row
+
+    out = {}
+    for section, rows in report.items():
+        if section in NOTES or not isinstance(rows, list):
+            continue
+        kept = [{k: v for k, v in r.items() if k not in NOT_NEEDED.get(section, ())} if isinstance(r, dict) else r for r in rows]
+        kept = [r for r in kept if r["rank"] <= top] if section == "categorical" else kept
+        out[section] = [column(r) for r in kept] if section == "columns" else kept
+    return prune(small(make_json_safe(out, 10**6)))
 
 
 def row_program(program: str) -> str:

@@ -83,6 +83,11 @@ def _known(names: list[str], known: set[str], what: str) -> list[str]:
 
 
 def define(df: DataFrame, target: str, key: str, config: SynthesisConfig, groups: list[str]) -> list[FeatureDef]:
+    """The first ``max_features`` of ``all_features``."""
+    return all_features(df, target, key, config, groups)[: config.max_features]
+
+
+def all_features(df: DataFrame, target: str, key: str, config: SynthesisConfig, groups: list[str]) -> list[FeatureDef]:
     """The features of a run in a fixed order; no job is needed for it.
 
     Depth 1: transforms of columns. 2: aggregates of groups, given back to their rows. 3: transforms of those, and aggregates of
@@ -136,7 +141,7 @@ def define(df: DataFrame, target: str, key: str, config: SynthesisConfig, groups
         out += deep
         if config.max_depth >= 4:
             out += [x for d in deep for x in transformed(d.name, number, 4) if x.primitive in P.TRANSFORMS and x.primitive != "is_null"]
-    return out[: config.max_features]
+    return out
 
 
 def _special(df: DataFrame, group: str, own: list[FeatureDef], key: str, time: str | None, asof) -> list[DataFrame]:
@@ -198,13 +203,14 @@ def synthesize(df: DataFrame, target: str, key: str, config: SynthesisConfig | s
         groups = [r.feature for r in group_columns(df, fields, most=config.max_groups).collect()]
     else:
         groups = []
-    definitions = define(df, target, key, config, groups)
+    every = all_features(df, target, key, config, groups)
+    definitions = every[: config.max_features]
     table = compute(df, definitions, key, config.time, config.asof)
     selection = None
     if config.select:
         selection = select_features(table.drop(key), target, task=task, method=config.select, top_k=config.top_k)
         table = table.select(key, *[f"`{c}`" for c in selection.selected], target)
-    return SynthesisResult(table, definitions, selection, {"groups": groups, "n_features": len(definitions)})
+    return SynthesisResult(table, definitions, selection, {"groups": groups, "n_features": len(definitions), "left_out": [d.name for d in every[config.max_features :]]})
 
 
 def evaluate(df: DataFrame, result: SynthesisResult, target: str, key: str, *, task: str = "classification", using="llmfe") -> dict[str, float]:

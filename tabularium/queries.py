@@ -436,7 +436,10 @@ def _stack_board(t):
 add("stacked_out_of_fold", _stack_board, """with d as (select target, count(*) as n from (select l_orderkey, max((l_returnflag = 'R')::int) as target from lineitem group by 1) group by 1) select target::int as target, fold::int as fold, (n // 3 + (fold < n % 3)::int)::bigint as n, 2::int as width, 3::int as folds from d, (select unnest([0, 1, 2]) as fold)""")
 add("feature_selection", lambda t: (lambda d: d.sparkSession.createDataFrame([(c,) for c in selection.select_features(d.drop("l_orderkey"), "target").selected], "feature string"))(_model_table(t)))
 add("automl_leaderboard", lambda t: (lambda d, r: d.sparkSession.createDataFrame(r.leaderboard, "model string, score double"))(d := _model_table(t), runs.automl(d, "target", "l_orderkey", models=["decisiontree", "logistic"], k=2)))
-add("synthesized_features", lambda t: synthesis.synthesize(t("orders").withColumn("target", (F.col("o_totalprice") > 200000).cast("int")).drop("o_totalprice", "o_custkey"), "target", "o_orderkey", synthesis.SynthesisConfig(select=None, max_groups=1)).table)
+_OF_TEXT = {"IS_NULL": "{c} is null", "NUM_CHARACTERS": "length({c})::int", "NUM_WORDS": "length(regexp_extract_all({c}, '\\S+'))::int"}
+_OF_TIME = {"IS_NULL": "{c} is null"} | {f.upper(): f"{e.replace('ts', '{c}')}{'' if f == 'is_weekend' else '::int'}" for f, e in _TIME_SQL.items() if f != "minute"}
+_FEATURES = ", ".join(f'{e.format(c=c)} as "{n}({c})"' for c, made in (("o_orderstatus", _OF_TEXT), ("o_orderdate", _OF_TIME), ("o_orderpriority", _OF_TEXT)) for n, e in made.items())
+add("synthesized_features", lambda t: synthesis.synthesize(t("orders").withColumn("target", (F.col("o_totalprice") > 200000).cast("int")).drop("o_totalprice", "o_custkey"), "target", "o_orderkey", synthesis.SynthesisConfig(select=None, max_groups=1)).table, f"""select o_orderkey, o_orderstatus, o_orderdate, o_orderpriority, (o_totalprice > 200000)::int as target, {_FEATURES}, count(*) over (partition by o_orderstatus)::bigint as "o_orderstatus_groups.COUNT(main)" from orders""")
 _FE = "select o_orderkey, year(o_orderdate)::int as y, o_orderstatus = 'F' as f from orders"
 _STACK = synthesis.SynthesisConfig(max_depth=4, aggregates=("count", "mean", "entropy", "time_since_last", "last", "n_most_common"), transforms=("year", "absolute", "cum_sum", "percentile"), groups=("o_orderpriority",), select=None, time="o_orderdate", asof="2030-01-01")
 

@@ -206,3 +206,34 @@ def test_metadata_and_log_of_a_run(spark, tmp_path):
     assert layout.metadata(spark, "features")["rows"] == 5 and layout.metadata(spark, "features")["project"] == "p"
     assert [json.loads(r.event) for r in layout.events(spark, "features").collect()] == [{"step": 1}, {"saved": layout.paths("features")["metadata"]}]
     assert Layout.of(layout.path("features")) == (layout, "features")
+
+
+def test_a_report_is_made_small_by_section(spark):
+    df = spark.createDataFrame([(i, f"n{i % 4}", float(i) / 3 if i % 5 else None, i % 2) for i in range(40)], "row_id int, kind string, x double, y int")
+    report = runs.profile_dataset(df, ["y"]).to_dict()
+    small = runs.compact(report)
+    assert set(small) <= set(report) - {"target_notes", "hints"} and set(small["dataset"][0]) == {"n_rows", "n_columns", "missing_ratio"}
+    columns = {c["feature"]: c for c in small["columns"]}
+    assert columns["x"]["missing_rate"] == 0.2 and "missing_rate" not in columns["kind"] and "role" not in columns["x"] and columns["x"]["recommendations"]
+    assert len(small["categorical"]) == 3 and set(small["numeric"][0]) >= {"mean", "std", "min", "max", "skew"} and "p50" not in small["numeric"][0]
+    assert all(len(str(v).split(".")[-1]) <= 4 for v in small["numeric"][-1].values() if isinstance(v, float))
+    rows_ = [{"feature": "a", "inferred_type": "categorical_low", "flags": [], "example_values": ["u", "u", "v", "w", "x"]}, {"feature": "b", "inferred_type": "numeric", "example_values": ["1"]}, {"feature": "c", "inferred_type": "text", "flags": ["ID_LIKE"], "example_values": ["z"], "recommendations": ["r"]}]
+    plain = runs.compact({"columns": [dict(r) for r in rows_], "hints": [{"feature": "a"}]}, engineering=False)
+    assert plain == {"columns": [{"feature": "a", "inferred_type": "categorical_low", "example_values": ["u", "v", "w"]}, {"feature": "b", "inferred_type": "numeric"}, {"feature": "c", "inferred_type": "text", "flags": ["ID_LIKE"]}]}
+
+
+def test_features_that_are_left_out_are_named(spark, curve):
+    from tabularium.plans import synthesis
+
+    df = curve.drop("many")
+    few = synthesis.synthesize(df, "y", "id", synthesis.SynthesisConfig(max_depth=1, max_features=2, select=None))
+    every = synthesis.synthesize(df, "y", "id", synthesis.SynthesisConfig(max_depth=1, select=None))
+    assert [d.name for d in few.definitions] + few.report["left_out"] == [d.name for d in every.definitions] and every.report["left_out"] == []
+
+
+def test_duplicates_are_told_from_rows_with_nulls_elsewhere(spark):
+    from tabularium.operators import profile
+
+    df = spark.createDataFrame([(None, "a"), ("a", None), (None, None), (None, None), ("a", "a")], "x string, y string")
+    r = profile.dataset_profile(df).first()
+    assert (r.n_rows, r.duplicate_rows, r.missing_cells) == (5, 1, 6)
