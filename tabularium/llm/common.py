@@ -1,9 +1,7 @@
-"""Helpers shared by the corpus operators: bounded samples, shared folders, and byte-level word scanning in numpy."""
+"""Helpers shared by the corpus operators: bounded samples, shared folders, ranges of an order, and byte-level word scanning in numpy."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,38 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
+from ..sources.shared import checkpointed, remove, shared_dir  # noqa: F401  the operators take them from here
+
 #: Most characters that a batch of texts holds while it is worked on in Python.
 BATCH_CHARS = 4_000_000
 #: Most characters of a text, and of a sample, that a model is fitted on; of longer texts so many stretches are taken, evenly from begin to end.
 SAMPLE_CHARS, SAMPLE_TOTAL, STRETCHES = 200_000, 60_000_000, 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where that setting is absent and all of Spark is on this machine (tests), a temporary folder takes its place, and
-    is made the checkpoint folder of the session. On a cluster its absence is an error: executors don't share local disks.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not root:
-        root = sc.getCheckpointDir()
-        if not root:
-            if not sc.master.split("[")[0] == "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="tabularium-")
-            sc.setCheckpointDir(root)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tabularium-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: lineage ends here, lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``name``: each row's place in the order, from 1 (ties in any order).
 
@@ -60,12 +34,6 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return cut.withColumn(name, nth).join(F.broadcast(totals), "_part").select(*[quoted(c) for c in df.columns], (F.col(name) + F.col("_before")).cast("long").alias(name))
 
 
-def remove(spark: SparkSession, uri: str) -> None:
-    """Delete a folder that isn't needed any more, in any store that Spark writes."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Schemes that Hadoop and pyarrow call by different names.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
 
