@@ -103,7 +103,7 @@ def test_mic_and_phi_k(spark, table):
     cut = lambda v: np.searchsorted([-1.5, -0.5, 0.5, 1.5], v)
     df = spark.createDataFrame(pd.DataFrame({"a": cut(a), "id": range(20_000), "y": cut(b)}))
     got = {r.feature: r.phik for r in association.phi_k(df, ["a", "id"], "y").collect()}
-    assert got["a"] == pytest.approx(0.6, abs=0.03) and got["id"] is None  # too many levels for a table
+    assert got["a"] == pytest.approx(0.6, abs=0.03) and got["id"] < 0.05  # 20,000 levels that tell nothing
 
 
 def test_associate_takes_discrete_columns_as_they_are(spark):
