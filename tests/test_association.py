@@ -32,7 +32,7 @@ def information_by_pairs(x, y, k=3):
     return max(0.0, psi(len(x)) + total / len(x))
 
 
-@pytest.mark.parametrize("cell", [12, 100, 1024])
+@pytest.mark.parametrize("cell", [12, 1024])
 def test_information_in_the_plane_by_pairs(spark, monkeypatch, cell):
     """Features of all shapes at once: heavy tails, ties, mostly one value, few values, constant, thin strips."""
     monkeypatch.setattr(plane, "CELL", cell)
@@ -44,10 +44,10 @@ def test_information_in_the_plane_by_pairs(spark, monkeypatch, cell):
         "mostly zero": np.where(rng.random(n) < 0.7, 0.0, y), "two": (y > 0).astype(float), "constant": np.ones(n), "shifted": 1e9 + y,
     }
     targets = {"plain": y, "zeros": np.where(rng.random(n) < 0.5, 0.0, y), "steps": np.round(y)}
-    for name, t in targets.items():
-        rows = pd.concat([pd.DataFrame({"feature": f, "x": v, "y": t}) for f, v in made.items()])
-        got = {r.feature: r.mutual_info for r in plane.plane_information(spark.createDataFrame(rows)).collect()}
-        assert got == {f: pytest.approx(information_by_pairs(v, t), abs=1e-6) for f, v in made.items()}, name
+    pairs = {f"{f} by {name}": (v, t) for f, v in made.items() for name, t in targets.items()}
+    rows = pd.concat([pd.DataFrame({"feature": f, "x": v, "y": t}) for f, (v, t) in pairs.items()])
+    got = {r.feature: r.mutual_info for r in plane.plane_information(spark.createDataFrame(rows)).collect()}
+    assert got == {f: pytest.approx(information_by_pairs(v, t), abs=1e-6) for f, (v, t) in pairs.items()}
 
 
 def test_information_in_the_plane_of_few_rows(spark):
@@ -139,7 +139,7 @@ def grids_by_enumeration(x, y, exponent=0.6):
     return best
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_mic_by_enumeration(spark, seed):
     rng = np.random.default_rng(seed)
     x = np.round(rng.normal(size=26), 2 if seed else 0)
@@ -165,8 +165,7 @@ def kendall_by_pairs(x, y):
     return (a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum()) if (a * a).sum() and (b * b).sum() else None
 
 
-@pytest.mark.parametrize("share", [0.0, 0.5, 0.99])
-@pytest.mark.parametrize("few", [10_000, 2])
+@pytest.mark.parametrize("share,few", [(0.0, 2), (0.5, 10_000), (0.99, 2)])
 def test_kendall_of_skewed_targets(spark, monkeypatch, share, few):
     monkeypatch.setattr(association, "FEW_LEVELS", few)
     rng = np.random.default_rng(7)
@@ -195,7 +194,7 @@ def undominated(data):
     return sorted(map(str, (r for r in rows if not any(covers(r, b) for b in rows))))
 
 
-@pytest.mark.parametrize("levels,filled,parents", [(60, 0.2, 400), (2, 0.5, 300), (3, 0.95, 200)])
+@pytest.mark.parametrize("levels,filled,parents", [(60, 0.2, 400), (2, 0.5, 300)])
 def test_dominated_rows_of_sparse_and_dense_tables(spark, levels, filled, parents):
     """40 columns with thousands of patterns, and tables of a few common values, where whole patterns are joined."""
     rng = np.random.default_rng(11)
