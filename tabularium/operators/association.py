@@ -14,10 +14,17 @@ from ..sources.shared import checkpointed
 from .profile import is_numeric, medians, normalize_nulls, unpivot, with_nulls
 
 
+#: Most levels or target values that are put in order by one window or broadcast, and most bytes of their strings.
+FEW_LEVELS, FEW_BYTES = 10_000, 8 << 20
+
+
 def _codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): the distinct values of a column as strings, numbered from 0 in their order."""
-    levels = df.select(F.coalesce(F.col(column).cast("string"), F.lit("missing")).alias("value")).distinct()
-    return running_sum(levels, "value", F.lit(1), "_number").select("value", (F.col("_number") - 1).cast("double").alias("code"))
+    """(value, code): the distinct values of a column as strings, numbered from 0 in their order; broadcast if they are few."""
+    levels = checkpointed(df.select(F.coalesce(F.col(column).cast("string"), F.lit("missing")).alias("value")).distinct())
+    n, size = levels.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+    if n <= FEW_LEVELS and size <= FEW_BYTES:
+        return F.broadcast(levels.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("double").alias("code")))
+    return checkpointed(running_sum(levels, "value", F.lit(1), "_number").select("value", (F.col("_number") - 1).cast("double").alias("code")))
 
 
 def prepare(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -62,19 +69,31 @@ def cells_of(prepared: DataFrame, features: list[str]) -> DataFrame:
     return unpivot(prepared, features, "double", keep=("_y",)).where("value IS NOT NULL").groupBy("feature", "value", "_y").agg(F.count("*").alias("n"))
 
 
+def _running(counts: DataFrame, levels: int, column: str, value: str, name: str) -> DataFrame:
+    """``counts``, a row a level, with ``name``: the running sum of ``value``; by one window if the levels are few."""
+    if levels <= FEW_LEVELS:
+        return counts.withColumn(name, F.sum(value).over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))
+    return running_sum(counts, column, F.col(value), name)
+
+
 def spearman_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
     """(feature, spearman): Pearson's r of average ranks.
 
-    Ranks depend on distinct values only, so rows are counted by value and target value first, and no rank is joined to a
-    row. Ranks are taken from their middle, which keeps the sums small.
+    Ranks depend on distinct values only, so rows are summed up by value first. Few target ranks are broadcast to the rows;
+    where they are many, rows are counted by value and target value before ranks are joined. Ranks are taken from their
+    middle, which keeps the sums small.
     """
-    counts = prepared.where("_y IS NOT NULL").groupBy("_y").agg(F.count("*").alias("k"))
-    whole = counts.agg(((F.sum("k") + 1) / 2.0).alias("_mid"))
-    ranks = running_sum(counts, "_y", F.col("k"), "_upto").crossJoin(F.broadcast(whole))  # one row
-    ranks = ranks.select(F.col("_y").alias("_of"), (F.col("_upto") - (F.col("k") - 1) / 2.0 - F.col("_mid")).alias("_yr"))
-    rows = cells_of(prepared, features).join(ranks, F.col("_y") == F.col("_of"), "left")
+    counts = checkpointed(prepared.where("_y IS NOT NULL").groupBy("_y").agg(F.count("*").alias("k")))
+    levels, total = counts.agg(F.count("*"), F.sum("k")).first()
+    ranks = _running(counts, levels, "_y", "k", "_upto")
+    ranks = ranks.select(F.col("_y").alias("_of"), (F.col("_upto") - (F.col("k") - 1) / 2.0 - ((total or 0) + 1) / 2.0).alias("_yr"))
+    same = F.col("_y") == F.col("_of")
+    if levels <= FEW_LEVELS:
+        rows = unpivot(prepared.join(F.broadcast(ranks), same, "left"), features, "double", keep=("_yr",)).where("value IS NOT NULL").withColumn("n", F.lit(1).cast("long"))
+    else:
+        rows = cells_of(prepared, features).join(ranks, same, "left")
     n, r = F.col("n"), F.col("_yr")
-    cells = rows.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum(F.when(r.isNotNull(), n).otherwise(0)).alias("m"), F.sum(n * r).alias("s"), F.sum(n * r * r).alias("s2"))
+    cells = checkpointed(rows.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum(F.when(r.isNotNull(), n).otherwise(0)).alias("m"), F.sum(n * r).alias("s"), F.sum(n * r * r).alias("s2")))
     total = cells.groupBy("feature").agg(((F.sum("n") + 1) / 2.0).alias("_mid"))
     ranked = running_sum(cells, "value", F.col("n"), "_upto", ("feature",)).join(F.broadcast(total), "feature")  # a row a feature
     r, m = F.col("_upto") - (F.col("n") - 1) / 2.0 - F.col("_mid"), F.col("m")
@@ -85,29 +104,29 @@ def spearman_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
 
 #: Levels of the split tree that are dealt with range by range; a group below them holds at most 2 ** (1 - TOP_LEVELS) of the rows.
 TOP_LEVELS = 6
-#: Most target values that are put in order by one window (16 bytes each).
-FEW_LEVELS = 10_000
 
 
-def split_codes(prepared: DataFrame) -> tuple[DataFrame, int]:
-    """(_y, code, depth) of the target's values, and the bits of a code.
+def split_codes(rows: DataFrame, weight: str | None = None) -> tuple[DataFrame, int]:
+    """(_y, code, depth) of the target's values, and the bits of a code; the column ``weight`` tells how many rows one stands for.
 
     A value's code is the place of its middle row in the order, in half rows: codes grow with the values, and those that
     share their first l bits lie within 2 ** -l of all rows. So two or more values that do hold at most twice that share,
-    however the rows are spread. ``depth`` is how many bits tell a value from both of its neighbours.
+    however the rows are spread. ``depth`` is how many bits tell a value from both of its neighbours. Few values are
+    broadcast.
     """
-    counts = prepared.where("_y IS NOT NULL").groupBy("_y").agg(F.count("*").alias("w"))
+    counts = checkpointed(rows.where("_y IS NOT NULL").groupBy("_y").agg(F.sum(weight or F.lit(1)).alias("w")))
     n, total = counts.agg(F.count("*"), F.sum("w")).first()
     bits = max(1, (2 * (total or 0)).bit_length())
+    codes = _running(counts, n, "_y", "w", "_upto").select("_y", (2 * F.col("_upto") - F.col("w")).alias("code"))
     if n <= FEW_LEVELS:
         order = Window.orderBy("_y")
-        codes = counts.withColumn("code", 2 * F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
         codes = codes.withColumn("_up", F.col("code") - F.lag("code").over(order)).withColumn("_down", F.col("code") - F.lead("code").over(order))
     else:
-        codes = running_sum(counts, "_y", F.col("w"), "_upto").select("_y", (2 * F.col("_upto") - F.col("w")).alias("code"), (-F.col("_y")).alias("_back"))
+        codes = checkpointed(codes.withColumn("_back", -F.col("_y")))
         codes = running(running(codes, "_y", [("_up", "diff", "code")]), "_back", [("_down", "diff", "code")])
     same = lambda step: F.when(F.col(step).isNull(), 0).otherwise(bits + 1 - F.length(F.bin(F.col("code").bitwiseXOR(F.col("code") - F.col(step)))))  # noqa: E731  bits up to the first that differs
-    return codes.select("_y", "code", F.greatest(same("_up"), same("_down")).cast("int").alias("depth")), bits
+    codes = codes.select("_y", "code", F.greatest(same("_up"), same("_down")).cast("int").alias("depth"))
+    return F.broadcast(codes) if n <= FEW_LEVELS else codes, bits
 
 
 def kendall_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
@@ -118,12 +137,13 @@ def kendall_scores(prepared: DataFrame, features: list[str]) -> DataFrame:
     sum for each bit over counts by value, and no pairs are made. A value leaves the tree once it is alone, so one that
     nearly all rows share is in few levels.
     """
-    codes, bits = split_codes(prepared)
-    cells = cells_of(prepared, features).where("_y IS NOT NULL").join(codes.withColumnRenamed("_y", "_of"), F.col("_y") == F.col("_of")).select("feature", "value", "code", "depth", F.col("n").cast("double").alias("n"))
+    cells = checkpointed(cells_of(prepared, features).where("_y IS NOT NULL"))  # the only pass over the rows
+    codes, bits = split_codes(cells, "n")
+    cells = cells.join(codes, "_y").select("feature", "value", "code", "depth", F.col("n").cast("double").alias("n"))
     split = cells.where("depth > 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)))  # 0 is the highest bit
     bit = F.expr(f"shiftright(code, {bits - 1} - level) & 1")
     split = split.select("feature", "value", "level", F.expr(f"shiftright(code, {bits} - level)").alias("prefix"), F.when(bit == 0, F.col("n")).otherwise(0.0).alias("zeros"), F.when(bit == 1, F.col("n")).otherwise(0.0).alias("ones"))
-    counts = split.groupBy("feature", "level", "prefix", "value").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    counts = checkpointed(split.groupBy("feature", "level", "prefix", "value").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")))
     by = ("feature", "level", "prefix")
     top = running_sums(counts.where(F.col("level") < TOP_LEVELS), "value", {"_zeros": F.col("zeros"), "_ones": F.col("ones")}, by)
     if bits > TOP_LEVELS:
