@@ -1,16 +1,15 @@
 """Secret scans with a trigram inverted index, in DataFrame operations only.
 
 From each rule's regular expression a Boolean trigram query is derived: every text that the expression matches holds
-all trigrams of at least one clause. The postings of these trigrams are exploded from the texts, clauses are
-intersected by counting a document's postings, and only documents that are candidates of a rule are verified with its
-expression. A rule whose expression has no mandatory trigram scans every text.
+all trigrams of at least one clause. The index of these trigrams is dealt by documents: each row holds its own place in
+every trigram's list, so that lists are intersected without moving a posting or a text. Only documents that are
+candidates of a rule are verified with its expression. A rule whose expression has no mandatory trigram scans every text.
 
 Spans come from splitting at the matches: the lengths of gaps and matches, summed up, are code-point positions.
 
 Defined cases: a null text is empty; a long text is scanned whole, in time that grows with its length and its matches (they
 are placed in blocks of ``BLOCK``); matches of one rule don't overlap, those of several rules may, and are ordered by
-start, rule and end; a null or repeated key is scanned row by row (postings of equal keys are pooled, which only adds
-candidates); keys may be of any type; an empty table gives no rows; columns other than key and text are ignored, whatever
+start, rule and end; a null or repeated key is scanned row by row; keys may be of any type; an empty table gives no rows; columns other than key and text are ignored, whatever
 they are called.
 """
 
@@ -19,6 +18,7 @@ from __future__ import annotations
 import re._constants as sre
 import re._parser as sre_parse
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +54,6 @@ FURTHER = (
 RULES = BASE + FURTHER
 #: Strings that an expression's part may spell out, and clauses of a query, before they are loosened to fewer trigrams.
 MOST_STRINGS, MOST_CLAUSES = 64, 64
-#: Trigrams of a clause that are asked for (a bit each); fewer only add candidates.
-MOST_GRAMS = 60
 #: Matches of a text that are placed in one go: an array that grows match by match is copied each time.
 BLOCK = 256
 
@@ -179,31 +177,32 @@ def _row_spans(text: Column, number: int, rule: Rule) -> Column:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, rules): for each key with any, the numbers of the rules whose trigram query its postings satisfy, as bits of a long."""
-    spark = docs.sparkSession
-    clauses = [(i, c, clause[:MOST_GRAMS]) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY for c, clause in enumerate(sorted(map(sorted, q)))]
-    grams = sorted({g for _, _, clause in clauses for g in clause})
-    need = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(c).alias("clause"), F.lit(g).alias("gram"), F.lit(1 << k).cast("long").alias("bit"), F.lit(len(clause)).alias("need")) for i, c, clause in clauses for k, g in enumerate(clause)])))
-    lower = F.lower(F.coalesce(quoted(text).cast("string"), F.lit("")))
-    present = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(g)), F.lit(g)) for g in grams]))
-    postings = docs.select(quoted(key).alias("doc_id"), F.explode(present).alias("gram"))
-    met = postings.join(F.broadcast(need), "gram")  # a few dozen fixed rows
-    held = met.groupBy("doc_id", "rule", "clause", "need").agg(F.bit_or("bit").alias("grams"))
-    met = held.where(F.bit_count("grams") == F.col("need"))
-    return met.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1L, rule))").alias("rules"))
+    """(doc_id, text, rules) of every row: the numbers of the rules whose trigram query its postings satisfy, as bits of a long.
+
+    A row's postings tell of each trigram asked for whether its text is in that trigram's list. They are intersected where
+    they are, a clause's trigrams by and, a rule's clauses by or.
+    """
+    queries = [sorted(map(sorted, trigram_query(r.pattern))) for r in rules]
+    number = {g: i for i, g in enumerate(sorted({g for q in queries for clause in q for g in clause}))}
+    whole = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    rows = docs.select(quoted(key).alias("doc_id"), whole.alias("text"), F.lower(whole).alias("lower"))
+    rows = rows.select("doc_id", "text", F.array(*[F.contains("lower", F.lit(g)) for g in number], F.lit(True)).alias("held"))
+
+    def met(query: list[list[str]]) -> Column:
+        clauses = [reduce(Column.__and__, [F.get("held", F.lit(number[g])) for g in clause], F.lit(True)) for clause in query]
+        return reduce(Column.__or__, clauses)
+
+    bits = [F.when(met(q), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, q in enumerate(queries)]
+    return rows.select("doc_id", "text", reduce(Column.bitwiseOR, bits).alias("rules"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's key, the number of spans of each base rule (``n_<kind>``), a sha256 of the base spans, and all spans."""
-    found = candidates(docs, rules, key, text).withColumnRenamed("doc_id", "candidate")
-    whole = docs.select(quoted(key).alias("doc_id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
-    rows = whole.join(found, F.expr("doc_id <=> candidate"), "left").withColumn("rules", F.coalesce("rules", F.lit(0).cast("long")))
+    rows = candidates(docs, rules, key, text)
     spans = []
     for i, r in enumerate(rules):
-        all_of = _row_spans(F.col("text"), i, r)
-        if trigram_query(r.pattern) != ANY:
-            all_of = F.when(F.col("rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0, all_of).otherwise(F.array().cast("array<struct<start:bigint,n:int,end:bigint>>"))
-        spans.append(all_of)
+        asked = F.col("rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0
+        spans.append(F.when(asked, _row_spans(F.col("text"), i, r)).otherwise(F.array().cast("array<struct<start:bigint,n:int,end:bigint>>")))
     rows = rows.select("doc_id", F.array_sort(F.concat(*spans)).alias("spans"))
 
     def written(array: Column) -> Column:
