@@ -23,6 +23,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ MAGIC = b"TBLMTOK1"
 GAMMA = 2
 #: Words whose ids are remembered by a worker; then it begins anew.
 CACHE_WORDS = 500_000
-MANIFEST = "shard int, ids_path string, idx_path string, n_docs long, n_tokens long"
+#: Most bytes of ids and most records of a shard, whatever its partition holds; a longer record is a shard of its own.
+SHARD_BYTES, SHARD_RECORDS = 1 << 28, 1 << 20
+MANIFEST = "shard int, piece int, ids_path string, idx_path string, n_docs long, n_tokens long"
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -194,43 +197,49 @@ def _write(uri: str, chunks) -> str:
     return uri
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, root: str, *, end_id: int = 1, vocabulary: int = 49_408, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, root: str, *, end_id: int = 1, vocabulary: int = 49_408, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, shard_records: int = SHARD_RECORDS) -> DataFrame:
     """Write the shards below ``root``; return their manifest (a row a shard, kept in the checkpoint folder), in key order.
 
-    Range partitioning by key and a hash of the text deals even one much-repeated key to many shards.
+    Range partitioning by key and a hash of the text deals even one much-repeated key to many shards. A partition begins
+    a new shard wherever the bound on bytes or records would be passed, so no index grows with its partition.
     """
     bounded_batches(spark)
     dtype = id_type(vocabulary, end_id)
     end = np.array([end_id], dtype).tobytes()
 
     def write(batches):
-        words, keys, lengths = tokenizer(tokenizer_path, dtype), [], []
-
-        def payload():
-            for doc_ids, texts in slices(batches):
-                for k, t in zip(doc_ids, texts):
-                    ids = words.encode(t or "") + end
-                    keys.append(k)
-                    lengths.append(len(ids) // len(end))
-                    yield ids
-
-        shard = TaskContext.get().partitionId()
-        name = f"{root}/shard-{shard:06d}"
-        first = next(stream := payload(), None)
-        if first is None:
-            return
-        _write(f"{name}.ids", _grouped(first, stream))
-        _write(f"{name}.idx", [index_bytes(keys, lengths, dtype)])
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "ids_path": f"{name}.ids", "idx_path": f"{name}.idx", "n_docs": len(keys), "n_tokens": sum(lengths)}], schema=pa.schema([("shard", pa.int32()), ("ids_path", pa.string()), ("idx_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        words, shard = tokenizer(tokenizer_path, dtype), TaskContext.get().partitionId()
+        records = ((k, words.encode(t or "") + end) for doc_ids, texts in slices(batches) for k, t in zip(doc_ids, texts))
+        ahead = next(records, None)
+
+        def payload(keys: list, lengths: list):
+            nonlocal ahead
+            size = 0
+            while ahead and (not keys or len(keys) < shard_records and size + len(ahead[1]) <= shard_bytes):
+                k, ids = ahead
+                keys.append(k)
+                lengths.append(len(ids) // len(end))
+                size += len(ids)
+                yield ids
+                ahead = next(records, None)
+
+        for piece in count():
+            if not ahead:
+                return
+            keys, lengths, name = [], [], f"{root}/shard-{shard:06d}-{piece:04d}"
+            _write(f"{name}.ids", _grouped(payload(keys, lengths)))
+            _write(f"{name}.idx", [index_bytes(keys, lengths, dtype)])
+            made = {"shard": shard, "piece": piece, "ids_path": f"{name}.ids", "idx_path": f"{name}.idx", "n_docs": len(keys), "n_tokens": sum(lengths)}
+            yield pa.RecordBatch.from_pylist([made], schema=pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("ids_path", pa.string()), ("idx_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     return checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(write, MANIFEST))
 
 
-def _grouped(first: bytes, rest, size: int = 1 << 20):
-    held, n = [first], len(first)
-    for x in rest:
+def _grouped(records, size: int = 1 << 20):
+    held, n = [], 0
+    for x in records:
         held.append(x)
         n += len(x)
         if n >= size:
@@ -326,7 +335,7 @@ def read_shards(manifest: DataFrame, chunk_ids: int = 2_000_000) -> DataFrame:
                     )
                     a = b
 
-    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
+    before = F.sum("n_tokens").over(Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
     starts = manifest.withColumn("start", F.coalesce(before, F.lit(0)))
     shards = max(1, manifest.rdd.getNumPartitions())
     return starts.repartition(shards).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

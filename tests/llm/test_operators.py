@@ -57,6 +57,9 @@ def test_token_shards_round_trip(spark, docs, empty, tmp_path):
         at += n
     shards = [token_shards.Shard(r.ids_path, r.idx_path) for r in manifest.collect()]
     assert sum(len(s.lookup(3)) for s in shards) == 2 and not any(s.lookup(999) for s in shards)
+    small = token_shards.write_shards(spark, docs, path, f"file://{tmp_path}/small", shard_bytes=300, shard_records=3)
+    assert sorted(map(tuple, token_shards.read_shards(small).collect()), key=lambda r: r[1]) == got  # pieces of partitions
+    assert all(r.n_docs <= 3 and (r.n_docs == 1 or 2 * r.n_tokens <= 300) for r in small.collect()) and small.count() > manifest.count()
     assert token_shards.token_shards(spark, empty, path).count() == 0
 
 
