@@ -15,3 +15,8 @@ def test_chi_square_of_large_counts(spark):
     got = {r.feature: r for r in association.chi_square(_halves(spark), ["same", "other"], "_t").collect()}
     assert (got["same"].chi2, got["same"].dof, got["same"].cramers_v) == (pytest.approx(4_400_000), 1, pytest.approx(1))
     assert (got["other"].chi2, got["other"].dof, got["other"].cramers_v) == (pytest.approx(0, abs=1e-6), 1, pytest.approx(0, abs=1e-6))
+
+
+def test_phi_k_of_large_counts(spark):
+    got = {r.feature: r.phik for r in association.phi_k(_halves(spark), ["same", "other"], "_t").collect()}
+    assert got["same"] > 0.99 and got["other"] == 0
