@@ -1,9 +1,11 @@
 """Steps that gave way on tables of millions of rows: products of counts, and rows that met in a task a feature."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from tabularium.operators import association
+from tabularium.operators import association, neighbours
 
 
 def _halves(spark):
@@ -20,3 +22,23 @@ def test_chi_square_of_large_counts(spark):
 def test_phi_k_of_large_counts(spark):
     got = {r.feature: r.phik for r in association.phi_k(_halves(spark), ["same", "other"], "_t").collect()}
     assert got["same"] > 0.99 and got["other"] == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def large(spark):
+    """Small tables are planned like large ones."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_neighbours_dont_meet_by_feature(spark, large):
+    """The ranges of a feature are broadcast: joined by a shuffle they kept all of its rows in one task."""
+    rows = spark.range(2000).select(F.concat(F.lit("x"), F.col("id") % 2).alias("feature"), (F.col("id") % 50).cast("double").alias("value"), (F.col("id") % 3).cast("string").alias("level"))
+    out = neighbours.neighbour_information(rows)
+    assert not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[feature#\d+L?\]", _plan(out))
+    assert len(out.collect()) == 2
