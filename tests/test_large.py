@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tabularium.functions import ordered
 from tabularium.operators import association, neighbours
 
 
@@ -31,9 +32,12 @@ def _plan(df):
 @pytest.fixture
 def large(spark):
     """Small tables are planned like large ones."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for k in settings:
+        spark.conf.unset(k)
 
 
 def test_neighbours_dont_meet_by_feature(spark, large):
@@ -42,3 +46,19 @@ def test_neighbours_dont_meet_by_feature(spark, large):
     out = neighbours.neighbour_information(rows)
     assert not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[feature#\d+L?\]", _plan(out))
     assert len(out.collect()) == 2
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_running_sums_dont_meet_by_group(spark, large, few):
+    """Rows get their ranges where they are, or are dealt by range; they used to stay in the task of the join with their group's bounds."""
+    df = spark.range(4000).select(F.concat(F.lit("x"), F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    assert ordered.ranges(df, "v", 8, ("g",), few).select(F.spark_partition_id()).distinct().count() > 2
+    got = ordered.running_sum(df, "v", F.lit(1), "upto", ("g",), 8, few).toPandas().sort_values(["g", "v"])
+    assert (got.groupby("g").cumcount() + 1 == got.upto).all()
+
+
+def test_range_of_bisects(spark):
+    bounds = [1.0, 2.0, 2.0, 5.0, 7.0]
+    df = spark.createDataFrame([(v, b) for v in (0.5, 1.0, 2.0, 4.9, 5.0, 9.0, float("nan"), None) for b in (bounds, bounds[:1], [], None)], "v double, _bounds array<double>")
+    got = df.select("v", "_bounds", ordered.range_of(F.col("v"), 6).alias("r"), F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("v"))), F.lit(0)).alias("w")).collect()
+    assert all(r.r == max(r.w, 0) for r in got)
